@@ -7,18 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import ship
-from . import quality
+from . import decontaminate, packing, pii, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+def op2_pii_skip_chain_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(_table(spark, sf_dir, "documents"))
+
+
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.select(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))[0]
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bestfit_packing": op1_bestfit_packing,
+    "op2_pii_skip_chain_crf": op2_pii_skip_chain_crf,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op7_quality_resampling": op7_quality_resampling,
 }
 
