@@ -192,6 +192,8 @@ def _found(col: pa.Array, block: Block, rare: np.ndarray, p: SeedParams) -> Iter
         doc, pos, which = _hits(words, block, p)
         ok = rare[which]
         doc, pos, which = doc[ok], pos[ok], which[ok]
+        if not len(doc):
+            continue
         order = np.lexsort([pos, doc])
         cut = np.flatnonzero(np.diff(doc[order], prepend=-1))
         for s, e in zip(cut, [*cut[1:], len(order)], strict=True):
