@@ -1,15 +1,20 @@
 """Token ids of texts by a public word-level BPE vocabulary, with a bounded cache of white-space-separated pieces.
 
-The vocabulary's rules never join characters across white space, so the ids of a text are the ids of its pieces one
-after another.  A piece is encoded once per task while it is in the cache; new pieces are encoded many at a time, joined
-by a special token that cuts the result apart again.
+The vocabulary's rules (canonical composition, lower case, white space dropped, a pattern that cuts words, digits and
+runs of other signs apart) never join characters across white space, so the ids of a text are the ids of its pieces one
+after another.  A piece is cut by the vocabulary's own pattern and each part is looked up in the vocabulary's merge
+model once while it is in the cache.  `tests/llm` compares the result with the library's own encoding of whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import unicodedata
+from array import array
 
 import numpy as np
+import regex
 
 SEQUENCE = 2048
 
@@ -20,62 +25,72 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable stand-in of each byte in byte-level vocabularies: itself, or the next free code point from 256."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = (b for b in range(256) if b not in set(plain))
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
     """Texts to little-endian uint32 ids as bytes."""
 
-    def __init__(self, path: str, cached: int = 300_000) -> None:
+    def __init__(self, path: str, cached: int = 400_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.plain, self.cut = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True  # special tokens' strings in a text are ordinary text
-        self.mark = "<|endoftext|>"
-        self.mark_id = self.cut.token_to_id(self.mark)
+        self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = True  # special tokens' strings in a text are ordinary text
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        steps = [s["type"] for s in (rules.get("normalizer") or {}).get("normalizers", [])]
+        cut = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        self.known = steps == ["NFC", "Replace", "Lowercase"] and [c.get("type") for c in cut] == ["Split", "ByteLevel"]
+        self.pattern = regex.compile(cut[0]["pattern"]["Regex"]) if self.known else None
+        self.model, self.letters = self.whole.model, _byte_letters()
+        self.parts: dict[str, bytes] = {}
         self.cache: dict[str, bytes] = {}
         self.cached = cached
 
-    def _one(self, piece: str) -> bytes:
-        return np.array(self.plain.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, new: set[str]) -> None:
-        if len(self.cache) + len(new) > self.cached:
-            self.cache.clear()
-        usual = [p for p in new if len(p) <= 200 and "<|" not in p]
-        for p in new:
-            if len(p) > 200 or "<|" in p:
-                self.cache[p] = self._one(p)
-        for k in range(0, len(usual), 2000):
-            some = usual[k : k + 2000]
-            ids = np.array(self.cut.encode(self.mark.join(some), add_special_tokens=False).ids, "<u4")
-            at = np.flatnonzero(ids == self.mark_id)
-            for p, a, b in zip(some, [0, *(at + 1)], [*at, len(ids)], strict=True):
-                self.cache[p] = ids[a:b].tobytes()
+    def _part(self, part: str) -> bytes:
+        found = self.parts.get(part)
+        if found is None:
+            if len(self.parts) >= self.cached:
+                self.parts.clear()
+            word = part if part.isascii() and part.isprintable() else part.encode().decode("latin1").translate(self.letters)
+            found = self.parts[part] = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+        return found
+
+    def _piece(self, piece: str) -> bytes:
+        if not self.known or len(piece) > 2000:
+            return np.array(self.whole.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        if not piece.isascii():
+            # lower case is taken character by character, as the vocabulary does; str.lower() treats a final sigma apart
+            piece = "".join(map(str.lower, unicodedata.normalize("NFC", piece)))
+        else:
+            piece = piece.lower()
+            if piece.isalpha():
+                return self._part(piece)
+        return b"".join(map(self._part, self.pattern.findall(piece)))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes] = []
-        size, group = 0, []
+        """Ids of each text; a null text has none."""
+        out = []
+        cache, get = self.cache, self.cache.__getitem__
         for text in texts:
             text = text or ""
             # str.split() also cuts at U+001C to U+001F, which the vocabulary takes for ordinary characters
             odd = "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
-            group.append(text.split(" ") if odd else text.split())
-            size += len(text)
-            if size > 4_000_000:
-                out += self._flush(group)
-                size, group = 0, []
-        return out + self._flush(group)
-
-    def _flush(self, group: list[list[str]]) -> list[bytes]:
-        new: set[str] = set()
-        for pieces in group:
-            new.update(pieces)
-        fresh = new.difference(self.cache)
-        if len(self.cache) + len(fresh) > self.cached:
-            self.cache.clear()
-            fresh = new
-        self._learn(fresh)
-        get = self.cache.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in group]
+            pieces = text.split(" ") if odd else text.split()
+            new = set(pieces).difference(cache)
+            if new:
+                if len(cache) + len(new) > self.cached:
+                    cache.clear()
+                    new = set(pieces)
+                for p in new:
+                    cache[p] = self._piece(p)
+            out.append(b"".join(map(get, pieces)))
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
