@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import ship
-from . import decontaminate, packing, pii, quality
+from . import decontaminate, jaccard, lm, packing, pii, quality, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,15 +26,31 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_url_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return urls.judge(pages, urls.labels_by_document(pages, _table(spark, sf_dir, "labels")))
+
+
 def op7_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.select(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))[0]
 
 
+def op8_jaccard_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(_table(spark, sf_dir, "documents"))
+
+
+def op10_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bestfit_packing": op1_bestfit_packing,
     "op2_pii_skip_chain_crf": op2_pii_skip_chain_crf,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_url_template_tree": op5_url_template_tree,
     "op7_quality_resampling": op7_quality_resampling,
+    "op8_jaccard_metric_join": op8_jaccard_metric_join,
+    "op10_deleted_interpolation": op10_deleted_interpolation,
 }
 
 ORACLE_SQL: dict[str, str] = {}
