@@ -7,33 +7,20 @@ them back cuts the lineage, so a lost executor costs a re-read and not a recompu
 from __future__ import annotations
 
 import contextlib
-import os
-import tempfile
 import uuid
-from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder: spark.checkpoint.dir, or a temporary folder in a local session that names none."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = Path(tempfile.gettempdir()) / f"annalspark-{os.getuid()}"
-    own.mkdir(parents=True, exist_ok=True)
-    return f"file://{own}"
+from ..storage import shared_dir
 
 
 class Stages:
     """Tables of one operator call.  Each is written once; `drop` removes those that no later step reads."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark, self.at = spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.at = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         with contextlib.suppress(Exception):  # older versions have no such setting; shuffle files then stay longer
             spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 

@@ -340,8 +340,8 @@ def near_pairs(sizes: np.ndarray, sketches: np.ndarray, label: np.ndarray, other
                 yield rows[x], two[y]
 
 
-def _across(regions: DataFrame, labels: DataFrame, contents: DataFrame, p: JaccardParams, stages: Stages) -> DataFrame:
-    """Pairs of sets in one region but in different components that may still be similar."""
+def _members(regions: DataFrame, p: JaccardParams) -> DataFrame:
+    """region, set, chunk, chunks: the members of regions of three and more (pairs are verified already)."""
     member = regions.select(F.monotonically_increasing_id().alias("region"), "members")
 
     def explode(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,7 +353,24 @@ def _across(regions: DataFrame, labels: DataFrame, contents: DataFrame, p: Jacca
                 names=["region", "set", "chunk", "chunks"],
             )
 
-    flat = stages.write(member.filter(F.length("members") > 16).mapInArrow(explode, "region long, set long, chunk long, chunks long"), "members")
+    return member.filter(F.length("members") > 16).mapInArrow(explode, "region long, set long, chunk long, chunks long")
+
+
+def nearest_only(x: np.ndarray, y: np.ndarray, label: np.ndarray, gap: np.ndarray) -> np.ndarray:
+    """Of the pairs x, y: for each x and each component of a y, and the other way round, the one with the least gap."""
+    keep = np.zeros(len(x), bool)
+    for a, b in ((x, label[y]), (y, label[x])):
+        order = np.lexsort([gap, b, a])
+        a, b = a[order], b[order]
+        keep[order[np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])]] = True
+    return keep
+
+
+def _across(flat: DataFrame, labels: DataFrame, contents: DataFrame, p: JaccardParams, nearest: bool) -> DataFrame:
+    """Pairs of sets in one region but in different components that may still be similar.
+
+    nearest: of a set's pairs with one component only the most promising one; a single link joins the whole component.
+    """
     named = flat.join(labels.select(F.col("node").alias("set"), "component"), "set", "left").withColumn("label", F.coalesce("component", "set")).drop("component")
     mixed = named.groupBy("region").agg((F.min("label") != F.max("label")).alias("open")).filter("open").select("region")
     rows = named.join(mixed, "region").join(contents.select("set", F.length("shingles").alias("bytes"), "sketch"), "set")
@@ -365,8 +382,13 @@ def _across(regions: DataFrame, labels: DataFrame, contents: DataFrame, p: Jacca
         flat_sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint16).reshape(-1, SKETCH).astype(np.int32)
         other = None if pdf["lo"].iloc[0] == pdf["hi"].iloc[0] else (pdf["chunk"] == pdf["hi"]).to_numpy()
         ids = pdf["set"].to_numpy(np.int64)
-        found = [np.stack([ids[x], ids[y]]) for x, y in near_pairs(sizes, flat_sketch, pdf["label"].to_numpy(), other, p)]
-        pair = np.sort(np.concatenate(found, axis=1), axis=0) if found else np.zeros((2, 0), np.int64)
+        label = pdf["label"].to_numpy()
+        found = [np.stack(xy) for xy in near_pairs(sizes, flat_sketch, label, other, p)]
+        pair = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+        if nearest and pair.shape[1]:
+            gap = np.concatenate([np.abs(flat_sketch[pair[0, i : i + 8192]] - flat_sketch[pair[1, i : i + 8192]]).sum(1) for i in range(0, pair.shape[1], 8192)])
+            pair = pair[:, nearest_only(pair[0], pair[1], label, gap)]
+        pair = np.sort(ids[pair], axis=0)
         return pd.DataFrame({"a": pair[0], "b": pair[1]})
 
     return rows.select("region", "set", "chunk", "lo", "hi", "label", "bytes", "sketch").groupBy("region", "lo", "hi").applyInPandas(run, "a long, b long").distinct()
@@ -392,9 +414,18 @@ def link(docs: DataFrame, params: JaccardParams = JaccardParams()) -> DataFrame:
     rest = rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b").join(tried, ["a", "b"], "left_anti")
     edges = stages.write(_verified(rest, contents, p).unionAll(edges), "edges-2")
     labels = components(edges, stages, "components-2")
-    across = stages.write(_across(regions, labels, contents, p, stages).join(pairs, ["a", "b"], "left_anti"), "across")
-    edges = stages.write(_verified(across, contents, p).unionAll(edges), "edges-3")
-    labels = components(edges, stages, "components-3")
+    # what is still apart: the most promising pairs first, as they join most of it, then all that are left
+    flat = stages.write(_members(regions, p), "members")
+    done = pairs
+    for k, nearest in enumerate((True, True, False), 3):
+        across = stages.write(_across(flat, labels, contents, p, nearest).join(done, ["a", "b"], "left_anti"), f"across-{k}")
+        if across.isEmpty():
+            if nearest:
+                continue
+            break
+        done = done.unionAll(across)
+        edges = stages.write(_verified(across, contents, p).unionAll(edges), f"edges-{k}")
+        labels = components(edges, stages, f"components-{k}")
     # a component's number is its smallest document
     group = sets.filter("set <> 0").groupBy("set").agg(F.min("doc_id").alias("doc")).join(labels.select(F.col("node").alias("set"), "component"), "set", "left").withColumn("component", F.coalesce("component", "set"))
     low = group.groupBy("component").agg(F.min("doc").alias("component_id"))

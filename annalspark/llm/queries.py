@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import ship
-from . import decontaminate, jaccard, lm, packing, pii, quality, urls
+from . import decontaminate, jaccard, lm, packing, passages, pii, quality, tokenfiles, urls, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_pii_skip_chain_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(_table(spark, sf_dir, "documents"))
 
 
+def op3_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated(_table(spark, sf_dir, "documents"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -31,6 +35,10 @@ def op5_url_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, urls.labels_by_document(pages, _table(spark, sf_dir, "labels")))
 
 
+def op6_training_order_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.materialise(_table(spark, sf_dir, "documents"))
+
+
 def op7_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.select(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))[0]
 
@@ -39,6 +47,10 @@ def op8_jaccard_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(_table(spark, sf_dir, "documents"))
 
 
+def op9_robust_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.link(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_table(spark, sf_dir, "documents"))
 
@@ -46,10 +58,13 @@ def op10_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bestfit_packing": op1_bestfit_packing,
     "op2_pii_skip_chain_crf": op2_pii_skip_chain_crf,
+    "op3_paragraph_minhash": op3_paragraph_minhash,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_url_template_tree": op5_url_template_tree,
+    "op6_training_order_shards": op6_training_order_shards,
     "op7_quality_resampling": op7_quality_resampling,
     "op8_jaccard_metric_join": op8_jaccard_metric_join,
+    "op9_robust_pruned_graph": op9_robust_pruned_graph,
     "op10_deleted_interpolation": op10_deleted_interpolation,
 }
 
