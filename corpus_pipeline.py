@@ -1,4 +1,8 @@
-"""A training-corpus pipeline: quality resampling, near-duplicate removal, decontamination, privacy, packing."""
+"""A training-corpus pipeline: quality resampling, near-duplicate removal, decontamination, privacy, packing.
+
+Each stage is an operator of `annalspark.llm` with the parameters of production; all but the last return the columns
+of `documents`.  Nulls, empty tables and extra columns behave as the operators' modules state.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from annalspark.llm import quality
+from annalspark.llm import decontaminate, jaccard, packing, pii, quality
 from annalspark.llm.common import Stages
 from annalspark.runtime import ship
 
@@ -16,11 +20,38 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.resample(docs, ship(spark).read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by five-word shingles at a Jaccard similarity of 0.8 or more."""
+    ship(spark)
+    return jaccard.keep_one(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark passage."""
+    return decontaminate.clean(docs, ship(spark).read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def privacy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their personal data masked."""
+    ship(spark)
+    return pii.redact(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents and their places in sequences of 2048 tokens."""
+    ship(spark)
+    return packing.pack(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality", quality_stage),
+    ("quality classifier", quality_stage),
+    ("n-gram Jaccard join", near_duplicate_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("PII", privacy_stage),
+    ("best-fit packing", packing_stage),
 ]
 
-#: No stage but the quality rule has an SQL form; tests compare each stage with a brute-force version.
+#: Model-based stages have no SQL form; tests compare every stage with a brute-force version.
 ORACLE_SQL = None
 
 
@@ -28,8 +59,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each written and read again."""
     docs = ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
     tables = Stages(spark, "pipeline")
-    for i, (name, stage) in enumerate(STAGES):
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = tables.write(docs, f"{i}-{name}")
+            docs = tables.write(docs, f"stage-{i}")
     return docs
