@@ -105,11 +105,13 @@ def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int, patience:
             break
         victim = int(candidates[np.argmax(gap[candidates])])
         tried[victim] = True
+        moved = False
         while bins[victim]:
             own = sorted(bins[victim], key=lambda i: -lengths[i])
             done = False
             for x in own:  # move into the tightest gap
-                can = np.flatnonzero(alive & (gap >= lengths[x]))
+                # a step raises the sum of squares exactly if the receiver ends up fuller than the giver was
+                can = np.flatnonzero(alive & (gap >= lengths[x]) & (lengths[x] - gap > -gap[victim]))
                 can = can[can != victim]
                 if len(can):
                     to = int(can[np.argmin(gap[can])])
@@ -117,17 +119,16 @@ def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int, patience:
                     done = True
                     break
             if done:
+                moved = True
                 continue
             other = place[pool] != victim
             room = np.where(other, gap[place[pool]], -1)
             for take in [[x] for x in own] + [[own[i], own[j]] for i in range(min(len(own), 12)) for j in range(i + 1, min(len(own), 12))]:
                 gain = int(lengths[take].sum()) - size
-                ok = (gain > 0) & (gain <= room) & other
+                ok = (gain > 0) & (gain <= room) & (gain - room > -gap[victim]) & other
                 if ok.any():
                     k = int(np.argmax(np.where(ok, gain, -1)))
                     y, to = int(pool[k]), int(place[pool[k]])
-                    if (capacity - gap[to]) + gain[k] <= capacity - gap[victim] - gain[k]:
-                        continue  # it would lower the sum of squares
                     put(y, victim)
                     for x in take:
                         put(x, to)
@@ -135,8 +136,12 @@ def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int, patience:
                     break
             if not done:
                 break
+            moved = True
         if bins[victim]:
             failed += 1
+            if moved:  # others may find room now; every step raises the sum of squares, so this ends
+                tried[:] = False
+                tried[[victim, *gone]] = True
         else:
             gone.add(victim)
             alive[victim] = False

@@ -3,7 +3,8 @@
 1. *Paragraphs.*  Planted or quoted passages rarely coincide with lines, so a text is covered by paragraphs of
    `width` words that begin at content-defined anchors: words whose shingle hash is the least among its neighbours
    within `radius`.  Equal passages have equal anchors wherever they stand; on average an anchor comes every
-   radius + 1 words, and a text shorter than the width is one paragraph.
+   radius + 1 words, and a text shorter than the width is one paragraph.  A paragraph at most half of whose shingles
+   are different (one word over and over) is noise that repeats itself, not a passage, and is passed over.
 2. *Banding.*  `bands` bands of `rows` MinHash values over the five-word shingles of each paragraph.  A pair of
    similarity s meets in one paragraph with probability 1 - (1 - s**rows)**bands (0.8: `band_recall`); a passage of 50
    words has four paragraphs and more, so near copies are met with a probability close to 1, and equal ones always.
@@ -81,6 +82,10 @@ def paragraphs(words: tv.Words, p: PassageParams) -> tuple[np.ndarray, np.ndarra
         pad = np.full(p.radius, U64(0xFFFFFFFFFFFFFFFF))
         low = _least(np.concatenate([pad, x, pad]), 2 * p.radius + 1)
         at = np.flatnonzero((x == low) & (x != U64(0xFFFFFFFFFFFFFFFF)))
+        # from one anchor to the next, further paragraphs follow end to end
+        stop = np.minimum(np.append(at[1:], len(doc)), words.off[doc[at] + 1])
+        more = np.maximum(-(-(stop - at) // p.width), 1)
+        at = np.repeat(at, more) + p.width * (np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more))
         start = at[(at + p.width <= words.off[doc[at] + 1])]
         # a long text whose last anchor leaves too few words, or that has none, still ends with a whole paragraph
         long = np.flatnonzero(size >= p.width)
@@ -89,6 +94,12 @@ def paragraphs(words: tv.Words, p: PassageParams) -> tuple[np.ndarray, np.ndarra
     many = np.concatenate([np.full(len(start), p.width), size[short]])
     order = np.argsort(first, kind="stable")
     first, many = first[order].astype(np.int64), many[order].astype(np.int64)
+    if len(first):
+        # one shingle per column, the last one again where a short text has fewer
+        at = first[:, None] + np.minimum(np.arange(p.width - p.shingle + 1), (many - p.shingle)[:, None])
+        kinds = 1 + (np.diff(np.sort(g[at], axis=1), axis=1) != 0).sum(1)
+        varied = 2 * kinds > many - p.shingle
+        first, many = first[varied], many[varied]
     return first, many, doc[first] if len(first) else first
 
 

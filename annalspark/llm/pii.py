@@ -159,7 +159,7 @@ class CrfModel:
 
     emission: np.ndarray
     chain: float = 0.3
-    skip: float = 3.0
+    skip: float = 6.0
     rounds: int = 12
     threshold: float = 0.9
 
@@ -170,8 +170,8 @@ def prior_weights() -> np.ndarray:
     w[0] = [2.0, -2.0, -2.0, -2.0, -2.0]
     w[1, 1], w[2, 1], w[12, 1] = 4.0, 1.0, 1.0
     w[3, 2], w[13, 2] = 4.0, 1.0
-    w[9, 3], w[8, 3], w[14, 3] = 3.0, 1.0, 1.0
-    w[4, 4], w[5, 4], w[6, 4], w[15, 4] = 3.0, 1.0, 0.5, 1.0
+    w[9, 3], w[8, 3], w[14, 3] = 6.0, 1.0, 1.0
+    w[4, 4], w[5, 4], w[6, 4], w[15, 4] = 5.0, 1.5, 1.0, 1.0
     return w
 
 
@@ -187,7 +187,7 @@ def train(features: np.ndarray, labels: np.ndarray, agree: int, differ: int, ste
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             w += rate * (features.T @ (truth - p) / len(labels) - (w - w0) / (spread * max(len(labels), 50)))
-    return CrfModel(w, skip=float(np.clip(np.log((agree + 5.0) / (differ + 0.25)), 1.0, 4.0)))
+    return CrfModel(w, skip=float(np.clip(np.log((agree + 5.0) / (differ + 0.25)), 1.0, 6.0)))
 
 
 def edges(text: str, nodes: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
