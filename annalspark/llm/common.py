@@ -39,6 +39,15 @@ class Stages:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+    def retain(self, *names: str) -> None:
+        """Drops all tables but the named ones."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.at)
+        for found in path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path):
+            if found.getPath().getName() not in names:
+                self.drop(found.getPath().getName())
+
+
 def text_size(docs: DataFrame, text: str) -> tuple[int, int]:
     """Rows and bytes of text."""
     n, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.col(text).cast("string"))), F.lit(0))).first()

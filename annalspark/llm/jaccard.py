@@ -14,8 +14,8 @@ similarity is at least `percent` per cent, which bounds the difference of a pair
    Both cases together leave no pair out.
 3. *Recursion.*  In each region the smallest set is the pivot; every member is verified against it and links merge
    members into components.  Regions whose members then lie in one component are done.  In the others, members are
-   compared by their distances to 64 fixed pivots, recursively: they are dealt to the nearest of some members and
-   copied to others within a window of the bound, until parts are small; pairs that the 64 distances do not exclude
+   compared by their distances to 256 fixed pivots, recursively: they are dealt to the nearest of some members and
+   copied to others within a window of the bound, until parts are small; pairs that these distances do not exclude
    are verified exactly.
 
 Equal sets are merged first (a copy costs nothing further) and links are found between different sets only.  Sets are
@@ -44,7 +44,7 @@ from .components import components
 from .lm import squeeze, squeeze_sorted, unsqueeze, unsqueeze_sorted
 
 U64 = np.uint64
-SKETCH = 64
+SKETCH = 256
 
 
 @dataclass(frozen=True)
@@ -140,9 +140,9 @@ def keys(g: np.ndarray, off: np.ndarray, p: JaccardParams) -> tuple[np.ndarray,
 
 
 def sketch(g: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Shingles of each set in 64 blocks of the universe: the distances to 64 fixed pivots, up to a constant."""
+    """Shingles of each set in 256 blocks of the universe: the distances to 256 fixed pivots, up to a constant."""
     n = len(off) - 1
-    at = np.repeat(np.arange(n), np.diff(off)) * SKETCH + (tv.mix(g ^ U64(0x8CB92BA72F3D8DD7)) >> U64(58)).astype(np.int64)
+    at = np.repeat(np.arange(n), np.diff(off)) * SKETCH + (tv.mix(g ^ U64(0x8CB92BA72F3D8DD7)) >> U64(56)).astype(np.int64)
     return np.bincount(at, minlength=n * SKETCH).reshape(n, SKETCH).astype(np.int32)
 
 
@@ -284,6 +284,23 @@ def _contents(docs: DataFrame, wanted: DataFrame, p: JaccardParams) -> DataFrame
     return found.groupBy("set").agg(F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch")).join(wanted, "set", "left_semi")
 
 
+def _plausible(pairs: DataFrame, contents: DataFrame, p: JaccardParams) -> DataFrame:
+    """The pairs (a, b) that the distances to the fixed pivots do not exclude; their sets are not moved for that."""
+    bound = (100 - p.percent) / (100 + p.percent)
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, SKETCH).astype(np.int32) for k in (2, 3))
+            size = batch.column(4).to_numpy() + batch.column(5).to_numpy()
+            keep = np.abs(x - y).sum(1) <= bound * size + 1e-9
+            yield batch.select([0, 1]).filter(pa.array(keep))
+
+    side = contents.select("set", "sketch", (F.length("shingles") / 8).cast("long").alias("n"))
+    right = side.select(F.col("set").alias("b"), F.col("sketch").alias("y"), F.col("n").alias("m"))
+    left = side.select(F.col("set").alias("a"), F.col("sketch").alias("x"), "n")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y", "n", "m").mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, contents: DataFrame, p: JaccardParams) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough, as edges u, v."""
 
@@ -320,7 +337,7 @@ def near_pairs(sizes: np.ndarray, sketches: np.ndarray, label: np.ndarray, other
             every = np.union1d(one, two)
             pivots = every[np.linspace(0, len(every) - 1, 4).astype(int)]
             reach = bound * 2.2 * sizes[every].max()
-            far = np.abs(sketches[every][:, None, :] - sketches[pivots][None]).sum(-1)
+            far = np.stack([np.abs(sketches[every] - sketches[x]).sum(-1, dtype=np.int64) for x in pivots], axis=1)
             near = far.argmin(1)
             copied = far <= far.min(1, keepdims=True) + 2 * reach
             if copied.sum() < 2 * len(every):
@@ -328,9 +345,9 @@ def near_pairs(sizes: np.ndarray, sketches: np.ndarray, label: np.ndarray, other
                     home, window = every[near == k], every[copied[:, k]]
                     stack.append((np.intersect1d(home, one), np.intersect1d(window, two), depth + 1))
                 continue
-        for i in range(0, len(one), 64):
-            rows = one[i : i + 64]
-            gap = np.abs(sketches[rows][:, None, :] - sketches[two][None]).sum(-1)
+        for i in range(0, len(one), 16):
+            rows = one[i : i + 16]
+            gap = np.abs(sketches[rows][:, None, :] - sketches[two][None]).sum(-1, dtype=np.int64)
             ok = gap <= bound * (sizes[rows][:, None] + sizes[two][None]) + 1e-9
             ok &= label[rows][:, None] != label[two][None]
             if other is None:
@@ -341,7 +358,7 @@ def near_pairs(sizes: np.ndarray, sketches: np.ndarray, label: np.ndarray, other
 
 
 def _members(regions: DataFrame, p: JaccardParams) -> DataFrame:
-    """region, set, chunk, chunks: the members of regions of three and more (pairs are verified already)."""
+    """small, region, set, chunk, chunks: the members of regions of three and more (pairs are verified already)."""
     member = regions.select(F.monotonically_increasing_id().alias("region"), "members")
 
     def explode(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,11 +366,11 @@ def _members(regions: DataFrame, p: JaccardParams) -> DataFrame:
             rows = [np.frombuffer(m, np.int64) for m in batch.column(1).to_pylist()]
             size = [len(m) for m in rows]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(batch.column(0).to_numpy(), size)), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64)), pa.array(np.concatenate([np.arange(n) // p.chunk for n in size]) if rows else np.zeros(0, np.int64)), pa.array(np.repeat([-(-n // p.chunk) for n in size], size).astype(np.int64))],
-                names=["region", "set", "chunk", "chunks"],
+                [pa.array(np.repeat([n <= 256 for n in size], size).astype(bool)), pa.array(np.repeat(batch.column(0).to_numpy(), size)), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64)), pa.array(np.concatenate([np.arange(n) // p.chunk for n in size]) if rows else np.zeros(0, np.int64)), pa.array(np.repeat([-(-n // p.chunk) for n in size], size).astype(np.int64))],
+                names=["small", "region", "set", "chunk", "chunks"],
             )
 
-    return member.filter(F.length("members") > 16).mapInArrow(explode, "region long, set long, chunk long, chunks long")
+    return member.filter(F.length("members") > 16).mapInArrow(explode, "small boolean, region long, set long, chunk long, chunks long")
 
 
 def nearest_only(x: np.ndarray, y: np.ndarray, label: np.ndarray, gap: np.ndarray) -> np.ndarray:
@@ -374,24 +391,33 @@ def _across(flat: DataFrame, labels: DataFrame, contents: DataFrame, p: JaccardP
     named = flat.join(labels.select(F.col("node").alias("set"), "component"), "set", "left").withColumn("label", F.coalesce("component", "set")).drop("component")
     mixed = named.groupBy("region").agg((F.min("label") != F.max("label")).alias("open")).filter("open").select("region")
     rows = named.join(mixed, "region").join(contents.select("set", F.length("shingles").alias("bytes"), "sketch"), "set")
-    # a region of several chunks becomes all pairs of chunks, each a group of bounded size
+    # a region of several chunks becomes all pairs of chunks, each a group of bounded size; small regions share groups
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).withColumn("lo", F.least("chunk", "with")).withColumn("hi", F.greatest("chunk", "with"))
+    shared = max(1, flat.count() // 20_000)
+    rows = rows.withColumn("group", F.when(F.col("small"), -1 - F.pmod(F.xxhash64("region"), F.lit(shared))).otherwise(F.col("region")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("region", kind="stable")
+        region, ids, label = (pdf[c].to_numpy(np.int64) for c in ("region", "set", "label"))
         sizes = pdf["bytes"].to_numpy(np.int64) // 8
         flat_sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint16).reshape(-1, SKETCH).astype(np.int32)
-        other = None if pdf["lo"].iloc[0] == pdf["hi"].iloc[0] else (pdf["chunk"] == pdf["hi"]).to_numpy()
-        ids = pdf["set"].to_numpy(np.int64)
-        label = pdf["label"].to_numpy()
-        found = [np.stack(xy) for xy in near_pairs(sizes, flat_sketch, label, other, p)]
-        pair = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        if nearest and pair.shape[1]:
-            gap = np.concatenate([np.abs(flat_sketch[pair[0, i : i + 8192]] - flat_sketch[pair[1, i : i + 8192]]).sum(1) for i in range(0, pair.shape[1], 8192)])
-            pair = pair[:, nearest_only(pair[0], pair[1], label, gap)]
-        pair = np.sort(ids[pair], axis=0)
+        high = (pdf["chunk"] == pdf["hi"]).to_numpy()
+        across = pdf["lo"].iloc[0] != pdf["hi"].iloc[0]
+        cut = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1], [True]]))
+        out = []
+        for i, j in zip(cut[:-1], cut[1:], strict=True):
+            s = slice(i, j)
+            found = [np.stack(xy) for xy in near_pairs(sizes[s], flat_sketch[s], label[s], high[s] if across else None, p)]
+            if found:
+                pair = np.concatenate(found, axis=1)
+                if nearest:
+                    gap = np.concatenate([np.abs(flat_sketch[s][pair[0, k : k + 8192]] - flat_sketch[s][pair[1, k : k + 8192]]).sum(1) for k in range(0, pair.shape[1], 8192)])
+                    pair = pair[:, nearest_only(pair[0], pair[1], label[s], gap)]
+                out.append(np.sort(ids[s][pair], axis=0))
+        pair = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
         return pd.DataFrame({"a": pair[0], "b": pair[1]})
 
-    return rows.select("region", "set", "chunk", "lo", "hi", "label", "bytes", "sketch").groupBy("region", "lo", "hi").applyInPandas(run, "a long, b long").distinct()
+    return rows.select("group", "region", "set", "chunk", "lo", "hi", "label", "bytes", "sketch").groupBy("group", "lo", "hi").applyInPandas(run, "a long, b long").distinct()
 
 
 def link(docs: DataFrame, params: JaccardParams = JaccardParams()) -> DataFrame:
@@ -405,19 +431,20 @@ def link(docs: DataFrame, params: JaccardParams = JaccardParams()) -> DataFrame:
     pairs = stages.write(regions.mapInArrow(_star, "a long, b long").distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("set")).unionAll(pairs.select("b")).distinct()
     contents = stages.write(_contents(docs, stages.write(wanted, "wanted"), p), "contents")
+    near = stages.write(_plausible(pairs, contents, p), "near")
     # one pair per set first; the rest only where it still joins different components
-    tried = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    tried = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     edges = stages.write(_verified(tried, contents, p), "edges-1")
     labels = components(edges, stages, "components-1")
     name = labels.select(F.col("node").alias("x"), "component")
-    rest = pairs.join(name.withColumnRenamed("x", "a").withColumnRenamed("component", "ca"), "a", "left").join(name.withColumnRenamed("x", "b").withColumnRenamed("component", "cb"), "b", "left")
+    rest = near.join(name.withColumnRenamed("x", "a").withColumnRenamed("component", "ca"), "a", "left").join(name.withColumnRenamed("x", "b").withColumnRenamed("component", "cb"), "b", "left")
     rest = rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b").join(tried, ["a", "b"], "left_anti")
     edges = stages.write(_verified(rest, contents, p).unionAll(edges), "edges-2")
     labels = components(edges, stages, "components-2")
     # what is still apart: the most promising pairs first, as they join most of it, then all that are left
     flat = stages.write(_members(regions, p), "members")
     done = pairs
-    for k, nearest in enumerate((True, True, False), 3):
+    for k, nearest in enumerate((True, False), 3):
         across = stages.write(_across(flat, labels, contents, p, nearest).join(done, ["a", "b"], "left_anti"), f"across-{k}")
         if across.isEmpty():
             if nearest:
@@ -430,6 +457,7 @@ def link(docs: DataFrame, params: JaccardParams = JaccardParams()) -> DataFrame:
     group = sets.filter("set <> 0").groupBy("set").agg(F.min("doc_id").alias("doc")).join(labels.select(F.col("node").alias("set"), "component"), "set", "left").withColumn("component", F.coalesce("component", "set"))
     low = group.groupBy("component").agg(F.min("doc").alias("component_id"))
     final = stages.write(group.join(low, "component").select("set", "component_id"), "final")
+    stages.retain("sets", "final")
     return sets.join(final, "set", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

@@ -297,6 +297,7 @@ def repeated(docs: DataFrame, params: PassageParams = PassageParams()) -> DataFr
     roots = labels.select(F.col("component").alias("content")).distinct().withColumn("component", F.col("content"))
     named = stages.write(repeats.select("content", F.col("content").alias("component")).join(labels.unionAll(roots).select("content"), "content", "left_anti").unionAll(labels.select("content", "component")).unionAll(roots), "named")
     places = stages.write(_places(docs, named, p), "places")
+    stages.retain("places")
     first = places.groupBy("component").agg(F.min(F.struct("doc_id", "start_word")).alias("first"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     first = first.filter("low <> high")
     rows = places.join(first, "component").select("doc_id", "start_word", "end_word", F.col("low").alias("component_id"), ((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start_word") != F.col("first.start_word"))).alias("removed"))
