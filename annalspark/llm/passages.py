@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 
 from . import textvec as tv
 from .common import Stages, text_size
-from .components import components
+from .components import components, forest
 from .jaccard import _bitmap, _place
 from .lm import squeeze, squeeze_sorted, unsqueeze, unsqueeze_sorted
 
@@ -261,20 +261,59 @@ def linked(ids: np.ndarray, sets: list[np.ndarray], across: np.ndarray | None, p
     return np.array(us, np.int64), np.array(vs, np.int64)
 
 
-def _edges(regions: DataFrame, shingles: DataFrame, p: PassageParams) -> DataFrame:
-    """Verified links between different contents of one region (region, content)."""
-    rows = regions.join(shingles, "content")
-    chunks = regions.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / F.lit(p.chunk)).cast("long").alias("chunks"))
-    rows = rows.join(chunks, "region").withColumn("chunk", F.pmod(F.xxhash64("content"), "chunks"))
+def similar(a: np.ndarray, b: np.ndarray, table: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of rows of a table of padded shingle sets are similar enough; padding differs from row to row."""
+    out = np.zeros(len(a), bool)
+    for k in range(0, len(a), 16_384):
+        x, y = a[k : k + 16_384], b[k : k + 16_384]
+        both = (table[x][:, :, None] == table[y][:, None, :]).sum((1, 2))
+        out[k : k + 16_384] = 100 * both >= percent * (size[x] + size[y] - both)
+    return out
+
+
+def _edges(regions: DataFrame, shingles: DataFrame, p: PassageParams, small: int = 48) -> DataFrame:
+    """Verified links between different contents of one region (region, content).
+
+    Small regions share groups and their few pairs are compared at once; larger ones are walked pivot by pivot, in
+    pairs of chunks beyond `chunk` members.
+    """
+    size = regions.groupBy("region").agg(F.count(F.lit(1)).alias("members"))
+    shared = max(1, regions.count() // 50_000)
+    rows = regions.join(size, "region").withColumn("chunks", F.ceil(F.col("members") / F.lit(p.chunk)).cast("long"))
+    rows = rows.withColumn("group", F.when(F.col("members") <= small, -1 - F.pmod(F.xxhash64("region"), F.lit(shared))).otherwise(F.col("region")))
+    rows = rows.join(shingles, "content").withColumn("chunk", F.pmod(F.xxhash64("content"), "chunks"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).withColumn("lo", F.least("chunk", "with")).withColumn("hi", F.greatest("chunk", "with"))
+    width = p.width - p.shingle + 1
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("content")
-        across = None if pdf["lo"].iloc[0] == pdf["hi"].iloc[0] else pdf["chunk"].to_numpy()
-        u, v = linked(pdf["content"].to_numpy(np.int64), [np.frombuffer(s, U64) for s in pdf["shingles"]], across, p.percent)
+        pdf = pdf.sort_values(["region", "content"])
+        ids, sets = pdf["content"].to_numpy(np.int64), [np.frombuffer(s, U64) for s in pdf["shingles"]]
+        if pdf["group"].iloc[0] >= 0:
+            across = None if pdf["lo"].iloc[0] == pdf["hi"].iloc[0] else pdf["chunk"].to_numpy()
+            u, v = linked(ids, sets, across, p.percent)
+            return pd.DataFrame({"u": u, "v": v})
+        many = np.array([len(s) for s in sets])
+        table = np.arange(len(sets) * width, dtype=U64).reshape(-1, width)  # padding: numbers that no other row has
+        flat = np.repeat(np.arange(len(sets)), many)
+        table[flat, np.arange(len(flat)) - np.repeat(np.cumsum(many) - many, many)] = np.concatenate(sets)
+        region = pdf["region"].to_numpy()
+        cut = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1], [True]]))
+        pairs = []
+        for n in np.unique(np.diff(cut)):
+            if n > 1:
+                i, j = np.triu_indices(n, 1)
+                start = cut[:-1][np.diff(cut) == n]
+                pairs.append(np.stack([(start[:, None] + i).ravel(), (start[:, None] + j).ravel()]))
+        if not pairs:
+            return pd.DataFrame({"u": ids[:0], "v": ids[:0]})
+        a, b = np.concatenate(pairs, axis=1)
+        once = np.unique(np.stack([ids[a], ids[b]]), axis=1, return_index=True)[1]
+        a, b = a[once], b[once]
+        ok = similar(a, b, table, many, p.percent)
+        u, v = forest(ids[a[ok]], ids[b[ok]])
         return pd.DataFrame({"u": u, "v": v})
 
-    return rows.select("region", "lo", "hi", "chunk", "content", "shingles").groupBy("region", "lo", "hi").applyInPandas(run, "u long, v long")
+    return rows.select("group", "region", "lo", "hi", "chunk", "content", "shingles").groupBy("group", "lo", "hi").applyInPandas(run, "u long, v long")
 
 
 def repeated(docs: DataFrame, params: PassageParams = PassageParams()) -> DataFrame:
