@@ -32,7 +32,7 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def op5_url_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
-    return urls.judge(pages, urls.labels_by_document(pages, _table(spark, sf_dir, "labels")))
+    return urls.judge(pages, urls.labels_by_document(pages, _table(spark, sf_dir, "labels"))).drop("share")
 
 
 def op6_training_order_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,4 +68,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_deleted_interpolation": op10_deleted_interpolation,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LEVEL = """,
+k{l} AS (SELECT host, prefix, coalesce(list_extract(string_split(raw, '/'), {l} + 1), '') AS seg, sum(n) AS n, sum(lab) AS lab, sum(bad) AS bad FROM t{p} GROUP BY ALL),
+m{l} AS (SELECT *, count(*) OVER w AS kids, sum(n) OVER w AS all_n, sum(lab) OVER w AS all_lab, sum(bad) OVER w AS all_bad FROM k{l} WINDOW w AS (PARTITION BY host, prefix)),
+o{l} AS (SELECT host, prefix, seg, CASE WHEN (kids >= 20 AND all_n < 8.0 * kids) OR (kids > 1 AND abs(bad - lab * CASE WHEN all_lab > 0 THEN all_bad / all_lab ELSE 0.0 END)
+  <= 2.0 * sqrt(lab * CASE WHEN all_lab > 0 THEN all_bad / all_lab ELSE 0.0 END * (1 - CASE WHEN all_lab > 0 THEN all_bad / all_lab ELSE 0.0 END) + 0.25)) THEN '*' ELSE seg END AS dest FROM m{l}),
+t{l} AS (SELECT t.host, t.raw, t.n, t.lab, t.bad, t.prefix || '/' || o.dest AS prefix FROM t{p} t JOIN o{l} o ON t.host = o.host AND t.prefix = o.prefix AND coalesce(list_extract(string_split(t.raw, '/'), {l} + 1), '') = o.seg)"""
+
+_OP5 = """WITH u AS (SELECT page_id, url, url IS NOT NULL AND contains(url, '://') AS fine, substr(url, instr(url, '://') + 3) AS rest FROM pages),
+h AS (SELECT page_id, url, CASE WHEN fine THEN regexp_extract(rest, '^[^/?#]*') ELSE '' END AS h0, rest, fine FROM u),
+b AS (SELECT page_id, url, translate(h0, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, CASE WHEN fine THEN regexp_extract(substr(rest, length(h0) + 1), '^[^?#]*') ELSE '' END AS path FROM h),
+r AS (SELECT *, regexp_replace(path, '[0-9]+', '*', 'g') AS raw, TRY_CAST(nullif(regexp_extract(url, '^[^?#]*/([0-9]+)[^/]*/?(?:[?#].*)?$', 1), '') AS BIGINT) AS doc_id FROM b),
+l AS (SELECT doc_id, max(CASE WHEN quality <> 1 OR toxic <> 0 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY 1),
+p AS (SELECT r.*, l.bad FROM r LEFT JOIN l USING (doc_id)),
+t0 AS (SELECT host, raw, CAST(count(*) AS DOUBLE) AS n, CAST(count(bad) AS DOUBLE) AS lab, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS bad, '' AS prefix FROM p GROUP BY host, raw)""" + "".join(_LEVEL.format(l=i, p=i - 1) for i in (1, 2, 3)) + """,
+g AS (SELECT coalesce(sum(bad) / nullif(sum(lab), 0), 0.0) AS overall FROM t3),
+s AS (SELECT *, (sum(bad) OVER (PARTITION BY host) + 4.0 * overall) / (sum(lab) OVER (PARTITION BY host) + 4.0) AS at_host FROM t3, g),
+f AS (SELECT host, raw, prefix AS template, (sum(bad) OVER w + 4.0 * at_host) / (sum(lab) OVER w + 4.0) AS share FROM s WINDOW w AS (PARTITION BY host, prefix)),
+rules(rule, verdict, rh, rp) AS (VALUES ('org/', 'allow', 'org', '/'), ('example.org/es/', 'block', 'example.org', '/es/'), ('example.org/en/1', 'block', 'example.org', '/en/1'), ('com/fr/', 'allow', 'com', '/fr/'), ('com/de/', 'block', 'com', '/de/')),
+x AS (SELECT page_id, rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC) AS k FROM b JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
+SELECT p.page_id, p.host, p.path, x.rule, coalesce(x.verdict, CASE WHEN f.share >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict, f.template
+FROM p JOIN f ON p.host = f.host AND p.raw = f.raw LEFT JOIN x ON x.page_id = p.page_id AND x.k = 1"""
+
+_OP8 = r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS g FROM w),
+e AS MATERIALIZED (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+l AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+c AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT l.y, c.root FROM c JOIN l ON l.x = c.doc_id)
+SELECT c.doc_id, any_value(CAST(len(s.g) AS BIGINT)) AS n_shingles, min(c.root) AS component_id FROM c JOIN s ON s.doc_id = c.doc_id GROUP BY c.doc_id"""
+
+_OP9 = """WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+f AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+l AS MATERIALIZED (SELECT a.vec_id AS x, b.vec_id AS y FROM f a, f b WHERE a.vec_id <> b.vec_id AND a.n > 0 AND b.n > 0 AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9),
+c AS (SELECT vec_id, vec_id AS root FROM v UNION SELECT l.y, c.root FROM c JOIN l ON l.x = c.vec_id),
+k AS (SELECT vec_id, min(root) AS component_id FROM c GROUP BY 1), d AS (SELECT x AS vec_id, count(*) AS n FROM l GROUP BY 1)
+SELECT k.vec_id, coalesce(d.n, 0) AS n_links, component_id, k.vec_id = component_id AS kept FROM k LEFT JOIN d USING (vec_id)"""
+
+#: The others have no SQL form (models, tokenizers, alignments); `tests/llm` compares them with brute force.
+ORACLE_SQL: dict[str, str] = {"op5_url_template_tree": _OP5, "op8_jaccard_metric_join": _OP8, "op9_robust_pruned_graph": _OP9}
