@@ -103,7 +103,12 @@ def prune(v: np.ndarray, p: GraphParams) -> list[np.ndarray]:
     for i, a in enumerate(out):
         for j in a:
             back[j].append(i)
-    return [np.array(sorted({*a, *b}), np.int64) for a, b in zip(out, back, strict=True)]
+    lists = []
+    for i, (a, b) in enumerate(zip(out, back, strict=True)):
+        if len(b) > 2 * p.degree:  # a hub: its nearest reverse edges; the others still lead to it
+            b = np.array(b)[np.argsort(-(v[b] @ v[i]), kind="stable")[: 2 * p.degree]].tolist()
+        lists.append(np.array(sorted({*a, *b}), np.int64))
+    return lists
 
 
 def search(v: np.ndarray, graph: np.ndarray, q: np.ndarray, p: GraphParams, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,15 +153,19 @@ def search(v: np.ndarray, graph: np.ndarray, q: np.ndarray, p: GraphParams, entr
     hit = np.zeros((m, n), bool)
     hit[a, b] = True
     while len(a):
-        near = graph[b]
-        r, c = np.nonzero(near >= 0)
-        qa, node = a[r], near[r, c]
-        fresh = ~hit[qa, node]
-        key = np.unique(qa[fresh] * n + node[fresh])
-        qa, node = key // n, key % n
-        good = np.einsum("ij,ij->i", v4[node], q4[qa]) >= margin
-        a, b = qa[good], node[good]
-        hit[a, b] = True
+        new_a, new_b = [], []
+        for lo in range(0, len(a), 20_000):  # slices bound the memory, however many points are in range
+            near = graph[b[lo : lo + 20_000]]
+            r, c = np.nonzero(near >= 0)
+            key = np.unique(a[lo : lo + 20_000][r] * n + near[r, c])
+            key = key[~hit.reshape(-1)[key]]
+            for k in range(0, len(key), 100_000):
+                qa, node = key[k : k + 100_000] // n, key[k : k + 100_000] % n
+                good = np.einsum("ij,ij->i", v4[node], q4[qa]) >= margin
+                hit[qa[good], node[good]] = True
+                new_a.append(qa[good])
+                new_b.append(node[good])
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (new_a, new_b))
     a, b = np.nonzero(hit)
     exact = np.concatenate([np.einsum("ij,ij->i", q[a[i : i + 65536]], v[b[i : i + 65536]]) for i in range(0, len(a), 65536)]) if len(a) else np.zeros(0)
     return a[exact >= p.threshold], b[exact >= p.threshold]
@@ -273,9 +282,9 @@ def _search_all(points: DataFrame, c: np.ndarray, dim: int, n: int, p: GraphPara
         home, copies = (own["rank"] == 0).to_numpy(), own["copies"].to_numpy(np.int64)
         links, us, vs = np.zeros(len(ask), np.int64), [], []
         asked = ask["point"].to_numpy(np.int64)
-        for lo in range(0, len(ask), 1024):
-            a, b = search(v, padded, _matrix(ask["data"].iloc[lo : lo + 1024], dim), p, entries)
-            links[lo : lo + 1024] += np.bincount(a, np.where(home[b], copies[b], 0), min(1024, len(ask) - lo)).astype(np.int64)
+        for lo in range(0, len(ask), 512):
+            a, b = search(v, padded, _matrix(ask["data"].iloc[lo : lo + 512], dim), p, entries)
+            links[lo : lo + 512] += np.bincount(a, np.where(home[b], copies[b], 0), min(512, len(ask) - lo)).astype(np.int64)
             u, w = forest(asked[lo + a], ids[b])
             us.append(u)
             vs.append(w)
