@@ -97,7 +97,7 @@ def text(t) -> bytes | None:
 
 
 def when(t) -> bytes | None:
-    return None if t is None else record([(1, svarint(t["seconds"])), (2, svarint(t["offset_minutes"]) if t["offset_minutes"] is not None else None)])
+    return None if t is None else record([(1, svarint(int(t["seconds"]))), (2, svarint(int(t["offset_minutes"])) if t["offset_minutes"] is not None and t["offset_minutes"] == t["offset_minutes"] else None)])
 
 
 def identity(i) -> bytes | None:
@@ -111,13 +111,13 @@ def status(s) -> bytes:
         kind = DERIVATIONS.get(d["kind"], 5)
         out = uvarint(1) + record([
             (1, uvarint(kind) + record([(1, (d["kind_label"] or "").encode())] if kind == 5 else [])), (2, d["by"].encode()), (3, d["decoder_version"].encode()),
-            (4, mapping(dict(d["params"] or {}))), (5, uvarint(d["confidence"]) if d["confidence"] is not None else None),
+            (4, mapping(dict(d["params"] or {}))), (5, uvarint(int(d["confidence"])) if d["confidence"] is not None and d["confidence"] == d["confidence"] else None),
         ])
     else:
         out = uvarint(0) + record([])
     for layer in reversed(list(s["layers"]) if s["layers"] is not None else []):
         parts = [p.encode() for p in sorted(layer["changed"])]
-        out = uvarint(2) + record([(1, uvarint(layer["step"])), (2, some([uvarint(len(p)) + p for p in parts])), (3, out)])
+        out = uvarint(2) + record([(1, uvarint(int(layer["step"]))), (2, some([uvarint(len(p)) + p for p in parts])), (3, out)])
     return out
 
 
@@ -131,7 +131,7 @@ def op(o) -> bytes:
     if o["op"] == "Delete":
         fields = [(1, o["path"].encode()), (4, status(o["status"]))]
     else:
-        fields = [(1, o["path"].encode()), (2, bytes(o["blob_id"])), (3, uvarint(o["mode"])), (4, status(o["status"]))]
+        fields = [(1, o["path"].encode()), (2, bytes(o["blob_id"])), (3, uvarint(int(o["mode"]))), (4, status(o["status"]))]
     return uvarint(OPS[o["op"]]) + record(fields)
 
 

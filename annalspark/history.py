@@ -9,17 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 # The data model's columns.
 _DERIVATION = "struct<kind:string,kind_label:string,`by`:string,decoder_version:string,params:map<string,string>,confidence:int>"
-_STATUS = f"struct<base:string,derivation:{_DERIVATION},layers:array<struct<step:int,changed:array<string>>>>"
+STATUS = f"struct<base:string,derivation:{_DERIVATION},layers:array<struct<step:int,changed:array<string>>>>"
 _TEXT = "struct<bytes:binary,encoding:string>"
 _TIME = "struct<seconds:bigint,offset_minutes:smallint>"
 _IDENTITY = f"struct<name:{_TEXT},email:{_TEXT}>"
 _SOURCE = "struct<kind:string,kind_label:string,repo_id:binary,id:binary>"
 SCHEMAS = {
-    "atoms": f"atom_id binary, atom_idx bigint, source {_SOURCE}, author {_IDENTITY}, author_time {_TIME}, committer {_IDENTITY}, commit_time {_TIME}, message {_TEXT}, status {_STATUS}",
+    "atoms": f"atom_id binary, atom_idx bigint, source {_SOURCE}, author {_IDENTITY}, author_time {_TIME}, committer {_IDENTITY}, commit_time {_TIME}, message {_TEXT}, status {STATUS}",
     "parents": "atom_id binary, pos int, parent_id binary",
-    "ops": f"atom_id binary, path string, op string, blob_id binary, mode int, status {_STATUS}",
-    "copies": f"atom_id binary, `from` string, from_atom binary, `to` string, status {_STATUS}",
-    "refs": f"name string, kind string, kind_label string, target binary, source {_SOURCE}, annotation struct<message:{_TEXT},tagger:{_IDENTITY},time:{_TIME}>, status {_STATUS}",
+    "ops": f"atom_id binary, path string, op string, blob_id binary, mode int, status {STATUS}",
+    "copies": f"atom_id binary, `from` string, from_atom binary, `to` string, status {STATUS}",
+    "refs": f"name string, kind string, kind_label string, target binary, source {_SOURCE}, annotation struct<message:{_TEXT},tagger:{_IDENTITY},time:{_TIME}>, status {STATUS}",
     "blobs": "blob_id binary, length bigint, content binary",
     "drops": "class string, what string, reason string, step int",
     "flags": "kind string, what string, count bigint, reason string",

@@ -310,3 +310,91 @@ def test_mutated_inputs_end_in_typed_errors():
                 parse(bytes(data[: int(rng.integers(1, len(data) + 1))]) if rng.random() < 0.3 else bytes(data))
             except errors:
                 pass
+
+
+def checked(history):
+    from annalspark.operators import verify
+
+    state, rows = verify.verdict(history)
+    assert state == "pass", [r for r in verify.violations(history).collect()]
+    return {r["atom_idx"]: r for r in history.atoms.collect()}, {(r["path"], r["op"]) for r in history.ops.collect()}
+
+
+def test_decode_cvs(spark, tmp_path):
+    from annalspark.sources.decode import decode
+
+    (tmp_path / "mod").mkdir()
+    (tmp_path / "mod/a.c,v").write_bytes(RCS)
+    (tmp_path / "mod/b.c,v").write_bytes(RCS)
+    h = decode(spark, "cvs", str(tmp_path))
+    atoms, ops = checked(h)
+    assert [bytes(atoms[i]["message"]["bytes"]) for i in (0, 1)] == [b"first\n", b"second @ time\n"]
+    assert ops == {("mod/a.c", "Add"), ("mod/b.c", "Add"), ("mod/a.c", "Modify"), ("mod/b.c", "Modify")}
+    assert [r["name"] for r in h.refs.collect()] == ["REL"] and h.blobs.count() == 2 and h.drops.count() == 1
+
+
+def test_decode_svn(spark, tmp_path):
+    from annalspark.sources.decode import decode
+
+    def rev(n, log):
+        p = props((b"svn:date", b"2024-02-02T00:00:00.000000Z"), (b"svn:log", log))
+        return b"Revision-number: %d\nProp-content-length: %d\nContent-length: %d\n\n%s\n" % (n, len(p), len(p), p)
+
+    folder = lambda path, **h: node(path, "add", **h).replace(b"Node-kind: file", b"Node-kind: dir")
+    stream = b"SVN-fs-dump-format-version: 2\n\n" + rev(0, b"") + rev(1, b"one") + folder("trunk") + node("trunk/a", "add", b"1") + node("trunk/d/b", "add", b"2")
+    stream += rev(2, b"two") + folder("tags/v", **{"Node-copyfrom-rev": "1", "Node-copyfrom-path": "trunk"}) + node("trunk/a", "change", b"3")
+    stream += rev(3, b"three") + node("trunk/d", "delete") + node("trunk/a", "replace", b"3") + node("readme", "add", b"x")
+    (tmp_path / "d.dump").write_bytes(stream)
+    h = decode(spark, "svn", str(tmp_path / "d.dump"))
+    atoms, ops = checked(h)
+    assert len(atoms) == 3 and ops == {("trunk/a", "Add"), ("trunk/d/b", "Add"), ("tags/v/a", "Add"), ("tags/v/d/b", "Add"), ("trunk/a", "Modify"), ("trunk/a", "Replace"), ("trunk/d/b", "Delete"), ("readme", "Add")}
+    assert {(r["name"], r["kind"]) for r in h.refs.collect()} == {("trunk", "branch"), ("tags/v", "tag")}
+    assert {(r["from"], r["to"]) for r in h.copies.collect()} == {("trunk/a", "tags/v/a"), ("trunk/d/b", "tags/v/d/b")} and h.drops.count() == 1
+
+
+def test_decode_git(spark, tmp_path):
+    from annalspark.sources.decode import decode
+
+    def put(kind, content):
+        oid = gitstore.object_id(kind, content)
+        (tmp_path / "objects" / oid.hex()[:2]).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "objects" / oid.hex()[:2] / oid.hex()[2:]).write_bytes(zlib.compress(f"{kind} {len(content)}\0".encode() + content))
+        return oid
+
+    def commit(tree, *parents, message=b"m"):
+        return put("commit", b"tree " + tree.hex().encode() + b"".join(b"\nparent " + p.hex().encode() for p in parents) + b"\nauthor A <a@x> 5 +0100\ncommitter C <c@x> 6 -0030\n\n" + message)
+
+    one, two = put("blob", b"1"), put("blob", b"2")
+    t1, t2 = put("tree", b"100644 a\0" + one), put("tree", b"100644 b\0" + one + b"100644 c\0" + two)
+    c1 = commit(t1, message=b"root")
+    c2, c3 = commit(t2, c1, message=b"move"), commit(t1, c1, message=b"side")
+    c4 = commit(t2, c2, c3, message=b"merge")
+    lost = commit(t1, message=b"stash")
+    for name, oid in (("heads/main", c4), ("tags/v1", c1), ("stash", lost)):
+        (tmp_path / "refs" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "refs" / name).write_text(oid.hex() + "\n")
+    h = decode(spark, "git", str(tmp_path), infer_renames=True)
+    atoms, ops = checked(h)
+    assert [bytes(atoms[0]["message"]["bytes"]), bytes(atoms[3]["message"]["bytes"])] == [b"root", b"merge"] and h.parents.count() == 4
+    assert ops == {("a", "Add"), ("a", "Delete"), ("b", "Add"), ("c", "Add")}
+    assert [(r["from"], r["to"], r["status"]["derivation"]["kind"]) for r in h.copies.collect()] == [("a", "b", "inferred-rename")]
+    assert {(r["name"], r["kind"]) for r in h.refs.collect()} == {("refs/heads/main", "branch"), ("refs/tags/v1", "tag")} and h.drops.count() == 1 and h.blobs.count() == 2
+
+
+def test_decode_hg(spark, tmp_path):
+    from annalspark.sources.decode import decode
+
+    files = make_revlog([b"hello", b"hello again"])
+    n = [x.hex().encode() for x in files[2]]
+    trees = make_revlog([b"a.txt\0" + n[0] + b"\n", b"a.txt\0" + n[1] + b"\n", b"a.txt\0" + n[1] + b"x\n"])
+    logs = make_revlog([trees[2][i].hex().encode() + b"\nAl <al@x>\n100%d 0\na.txt\n\nc%d" % (i, i) for i in range(3)])
+    (tmp_path / "data").mkdir()
+    for name, r in (("00changelog", logs), ("00manifest", trees), ("data/a.txt", files)):
+        (tmp_path / f"{name}.i").write_bytes(r[0])
+    (tmp_path / "phaseroots").write_bytes(b"2 " + logs[2][2].hex().encode() + b"\n")
+    (tmp_path / "obsstore").write_bytes(b"\1")
+    (tmp_path / "bookmarks").write_bytes(logs[2][0].hex().encode() + b" mark\n")
+    h = decode(spark, "hg", str(tmp_path))
+    atoms, ops = checked(h)
+    assert len(atoms) == 2 and ops == {("a.txt", "Add"), ("a.txt", "Modify")} and h.drops.count() == 1
+    assert {(r["name"], r["kind"]) for r in h.refs.collect()} == {("default", "named-branch"), ("mark", "bookmark")}
