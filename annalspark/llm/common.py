@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import contextlib
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -16,17 +17,32 @@ from pyspark.sql import functions as F
 from ..storage import shared_dir
 
 
+@contextlib.contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a write go when it ends; its table has what they held.  Other executions keep theirs."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    try:
+        was = spark.conf.get(key, "false")
+        spark.conf.set(key, "true")
+    except Exception:  # a version without the setting
+        yield
+        return
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 class Stages:
     """Tables of one operator call.  Each is written once; `drop` removes those that no later step reads."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.at = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        with contextlib.suppress(Exception):  # older versions have no such setting; shuffle files then stay longer
-            spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.at}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        with _shuffles_dropped(self.spark):
+            df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def path(self, name: str) -> str:

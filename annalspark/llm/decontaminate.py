@@ -42,6 +42,8 @@ class SeedParams:
     threshold: float = 0.5
     min_words: int = 8
     block_grams: int = 200_000
+    #: Items that the driver holds at a time, about.
+    block_items: int = 20_000
 
 
 @dataclass
@@ -206,11 +208,19 @@ def _found(col: pa.Array, block: Block, rare: np.ndarray, p: SeedParams) -> Iter
                 yield a + d, x
 
 
+def _items(benchmark: DataFrame, p: SeedParams) -> Iterator[tuple[object, str | None]]:
+    """Items in an order of their own, a bounded number at a time."""
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text"))
+    parts = max(1, -(-rows.count() // p.block_items))
+    for k in range(parts):
+        for r in rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).orderBy("item_id", "text").collect():
+            yield r[0], r[1]
+
+
 def _prepared(docs: DataFrame, benchmark: DataFrame, p: SeedParams) -> Iterator[tuple[Block, np.ndarray, int]]:
     """Each block of items with the mask of its rare n-grams, from document frequencies over all documents."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text")).orderBy("item_id", "text").toLocalIterator()
-    for block in blocks(((r[0], r[1]) for r in items), p):
+    for block in blocks(_items(benchmark, p), p):
         shared = spark.sparkContext.broadcast(block)
 
         def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

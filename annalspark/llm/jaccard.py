@@ -274,9 +274,9 @@ def _contents(docs: DataFrame, wanted: DataFrame, p: JaccardParams) -> DataFrame
             at = _place(ids, p.filter_bits)
             ids = np.where((flags.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1, ids, 0)
             ids, g, off = _first_of(ids, g, off)
-            flat = sketch(g, off).astype(np.uint32)
+            flat = sketch(g, off)  # saturated counts: differences only shrink, so the bound holds
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.array([g[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary()), pa.array([np.minimum(x, 65535).astype(np.uint16).tobytes() for x in flat], pa.binary())],
+                [pa.array(ids), pa.array([g[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary()), pa.array([x.tobytes() for x in np.minimum(flat, 255).astype(np.uint8)], pa.binary())],
                 names=["set", "shingles", "sketch"],
             )
 
@@ -290,9 +290,9 @@ def _plausible(pairs: DataFrame, contents: DataFrame, p: JaccardParams) -> DataF
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, SKETCH).astype(np.int32) for k in (2, 3))
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16) for k in (2, 3))
             size = batch.column(4).to_numpy() + batch.column(5).to_numpy()
-            keep = np.abs(x - y).sum(1) <= bound * size + 1e-9
+            keep = np.abs(x - y).sum(1, dtype=np.int64) <= bound * size + 1e-9
             yield batch.select([0, 1]).filter(pa.array(keep))
 
     side = contents.select("set", "sketch", (F.length("shingles") / 8).cast("long").alias("n"))
@@ -315,8 +315,19 @@ def _verified(pairs: DataFrame, contents: DataFrame, p: JaccardParams) -> DataFr
                     keep[i] = 100 * both >= p.percent * (len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["u", "v"])
 
-    right = contents.select(F.col("set").alias("b"), F.col("shingles").alias("y"))
-    left = contents.select(F.col("set").alias("a"), F.col("shingles").alias("x"))
+    # only sets of these pairs are moved
+    flags = [pairs.sparkSession.sparkContext.broadcast(_bitmap(pairs.select(c), p.filter_bits - 2)) for c in ("a", "b")]
+
+    def wanted(shared):
+        def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in stream:
+                at = _place(batch.column(0).to_numpy(), p.filter_bits - 2)
+                yield batch.filter(pa.array(((shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1) > 0))
+
+        return run
+
+    left = contents.select(F.col("set").alias("a"), F.col("shingles").alias("x")).mapInArrow(wanted(flags[0]), "a long, x binary")
+    right = contents.select(F.col("set").alias("b"), F.col("shingles").alias("y")).mapInArrow(wanted(flags[1]), "b long, y binary")
     return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "u long, v long")
 
 
@@ -400,7 +411,7 @@ def _across(flat: DataFrame, labels: DataFrame, contents: DataFrame, p: JaccardP
         pdf = pdf.sort_values("region", kind="stable")
         region, ids, label = (pdf[c].to_numpy(np.int64) for c in ("region", "set", "label"))
         sizes = pdf["bytes"].to_numpy(np.int64) // 8
-        flat_sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint16).reshape(-1, SKETCH).astype(np.int32)
+        flat_sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(-1, SKETCH).astype(np.int16)
         high = (pdf["chunk"] == pdf["hi"]).to_numpy()
         across = pdf["lo"].iloc[0] != pdf["hi"].iloc[0]
         cut = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1], [True]]))
@@ -411,7 +422,7 @@ def _across(flat: DataFrame, labels: DataFrame, contents: DataFrame, p: JaccardP
             if found:
                 pair = np.concatenate(found, axis=1)
                 if nearest:
-                    gap = np.concatenate([np.abs(flat_sketch[s][pair[0, k : k + 8192]] - flat_sketch[s][pair[1, k : k + 8192]]).sum(1) for k in range(0, pair.shape[1], 8192)])
+                    gap = np.concatenate([np.abs(flat_sketch[s][pair[0, k : k + 8192]] - flat_sketch[s][pair[1, k : k + 8192]]).sum(1, dtype=np.int64) for k in range(0, pair.shape[1], 8192)])
                     pair = pair[:, nearest_only(pair[0], pair[1], label[s], gap)]
                 out.append(np.sort(ids[s][pair], axis=0))
         pair = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
@@ -433,12 +444,13 @@ def link(docs: DataFrame, params: JaccardParams = JaccardParams()) -> DataFrame:
     contents = stages.write(_contents(docs, stages.write(wanted, "wanted"), p), "contents")
     near = stages.write(_plausible(pairs, contents, p), "near")
     # one pair per set first; the rest only where it still joins different components
-    tried = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    tried = stages.write(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "tried")
     edges = stages.write(_verified(tried, contents, p), "edges-1")
     labels = components(edges, stages, "components-1")
     name = labels.select(F.col("node").alias("x"), "component")
     rest = near.join(name.withColumnRenamed("x", "a").withColumnRenamed("component", "ca"), "a", "left").join(name.withColumnRenamed("x", "b").withColumnRenamed("component", "cb"), "b", "left")
     rest = rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b").join(tried, ["a", "b"], "left_anti")
+    rest = stages.write(rest, "rest")
     edges = stages.write(_verified(rest, contents, p).unionAll(edges), "edges-2")
     labels = components(edges, stages, "components-2")
     # what is still apart: the most promising pairs first, as they join most of it, then all that are left

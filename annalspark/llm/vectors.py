@@ -17,8 +17,9 @@ Shards beyond `shard_rows` points are cut into pieces by hash that all probing q
 bounded whatever the clustering.
 
 Cases: null vectors, zero ones and those with null, NaN or infinite components link with nothing and are kept; vectors
-of other lengths than the most frequent one likewise; repeated ids are separate rows with equal results; null ids pass
-on; empty tables give no rows; extra columns and labels are ignored.
+of other lengths than the most frequent one likewise; repeated ids are separate rows with equal results; rows without
+an id are nobody's partner and report the links of their vector; empty tables give no rows; extra columns and labels are
+ignored.
 """
 
 from __future__ import annotations
@@ -179,7 +180,7 @@ def _points(vectors: DataFrame) -> tuple[DataFrame, int]:
     """point (smallest id of equal vectors), copies and data of usable vectors; their length."""
     e = F.col("embedding").cast("array<double>")
     fine = e.isNotNull() & (F.size(e) > 0) & ~F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(e, lambda x: x != 0)
-    usable = vectors.filter(F.coalesce(fine, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(e, lambda x: x + F.lit(0.0)).alias("data"))
+    usable = vectors.filter(F.coalesce(fine, F.lit(False)) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(e, lambda x: x + F.lit(0.0)).alias("data"))
     most = usable.groupBy(F.size("data").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
     dim = int(most[0]["dim"]) if most else 0
     return usable.filter(F.size("data") == dim), dim
@@ -197,7 +198,7 @@ def link(vectors: DataFrame, params: GraphParams = GraphParams()) -> DataFrame:
     points = stages.write(usable.groupBy("data").agg(F.min("vec_id").alias("point"), F.count(F.lit(1)).alias("copies")).withColumn("hash", F.xxhash64("data")), "points")
     n = points.count()
     some = points if n <= params.sample else points.filter(F.pmod("hash", F.lit(1_000_000)) < int(1_000_000 * params.sample / n))
-    sample = np.array([r[0] for r in some.orderBy("hash", "point").limit(params.sample + params.sample // 10).select("data").toLocalIterator()])
+    sample = np.array([r[0] for r in some.orderBy("hash", "point").limit(params.sample + params.sample // 10).select("data").collect()])
     sample = unit(sample if len(sample) else np.array([points.select("data").first()[0]]))
     k = max(1, min(-(-n // params.shard_points), len(sample) // params.per_centroid))
     found = None
