@@ -278,7 +278,7 @@ def _edges(regions: DataFrame, shingles: DataFrame, p: PassageParams, small: int
     pairs of chunks beyond `chunk` members.
     """
     size = regions.groupBy("region").agg(F.count(F.lit(1)).alias("members"))
-    shared = max(1, regions.count() // 50_000)
+    shared = max(1, regions.count() // 10_000)
     rows = regions.join(size, "region").withColumn("chunks", F.ceil(F.col("members") / F.lit(p.chunk)).cast("long"))
     rows = rows.withColumn("group", F.when(F.col("members") <= small, -1 - F.pmod(F.xxhash64("region"), F.lit(shared))).otherwise(F.col("region")))
     rows = rows.join(shingles, "content").withColumn("chunk", F.pmod(F.xxhash64("content"), "chunks"))
