@@ -303,7 +303,8 @@ UNION ALL SELECT c.node, c.parent, greatest(d.phase, {_PHASE}) FROM chain c JOIN
 
 
 def _phases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chain(spark, sf_dir)
+    # written once: every level of the recursion joins it
+    rows = graph._round(chain(spark, sf_dir).select("node", "parent", "o_totalprice"), "chain")
     rows.select("node", "parent").createOrReplaceTempView("_chain_nodes")
     rows.select("node", F.expr(_PHASE).alias("phase")).filter("phase > 0").createOrReplaceTempView("_chain_roots")
     return graph.chain_phase(spark, "_chain_nodes", "_chain_roots").select("node", F.col("phase").cast("bigint").alias("phase"))
@@ -317,7 +318,7 @@ def phase_inherit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {_CHAIN}, {_DOWN}, up AS (SELECT node, parent FROM chain WHERE o_orderstatus <> 'F' UNION SELECT c.node, c.parent FROM chain c JOIN up ON up.parent = c.node)
 SELECT node, CAST(phase < 2 AS BIGINT) AS served FROM (SELECT DISTINCT node FROM up) JOIN down USING (node)""")
 def visible_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chain(spark, sf_dir).select("node", "parent", "o_orderstatus").createOrReplaceTempView("_chain_state")
+    graph._round(chain(spark, sf_dir).select("node", "parent", "o_orderstatus"), "chain").createOrReplaceTempView("_chain_state")
     visible = spark.sql("""
         WITH RECURSIVE up(node, parent) MAX RECURSION LEVEL 100000 AS (
           SELECT node, parent FROM _chain_state WHERE o_orderstatus <> 'F'
