@@ -56,10 +56,10 @@ class JaccardParams:
     #: Further blocks, so that weak ones may be skipped.
     spare: float = 0.05
     batch_bytes: int = 8 << 20
-    part_bytes: int = 48 << 20
-    filter_bits: int = 26
+    part_bytes: int = 24 << 20
+    filter_bits: int = 25
     #: Members of a region that one task compares; larger regions are cut into pairs of chunks.
-    chunk: int = 2048
+    chunk: int = 1024
 
 
 @lru_cache(maxsize=64)
@@ -384,20 +384,21 @@ def _members(regions: DataFrame, p: JaccardParams) -> DataFrame:
     return member.filter(F.length("members") > 16).mapInArrow(explode, "small boolean, region long, set long, chunk long, chunks long")
 
 
-def nearest_only(x: np.ndarray, y: np.ndarray, label: np.ndarray, gap: np.ndarray) -> np.ndarray:
-    """Of the pairs x, y: for each x and each component of a y, and the other way round, the one with the least gap."""
+def nearest_only(x: np.ndarray, y: np.ndarray, gap: np.ndarray) -> np.ndarray:
+    """Of the pairs x, y the one with the least gap for each x and for each y."""
     keep = np.zeros(len(x), bool)
-    for a, b in ((x, label[y]), (y, label[x])):
-        order = np.lexsort([gap, b, a])
-        a, b = a[order], b[order]
-        keep[order[np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])]] = True
+    for a in (x, y):
+        order = np.lexsort([gap, a])
+        a = a[order]
+        keep[order[np.concatenate([[True], a[1:] != a[:-1]])]] = True
     return keep
 
 
 def _across(flat: DataFrame, labels: DataFrame, contents: DataFrame, p: JaccardParams, nearest: bool) -> DataFrame:
     """Pairs of sets in one region but in different components that may still be similar.
 
-    nearest: of a set's pairs with one component only the most promising one; a single link joins the whole component.
+    nearest: of a set's pairs in a region only the most promising one.  Links join whole components, so a few such rounds
+    leave little for the round that takes all pairs.
     """
     named = flat.join(labels.select(F.col("node").alias("set"), "component"), "set", "left").withColumn("label", F.coalesce("component", "set")).drop("component")
     mixed = named.groupBy("region").agg((F.min("label") != F.max("label")).alias("open")).filter("open").select("region")
@@ -423,7 +424,7 @@ def _across(flat: DataFrame, labels: DataFrame, contents: DataFrame, p: JaccardP
                 pair = np.concatenate(found, axis=1)
                 if nearest:
                     gap = np.concatenate([np.abs(flat_sketch[s][pair[0, k : k + 8192]] - flat_sketch[s][pair[1, k : k + 8192]]).sum(1, dtype=np.int64) for k in range(0, pair.shape[1], 8192)])
-                    pair = pair[:, nearest_only(pair[0], pair[1], label[s], gap)]
+                    pair = pair[:, nearest_only(pair[0], pair[1], gap)]
                 out.append(np.sort(ids[s][pair], axis=0))
         pair = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
         return pd.DataFrame({"a": pair[0], "b": pair[1]})
@@ -456,7 +457,7 @@ def link(docs: DataFrame, params: JaccardParams = JaccardParams()) -> DataFrame:
     # what is still apart: the most promising pairs first, as they join most of it, then all that are left
     flat = stages.write(_members(regions, p), "members")
     done = pairs
-    for k, nearest in enumerate((True, False), 3):
+    for k, nearest in enumerate((True, True, True, False), 3):
         across = stages.write(_across(flat, labels, contents, p, nearest).join(done, ["a", "b"], "left_anti"), f"across-{k}")
         if across.isEmpty():
             if nearest:

@@ -35,7 +35,7 @@ def _byte_letters() -> dict[int, str]:
 class Encoder:
     """Texts to little-endian uint32 ids as bytes."""
 
-    def __init__(self, path: str, cached: int = 400_000) -> None:
+    def __init__(self, path: str, cached: int = 200_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
