@@ -17,20 +17,24 @@ from pyspark.sql import functions as F
 from ..storage import shared_dir
 
 
+#: Settings of stage writes: shuffle files go when the write ends, as its table has what they held; batches that go to
+#: Python are smaller than usual, as texts may be long.
+_STAGE_CONF = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+
+
 @contextlib.contextmanager
-def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of a write go when it ends; its table has what they held.  Other executions keep theirs."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    try:
-        was = spark.conf.get(key, "false")
-        spark.conf.set(key, "true")
-    except Exception:  # a version without the setting
-        yield
-        return
+def _stage_settings(spark: SparkSession) -> Iterator[None]:
+    """The settings hold for one write; other executions keep theirs."""
+    was = {}
+    for key, value in _STAGE_CONF.items():
+        with contextlib.suppress(Exception):  # a version without the setting
+            was[key] = spark.conf.get(key)
+            spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, was)
+        for key, value in was.items():
+            spark.conf.set(key, value)
 
 
 class Stages:
@@ -41,7 +45,7 @@ class Stages:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.at}/{name}"
-        with _shuffles_dropped(self.spark):
+        with _stage_settings(self.spark):
             df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

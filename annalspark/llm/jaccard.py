@@ -55,7 +55,7 @@ class JaccardParams:
     ratio: float = 1.35
     #: Further blocks, so that weak ones may be skipped.
     spare: float = 0.05
-    batch_bytes: int = 8 << 20
+    batch_bytes: int = 4 << 20
     part_bytes: int = 24 << 20
     filter_bits: int = 25
     #: Members of a region that one task compares; larger regions are cut into pairs of chunks.

@@ -10,6 +10,8 @@ Nulls count as empty texts.  Hashes are 64 bits wide: two different words or shi
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +31,18 @@ _LONG_WORD = 4096
 SLICE_BYTES = 1 << 21
 
 
+def _return_memory() -> None:
+    """Lets a worker give large buffers back when they are freed, instead of holding its highest need for good."""
+    with contextlib.suppress(Exception):  # other C libraries have no such knobs
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 8 << 20)  # blocks from 8 MB on are mapped on their own
+        libc.mallopt(-1, 16 << 20)  # free room at the top beyond 16 MB is given back
+        pa.set_memory_pool(pa.system_memory_pool())
+
+
+_return_memory()
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     h = (h ^ (h >> U64(29))) * _C1
