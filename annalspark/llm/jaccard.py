@@ -369,7 +369,7 @@ def near_pairs(sizes: np.ndarray, sketches: np.ndarray, label: np.ndarray, other
 
 
 def _members(regions: DataFrame, p: JaccardParams) -> DataFrame:
-    """small, region, set, chunk, chunks: the members of regions of three and more (pairs are verified already)."""
+    """small, first (smallest member), region, set, chunk, chunks: the members of regions of three and more (pairs are verified already)."""
     member = regions.select(F.monotonically_increasing_id().alias("region"), "members")
 
     def explode(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,11 +377,11 @@ def _members(regions: DataFrame, p: JaccardParams) -> DataFrame:
             rows = [np.frombuffer(m, np.int64) for m in batch.column(1).to_pylist()]
             size = [len(m) for m in rows]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat([n <= 256 for n in size], size).astype(bool)), pa.array(np.repeat(batch.column(0).to_numpy(), size)), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64)), pa.array(np.concatenate([np.arange(n) // p.chunk for n in size]) if rows else np.zeros(0, np.int64)), pa.array(np.repeat([-(-n // p.chunk) for n in size], size).astype(np.int64))],
-                names=["small", "region", "set", "chunk", "chunks"],
+                [pa.array(np.repeat([n <= 256 for n in size], size).astype(bool)), pa.array(np.repeat([m[0] for m in rows], size).astype(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), size)), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64)), pa.array(np.concatenate([np.arange(n) // p.chunk for n in size]) if rows else np.zeros(0, np.int64)), pa.array(np.repeat([-(-n // p.chunk) for n in size], size).astype(np.int64))],
+                names=["small", "first", "region", "set", "chunk", "chunks"],
             )
 
-    return member.filter(F.length("members") > 16).mapInArrow(explode, "small boolean, region long, set long, chunk long, chunks long")
+    return member.filter(F.length("members") > 16).mapInArrow(explode, "small boolean, first long, region long, set long, chunk long, chunks long")
 
 
 def nearest_only(x: np.ndarray, y: np.ndarray, gap: np.ndarray) -> np.ndarray:
@@ -397,16 +397,17 @@ def nearest_only(x: np.ndarray, y: np.ndarray, gap: np.ndarray) -> np.ndarray:
 def _across(flat: DataFrame, labels: DataFrame, contents: DataFrame, p: JaccardParams, nearest: bool) -> DataFrame:
     """Pairs of sets in one region but in different components that may still be similar.
 
-    nearest: of a set's pairs in a region only the most promising one.  Links join whole components, so a few such rounds
+    nearest: of a set's pairs in a group of regions only the most promising one.  Links join whole components, so a few such rounds
     leave little for the round that takes all pairs.
     """
     named = flat.join(labels.select(F.col("node").alias("set"), "component"), "set", "left").withColumn("label", F.coalesce("component", "set")).drop("component")
     mixed = named.groupBy("region").agg((F.min("label") != F.max("label")).alias("open")).filter("open").select("region")
     rows = named.join(mixed, "region").join(contents.select("set", F.length("shingles").alias("bytes"), "sketch"), "set")
-    # a region of several chunks becomes all pairs of chunks, each a group of bounded size; small regions share groups
+    # a region of several chunks becomes all pairs of chunks, each a group of bounded size; small regions share
+    # groups, those of one pivot the same: a pair that meets in many of them is made once
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).withColumn("lo", F.least("chunk", "with")).withColumn("hi", F.greatest("chunk", "with"))
     shared = max(1, flat.count() // 20_000)
-    rows = rows.withColumn("group", F.when(F.col("small"), -1 - F.pmod(F.xxhash64("region"), F.lit(shared))).otherwise(F.col("region")))
+    rows = rows.withColumn("group", F.when(F.col("small"), -1 - F.pmod(F.xxhash64("first"), F.lit(shared))).otherwise(F.col("region")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("region", kind="stable")
@@ -416,17 +417,17 @@ def _across(flat: DataFrame, labels: DataFrame, contents: DataFrame, p: JaccardP
         high = (pdf["chunk"] == pdf["hi"]).to_numpy()
         across = pdf["lo"].iloc[0] != pdf["hi"].iloc[0]
         cut = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1], [True]]))
-        out = []
+        out, gaps = [np.zeros((2, 0), np.int64)], [np.zeros(0, np.int64)]
         for i, j in zip(cut[:-1], cut[1:], strict=True):
             s = slice(i, j)
-            found = [np.stack(xy) for xy in near_pairs(sizes[s], flat_sketch[s], label[s], high[s] if across else None, p)]
-            if found:
-                pair = np.concatenate(found, axis=1)
+            for x, y in near_pairs(sizes[s], flat_sketch[s], label[s], high[s] if across else None, p):
+                out.append(np.sort(ids[s][np.stack([x, y])], axis=0))
                 if nearest:
-                    gap = np.concatenate([np.abs(flat_sketch[s][pair[0, k : k + 8192]] - flat_sketch[s][pair[1, k : k + 8192]]).sum(1, dtype=np.int64) for k in range(0, pair.shape[1], 8192)])
-                    pair = pair[:, nearest_only(pair[0], pair[1], gap)]
-                out.append(np.sort(ids[s][pair], axis=0))
-        pair = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
+                    gaps.append(np.concatenate([np.abs(flat_sketch[s][x[k : k + 4096]] - flat_sketch[s][y[k : k + 4096]]).sum(1, dtype=np.int64) for k in range(0, len(x), 4096)]))
+        pair = np.concatenate(out, axis=1)
+        if nearest and pair.shape[1]:
+            pair = pair[:, nearest_only(pair[0], pair[1], np.concatenate(gaps))]
+        pair = np.unique(pair, axis=1)
         return pd.DataFrame({"a": pair[0], "b": pair[1]})
 
     return rows.select("group", "region", "set", "chunk", "lo", "hi", "label", "bytes", "sketch").groupBy("group", "lo", "hi").applyInPandas(run, "a long, b long").distinct()
