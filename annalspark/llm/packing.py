@@ -28,11 +28,11 @@ from .common import Stages
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, vocabulary: str, capacity: int = tokens.SEQUENCE, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, capacity: int = tokens.SEQUENCE, with_ids: bool = False, cached: int = tokens.CACHED) -> DataFrame:
     """Pieces of every document; with_ids adds their ids as little-endian unsigned 32-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoder(vocabulary).encode
+        encode = tokens.encoder(vocabulary, cached).encode
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
@@ -166,10 +166,10 @@ def pack_group(group: int, rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
     return rows.assign(sequence_id=(np.int64(group) << 40) + sequence, offset=offset)
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = tokens.SEQUENCE, group_rows: int = 50_000) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = tokens.SEQUENCE, group_rows: int = 50_000, cached: int = tokens.CACHED) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
     stages = Stages(docs.sparkSession, "packing")
-    cut = stages.write(pieces(docs, vocabulary or tokens.default_vocabulary(), capacity), "pieces")
+    cut = stages.write(pieces(docs, vocabulary or tokens.default_vocabulary(), capacity, cached=cached), "pieces")
     groups = max(1, -(-cut.count() // group_rows))
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:

@@ -17,6 +17,8 @@ import numpy as np
 import regex
 
 SEQUENCE = 2048
+#: Pieces, and parts of pieces, that an encoder remembers.
+CACHED = 400_000
 
 
 def default_vocabulary() -> str:
@@ -35,7 +37,7 @@ def _byte_letters() -> dict[int, str]:
 class Encoder:
     """Texts to little-endian uint32 ids as bytes."""
 
-    def __init__(self, path: str, cached: int = 200_000) -> None:
+    def __init__(self, path: str, cached: int = CACHED) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -93,11 +95,11 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder per worker process and vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, cached: int = CACHED) -> Encoder:
+    """One encoder per worker process, vocabulary file and cache size."""
+    if (path, cached) not in _encoders:
+        _encoders[path, cached] = Encoder(path, cached)
+    return _encoders[path, cached]

@@ -40,7 +40,7 @@ def privacy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents and their places in sequences of 2048 tokens."""
     ship(spark)
-    return packing.pack(docs)
+    return packing.pack(docs, cached=60_000)  # workers of the earlier stages still hold memory
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
