@@ -1,13 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
-Word n-grams of the benchmark items are looked up in every document.  Those found in at most `max_share` of the
-documents (and always those found in few) are rare and seed an alignment of the item with the stretch of the document
-around the seeds.  The local alignment score counts `match` per equal word, `mismatch` per substituted and `gap` per
-inserted or lost word, so edited and partly paraphrased copies still score; a document is contaminated by an item if
-the score reaches `threshold` of the item's own and the equal words reach `min_words` (or the whole item, if shorter).
+Word n-grams of the benchmark items are looked up in every document and seed an alignment of the item with the stretch
+of the document around the seeds.  Every n-gram of an item is a seed, however many documents hold it: an item that has
+leaked often is found like any other.  A seed is passed over only if too few words around it are the item's to reach
+the score.  The local alignment score counts `match` per equal word, `mismatch` per substituted and `gap` per inserted
+or lost word, so edited and partly paraphrased copies still score; a document is contaminated by an item if the score
+reaches `threshold` of the item's own and the equal words reach `min_words` (or the whole item, if shorter).
 
 Items are taken in blocks whose n-gram tables are at most `block_grams` long; each block is broadcast (a bound of a few
-MB) and the documents are read twice a block, once to count and once to align.  Documents are never shuffled.
+MB) and the documents are read once a block.  Documents are never shuffled.
 
 Cases: null texts and items are empty and match nothing; items shorter than n words seed with their whole sequence;
 null ids are passed on; repeated documents are each reported; empty tables give no rows; extra columns are ignored.
@@ -15,7 +16,6 @@ null ids are passed on; repeated documents are each reported; empty tables give
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,13 +27,13 @@ from pyspark.sql import functions as F
 from . import textvec as tv
 
 U64 = np.uint64
+#: Words of a long stretch that are aligned at once, about; pieces overlap by what an alignment can cover.
+PIECE = 4096
 
 
 @dataclass(frozen=True)
 class SeedParams:
     n: int = 3
-    max_share: float = 0.02
-    always_rare: int = 50
     #: Seeds of one item that a document must hit: fewer cannot reach the threshold except for short items.
     min_seeds: int = 2
     match: int = 2
@@ -106,27 +106,31 @@ def smith_waterman(doc: np.ndarray, item: np.ndarray, p: SeedParams) -> tuple[in
     return best, equal, int(j), end
 
 
-def align(doc: np.ndarray, places: dict[int, list[int]], block: Block, p: SeedParams) -> list[tuple[int, float, int, int, int]]:
+def align(doc: np.ndarray, places: dict[int, np.ndarray], block: Block, p: SeedParams) -> list[tuple[int, float, int, int, int]]:
     """(item, score share, equal words, first word, end word) of the items whose alignment passes."""
     found = []
     for k, at in places.items():
         item = block.words[k]
-        if len(at) < min(p.min_seeds, len(item) - p.n + 1):
+        m = len(item)
+        if len(at) < min(p.min_seeds, m - p.n + 1):
+            continue
+        # an alignment that passes has `need` equal words and covers at most `reach` words of the document
+        need = max(int(np.ceil(p.threshold * m - 1e-9)), min(p.min_words, m))
+        reach = m + int(p.match * m * (1 - p.threshold) / min(-p.mismatch, -p.gap)) + p.n
+        own = np.concatenate([[0], np.cumsum(np.isin(doc, item))])
+        at = at[own[np.minimum(at + reach, len(doc))] - own[np.maximum(at - reach, 0)] >= need]
+        if not len(at):
             continue
-        reach = len(item) + len(item) // 2 + p.n
         best = None
-        lo = hi = -1
-        for a in [*at, None]:  # seeds closer than an item's length share one alignment
-            if a is not None and lo >= 0 and a - hi <= reach:
-                hi = a
-                continue
-            if lo >= 0:
-                x, y = max(0, lo - reach), min(len(doc), hi + reach)
-                score, equal, s, e = smith_waterman(doc[x:y], item, p)
-                share = score / (p.match * len(item))
-                if share >= p.threshold and equal >= min(p.min_words, len(item)) and (best is None or share > best[1]):
+        cut = np.flatnonzero(np.diff(at) > reach) + 1  # seeds closer than that share one alignment
+        for lo, hi in zip(at[[0, *cut]].tolist(), at[[*(cut - 1), -1]].tolist(), strict=True):
+            x, y = max(0, lo - reach), min(len(doc), hi + reach)
+            size = max(PIECE, 4 * reach)
+            for x in range(x, max(x + 1, y - reach), size - reach):
+                score, equal, s, e = smith_waterman(doc[x : min(x + size, y)], item, p)
+                share = score / (p.match * m)
+                if share >= p.threshold and equal >= min(p.min_words, m) and (best is None or share > best[1]):
                     best = (k, share, equal, x + s, x + e)
-            lo = hi = a if a is not None else -1
         if best:
             found.append(best)
     return found
@@ -151,13 +155,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, params: SeedParams = See
     """doc_id, item_id, score, matched_words, start_word, end_word of every contaminated document and item."""
     spark = docs.sparkSession
     out = None
-    for block, rare, _ in _prepared(docs, benchmark, params):
-        shared = spark.sparkContext.broadcast((block, rare))
+    for block in blocks(_items(benchmark, params), params):
+        shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            b, r = shared.value
+            b = shared.value
             for batch in batches:
-                rows = [(i, *x) for i, x in _found(batch.column(1), b, r, params)]
+                rows = [(i, *x) for i, x in _found(batch.column(1), b, params)]
                 at = pa.array([x[0] for x in rows], pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(at), pa.array([b.ids[x[1]] for x in rows], pa.int64()), pa.array([round(x[2], 6) for x in rows], pa.float64())] + [pa.array([x[c] for x in rows], pa.int64()) for c in (3, 4, 5)],
@@ -173,38 +177,36 @@ def clean(docs: DataFrame, benchmark: DataFrame, params: SeedParams = SeedParams
     """The documents that no item contaminates, all their columns as they are."""
     spark = docs.sparkSession
     at, schema = docs.columns.index("text"), docs.schema
-    for block, rare, _ in _prepared(docs, benchmark, params):
-        shared = spark.sparkContext.broadcast((block, rare))
+    for block in blocks(_items(benchmark, params), params):
+        shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            b, r = shared.value
+            b = shared.value
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                keep[[i for i, _ in _found(batch.column(at), b, r, params)]] = False
+                keep[[i for i, _ in _found(batch.column(at), b, params)]] = False
                 yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, schema)
     return docs
 
 
-def _found(col: pa.Array, block: Block, rare: np.ndarray, p: SeedParams) -> Iterator[tuple[int, tuple]]:
+def _found(col: pa.Array, block: Block, p: SeedParams) -> Iterator[tuple[int, tuple]]:
     first = np.searchsorted(block.gram, block.members.values)
-    last = np.searchsorted(block.gram, block.members.values, side="right")
+    many = np.searchsorted(block.gram, block.members.values, side="right") - first
     for a, _, words in tv.each(col):
         doc, pos, which = _hits(words, block, p)
-        ok = rare[which]
-        doc, pos, which = doc[ok], pos[ok], which[ok]
         if not len(doc):
             continue
-        order = np.lexsort([pos, doc])
-        cut = np.flatnonzero(np.diff(doc[order], prepend=-1))
-        for s, e in zip(cut, [*cut[1:], len(order)], strict=True):
-            places: dict[int, list[int]] = defaultdict(list)
-            for k in order[s:e]:
-                for item in block.item[first[which[k]] : last[which[k]]]:
-                    places[int(item)].append(int(pos[k]))
-            d = int(doc[order[s]])
-            for x in align(words.h[words.off[d] : words.off[d + 1]], places, block, p):
+        n = many[which]
+        item = block.item[np.repeat(first[which] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        doc, pos = np.repeat(doc, n), np.repeat(pos, n)
+        order = np.lexsort([pos, item, doc])
+        doc, pos, item = doc[order], pos[order], item[order]
+        pair = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(item, prepend=-1) != 0))
+        for s, e in zip(pair, [*pair[1:], len(doc)], strict=True):
+            d, k = int(doc[s]), int(item[s])
+            for x in align(words.h[words.off[d] : words.off[d + 1]], {k: pos[s:e]}, block, p):
                 yield a + d, x
 
 
@@ -215,31 +217,3 @@ def _items(benchmark: DataFrame, p: SeedParams) -> Iterator[tuple[object, str |
     for k in range(parts):
         for r in rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).orderBy("item_id", "text").collect():
             yield r[0], r[1]
-
-
-def _prepared(docs: DataFrame, benchmark: DataFrame, p: SeedParams) -> Iterator[tuple[Block, np.ndarray, int]]:
-    """Each block of items with the mask of its rare n-grams, from document frequencies over all documents."""
-    spark = docs.sparkSession
-    for block in blocks(_items(benchmark, p), p):
-        shared = spark.sparkContext.broadcast(block)
-
-        def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            b = shared.value
-            df, n = np.zeros(len(b.members.values), np.int64), 0
-            for batch in batches:
-                n += batch.num_rows
-                for _, _, words in tv.each(batch.column(0)):
-                    doc, _, which = _hits(words, b, p)
-                    key = np.unique(doc * len(df) + which)
-                    df += np.bincount(key % len(df), minlength=len(df))
-            some = np.flatnonzero(df)
-            yield pa.RecordBatch.from_arrays([pa.array([*some, -1], pa.int64()), pa.array([*df[some], n], pa.int64())], names=["gram", "n"])
-
-        rows = docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()  # at most one row a gram of the block
-        df, n = np.zeros(len(block.members.values), np.int64), 0
-        for r in rows:
-            if r["gram"] < 0:
-                n = r["n"]
-            else:
-                df[r["gram"]] = r["n"]
-        yield block, df <= max(p.always_rare, p.max_share * n), n

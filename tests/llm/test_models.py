@@ -182,6 +182,31 @@ def test_contaminated(spark, corpus, block):
     assert decontaminate.contaminated(docs, bench.limit(0), p).count() == 0 and decontaminate.clean(docs.limit(0), bench, p).count() == 0
 
 
+def test_items_that_leaked_often_are_found(spark, corpus):
+    rng = np.random.default_rng(8)
+    items = [" ".join(f"q{int(x)}" for x in rng.integers(0, 2000, n)) for n in (30, 30)]
+    edited = " ".join(w if i % 6 else "changed" for i, w in enumerate(items[0].split(), 1))
+    dirty = {i: items[0] if i % 2 else edited for i in range(0, 300, 3)} | {1: f"{items[1]} {items[0]}"}
+    docs = spark.createDataFrame([(i, f"{corpus[i]} {dirty.get(i, '')} {corpus[i - 1]}") for i in range(300)], "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {(i, 0) for i in dirty} | {(1, 1)}
+    assert {r["doc_id"] for r in decontaminate.clean(docs, bench).collect()} == set(range(300)) - set(dirty)
+
+
+def test_long_stretches_are_aligned_in_pieces():
+    rng, p = np.random.default_rng(10), decontaminate.SeedParams()
+    item = " ".join(f"q{int(x)}" for x in rng.integers(0, 2000, 40))
+    block = next(decontaminate.blocks([(0, item)], p))
+    words, common = item.split(), item.split()[:3]
+    for at in (*range(3900, 4200, 20), 11_000):
+        text = (common + ["x"] * 9) * 1000
+        text[at : at + 40] = words
+        doc = decontaminate.tv.hash_words(" ".join(text))
+        seeds, _ = block.members.find(decontaminate.tv.chain(doc, p.n))
+        assert decontaminate.align(doc, {0: seeds}, block, p) == [(0, 1, 40, at, at + 40)]
+
+
 # --- URLs -----------------------------------------------------------------------------------------------------------------
 
 
