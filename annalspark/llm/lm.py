@@ -3,13 +3,15 @@
 P(w | u) = l2 * c(u,w)/c(u) + l1 * c(w)/N + l0 / (V+1), with weights l that depend on the frequency bucket of the
 context u.  Counts come from the training documents; the weights are learned by expectation-maximisation on held-out
 counts: a fifth of the training documents (by hash) is set apart, the estimates for learning come from the rest.
-Contexts seen fewer than `min_context` times share one bucket without a bigram part.
+There is a bucket for every octave of the context's count: 1, 2-3, 4-7 and so on; contexts that were not seen (or fewer
+than `min_context` times) share one bucket without a bigram part.
 
 Every count is exact and grows with the corpus, so no table of it is broadcast.  Documents are turned once into batches
 (a stage table): word numbers of a batch's own vocabulary.  Each batch asks for the counts of its distinct words, and
 then of its distinct bigrams, in a packed exchange: one row per (batch, hash range) with sorted keys and the batch's
 own counts; a hash range's task adds the counts up and answers each batch.  A key costs one entry per batch however
-frequent it is, so no key is hot.  The driver sees only totals and a histogram of fixed size for the mixture weights.
+frequent it is, so no key is hot.  A bigram is not exchanged if no other batch holds one of its words: its count
+is the batch's own.  The driver sees only totals and a histogram of fixed size for the mixture weights.
 
 Cases: a null text is an empty one (its end token is scored); a null id counts as the empty string when the training
 part is chosen; repeated rows are scored and counted each; an empty table gives no rows; without training documents all
@@ -44,7 +46,7 @@ class LmParams:
     held_fold: int = 1
     #: One of so many training documents is set apart for learning the mixture weights.
     em_share: int = 5
-    min_context: int = 16
+    min_context: int = 1
     batch_bytes: int = 16 << 20
     part_bytes: int = 48 << 20
     rounds: int = 50
@@ -160,11 +162,12 @@ def _unigrams(stage: DataFrame, parts: int) -> DataFrame:
         keys, place, (fit, em) = _add(rows, ["fit", "em"])
         words = keys != START
         total = (fit + em)[words]
+        alone = np.bincount(np.concatenate(place), minlength=len(keys)) == 1
         for i, (r, at) in enumerate(zip(rows, place, strict=True)):
-            both = np.concatenate([fit[at], em[at]]).astype(np.int64)
+            known = np.concatenate([fit[at], em[at], alone[at]]).astype(np.int64)
             first = not i
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x]) for x in (r["batch"], 1, r["part"], squeeze(both), int(total.sum()) if first else 0, int((total > 0).sum()) if first else 0)],
+                [pa.array([x]) for x in (r["batch"], 1, r["part"], squeeze(known), int(total.sum()) if first else 0, int((total > 0).sum()) if first else 0)],
                 schema=pa.schema([("batch", pa.int64()), ("kind", pa.int32()), ("part", pa.int32()), ("counts", pa.binary()), ("tokens", pa.int64()), ("types", pa.int64())]),
             )
 
@@ -172,14 +175,12 @@ def _unigrams(stage: DataFrame, parts: int) -> DataFrame:
     return asked.groupBy("part").applyInArrow(add, ANSWER)
 
 
-def _counts(own: dict, answers: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-    """Corpus counts (fit, em) of a batch's vocabulary, in its order."""
-    got = [unsqueeze(a["counts"], np.int64) for a in sorted((a for a in answers if a["kind"] == 1), key=lambda a: a["part"])]
-    fit, em = np.concatenate([g[: len(g) // 2] for g in got]), np.concatenate([g[len(g) // 2 :] for g in got])
-    order = np.argsort(np.frombuffer(own["vocab"], U64))
-    out = np.empty((2, len(order)), np.int64)
-    out[0, order], out[1, order] = fit, em
-    return out[0], out[1]
+def _counts(own: dict, answers: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Corpus counts (fit, em) of a batch's vocabulary, in its order, and whether no other batch holds the word."""
+    got = [unsqueeze(a["counts"], np.int64).reshape(3, -1) for a in sorted((a for a in answers if a["kind"] == 1), key=lambda a: a["part"])]
+    out = np.empty((3, sum(g.shape[1] for g in got)), np.int64)
+    out[:, np.argsort(np.frombuffer(own["vocab"], U64))] = np.concatenate(got, axis=1)
+    return out[0], out[1], out[2] > 0
 
 
 def _level(n: np.ndarray) -> np.ndarray:
@@ -192,8 +193,24 @@ def _bucket(context: np.ndarray, p: LmParams) -> np.ndarray:
     return np.where(context >= p.min_context, 1 + np.floor(np.log2(np.maximum(context, 1) / p.min_context)), 0).astype(np.int64)
 
 
-def _bigrams(own: dict, fit: np.ndarray, em: np.ndarray, p: LmParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a batch: document starts, word numbers, positions of tokens, which have a frequent context, bigram hashes of those."""
+@dataclass
+class Bigrams:
+    """Bigrams of a batch: document starts, word numbers, positions of tokens, which have a context that counts; of those
+    the distinct hashes, each token's number in them, a token of each, own counts, and which must be asked for."""
+
+    off: np.ndarray
+    tok: np.ndarray
+    at: np.ndarray
+    rich: np.ndarray
+    keys: np.ndarray
+    inverse: np.ndarray
+    src: np.ndarray
+    fit: np.ndarray
+    em: np.ndarray
+    far: np.ndarray
+
+
+def _bigrams(own: dict, fit: np.ndarray, em: np.ndarray, alone: np.ndarray, p: LmParams) -> Bigrams:
     off, tok = unsqueeze(own["off"], np.int64), unsqueeze(own["tok"], np.uint32)
     is_token = np.ones(len(tok), bool)
     is_token[off[:-1]] = False
@@ -201,28 +218,38 @@ def _bigrams(own: dict, fit: np.ndarray, em: np.ndarray, p: LmParams) -> tuple[n
     rich = (fit + em)[tok[at - 1]] >= p.min_context
     vocab = np.frombuffer(own["vocab"], U64)
     h = tv.mix(tv.mix(vocab[tok[at[rich] - 1]]) * U64(3) + vocab[tok[at[rich]]])
-    return off, tok, at, rich, h
+    keys, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+    src = at[rich][first]
+    held, apart = _roles(own["ids"], p)
+    of = np.repeat(np.arange(len(held)), np.diff(off))[at[rich]]
+    fit_n = np.bincount(inverse, ~(held | apart)[of], len(keys)).astype(np.uint32)
+    em_n = np.bincount(inverse, apart[of], len(keys)).astype(np.uint32)
+    far = ~alone[tok[src - 1]] & ~alone[tok[src]] & ((fit + em)[tok[src]] > 0)
+    return Bigrams(off, tok, at, rich, keys, inverse, src, fit_n, em_n, far)
+
+
+def _cells(context: np.ndarray, pair: np.ndarray, word: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct histogram cells of three levels, and the held-out counts in each."""
+    cell, where = np.unique(((context.astype(np.int64) << 16) | (pair.astype(np.int64) << 8) | word)[n > 0], return_inverse=True)
+    return cell, np.bincount(where, n[n > 0], len(cell)).astype(np.int64)
 
 
 def _ask_bigrams(stage: DataFrame, words: DataFrame, parts: int, p: LmParams) -> DataFrame:
-    """Bigram keys of each batch by hash range (part >= 0), and histogram cells of poor contexts (part = -1)."""
+    """Bigram keys of each batch by hash range (part >= 0), and histogram cells of what is not asked for (part = -1)."""
     schema = pa.schema([("part", pa.int32()), ("batch", pa.int64()), ("keys", pa.binary()), ("fit", pa.binary()), ("em", pa.binary()), ("context", pa.binary()), ("word", pa.binary())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
         for own in left.to_pylist():
-            fit, em = _counts(own, right.to_pylist())
-            off, tok, at, rich, h = _bigrams(own, fit, em, p)
-            held, apart = _roles(own["ids"], p)
-            of = np.repeat(np.arange(len(held)), np.diff(off))[at]
-            keys, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-            fit_n = np.bincount(inverse, ~(held | apart)[of[rich]], len(keys)).astype(np.uint32)
-            em_n = np.bincount(inverse, apart[of[rich]], len(keys)).astype(np.uint32)
-            src = at[rich][first]
-            rows += list(_ask(own["batch"], keys, [fit_n, em_n, _level(fit[tok[src - 1]]), _level(fit[tok[src]])], parts))
-            poor = ~rich & apart[of]
-            cell, n = np.unique(_level(fit[tok[at[poor]]]), return_counts=True)
-            rows.append([-1, own["batch"], squeeze(cell.astype(np.uint32)), squeeze(n.astype(np.uint32)), b"", b"", b""])
+            fit, em, alone = _counts(own, right.to_pylist())
+            g = _bigrams(own, fit, em, alone, p)
+            context, word = _level(fit)[g.tok[g.src - 1]], _level(fit)[g.tok[g.src]]
+            rows += list(_ask(own["batch"], g.keys[g.far], [g.fit[g.far], g.em[g.far], context[g.far], word[g.far]], parts))
+            near = _cells(context[~g.far], _level(g.fit[~g.far]), word[~g.far], g.em[~g.far])
+            apart = _roles(own["ids"], p)[1]
+            poor = ~g.rich & apart[np.repeat(np.arange(len(apart)), np.diff(g.off))[g.at]]
+            cell, n = np.unique(_level(fit)[g.tok[g.at[poor]]], return_counts=True)
+            rows.append([-1, own["batch"], squeeze(np.concatenate([cell, near[0]]).astype(np.uint32)), squeeze(np.concatenate([n, near[1]]).astype(np.uint32)), b"", b"", b""])
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
     return stage.groupBy("batch").cogroup(words.groupBy("batch")).applyInArrow(run, "part int, batch long, keys binary, fit binary, em binary, context binary, word binary")
@@ -237,20 +264,16 @@ def _answer_bigrams(asked: DataFrame) -> DataFrame:
         rows.sort(key=lambda r: r["batch"])
         out = []
         if rows and rows[0]["part"] < 0:
-            cells: dict[int, int] = {}
-            for r in rows:
-                for c, n in zip(unsqueeze(r["keys"], np.uint32).tolist(), unsqueeze(r["fit"], np.uint32).tolist(), strict=True):
-                    cells[c] = cells.get(c, 0) + n
-            out = [(-1, 3, 0, b"", c, n) for c, n in cells.items()]
+            cell, where = np.unique(np.concatenate([unsqueeze(r["keys"], np.uint32) for r in rows]), return_inverse=True)
+            n = np.bincount(where, np.concatenate([unsqueeze(r["fit"], np.uint32) for r in rows]), len(cell)).astype(np.int64)
+            out = [(-1, 3, 0, b"", int(c), int(k)) for c, k in zip(cell, n, strict=True)]
         elif rows:
             keys, place, (fit, em) = _add(rows, ["fit", "em"])
             context, word = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
             for r, at in zip(rows, place, strict=True):
                 context[at], word[at] = unsqueeze(r["context"], np.uint32), unsqueeze(r["word"], np.uint32)
                 out.append((r["batch"], 2, r["part"], squeeze((fit + em)[at].astype(np.int64)), 0, 0))
-            cell = (context << 16) | (_level(fit).astype(np.int64) << 8) | word
-            cell, where = np.unique(cell[em > 0], return_inverse=True)
-            n = np.bincount(where, em[em > 0], len(cell)).astype(np.int64)
+            cell, n = _cells(context, _level(fit), word, em)
             out += [(-1, 3, 0, b"", int(c), int(k)) for c, k in zip(cell, n, strict=True)]
         for k in range(0, len(out), 256):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[k : k + 256], strict=True), schema, strict=True)], schema=schema)
@@ -304,18 +327,19 @@ def _score(stage: DataFrame, answers: DataFrame, tokens: int, types: int, weight
         out = []
         answered = right.to_pylist()
         for own in left.to_pylist():
-            fit, em = _counts(own, answered)
-            off, tok, at, rich, h = _bigrams(own, fit, em, p)
+            fit, em, alone = _counts(own, answered)
+            g = _bigrams(own, fit, em, alone, p)
             c = fit + em
-            word, context = c[tok[at]], c[tok[at - 1]]
-            pair = np.zeros(len(at), np.int64)
+            word, context = c[g.tok[g.at]], c[g.tok[g.at - 1]]
+            pair, each = np.zeros(len(g.at), np.int64), g.fit.astype(np.int64) + g.em
             got = [unsqueeze(a["counts"], np.int64) for a in sorted((a for a in answered if a["kind"] == 2), key=lambda a: a["part"])]
             if got:
-                pair[rich] = np.concatenate(got)[np.unique(h, return_inverse=True)[1]]
+                each[g.far] = np.concatenate(got)
+            pair[g.rich] = each[g.inverse]
             base = np.log10((word + 0.5) / (tokens + 0.5 * (types + 1)))
             w = weights[np.minimum(_bucket(context, p), 63)]
             model = np.log10(w[:, 0] * pair / np.maximum(context, 1) + w[:, 1] * word / max(tokens, 1) + w[:, 2] / (types + 1))
-            n = np.diff(off) - 1
+            n = np.diff(g.off) - 1
             first = np.concatenate([[0], np.cumsum(n)[:-1]])
             known = np.add.reduceat((word > 0).astype(np.int64), first)
             held, _ = _roles(own["ids"], p)

@@ -71,6 +71,39 @@ def test_lm_probabilities_sum_to_one(spark):
     assert got[ids[0]]["train_tokens"] == sum(31 for i, _ in train if lm.fold_of(i) % 5 != 1)
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_lm_equals_a_plain_model(spark, small):
+    rng = np.random.default_rng(12)
+    rows = []
+    for i, n in enumerate(rng.integers(0, 80, 400)):
+        words = prose(rng, int(n), 3000).split()
+        rows.append((i, " ".join(x for w in words for x in ([w, f"{w}s"] if rng.random() < 0.7 else [w]))))
+    p = lm.LmParams(batch_bytes=4000, part_bytes=6000) if small else lm.LmParams()
+    got = {r["doc_id"]: r["score"] for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), p).collect()}
+    fit, em = ([collections.Counter() for _ in range(2)] for _ in range(2))  # words and contexts, pairs
+    for i, text in rows:
+        crc = lm.fold_of(i)
+        if crc % 5 != 1:
+            tokens = ["<s>", *low(text), "</s>"]
+            one, two = fit if crc // 5 % 5 else em
+            one.update(tokens)
+            two.update(zip(tokens, tokens[1:], strict=False))
+    level = lambda n: min(1 + math.floor(4 * math.log2(n)), 254) if n else 0
+    cells = collections.Counter()
+    for (u, w), n in em[1].items():
+        cells[level(fit[0][u]) << 16 | level(fit[1][u, w]) << 8 | level(fit[0][w])] += n
+    one, two = fit[0] + em[0], fit[1] + em[1]
+    total, types = sum(n for w, n in one.items() if w != "<s>"), len(one) - 1
+    weights = lm.learn(sorted(cells.items()), total * (1 - 1 / 5), types, p)
+    assert (weights[1:5, 0] > 0.001).all()  # 1, 2-3, 4-7 and 8-15
+    for i, text in rows:
+        tokens, log = ["<s>", *low(text), "</s>"], 0.0
+        for u, w in zip(tokens, tokens[1:], strict=False):
+            a, b, c = weights[1 + int(math.log2(one[u]))] if one[u] else weights[0]
+            log += math.log10(a * two[u, w] / max(one[u], 1) + b * one[w] / total + c / (types + 1))
+        assert got[i] == pytest.approx(log, abs=1e-6)
+
+
 def test_em_finds_the_mixture():
     p = lm.LmParams()
     rng = np.random.default_rng(0)
