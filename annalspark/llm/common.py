@@ -82,9 +82,9 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def tasks_for(spark: SparkSession, size: int, each: int) -> int:
-    """Shuffle partitions for `size` bytes: at most `each` bytes per task, and no fewer than the session asks for."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
+def dealt(df: DataFrame, groups: int, *keys: str) -> DataFrame:
+    """Dealt by the keys to a task a group, where the session would put several groups into a task."""
+    return df.repartition(groups, *keys) if groups > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
 
 
 def kth_largest(df: DataFrame, col: str, k: int, buckets: int = 4096) -> float:

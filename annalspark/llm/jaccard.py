@@ -1,22 +1,26 @@
 """Exact Jaccard join of word-shingle sets, in the metric space of sets.
 
-The Jaccard distance 1 - |A & B| / |A u B| and the set difference |A ^ B| are metrics.  Two documents link when their
-similarity is at least `percent` per cent, which bounds the difference of a pair: |A ^ B| <= k(size).
-
-1. *Pivots and regions.*  The universe of shingles is hashed into K = k + 1 + e disjoint blocks, the pivots of a size
-   class.  A linked pair differs in at most k places, so it agrees exactly on at least 1 + e of the blocks.  A region
-   is all sets with the same content in one block; sets lie in one region per block.  (Single real documents as
-   pivots cannot do this step: nearly all documents are at distance 1 from any of them, so every region would hold
-   everything.  Blocks of the universe are the pivots that tell documents apart; README says more.)
-2. *Windows.*  Sets near the border of their size class join the regions of the class below too, as far as the
-   triangle inequality lets a pair reach.  Blocks with fewer than two shingles make weak regions; a set skips them
-   unless more than e of its blocks are weak, and a set with more than e empty blocks adds its rarest-hash prefix.
-   Both cases together leave no pair out.
-3. *Recursion.*  In each region the smallest set is the pivot; every member is verified against it and links merge
-   members into components.  Regions whose members then lie in one component are done.  In the others, members are
-   compared by their distances to 256 fixed pivots, recursively: they are dealt to the nearest of some members and
-   copied to others within a window of the bound, until parts are small; pairs that these distances do not exclude
-   are verified exactly.
+The Jaccard distance d(A, B) = 1 - |A & B| / |A u B| is a metric; two documents link when d <= r = 1 - percent / 100.
+Classes of equal sets are single points of it.
+
+1. *Neighbourhoods.*  Documents without shared text are at distance 1 from each other and from every pivot, so pivots
+   cannot tell them apart, and Voronoi windows would copy all of them everywhere.  Sets that can link are therefore
+   brought together first: the universe of shingles is hashed into K = k + 1 + e blocks, where k bounds |A ^ B| of a
+   linked pair of a size class.  A linked pair agrees exactly on at least 1 + e blocks, so it shares a `region`: all
+   sets with the same content in one block.  Sets near the border of a size class join the class below too.  A set
+   skips blocks with fewer than two shingles unless more than e are such; with more than e empty blocks it adds its
+   rarest-hash prefix.  No pair is left out.
+2. *Clusters.*  256 counts of each set bound its distance to any other from below.  Members of a region that this bound
+   does not keep apart belong to one cluster (components of that relation, made from spanning edges).  A linked pair is
+   always in one cluster, whose members are near copies of each other: distances there are spread, and pivots work.
+3. *Voronoi recursion.*  Every cluster is joined by pivots, real sets of it, and exact distances.  What lies within r of
+   a pivot is linked to it.  Each member's home is the cell of its nearest pivot; it is copied to each cell whose pivot is
+   at most 2 r farther (the triangle inequality: the home of no partner can be farther).  Cells recurse until they are
+   small, hold one component only, or do not shrink; then what the windows |d(x, p) - d(y, p)| <= r leave of the pairs
+   from different components is compared.  Small clusters are joined in one task each, large ones are first dealt to cells
+   by rounds of the same step over the cluster; cells that do not shrink are compared in blocks of bounded size.
+
+Only spanning edges of links are written, never candidate pairs, so rows grow with members.
 
 Equal sets are merged first (a copy costs nothing further) and links are found between different sets only.  Sets are
 identified and compared by 64-bit hashes.
@@ -39,8 +43,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import Stages, text_size
-from .components import components
+from .common import Stages, dealt, text_size
+from .components import EDGES, components
 from .lm import squeeze, squeeze_sorted, unsqueeze, unsqueeze_sorted
 
 U64 = np.uint64
@@ -57,9 +61,20 @@ class JaccardParams:
     spare: float = 0.05
     batch_bytes: int = 4 << 20
     part_bytes: int = 24 << 20
-    filter_bits: int = 25
-    #: Members of a region that one task compares; larger regions are cut into pairs of chunks.
+    #: Flags of the filter that tells which sets are read again: at most 2**filter_bits, of which a broadcast takes an eighth in bytes.
+    filter_bits: int = 28
+    #: Members of a region, or of a cell, that one task compares; larger ones are cut into pairs of chunks.
     chunk: int = 1024
+    #: A cluster beyond these sets or bytes is dealt to cells over several tasks.
+    cell_sets: int = 2048
+    cell_bytes: int = 8 << 20
+    #: Pivots of a cell of a large cluster (about), and of a cell in a task.
+    pivots: int = 16
+    near_pivots: int = 6
+    #: Cells in a task recurse down to so many members.
+    leaf: int = 192
+    #: Rounds over large clusters; cells that are still large are compared in chunks.
+    rounds: int = 4
 
 
 @lru_cache(maxsize=64)
@@ -221,7 +236,8 @@ def _regions(docs: DataFrame, parts: int, p: JaccardParams) -> DataFrame:
                 rows = []
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["members"])
 
-    return docs.select("text").mapInArrow(ask, "part int, keys binary, who binary, sets binary").groupBy("part").applyInArrow(meet, "members binary").distinct()
+    asked = docs.select("text").mapInArrow(ask, "part int, keys binary, who binary, sets binary")
+    return dealt(asked, parts, "part").groupBy("part").applyInArrow(meet, "members binary").distinct()
 
 
 def _star(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,12 +282,13 @@ def _place(ids: np.ndarray, bits: int) -> np.ndarray:
 
 def _contents(docs: DataFrame, wanted: DataFrame, p: JaccardParams) -> DataFrame:
     """set, shingles, sketch of the wanted sets (column `set`), read again from the documents."""
-    flags = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted, p.filter_bits))
+    bits = min(p.filter_bits, max(16, 4 + wanted.count().bit_length()))
+    flags = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted, bits))
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for *_, g, off in _each(stream, 0, p):
             ids = identity(g, off)
-            at = _place(ids, p.filter_bits)
+            at = _place(ids, bits)
             ids = np.where((flags.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1, ids, 0)
             ids, g, off = _first_of(ids, g, off)
             flat = sketch(g, off)  # saturated counts: differences only shrink, so the bound holds
@@ -301,75 +318,115 @@ def _plausible(pairs: DataFrame, contents: DataFrame, p: JaccardParams) -> DataF
     return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y", "n", "m").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, contents: DataFrame, p: JaccardParams) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, as edges u, v."""
+def merge(label: np.ndarray, members: np.ndarray) -> None:
+    """Gives the components of the members one label, in place."""
+    old = np.unique(label[members])
+    if len(old) > 1:
+        label[np.isin(label, old[1:])] = old[0]
 
-    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
-            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            keep = np.zeros(len(a), bool)
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                if min(len(x), len(y)) * 100 >= p.percent * max(len(x), len(y)):
-                    both = len(x) + len(y) - len(np.union1d(x, y))
-                    keep[i] = 100 * both >= p.percent * (len(x) + len(y) - both)
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["u", "v"])
-
-    # only sets of these pairs are moved
-    flags = [pairs.sparkSession.sparkContext.broadcast(_bitmap(pairs.select(c), p.filter_bits - 2)) for c in ("a", "b")]
 
-    def wanted(shared):
-        def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in stream:
-                at = _place(batch.column(0).to_numpy(), p.filter_bits - 2)
-                yield batch.filter(pa.array(((shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1) > 0))
-
-        return run
-
-    left = contents.select(F.col("set").alias("a"), F.col("shingles").alias("x")).mapInArrow(wanted(flags[0]), "a long, x binary")
-    right = contents.select(F.col("set").alias("b"), F.col("shingles").alias("y")).mapInArrow(wanted(flags[1]), "b long, y binary")
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "u long, v long")
+def _open(label: np.ndarray, one: np.ndarray, two: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Probes that cover every pair of `one` and `two` with different labels: an index and those it is compared with.
 
+    Pairs inside the largest component need no look, so a probe is a member of another one.
+    """
+    some, n = np.unique(label[two], return_counts=True)
+    top = some[n.argmax()]
+    inner = one[label[one] == top]
+    return [(x, two) for x in one[label[one] != top].tolist()] + [(y, inner) for y in two[label[two] != top].tolist() if len(inner)]
 
-def near_pairs(sizes: np.ndarray, sketches: np.ndarray, label: np.ndarray, other: np.ndarray | None, p: JaccardParams) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs with different labels that the distances to the fixed pivots do not exclude.
 
-    other: a second index range boundary; pairs lie across it (None: any pair).  Members are dealt to the nearest of
-    some pivots and copied to the others within the window; parts that do not shrink are compared directly.
-    """
+def bridge(sizes: np.ndarray, sketches: np.ndarray, label: np.ndarray, one: np.ndarray, two: np.ndarray, p: JaccardParams) -> None:
+    """Merges the labels of members (of `one` with those of `two`) that the distances to the fixed pivots do not keep apart."""
     bound = (100 - p.percent) / (100 + p.percent)
-    first, second = (np.arange(len(sizes)), np.arange(len(sizes))) if other is None else (np.flatnonzero(~other), np.flatnonzero(other))
-    stack = [(first, second, 0)]
+    for x, others in _open(label, one, two):
+        y = others[label[others] != label[x]]
+        y = y[np.abs(sizes[y] - sizes[x]) <= bound * (sizes[y] + sizes[x]) + 1e-9]
+        if len(y):
+            gap = np.abs(sketches[y] - sketches[x]).sum(1, dtype=np.int64)
+            near = y[gap <= bound * (sizes[y] + sizes[x]) + 1e-9]
+            if len(near):
+                merge(label, np.append(near, x))
+
+
+class Cell:
+    """Sets of one cluster with their shingles renumbered, for exact distances."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.size = np.array([len(x) for x in sets], np.int64)
+        self.off = np.concatenate([[0], np.cumsum(self.size)])
+        _, at = np.unique(np.concatenate(sets), return_inverse=True)
+        self.at = at.astype(np.int32)
+        self.mark = np.zeros(int(at.max()) + 1 if len(at) else 0, bool)
+
+    def shared(self, x: int, members: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections of set x with the members."""
+        own = self.at[self.off[x] : self.off[x + 1]]
+        self.mark[own] = True
+        size = self.size[members]
+        if len(members) == len(self.size):
+            hit = self.mark[self.at]
+        else:
+            new = np.cumsum(size) - size
+            hit = self.mark[self.at[np.repeat(self.off[members] - new, size) + np.arange(size.sum())]]
+        out = np.concatenate([[0], np.cumsum(hit, dtype=np.int64)])[np.concatenate([[0], np.cumsum(size)])]
+        self.mark[own] = False
+        return np.diff(out)
+
+    def distance(self, x: int, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distances of set x to the members, and shared shingles."""
+        both = self.shared(x, members)
+        return 1.0 - both / (self.size[members] + self.size[x] - both), both
+
+    def linked(self, x: int, members: np.ndarray, both: np.ndarray, p: JaccardParams) -> np.ndarray:
+        return 100 * both >= p.percent * (self.size[members] + self.size[x] - both)
+
+
+def voronoi(cell: Cell, home: np.ndarray, p: JaccardParams, splits: list[int] | None = None) -> np.ndarray:
+    """Component labels (smallest index) of the sets, by all links of a home set with any other: pivots, cells, windows, recursion."""
+    n, r = len(cell.size), 1 - p.percent / 100 + 1e-9
+    label = np.arange(n)
+    stack = [(np.flatnonzero(home), np.arange(n))]
     while stack:
-        one, two, depth = stack.pop()
-        if not len(one) or not len(two):
+        one, two = stack.pop()  # pairs of `one` with `two`, which holds `one`
+        if not len(one) or (label[two] == label[two[0]]).all():
+            continue
+        far, at, own = [], one[0], np.isin(two, one, assume_unique=True)
+        while len(far) < p.near_pivots:  # each pivot is the home member farthest from those before
+            d, both = cell.distance(int(at), two)
+            far.append(d)
+            hit = two[cell.linked(int(at), two, both, p)]
+            merge(label, np.append(hit, at))
+            least = np.where(own, np.min(far, axis=0), -1.0)
+            at = two[least.argmax()]
+            if least.max() <= 0:
+                break
+        if (label[two] == label[two[0]]).all():
             continue
-        if max(len(one), len(two)) > 256 and depth < 8:
-            every = np.union1d(one, two)
-            pivots = every[np.linspace(0, len(every) - 1, 4).astype(int)]
-            reach = bound * 2.2 * sizes[every].max()
-            far = np.stack([np.abs(sketches[every] - sketches[x]).sum(-1, dtype=np.int64) for x in pivots], axis=1)
-            near = far.argmin(1)
-            copied = far <= far.min(1, keepdims=True) + 2 * reach
-            if copied.sum() < 2 * len(every):
-                for k in range(4):
-                    home, window = every[near == k], every[copied[:, k]]
-                    stack.append((np.intersect1d(home, one), np.intersect1d(window, two), depth + 1))
+        far = np.stack(far, axis=1)
+        mine, copied = far.argmin(1), far <= far.min(1, keepdims=True) + 2 * r
+        if len(two) > p.leaf and len(one) > p.leaf // 8:
+            parts = [(two[own & (mine == k)], two[copied[:, k]]) for k in range(far.shape[1])]
+            if sum(len(a) * len(b) for a, b in parts) < 0.8 * len(one) * len(two) and all(len(a) < len(one) or len(b) < len(two) for a, b in parts):
+                stack += parts
+                if splits is not None:
+                    splits.append(len(two))
                 continue
-        for i in range(0, len(one), 16):
-            rows = one[i : i + 16]
-            gap = np.abs(sketches[rows][:, None, :] - sketches[two][None]).sum(-1, dtype=np.int64)
-            ok = gap <= bound * (sizes[rows][:, None] + sizes[two][None]) + 1e-9
-            ok &= label[rows][:, None] != label[two][None]
-            if other is None:
-                ok &= rows[:, None] < two[None]
-            x, y = np.nonzero(ok)
-            if len(x):
-                yield rows[x], two[y]
+        place = np.full(n, -1)
+        place[two] = np.arange(len(two))
+        for x, others in _open(label, one, two):
+            y = others[label[others] != label[x]]
+            if len(y):
+                y = y[np.abs(far[place[y]] - far[place[x]]).max(1) <= r]
+            if len(y):
+                y = y[cell.linked(x, y, cell.shared(x, y), p)]
+                if len(y):
+                    merge(label, np.append(y, x))
+    return label
 
 
 def _members(regions: DataFrame, p: JaccardParams) -> DataFrame:
-    """small, first (smallest member), region, set, chunk, chunks: the members of regions of three and more (pairs are verified already)."""
+    """small, first (smallest member), region, set, chunk, chunks: the members of regions of three and more (pairs are stars already)."""
     member = regions.select(F.monotonically_increasing_id().alias("region"), "members")
 
     def explode(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,53 +441,154 @@ def _members(regions: DataFrame, p: JaccardParams) -> DataFrame:
     return member.filter(F.length("members") > 16).mapInArrow(explode, "small boolean, first long, region long, set long, chunk long, chunks long")
 
 
-def nearest_only(x: np.ndarray, y: np.ndarray, gap: np.ndarray) -> np.ndarray:
-    """Of the pairs x, y the one with the least gap for each x and for each y."""
-    keep = np.zeros(len(x), bool)
-    for a in (x, y):
-        order = np.lexsort([gap, a])
-        a = a[order]
-        keep[order[np.concatenate([[True], a[1:] != a[:-1]])]] = True
-    return keep
-
-
-def _across(flat: DataFrame, labels: DataFrame, contents: DataFrame, p: JaccardParams, nearest: bool) -> DataFrame:
-    """Pairs of sets in one region but in different components that may still be similar.
-
-    nearest: of a set's pairs in a group of regions only the most promising one.  Links join whole components, so a few such rounds
-    leave little for the round that takes all pairs.
-    """
+def _bridges(flat: DataFrame, labels: DataFrame, contents: DataFrame, p: JaccardParams) -> DataFrame:
+    """Spanning edges (u, v) between components of sets that share a region and may be similar."""
     named = flat.join(labels.select(F.col("node").alias("set"), "component"), "set", "left").withColumn("label", F.coalesce("component", "set")).drop("component")
     mixed = named.groupBy("region").agg((F.min("label") != F.max("label")).alias("open")).filter("open").select("region")
     rows = named.join(mixed, "region").join(contents.select("set", F.length("shingles").alias("bytes"), "sketch"), "set")
-    # a region of several chunks becomes all pairs of chunks, each a group of bounded size; small regions share
-    # groups, those of one pivot the same: a pair that meets in many of them is made once
+    # a region of several chunks becomes all pairs of chunks, each a group of bounded size; small regions share groups
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).withColumn("lo", F.least("chunk", "with")).withColumn("hi", F.greatest("chunk", "with"))
-    shared = max(1, flat.count() // 20_000)
+    shared = max(1, flat.count() // 10_000)
     rows = rows.withColumn("group", F.when(F.col("small"), -1 - F.pmod(F.xxhash64("first"), F.lit(shared))).otherwise(F.col("region")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("region", kind="stable")
-        region, ids, label = (pdf[c].to_numpy(np.int64) for c in ("region", "set", "label"))
+        region = pdf["region"].to_numpy(np.int64)
+        names, label = np.unique(pdf["label"].to_numpy(np.int64), return_inverse=True)
+        known = np.arange(len(names))  # components that the regions of this group have joined so far
         sizes = pdf["bytes"].to_numpy(np.int64) // 8
-        flat_sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(-1, SKETCH).astype(np.int16)
+        sketches = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(-1, SKETCH).astype(np.int16)
         high = (pdf["chunk"] == pdf["hi"]).to_numpy()
         across = pdf["lo"].iloc[0] != pdf["hi"].iloc[0]
         cut = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1], [True]]))
-        out, gaps = [np.zeros((2, 0), np.int64)], [np.zeros(0, np.int64)]
         for i, j in zip(cut[:-1], cut[1:], strict=True):
-            s = slice(i, j)
-            for x, y in near_pairs(sizes[s], flat_sketch[s], label[s], high[s] if across else None, p):
-                out.append(np.sort(ids[s][np.stack([x, y])], axis=0))
-                if nearest:
-                    gaps.append(np.concatenate([np.abs(flat_sketch[s][x[k : k + 4096]] - flat_sketch[s][y[k : k + 4096]]).sum(1, dtype=np.int64) for k in range(0, len(x), 4096)]))
-        pair = np.concatenate(out, axis=1)
-        if nearest and pair.shape[1]:
-            pair = pair[:, nearest_only(pair[0], pair[1], np.concatenate(gaps))]
-        pair = np.unique(pair, axis=1)
-        return pd.DataFrame({"a": pair[0], "b": pair[1]})
+            before = known[label[i:j]]
+            now = before.copy()
+            if (now == now[0]).all():
+                continue
+            every = np.arange(j - i)
+            bridge(sizes[i:j], sketches[i:j], now, every[~high[i:j]] if across else every, every[high[i:j]] if across else every, p)
+            for new in np.unique(now[now != before]):
+                merge(known, np.unique(np.append(before[now == new], new)))
+        apart = known != np.arange(len(names))
+        return pd.DataFrame({"u": names[apart], "v": names[known[apart]]})
+
+    return rows.select("group", "region", "set", "chunk", "lo", "hi", "label", "bytes", "sketch").groupBy("group", "lo", "hi").applyInPandas(run, "u long, v long").distinct()
+
 
-    return rows.select("group", "region", "set", "chunk", "lo", "hi", "label", "bytes", "sketch").groupBy("group", "lo", "hi").applyInPandas(run, "a long, b long").distinct()
+def _sets(col: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(x, U64) for x in col.to_pylist()]
+
+
+def _joined(cells: DataFrame, group, p: JaccardParams) -> DataFrame:
+    """Spanning edges of the links of every cell; cells (key, home, set, shingles) share tasks by `group`."""
+
+    def run(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("key").to_numpy(), kind="stable")
+        key, ids, home = (table.column(c).to_numpy()[order] for c in ("key", "set", "home"))
+        sets = _sets(table.column("shingles"))
+        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else [0]
+        for i, j in zip(cut[:-1], cut[1:], strict=True):
+            if j - i > 1:
+                label = voronoi(Cell([sets[k] for k in order[i:j]]), home[i:j].astype(bool), p)
+                child = np.flatnonzero(label != np.arange(j - i))
+                us.append(ids[i:j][child])
+                vs.append(ids[i:j][label[child]])
+        return pa.table({"u": pa.array(np.concatenate(us), pa.int64()), "v": pa.array(np.concatenate(vs), pa.int64())})
+
+    return cells.select(group.alias("group"), "key", "home", "set", "shingles").groupBy("group").applyInArrow(run, EDGES).filter("u <> v")
+
+
+def _split(cells: DataFrame, big: DataFrame, depth: int, p: JaccardParams) -> DataFrame:
+    """One round over large cells: edges to pivots (u, v) and places (key, new, set, home) in the pivots' cells."""
+    r = 1 - p.percent / 100 + 1e-9
+    rows = cells.join(big.select("key", "n", "salts"), "key")
+    pivots = rows.filter(F.col("home") & (F.pmod(F.xxhash64("set", F.lit(depth)), F.greatest(F.lit(1), F.floor(F.col("n") / p.pivots))) == 0))
+    pivots = pivots.select("key", "set", "shingles", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")).toDF("cell", "pivot", "own", "task")
+    rows = rows.select("key", "home", "set", "shingles", F.pmod(F.xxhash64("set", F.lit("salt")), "salts").alias("salt"))
+
+    def visit(left: pa.Table, right: pa.Table) -> pa.Table:
+        n, m = left.num_rows, right.num_rows
+        empty = np.zeros(0, np.int64)
+        out = {k: [empty] for k in ("u", "v", "key", "new", "set", "home")}
+        if n:
+            ids, home, key = (left.column(c).to_numpy() for c in ("set", "home", "key"))
+            if m:
+                right = right.sort_by("pivot")
+                at = right.column("pivot").to_numpy()
+                cell = Cell(_sets(left.column("shingles")) + _sets(right.column("own")))
+                far, members = np.zeros((n, m)), np.arange(n)
+                for k in range(m):
+                    far[:, k], both = cell.distance(n + k, members)
+                    hit = members[cell.linked(n + k, members, both, p)]
+                    out["u"].append(ids[hit])
+                    out["v"].append(np.full(len(hit), at[k]))
+                row, k = np.nonzero(far <= far.min(1, keepdims=True) + 2 * r)
+                mine = far.argmin(1)
+                new = tv.mix(key[row].view(U64) + tv.mix(at[k].view(U64))).view(np.int64)
+                parts = {"key": key[row], "new": new, "set": ids[row], "home": (home[row] & (mine[row] == k)).astype(np.int64)}
+            else:
+                parts = {"key": key, "new": key, "set": ids, "home": home.astype(np.int64)}
+            for name, part in parts.items():
+                out[name].append(part)
+        flat = {k: np.concatenate(x) for k, x in out.items()}
+        edges, places = len(flat["u"]), len(flat["set"])
+        return pa.table({k: pa.concat_arrays([pa.array(flat[k], pa.int64()), pa.nulls(places, pa.int64())]) if k in "uv" else pa.concat_arrays([pa.nulls(edges, pa.int64()), pa.array(flat[k], pa.int64())]) for k in out})
+
+    return rows.groupBy("key", "salt").cogroup(pivots.groupBy("cell", "task")).applyInArrow(visit, "u long, v long, key long, new long, set long, home long")
+
+
+def _compared(cells: DataFrame, labels: DataFrame, p: JaccardParams) -> DataFrame:
+    """Spanning edges of large cells whose windows hold nearly everything: what is not in a cell's largest component against all, in chunks."""
+    named = cells.join(labels.select(F.col("node").alias("set"), "component"), "set", "left").withColumn("label", F.coalesce("component", "set"))
+    per = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("shingles")).alias("bytes"))
+    per = per.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max("n").alias("most"), (F.sum("bytes") - F.max_by("bytes", F.struct("n", "label"))).alias("rest"))
+    chunks = lambda n, size: F.greatest(F.ceil(n / F.lit(p.chunk)), F.ceil(size / F.lit(p.cell_bytes)), F.lit(1)).cast("long")
+    per = per.filter("most < n").select("key", "top", chunks(F.col("n") - F.col("most"), F.col("rest")).alias("probes"), chunks(F.col("n"), F.col("bytes")).alias("parts"))
+    rows = named.join(per, "key")
+    probe = rows.filter("label <> top").select("key", F.pmod(F.xxhash64("set"), "probes").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("j"), F.lit(True).alias("home"), "set", "shingles")
+    every = rows.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("probes") - 1)).alias("i"), F.pmod(F.xxhash64("set"), "parts").alias("j"), F.lit(False).alias("home"), "set", "shingles")
+    both = probe.unionAll(every).withColumn("key", F.xxhash64("key", "i", "j"))
+    return _joined(both, F.col("key"), p)
+
+
+def _clusters(cells: DataFrame, p: JaccardParams, stages: Stages) -> DataFrame:
+    """Spanning edges (u, v) of the links inside the cells (key, home, set, shingles)."""
+    edges = None
+    for depth in range(p.rounds + 1):
+        size = stages.write(cells.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("shingles")).alias("bytes")), f"size-{depth}")
+        large = (F.col("n") > p.cell_sets) | ((F.col("bytes") > p.cell_bytes) & (F.col("n") > 2))
+        total, many = size.filter(~large).agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count(F.lit(1))).first()
+        if many:
+            groups = max(1, -(-total // p.cell_bytes))
+            small = cells.join(size.filter(~large & (F.col("n") > 1)).select("key"), "key")
+            some = stages.write(_joined(small, F.pmod(F.xxhash64("key"), F.lit(groups)), p), f"links-{depth}")
+            edges = some if edges is None else edges.unionAll(some)
+        big = size.filter(large).withColumn("salts", F.greatest(F.ceil(F.col("n") / p.chunk), F.ceil(F.col("bytes") / p.cell_bytes)).cast("long"))
+        if big.isEmpty():
+            break
+        cells = cells.join(big.select("key"), "key")
+        if depth == p.rounds:
+            labels = components(edges, stages, f"labels-{depth}")
+            edges = edges.unionAll(stages.write(_compared(cells, labels, p), f"compared-{depth}"))
+            break
+        round_ = stages.write(_split(cells, big, depth, p), f"split-{depth}")
+        some = round_.filter("u is not null and u <> v").select("u", "v")
+        edges = some if edges is None else edges.unionAll(some)
+        labels = components(edges, stages, f"labels-{depth}")
+        place = round_.filter("set is not null")
+        spread = place.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).join(big, "key").select("key", (F.col("copies") > 3 * F.col("n")).alias("flat"))
+        spread = stages.write(spread, f"spread-{depth}")
+        flat = cells.join(spread.filter("flat").select("key"), "key")
+        edges = edges.unionAll(stages.write(_compared(flat, labels, p), f"compared-{depth}"))
+        # cells that hold one component only are done
+        named = place.join(spread.filter(~F.col("flat")).select("key"), "key").join(labels.select(F.col("node").alias("set"), "component"), "set", "left").withColumn("label", F.coalesce("component", "set"))
+        still = named.groupBy("new").agg((F.min("label") != F.max("label")).alias("open")).filter("open").select("new")
+        shingles = cells.select("set", "shingles").dropDuplicates(["set"])
+        cells = named.join(still, "new").select(F.col("new").alias("key"), (F.col("home") == 1).alias("home"), "set").join(shingles, "set").select("key", "home", "set", "shingles")
+        cells = stages.write(cells, f"cells-{depth}")
+    return edges if edges is not None else cells.sparkSession.createDataFrame([], EDGES)
 
 
 def link(docs: DataFrame, params: JaccardParams = JaccardParams()) -> DataFrame:
@@ -442,31 +600,17 @@ def link(docs: DataFrame, params: JaccardParams = JaccardParams()) -> DataFrame:
     parts = max(1, -(-size // p.part_bytes))
     regions = stages.write(_regions(docs, parts, p), "regions")
     pairs = stages.write(regions.mapInArrow(_star, "a long, b long").distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("set")).unionAll(pairs.select("b")).distinct()
-    contents = stages.write(_contents(docs, stages.write(wanted, "wanted"), p), "contents")
-    near = stages.write(_plausible(pairs, contents, p), "near")
-    # one pair per set first; the rest only where it still joins different components
-    tried = stages.write(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "tried")
-    edges = stages.write(_verified(tried, contents, p), "edges-1")
-    labels = components(edges, stages, "components-1")
-    name = labels.select(F.col("node").alias("x"), "component")
-    rest = near.join(name.withColumnRenamed("x", "a").withColumnRenamed("component", "ca"), "a", "left").join(name.withColumnRenamed("x", "b").withColumnRenamed("component", "cb"), "b", "left")
-    rest = rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b").join(tried, ["a", "b"], "left_anti")
-    rest = stages.write(rest, "rest")
-    edges = stages.write(_verified(rest, contents, p).unionAll(edges), "edges-2")
-    labels = components(edges, stages, "components-2")
-    # what is still apart: the most promising pairs first, as they join most of it, then all that are left
-    flat = stages.write(_members(regions, p), "members")
-    done = pairs
-    for k, nearest in enumerate((True, True, True, False), 3):
-        across = stages.write(_across(flat, labels, contents, p, nearest).join(done, ["a", "b"], "left_anti"), f"across-{k}")
-        if across.isEmpty():
-            if nearest:
-                continue
-            break
-        done = done.unionAll(across)
-        edges = stages.write(_verified(across, contents, p).unionAll(edges), f"edges-{k}")
-        labels = components(edges, stages, f"components-{k}")
+    wanted = stages.write(pairs.select(F.col("a").alias("set")).unionAll(pairs.select("b")).distinct(), "wanted")
+    contents = stages.write(_contents(docs, wanted, p), "contents")
+    near = stages.write(_plausible(pairs, contents, p).toDF("u", "v"), "near")
+    first = components(near, stages, "first")
+    bridges = stages.write(_bridges(stages.write(_members(regions, p), "members"), first, contents, p), "bridges")
+    clusters = components(first.toDF("u", "v").unionAll(bridges), stages, "clusters")
+    member = clusters.select(F.col("component").alias("key"), F.col("node").alias("set")).unionAll(clusters.select(F.col("component").alias("key"), F.col("component").alias("set")).distinct())
+    cells = contents.select("set", "shingles").join(member, "set").select("key", F.lit(True).alias("home"), "set", "shingles")
+    cells = stages.write(cells, "cells")
+    stages.retain("sets", "cells")
+    labels = components(_clusters(cells, p, stages), stages, "joined")
     # a component's number is its smallest document
     group = sets.filter("set <> 0").groupBy("set").agg(F.min("doc_id").alias("doc")).join(labels.select(F.col("node").alias("set"), "component"), "set", "left").withColumn("component", F.coalesce("component", "set"))
     low = group.groupBy("component").agg(F.min("doc").alias("component_id"))

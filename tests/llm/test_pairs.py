@@ -54,10 +54,10 @@ def texts():
     return rows
 
 
-@pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80), (2, 50)])
-def test_jaccard_components_are_exact(spark, texts, n, percent):
+@pytest.mark.parametrize(("n", "percent", "small"), [(4, 85, {}), (5, 80, {"chunk": 16, "cell_sets": 6, "pivots": 3, "leaf": 4}), (2, 50, {"chunk": 8, "cell_sets": 4, "rounds": 1, "leaf": 4})])
+def test_jaccard_components_are_exact(spark, texts, n, percent, small):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "1 as component_id", "2 as `set`")
-    got = {r["doc_id"]: r for r in jaccard.link(docs, jaccard.JaccardParams(words=n, percent=percent, chunk=16)).collect()}
+    got = {r["doc_id"]: r for r in jaccard.link(docs, jaccard.JaccardParams(words=n, percent=percent, **small)).collect()}
     sets = {i: shingles(t, n) for i, t in enumerate(texts)}
     links = [(a, b) for a, b in combinations(sets, 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
     want = roots(sets, links)
@@ -66,6 +66,45 @@ def test_jaccard_components_are_exact(spark, texts, n, percent):
     assert len(links) > 20
 
 
+def test_voronoi_cells_split_and_are_exact():
+    rng = np.random.default_rng(3)
+    draw = lambda n: rng.integers(0, 1 << 60, n).astype(np.uint64)
+    common, sets = draw(400), []
+    for _ in range(12):  # families that share much with each other, and members at all distances inside them
+        own = np.concatenate([common[rng.random(400) < 0.8], draw(100)])
+        sets += [np.unique(np.concatenate([own[rng.random(len(own)) > share], draw(int(share * 300))])) for share in rng.uniform(0, 0.12, 60)]
+    p = jaccard.JaccardParams(leaf=64)
+    cell, splits = jaccard.Cell(sets), []
+    label = jaccard.voronoi(cell, np.ones(len(sets), bool), p, splits)
+    links = []
+    for a in range(len(sets)):
+        rest = np.arange(a + 1, len(sets))
+        links += [(a, int(b)) for b in rest[cell.linked(a, rest, cell.shared(a, rest), p)]]
+    want = roots(range(len(sets)), links)
+    assert len(splits) > 3 and len(set(want.values())) > 12
+    assert [want[i] for i in range(len(sets))] == label.tolist()
+
+
+def test_large_families_at_production_size(spark):
+    rng = np.random.default_rng(9)
+    base = words(rng, 120, 10**6)
+    texts = []
+    for _ in range(2600):  # edits at a few places each: pairs lie on both sides of the threshold
+        w = list(base)
+        for at in rng.integers(0, 120, int(rng.integers(0, 5))):
+            w[at] = f"y{rng.integers(1 << 40)}"
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.link(docs).collect()}
+    hashed = [np.array(sorted(hash(g) & (2**63 - 1) for g in shingles(t, 4)), np.uint64) for t in texts]
+    cell = jaccard.Cell(hashed)
+    p, links = jaccard.JaccardParams(), []
+    for a in range(len(texts)):
+        rest = np.arange(a + 1, len(texts))
+        links += [(a, int(b)) for b in rest[cell.linked(a, rest, cell.shared(a, rest), p)]]
+    assert got == roots(range(len(texts)), links)
+
+
 def test_keep_one(spark, texts):
     rows = [*enumerate(texts), (None, texts[0]), (7, texts[7])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("text", "doc_id", "'k' as set")
