@@ -6,12 +6,15 @@ chain potential, repeated or similar tokens share a skip potential wherever they
 carries a label from a sure mention to the unsure ones.  Skip edges join each mention to the previous one of the same
 normal form, so their number is linear in the mentions.
 
-Emission weights and the skip weight are trained by maximum likelihood with a Gaussian prior, on the candidates of at
-most `sample_docs` documents (a hash sample), labelled by the base patterns.
+All weights (emissions, chain and skip) are trained together by maximum pseudo-likelihood with a Gaussian prior, on the
+candidates of at most `sample_docs` documents (a hash sample), labelled by the base patterns: every mention is predicted
+from its own features and from the labels of its neighbours on chain and skip edges.  A loose mention that repeats a base
+one has no label there (it is what the field is to find): it is left out of the training, with its edges.
 
 Cases: a null text is an empty one and has no spans; a null id is passed on; repeated rows give repeated results; an
 empty table gives no rows; extra columns are ignored (`redact` passes them on); very long texts are searched whole, in
-time linear in their length.
+time linear in their length.  Ties: spans of equal start are ordered by kind; among loose candidates that overlap, the
+first pattern wins, then the leftmost; a mention whose best two labels are equally likely is not added.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import place_of
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 
@@ -155,10 +160,10 @@ def _normal(text: str, a: int, b: int) -> str:
 
 @dataclass
 class CrfModel:
-    """Emission weights (features by labels) and the weights of equal labels on chain and skip edges."""
+    """Emission weights (features by labels) and the weights of equal labels on chain and skip edges: centres of the prior."""
 
     emission: np.ndarray
-    chain: float = 0.3
+    chain: float = 0.0
     skip: float = 6.0
     rounds: int = 12
     threshold: float = 0.9
@@ -175,19 +180,35 @@ def prior_weights() -> np.ndarray:
     return w
 
 
-def train(features: np.ndarray, labels: np.ndarray, agree: int, differ: int, steps: int = 200, spread: float = 1.0) -> CrfModel:
-    """Maximum a posteriori weights; agree and differ count skip pairs with equal and unequal labels."""
-    w0 = prior_weights()
-    w = w0.copy()
+def neighbours(labels: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """How many neighbours of each node have each label, over the edges `pairs`."""
+    seen = np.zeros((len(labels), len(LABELS)))
+    for a, b in ((0, 1), (1, 0)):
+        np.add.at(seen, (pairs[:, a], labels[pairs[:, b]]), 1)
+    return seen
+
+
+def train(features: np.ndarray, labels: np.ndarray, chain: np.ndarray, skip: np.ndarray, steps: int = 200, spread: float = 1.0) -> CrfModel:
+    """Maximum pseudo-likelihood weights with a Gaussian prior; chain and skip are the edges, as pairs of node numbers."""
+    start = CrfModel(prior_weights())
+    unsure = (labels == 0) & (neighbours(labels, skip)[:, 1:].sum(1) > 0)
+    chain, skip = (pairs[~unsure[pairs].any(1)] for pairs in (chain, skip))
+    w, edge = start.emission.copy(), np.array([start.chain, start.skip])
     if len(labels):
         truth = np.eye(len(LABELS))[labels]
-        rate = 1.0 / max(1.0, 0.25 * float((features**2).sum(1).mean()))
+        sure = ~unsure[:, None]
+        near = [neighbours(labels, chain), neighbours(labels, skip)]
+        size = (features**2).sum(1) + near[0].sum(1) ** 2 + near[1].sum(1) ** 2
+        rate = 1.0 / max(1.0, 0.25 * float(size.mean()))
+        pull = spread * max(len(labels), 50)
         for _ in range(steps):
-            z = features @ w
+            z = features @ w + edge[0] * near[0] + edge[1] * near[1]
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            w += rate * (features.T @ (truth - p) / len(labels) - (w - w0) / (spread * max(len(labels), 50)))
-    return CrfModel(w, skip=float(np.clip(np.log((agree + 5.0) / (differ + 0.25)), 1.0, 6.0)))
+            p = np.where(sure, p, truth)
+            w += rate * (features.T @ (truth - p) / len(labels) - (w - start.emission) / pull)
+            edge += rate * (np.array([((truth - p) * x).sum() for x in near]) / len(labels) - (edge - [start.chain, start.skip]) / pull)
+    return CrfModel(w, float(edge[0]), float(edge[1]))
 
 
 def edges(text: str, nodes: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
@@ -245,8 +266,7 @@ def find(text: str, model: CrfModel) -> tuple[list[tuple[int, int, int]], list[t
             unary[i] = -30.0
             unary[i, label] = 30.0
     chain, skip = edges(text, nodes)
-    # a chain edge matters only between open nodes; certain ones would leak their kind to any neighbour
-    pairs = [(i, j, model.chain) for i, j in chain if not nodes[i][2] and not nodes[j][2]] + [(i, j, model.skip) for i, j in skip]
+    pairs = [(i, j, model.chain) for i, j in chain] + [(i, j, model.skip) for i, j in skip]
     p = propagate(unary, pairs, model.rounds)
     added = [(a, b, int(p[i].argmax()) - 1) for i, (a, b, label) in enumerate(nodes) if not label and p[i].argmax() and p[i].max() >= model.threshold]
     return base, sorted([*base, *added], key=lambda s: (s[0], s[2], s[1]))
@@ -257,30 +277,29 @@ def digest(spans: list[tuple[int, int, int]]) -> str:
 
 
 def fit(docs: DataFrame, sample_docs: int = 2000) -> CrfModel:
-    """Trains on the candidates of about `sample_docs` documents, a hash sample."""
+    """Trains on the candidates of about `sample_docs` documents, a hash sample; never on more than four times as many."""
     n = docs.count()
-    some = docs.select(F.col("text"), F.xxhash64("doc_id", F.lit(7)).alias("h"))
+    some = docs.select(F.col("text"), F.xxhash64("doc_id", "text", F.lit(7)).alias("h"))
     if n > sample_docs:
-        some = some.filter(F.pmod("h", F.lit(1_000_000)) < max(1, int(1_000_000 * sample_docs / n)))
+        some = some.filter(F.pmod("h", F.lit(1_000_000)) < max(1, int(1_000_000 * sample_docs / n))).limit(4 * sample_docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            feats, labels, counts = [], [], [0, 0]
-            for text in batch.column(0).to_pylist():
-                text = text or ""
-                nodes = candidates(text, base_spans(text))
-                feats += [emission(text, a, b).tobytes() for a, b, _ in nodes]
-                labels += [label for *_, label in nodes]
-                for i, j in edges(text, nodes)[1]:
-                    counts[nodes[i][2] != nodes[j][2]] += 1
-            yield pa.RecordBatch.from_arrays([pa.array([b"".join(feats)], pa.binary()), pa.array([np.array(labels, np.int8).tobytes()], pa.binary()), pa.array([counts[0]]), pa.array([counts[1]])], names=["x", "y", "agree", "differ"])
-
-    rows = some.select("text").mapInArrow(run, "x binary, y binary, agree long, differ long").collect()  # bounded by sample_docs
-    x = np.concatenate([np.frombuffer(r["x"]).reshape(-1, N_FEATURES) for r in rows]) if rows else np.zeros((0, N_FEATURES))
-    y = np.concatenate([np.frombuffer(r["y"], np.int8) for r in rows]) if rows else np.zeros(0, np.int8)
-    # loose candidates outnumber base ones by chance only; order by content so that the fit does not depend on tasks
-    order = np.lexsort([*x.T, y])
-    return train(x[order], y[order].astype(int), sum(r["agree"] for r in rows), sum(r["differ"] for r in rows))
+            rows = []
+            for h, text in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist(), strict=True):
+                nodes = candidates(text or "", base_spans(text or ""))
+                if nodes:
+                    feats = b"".join(emission(text, a, b).tobytes() for a, b, _ in nodes)
+                    rows.append((h, feats, np.array([y for *_, y in nodes], np.int8).tobytes(), *(np.array(e, np.int32).tobytes() for e in edges(text, nodes))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()))], names=["h", "x", "y", "chain", "skip"])
+
+    rows = some.select("text", "h").mapInArrow(run, "h long, x binary, y binary, chain binary, skip binary").collect()  # bounded by sample_docs
+    rows.sort(key=lambda r: (r["h"], bytes(r["x"])))  # the fit does not depend on the order of tasks
+    x = np.concatenate([np.zeros((0, N_FEATURES)), *(np.frombuffer(r["x"]).reshape(-1, N_FEATURES) for r in rows)])
+    y = np.concatenate([np.zeros(0, np.int8), *(np.frombuffer(r["y"], np.int8) for r in rows)]).astype(int)
+    first = np.cumsum([0, *(len(r["y"]) for r in rows)])
+    chain, skip = (np.concatenate([np.zeros((0, 2), int), *(np.frombuffer(r[k], np.int32).reshape(-1, 2) + at for r, at in zip(rows, first, strict=False))]) for k in ("chain", "skip"))
+    return train(x, y, chain, skip)
 
 
 def detect(docs: DataFrame, model: CrfModel | None = None) -> DataFrame:
@@ -316,8 +335,8 @@ def redact(docs: DataFrame, model: CrfModel | None = None) -> DataFrame:
     """The documents with their personal data masked; `n_chars` follows the text where both are present."""
     crf = model or fit(docs)
     names, schema = docs.columns, docs.schema
-    at = names.index("text")
-    size = names.index("n_chars") if "n_chars" in names and schema["n_chars"].dataType.typeName() in ("long", "integer") else None
+    at = place_of(docs, "text")
+    size = next((k for k, f in enumerate(schema) if f.name.lower() == "n_chars" and f.dataType.typeName() in ("long", "integer")), None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

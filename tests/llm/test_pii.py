@@ -49,6 +49,34 @@ def test_skip_edges_carry_a_label():
     assert len(base) == 1 and [k for *_, k in every] == [3, 3, 3]
 
 
+def test_edges_decide_after_training(spark):
+    rng = np.random.default_rng(2)
+    phone = lambda: f"({rng.integers(200, 999)}) 555-{rng.integers(1000, 9999)}"
+    numbers = [phone() for _ in range(200)]
+    # a mention without its country code has no base span; where the full one stands in the same text, however far, it is the same kind
+    texts = [f"reach +1 {n} {'word ' * 40} then {n} later" for n in numbers[:120]] + [f"see {n} later" for n in numbers[120:]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, Text string")
+    model = pii.fit(docs, 150)
+    assert model.emission.shape == (pii.N_FEATURES, 5) and model.skip > 1
+    without = pii.CrfModel(model.emission, 0.0, 0.0)
+    both, alone = ([sum(len(pii.find(t, m)[1]) - len(pii.find(t, m)[0]) for t in part) for part in (texts[:120], texts[120:])] for m in (model, without))
+    assert both[0] >= 100 and both[1] == 0 and alone == [0, 0]
+    assert pii.redact(docs, model).columns == ["doc_id", "Text"] and pii.redact(docs.limit(0)).count() == 0
+
+
+def test_pseudo_likelihood_learns_its_edges():
+    rng = np.random.default_rng(0)
+    x = np.zeros((600, pii.N_FEATURES))
+    x[:, 0] = 1
+    y = np.repeat(rng.integers(0, 2, 300) * 4, 2)  # pairs with equal labels
+    pairs = np.arange(600).reshape(-1, 2)
+    far = np.stack([rng.permutation(600)[:300], rng.permutation(600)[:300]], 1)
+    model = pii.train(x, y, far, pairs, 400)
+    assert model.skip > 2 and abs(model.chain) < 0.7
+    twisted = pii.train(x, np.tile([1, 4], 300), far, pairs, 400)
+    assert twisted.skip < 2
+
+
 def test_hidden_numbers_are_added_and_base_stays(spark):
     hidden = "ring +1 (605) 555-9305 4111111111111111 today"
     rows = [(i, f"mail u{i}@ex.org or +1 (7{i % 10}0) 555-1234, card 4111111111111111 ok 10.0.0.{i}") for i in range(60)] + [(100, hidden), (101, None), (102, ""), (None, "x 1.2.3.4"), (103, "clean text 12 34 of 2020")]
