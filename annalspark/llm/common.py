@@ -82,6 +82,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def place_of(df: DataFrame, name: str) -> int:
+    """The place of a column; names are alike whatever their case, as in Spark."""
+    return [c.lower() for c in df.columns].index(name.lower())
+
+
 def dealt(df: DataFrame, groups: int, *keys: str) -> DataFrame:
     """Dealt by the keys to a task a group, where the session would put several groups into a task."""
     return df.repartition(groups, *keys) if groups > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df

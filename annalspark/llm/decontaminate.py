@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
+from .common import place_of
 
 U64 = np.uint64
 #: Words of a long stretch that are aligned at once, about; pieces overlap by what an alignment can cover.
@@ -176,7 +177,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, params: SeedParams = See
 def clean(docs: DataFrame, benchmark: DataFrame, params: SeedParams = SeedParams()) -> DataFrame:
     """The documents that no item contaminates, all their columns as they are."""
     spark = docs.sparkSession
-    at, schema = docs.columns.index("text"), docs.schema
+    at, schema = place_of(docs, "text"), docs.schema
     for block in blocks(_items(benchmark, params), params):
         shared = spark.sparkContext.broadcast(block)
 

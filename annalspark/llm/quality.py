@@ -4,13 +4,14 @@ Two hashed n-gram generative models, one of the target text (documents labelled
 each document a log importance weight: the sum over its distinct features of the log ratio of the two models' document
 frequencies.  Documents are then drawn without replacement by the Gumbel top-k trick.
 
-* Features: words hashed to 2**`bits` buckets, and the last two and three bytes of words (they carry punctuation
-  patterns), hashed into the same table.
+* Features: word pairs, words, and the last two and three bytes of words (they carry punctuation patterns).  Pairs are
+  hashed into one table of 2**`bits` buckets, the others into a second one.
 * Counts are numbers of documents, so one long or repetitive document cannot dominate, and a document's own
   contribution is left out when it is scored, so that its rare words are neutral.
-* Ratios are shrunk by `prior` pseudo-documents.  Weights are truncated (Ionides 2008): a ratio above exp(-`dead_zone`)
-  counts as one.  Positive evidence of common words would otherwise grow with the length of a document and outweigh
-  the few words that make it toxic.
+* Ratios are shrunk by pseudo-documents (`prior`, `pair_prior`).  Weights are truncated (Ionides 2008): a ratio above
+  exp(-`dead_zone`) counts as one.  Positive evidence of common words would otherwise grow with the length of a document
+  and outweigh the few words that make it toxic; README has the figures of the plain sum.
+* The noise is plain Gumbel noise, so that the k documents are a draw in proportion to the weights.
 * The raw model counts every document.  The target model uses at most `label_bound` labelled documents (a hash
   sample beyond that), the documented bound of the fit.
 
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import Stages, fresh, kth_largest
+from .common import Stages, fresh, kth_largest, place_of
 
 U64 = np.uint64
 
@@ -38,10 +39,9 @@ U64 = np.uint64
 @dataclass(frozen=True)
 class QualityParams:
     bits: int = 21
-    prior: float = 6.0
-    dead_zone: float = 1.0
-    #: Scale of the Gumbel noise: 1 draws in proportion to the weights, 0 takes the top k.
-    temperature: float = 0.25
+    prior: float = 2.0
+    pair_prior: float = 4.0
+    dead_zone: float = 1.5
     label_bound: int = 200_000
     #: A lost good document counts as much as so many accepted bad ones when k is chosen from the labels.
     loss_ratio: float = 20.0
@@ -59,7 +59,7 @@ class QualityModel:
 
 
 def features(words: tv.Words, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text number, bucket) pairs of a slice."""
+    """Distinct (text number, bucket) pairs of a slice; buckets from 2**bits on are those of word pairs."""
     doc = words.doc()
     size = words.end - words.start
     tail = np.zeros((2, len(size)), U64)
@@ -68,9 +68,11 @@ def features(words: tv.Words, bits: int) -> tuple[np.ndarray, np.ndarray]:
         for j in range(k):
             tail[row] = (tail[row] << U64(8)) | words.low[np.minimum(at + j, words.end - 1)].astype(U64)
         tail[row] = tv.mix(tail[row] + U64(0x51ED270B + k))
+    pair = tv.chain(words.h, 2)
+    same = doc[: len(pair)] == doc[1:]
     bucket = np.concatenate([words.h, *tail]) >> U64(64 - bits)
-    key = np.unique(np.tile(doc.astype(U64), 3) << U64(bits) | bucket)
-    return (key >> U64(bits)).astype(np.int64), (key & U64((1 << bits) - 1)).astype(np.int64)
+    key = np.unique(np.concatenate([np.tile(doc.astype(U64), 3) << U64(bits + 1) | bucket, doc[: len(pair)][same].astype(U64) << U64(bits + 1) | U64(1 << bits) | pair[same] >> U64(64 - bits)]))
+    return (key >> U64(bits + 1)).astype(np.int64), (key & U64((2 << bits) - 1)).astype(np.int64)
 
 
 def _labelled(labels: DataFrame, bound: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,24 +105,24 @@ def fit(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParam
     spark = docs.sparkSession
     good, bad = _labelled(labels, params.label_bound)
     share = spark.sparkContext.broadcast(good)
-    bits = params.bits
-    blocks = 64
+    bits, cells = params.bits, 2 << params.bits
+    blocks, width = 64, cells // 64
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(1 << bits, np.int32), np.zeros(1 << bits, np.int32)
+        raw, target = np.zeros(cells, np.int32), np.zeros(cells, np.int32)
         n = n_target = 0
         for batch in batches:
             hit = _isin(_ids(batch.column(0)), share.value)
             n, n_target = n + batch.num_rows, n_target + int(hit.sum())
             for a, b, words in tv.each(batch.column(1)):
                 doc, bucket = features(words, bits)
-                raw += np.bincount(bucket, minlength=1 << bits).astype(np.int32)
+                raw += np.bincount(bucket, minlength=cells).astype(np.int32)
                 if hit[a:b].any():
-                    target += np.bincount(bucket[hit[a:b][doc]], minlength=1 << bits).astype(np.int32)
+                    target += np.bincount(bucket[hit[a:b][doc]], minlength=cells).astype(np.int32)
         if not n:
             return
         some = np.flatnonzero(raw)
-        cut = np.searchsorted(some, np.arange(blocks + 1) << (bits - 6))
+        cut = np.searchsorted(some, np.arange(blocks + 1) * width)
         for k in range(blocks):
             at = some[cut[k] : cut[k + 1]]
             yield pa.RecordBatch.from_arrays(
@@ -130,7 +132,6 @@ def fit(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParam
             )
 
     def add(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = 1 << (bits - 6)
         raw, target = np.zeros(width, np.int64), np.zeros(width, np.int64)
         n = n_target = block = 0
         for batch in rows:
@@ -145,10 +146,10 @@ def fit(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParam
         )
 
     parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(count, "block int, n long, n_target long, at binary, raw binary, target binary")
-    rows = parts.groupBy("block").applyInArrow(add, "block long, n long, n_target long, raw binary, target binary").collect()  # 64 rows, 2**bits counts
-    raw, target = np.zeros(1 << bits, np.float32), np.zeros(1 << bits, np.float32)
+    rows = parts.groupBy("block").applyInArrow(add, "block long, n long, n_target long, raw binary, target binary").collect()  # 64 rows, 2**(bits + 1) counts
+    raw, target = np.zeros(cells, np.float32), np.zeros(cells, np.float32)
     for r in rows:
-        at = slice(r["block"] << (bits - 6), (r["block"] + 1) << (bits - 6))
+        at = slice(r["block"] * width, (r["block"] + 1) * width)
         raw[at], target[at] = np.frombuffer(r["raw"], np.float32), np.frombuffer(r["target"], np.float32)
     model = QualityModel(raw, target, sum(r["n"] for r in rows), sum(r["n_target"] for r in rows), good, params)
     return model, bad
@@ -160,7 +161,8 @@ def log_weights(words: tv.Words, is_target: np.ndarray, model: QualityModel) ->
     doc, bucket = features(words, p.bits)
     own = is_target[doc]
     share = model.n_target / max(1, model.n_raw)
-    ratio = np.log((np.maximum(model.target[bucket] - own, 0) + p.prior) / (np.maximum(model.raw[bucket] - 1.0, 0) * share + p.prior))
+    prior = np.where(bucket >> p.bits, p.pair_prior, p.prior)
+    ratio = np.log((np.maximum(model.target[bucket] - own, 0) + prior) / (np.maximum(model.raw[bucket] - 1.0, 0) * share + prior))
     return np.bincount(doc, np.where(ratio < -p.dead_zone, ratio, 0.0), minlength=len(is_target))
 
 
@@ -174,14 +176,14 @@ def _noise(docs: DataFrame, seed: int):
 
 
 def weigh(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """doc_id, log_weight, key (weight plus scaled Gumbel noise) and labelled target flag of every document."""
+    """doc_id, log_weight, key (weight plus Gumbel noise) and labelled target flag of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
             w, _ = _keys(batch.column(0), batch.column(1), batch.column(2), m)
-            key = w + m.params.temperature * _gumbel(batch.column(2).to_numpy(zero_copy_only=False))
+            key = w + _gumbel(batch.column(2).to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w), pa.array(key)], names=["doc_id", "log_weight", "key"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), _noise(docs, model.params.seed).alias("noise")).mapInArrow(run, "doc_id long, log_weight double, key double")
@@ -234,13 +236,13 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, params: Q
     _, model, cut = select(docs, labels, k, params)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     noise, names = fresh(docs, "noise"), docs.columns
-    at_id, at_text = names.index("doc_id"), names.index("text")
+    at_id, at_text = place_of(docs, "doc_id"), place_of(docs, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
             w, _ = _keys(batch.column(at_id), batch.column(at_text), batch.column(len(names)), m)
-            key = w + m.params.temperature * _gumbel(batch.column(len(names)).to_numpy(zero_copy_only=False))
+            key = w + _gumbel(batch.column(len(names)).to_numpy(zero_copy_only=False))
             yield batch.select(range(len(names))).filter(pa.array(key >= cut))
 
     return docs.withColumn(noise, _noise(docs, params.seed)).mapInArrow(run, docs.schema)

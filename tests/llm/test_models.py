@@ -158,19 +158,43 @@ def test_gumbel_top_k(spark):
         assert kth_largest(df, "x", k, 16) == np.sort(values)[-k]
 
 
+def test_draws_follow_the_weights(spark):
+    from annalspark.llm.textvec import mix
+
+    # Gumbel top-k draws without replacement in proportion to the weights: the first draw follows them
+    keys = mix(np.arange(1, 40_001).astype(np.uint64)).view(np.int64)
+    noise = quality._gumbel(keys).reshape(-1, 4)
+    weight = np.array([0.1, 0.2, 0.3, 0.4])
+    first = (np.log(weight) + noise).argmax(1)
+    assert np.allclose(np.bincount(first) / len(first), weight, atol=0.02)
+
+
+def test_word_pairs_alone_reject(spark):
+    rng = np.random.default_rng(3)
+    words = [f"v{i}" for i in range(30)]
+    good = [" ".join(rng.choice(words, 40)) for _ in range(150)]
+    bad = [" ".join(t.split()[:30]) + " v1 v2 v3 v4" * 3 for t in good[:50]]  # ordinary words, in an order of their own
+    good = [t.replace("v1 v2", "v1").replace("v3 v4", "v3").replace("v2 v3", "v2") for t in good]
+    docs = spark.createDataFrame(list(enumerate([*good, *bad])), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i >= 150)) for i in range(200)], "doc_id long, quality int, toxic int")
+    kept = {r["doc_id"]: r["kept"] for r in quality.select(docs, labels)[0].collect()}
+    assert np.mean([kept[i] for i in range(150)]) > 0.95 and np.mean([kept[i] for i in range(150, 200)]) < 0.2
+
+
 def test_weights_equal_a_plain_version(spark):
     texts = ["good words here", "good words there", "bad bad words", "bad things", "good bad"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     labels = spark.createDataFrame([(0, 1, 0), (1, 1, 0), (2, 1, 1)], "doc_id long, quality int, toxic int")
-    p = quality.QualityParams(prior=0.1, dead_zone=0.05)
+    p = quality.QualityParams(prior=0.1, pair_prior=0.3, dead_zone=0.05)
     got = {r["doc_id"]: r["log_weight"] for r in quality.select(docs, labels, 5, p)[0].collect()}
     feats = []
     for t in texts:
         w = t.split()
-        feats.append({("w", x) for x in w} | {("2", x[-2:]) for x in w} | {("3", x[-3:]) for x in w})
+        feats.append({("w", x) for x in w} | {("2", x[-2:]) for x in w} | {("3", x[-3:]) for x in w} | {("pair", *x) for x in zip(w, w[1:], strict=False)})
     raw, target = collections.Counter(f for fs in feats for f in fs), collections.Counter(f for fs in feats[:2] for f in fs)
     for i, fs in enumerate(feats):
-        ratios = [math.log((target[f] - (i < 2) + 0.1) / ((raw[f] - 1) * 2 / 5 + 0.1)) for f in fs]
+        prior = {f: 0.3 if f[0] == "pair" else 0.1 for f in fs}
+        ratios = [math.log((target[f] - (i < 2) + prior[f]) / ((raw[f] - 1) * 2 / 5 + prior[f])) for f in fs]
         assert got[i] == pytest.approx(sum(r for r in ratios if r < -0.05), abs=1e-5)
 
 
