@@ -69,26 +69,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _LEVEL = """,
-k{l} AS (SELECT host, prefix, coalesce(list_extract(string_split(raw, '/'), {l} + 1), '') AS seg, sum(n) AS n, sum(lab) AS lab, sum(bad) AS bad FROM t{p} GROUP BY ALL),
-m{l} AS (SELECT *, count(*) OVER w AS kids, sum(n) OVER w AS all_n, sum(lab) OVER w AS all_lab, sum(bad) OVER w AS all_bad FROM k{l} WINDOW w AS (PARTITION BY host, prefix)),
-o{l} AS (SELECT host, prefix, seg, CASE WHEN (kids >= 20 AND all_n < 8.0 * kids) OR (kids > 1 AND abs(bad - lab * CASE WHEN all_lab > 0 THEN all_bad / all_lab ELSE 0.0 END)
-  <= 2.0 * sqrt(lab * CASE WHEN all_lab > 0 THEN all_bad / all_lab ELSE 0.0 END * (1 - CASE WHEN all_lab > 0 THEN all_bad / all_lab ELSE 0.0 END) + 0.25)) THEN '*' ELSE seg END AS dest FROM m{l}),
-t{l} AS (SELECT t.host, t.raw, t.n, t.lab, t.bad, t.prefix || '/' || o.dest AS prefix FROM t{p} t JOIN o{l} o ON t.host = o.host AND t.prefix = o.prefix AND coalesce(list_extract(string_split(t.raw, '/'), {l} + 1), '') = o.seg)"""
+c{l} AS MATERIALIZED (SELECT host, prefix, {seg} AS seg, sum(n) AS n, sum(lab) AS lab, sum(bad) AS bad FROM t{p} GROUP BY ALL),
+n{l} AS (SELECT host, prefix, sum(CASE WHEN n < 8.0 THEN 1 ELSE 0 END) AS rare, sum(lab) AS all_lab, sum(bad) AS all_bad FROM c{l} GROUP BY ALL),
+o{l} AS MATERIALIZED (SELECT c.*, rare, all_lab, all_bad, CASE WHEN n < 8.0 AND rare >= 20 THEN '*' ELSE seg END AS own FROM c{l} c JOIN n{l} USING (host, prefix)),
+k{l} AS MATERIALIZED (SELECT *, CAST(floor(CAST(32.0 AS DOUBLE) * (bad + CAST(4.0 AS DOUBLE) * CASE WHEN all_lab > 0 THEN all_bad / all_lab ELSE 0.0 END) / (lab + CAST(4.0 AS DOUBLE))) AS BIGINT) AS bucket
+  FROM (SELECT host, prefix, own, sum(lab) AS lab, sum(bad) AS bad, max(all_lab) AS all_lab, max(all_bad) AS all_bad FROM o{l} GROUP BY ALL)),
+b{l} AS (SELECT host, prefix, bucket, sum(lab) AS lab, sum(bad) AS bad FROM k{l} GROUP BY ALL),
+w{l} AS (SELECT host, prefix, bucket, sum(lab) OVER below AS l, sum(bad) OVER below AS lb, sum(lab) OVER whole AS t, sum(bad) OVER whole AS tb FROM b{l}
+  WINDOW whole AS (PARTITION BY host, prefix), below AS (PARTITION BY host, prefix ORDER BY bucket ROWS UNBOUNDED PRECEDING)),
+z{l} AS (SELECT host, prefix, bucket, abs(lb / l - (tb - lb) / (t - l)) / sqrt(tb / t * (1 - tb / t) * (1 / l + 1 / (t - l))) AS z FROM w{l} WHERE l > 0 AND t > l AND tb > 0 AND tb < t),
+u{l} AS (SELECT host, prefix, bucket AS cut FROM z{l} WHERE z >= 3.0 QUALIFY row_number() OVER (PARTITION BY host, prefix ORDER BY z DESC, bucket) = 1),
+s{l} AS MATERIALIZED (SELECT host, prefix, own, coalesce(bucket > cut, FALSE) AS above, count(*) OVER (PARTITION BY host, prefix, coalesce(bucket > cut, FALSE)) AS kids FROM k{l} LEFT JOIN u{l} USING (host, prefix)),
+t{l} AS MATERIALIZED (SELECT t.host, t.raw, t.n, t.lab, t.bad, t.prefix || '/' || CASE WHEN kids = 1 THEN o.own WHEN above THEN '*!' ELSE '*' END AS prefix
+  FROM t{p} t JOIN o{l} o ON t.host = o.host AND t.prefix = o.prefix AND ({seg}) = o.seg JOIN s{l} s ON s.host = o.host AND s.prefix = o.prefix AND s.own = o.own)"""
 
 _OP5 = """WITH u AS (SELECT page_id, url, url IS NOT NULL AND contains(url, '://') AS fine, substr(url, instr(url, '://') + 3) AS rest FROM pages),
 h AS (SELECT page_id, url, CASE WHEN fine THEN regexp_extract(rest, '^[^/?#]*') ELSE '' END AS h0, rest, fine FROM u),
 b AS (SELECT page_id, url, translate(h0, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, CASE WHEN fine THEN regexp_extract(substr(rest, length(h0) + 1), '^[^?#]*') ELSE '' END AS path FROM h),
-r AS (SELECT *, regexp_replace(path, '[0-9]+', '*', 'g') AS raw, TRY_CAST(nullif(regexp_extract(url, '^[^?#]*/([0-9]+)[^/]*/?(?:[?#].*)?$', 1), '') AS BIGINT) AS doc_id FROM b),
+r AS (SELECT *, array_to_string(list_transform(string_split(path, '/'), lambda s: CASE WHEN regexp_matches(regexp_extract(s, '^([0-9a-f]{8,})([.][0-9A-Za-z]+)?$', 1), '[0-9]')
+  THEN '*' || regexp_extract(s, '^([0-9a-f]{8,})([.][0-9A-Za-z]+)?$', 2) ELSE regexp_replace(s, '[0-9]+', '*', 'g') END), '/') AS raw,
+  TRY_CAST(nullif(regexp_extract(url, '^[^?#]*/([0-9]+)[^/]*/?(?:[?#].*)?$', 1), '') AS BIGINT) AS doc_id FROM b),
 l AS (SELECT doc_id, max(CASE WHEN quality <> 1 OR toxic <> 0 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY 1),
 p AS (SELECT r.*, l.bad FROM r LEFT JOIN l USING (doc_id)),
-t0 AS (SELECT host, raw, CAST(count(*) AS DOUBLE) AS n, CAST(count(bad) AS DOUBLE) AS lab, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS bad, '' AS prefix FROM p GROUP BY host, raw)""" + "".join(_LEVEL.format(l=i, p=i - 1) for i in (1, 2, 3)) + """,
-g AS (SELECT coalesce(sum(bad) / nullif(sum(lab), 0), 0.0) AS overall FROM t3),
-s AS (SELECT *, (sum(bad) OVER (PARTITION BY host) + 4.0 * overall) / (sum(lab) OVER (PARTITION BY host) + 4.0) AS at_host FROM t3, g),
-f AS (SELECT host, raw, prefix AS template, (sum(bad) OVER w + 4.0 * at_host) / (sum(lab) OVER w + 4.0) AS share FROM s WINDOW w AS (PARTITION BY host, prefix)),
+t0 AS MATERIALIZED (SELECT host, raw, CAST(count(*) AS DOUBLE) AS n, CAST(count(bad) AS DOUBLE) AS lab, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS bad, '' AS prefix FROM p GROUP BY host, raw)""" + "".join(
+    _LEVEL.format(l=i, p=i - 1, seg=f"coalesce(list_extract(string_split(raw, '/'), {i} + 1), '')" if i < 4 else "coalesce(array_to_string(string_split(raw, '/')[5:], '/'), '')") for i in (1, 2, 3, 4)
+) + """,
+g AS (SELECT coalesce(sum(bad) / nullif(sum(lab), 0), 0.0) AS overall FROM t4),
+e AS (SELECT host, (sum(bad) + 4.0 * any_value(overall)) / (sum(lab) + 4.0) AS at_host FROM t4, g GROUP BY host),
+f AS (SELECT host, prefix AS template, (sum(bad) + 4.0 * any_value(at_host)) / (sum(lab) + 4.0) AS share FROM t4 JOIN e USING (host) GROUP BY host, prefix),
 rules(rule, verdict, rh, rp) AS (VALUES ('org/', 'allow', 'org', '/'), ('example.org/es/', 'block', 'example.org', '/es/'), ('example.org/en/1', 'block', 'example.org', '/en/1'), ('com/fr/', 'allow', 'com', '/fr/'), ('com/de/', 'block', 'com', '/de/')),
 x AS (SELECT page_id, rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC) AS k FROM b JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
 SELECT p.page_id, p.host, p.path, x.rule, coalesce(x.verdict, CASE WHEN f.share >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict, f.template
-FROM p JOIN f ON p.host = f.host AND p.raw = f.raw LEFT JOIN x ON x.page_id = p.page_id AND x.k = 1"""
+FROM p JOIN t4 ON p.host = t4.host AND p.raw = t4.raw JOIN f ON f.host = t4.host AND f.template = t4.prefix LEFT JOIN x ON x.page_id = p.page_id AND x.k = 1"""
 
 _OP8 = r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS g FROM w),
@@ -104,5 +116,5 @@ c AS (SELECT vec_id, vec_id AS root FROM v UNION SELECT l.y, c.root FROM c JOIN
 k AS (SELECT vec_id, min(root) AS component_id FROM c GROUP BY 1), d AS (SELECT x AS vec_id, count(*) AS n FROM l GROUP BY 1)
 SELECT k.vec_id, coalesce(d.n, 0) AS n_links, component_id, k.vec_id = component_id AS kept FROM k LEFT JOIN d USING (vec_id)"""
 
-#: The others have no SQL form (models, tokenizers, alignments); `tests/llm` compares them with brute force.
+#: The others have no SQL form (models, tokenizers, alignments); README says what `tests/llm` compares them with.
 ORACLE_SQL: dict[str, str] = {"op5_url_template_tree": _OP5, "op8_jaccard_metric_join": _OP8, "op9_robust_pruned_graph": _OP9}

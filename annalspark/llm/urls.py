@@ -1,22 +1,26 @@
 """URL filter: a path-template tree per host, with native DataFrame operations only.
 
-1. Every url is cut into host and path.  Path segments are generalised by shape (runs of digits, long hexadecimal
-   strings, file suffixes kept), which gives each url its raw template.
-2. Distinct (host, template) pairs form the tree, `depth` levels of segments plus the rest.  Level by level from the
-   root, a node with many children that occur seldom takes all of them together as one wildcard; then children whose
-   labelled shares do not differ significantly from their node's are merged into one wildcard branch as well.
+1. Every url is cut into host and path.  Path segments are generalised by shape (runs of digits and long hexadecimal
+   names become wildcards, file suffixes stay), which gives each url its raw template.
+2. Distinct (host, template) pairs form the tree: `depth` levels of segments, then the rest of the path as the last one.
+   Level by level from the root, the children of a node that occur seldom become one wildcard if they are many.  The
+   others are ordered by their smoothed share of bad pages, and the cut between neighbours that tells the labelled
+   pages on both sides apart best is tested.  If it is significant, the siblings on either side merge into a branch of
+   their own (`*` below the cut, `*!` above it); if none is, all of them are alike and merge into one.
 3. A template is rejected when its smoothed share of bad labels, shrunk towards its host's and that towards the
    overall share, reaches `threshold`.
 
 Rules come first: the longest one whose host (or a parent domain of the url's host) and path prefix fit decides alone.
 
-The tree is built from one row per (host, raw template), pre-aggregated before any shuffle, so a host with a third of
-all pages costs a few rows; verdicts go back by an equi-join on (host, raw template) that adaptive execution may split
-or broadcast by measured size.
+The tree is built from one row per (host, raw template), pre-aggregated before any shuffle.  Everything in it is an
+aggregate or an equi-join; the only window is over the `buckets` shares of a node, so a host with many distinct paths is
+no hot task.  Levels are written tables.  Verdicts go back by an equi-join on (host, raw template) that adaptive
+execution may split or broadcast by measured size.
 
 Cases: a null url, or one without "://", has empty host and path, no rule, and takes the verdict of that template;
 repeated pages are each judged; no labels at all means everything is allowed but for rules; null page ids pass on;
-extra columns are ignored; very long paths are kept whole.
+extra columns are ignored; very long paths are kept whole.  Ties between cuts go to the lower share; a node without
+labelled pages has no cut.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .common import Stages
+
 #: Rules of the query: verdict, host, path prefix.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
@@ -35,11 +41,12 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 @dataclass(frozen=True)
 class TreeParams:
     depth: int = 3
-    #: A node's children become a wildcard if there are at least so many and each has on average fewer pages than this.
+    #: Children of fewer pages become a wildcard if a node has at least so many of them.
+    rare_pages: float = 8.0
     min_children: int = 20
-    mean_pages: float = 8.0
-    #: Children within so many standard deviations of their node's share of bad pages are merged.
-    z: float = 2.0
+    #: A cut between siblings counts from so many standard deviations on.
+    z: float = 3.0
+    buckets: int = 32
     prior_weight: float = 4.0
     threshold: float = 0.5
 
@@ -69,36 +76,60 @@ def rule_column(host: Column, path: Column, rules: tuple = RULES) -> tuple[Colum
 
 
 def raw_template(path: Column) -> Column:
-    """The path with hexadecimal strings of 8 or more signs and runs of digits as wildcards."""
-    return F.regexp_replace(F.regexp_replace(path, r"(?<![0-9A-Za-z])(?=[a-f]*[0-9])[0-9a-f]{8,}(?![0-9A-Za-z])", "*"), r"[0-9]+", "*")
+    """The path with hexadecimal names of 8 or more signs, at least one a digit, and runs of digits as wildcards."""
+
+    def one(seg: Column) -> Column:
+        stem = F.regexp_extract(seg, r"^([0-9a-f]{8,})([.][0-9A-Za-z]+)?$", 1)
+        return F.when(F.regexp_like(stem, F.lit("[0-9]")), F.concat(F.lit("*"), F.substr(seg, F.length(stem) + F.lit(1)))).otherwise(F.regexp_replace(seg, r"[0-9]+", "*"))
+
+    return F.array_join(F.transform(F.split(path, "/"), one), "/")
+
+
+def _level(tree: DataFrame, seg: Column, p: TreeParams, stages: Stages, name: str) -> DataFrame:
+    """The tree (host, raw, n, lab, bad, prefix) with one more level in its prefixes."""
+    node = ["host", "prefix"]
+    tree = tree.withColumn("seg", seg)
+    sums = [F.sum(c).alias(c) for c in ("n", "lab", "bad")]
+    child = stages.write(tree.groupBy(*node, "seg").agg(*sums), f"{name}-child")
+    per = child.groupBy(*node).agg(F.sum((F.col("n") < p.rare_pages).cast("int")).alias("rare"), F.sum("lab").alias("all_lab"), F.sum("bad").alias("all_bad"))
+    child = child.join(per, node).withColumn("own", F.when((F.col("n") < p.rare_pages) & (F.col("rare") >= p.min_children), F.lit("*")).otherwise(F.col("seg")))
+    kept = child.groupBy(*node, "own").agg(F.sum("lab").alias("lab"), F.sum("bad").alias("bad"), F.max("all_lab").alias("all_lab"), F.max("all_bad").alias("all_bad"))
+    share = F.when(F.col("all_lab") > 0, F.col("all_bad") / F.col("all_lab")).otherwise(F.lit(0.0))
+    bucket = F.floor(F.lit(float(p.buckets)) * (F.col("bad") + F.lit(p.prior_weight) * share) / (F.col("lab") + F.lit(p.prior_weight)))
+    kept = stages.write(kept.withColumn("bucket", bucket), f"{name}-kept")
+    cells = kept.groupBy(*node, "bucket").agg(F.sum("lab").alias("lab"), F.sum("bad").alias("bad"))
+    whole = W.partitionBy(*node)
+    below = whole.orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
+    cells = cells.select(*node, "bucket", F.sum("lab").over(below).alias("l"), F.sum("bad").over(below).alias("lb"), F.sum("lab").over(whole).alias("t"), F.sum("bad").over(whole).alias("tb"))
+    cells = cells.filter("l > 0 and t > l and tb > 0 and tb < t")
+    both = F.col("tb") / F.col("t")
+    z = F.abs(F.col("lb") / F.col("l") - (F.col("tb") - F.col("lb")) / (F.col("t") - F.col("l"))) / F.sqrt(both * (F.lit(1.0) - both) * (F.lit(1.0) / F.col("l") + F.lit(1.0) / (F.col("t") - F.col("l"))))
+    cut = cells.withColumn("z", z).filter(F.col("z") >= p.z).groupBy(*node).agg(F.max(F.struct("z", (-F.col("bucket")).alias("bucket"))).alias("best")).select(*node, (-F.col("best.bucket")).alias("cut"))
+    kept = kept.join(cut, node, "left").withColumn("above", F.coalesce(F.col("bucket") > F.col("cut"), F.lit(False)))
+    many = kept.groupBy(*node, "above").agg(F.count(F.lit(1)).alias("kids"))
+    to = F.when(F.col("kids") == 1, F.col("own")).when(F.col("above"), F.lit("*!")).otherwise(F.lit("*"))
+    to = child.select(*node, "seg", "own").join(kept.select(*node, "own", "above"), [*node, "own"]).join(many, [*node, "above"]).select(*node, "seg", to.alias("to"))
+    grown = tree.join(to, [*node, "seg"]).select("host", "raw", "n", "lab", "bad", F.concat("prefix", F.lit("/"), "to").alias("prefix"))
+    return stages.write(grown, f"{name}-tree")
 
 
 def templates(pages: DataFrame, params: TreeParams) -> DataFrame:
     """host, raw, template, share (smoothed share of bad pages) from rows of host, raw, bad (1, 0 or null)."""
-    n_bad, n_lab = F.coalesce(F.sum("bad"), F.lit(0)), F.count("bad")
-    tree = pages.groupBy("host", "raw").agg(F.count(F.lit(1)).alias("n"), n_lab.alias("lab"), n_bad.cast("long").alias("bad"))
+    stages = Stages(pages.sparkSession, "urls")
+    tree = pages.groupBy("host", "raw").agg(F.count(F.lit(1)).cast("double").alias("n"), F.count("bad").cast("double").alias("lab"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("bad"))
+    tree = stages.write(tree.withColumn("prefix", F.lit("")), "tree")
     parts = F.split(F.col("raw"), "/")
-    tree = tree.withColumn("prefix", F.lit(""))
     for level in range(1, params.depth + 1):
-        seg = F.coalesce(F.get(parts, F.lit(level)), F.lit(""))
-        tree = tree.withColumn("seg", seg)
-        node = W.partitionBy("host", "prefix")
-        child = tree.groupBy("host", "prefix", "seg").agg(F.sum("n").alias("n"), F.sum("lab").alias("lab"), F.sum("bad").alias("bad"))
-        child = child.withColumn("kids", F.count(F.lit(1)).over(node)).withColumn("all_n", F.sum("n").over(node)).withColumn("all_lab", F.sum("lab").over(node)).withColumn("all_bad", F.sum("bad").over(node))
-        share = F.when(F.col("all_lab") > 0, F.col("all_bad") / F.col("all_lab")).otherwise(F.lit(0.0))
-        spread = F.sqrt(F.col("lab") * share * (1 - share) + F.lit(0.25))
-        alike = F.abs(F.col("bad") - F.col("lab") * share) <= params.z * spread
-        many = (F.col("kids") >= params.min_children) & (F.col("all_n") < params.mean_pages * F.col("kids"))
-        child = child.withColumn("to", F.when(many | (alike & (F.col("kids") > 1)), F.lit("*")).otherwise(F.col("seg")))
-        tree = tree.join(child.select("host", "prefix", "seg", "to"), ["host", "prefix", "seg"]).withColumn("prefix", F.concat("prefix", F.lit("/"), "to")).drop("seg", "to")
-    leaf, host = W.partitionBy("host", "prefix"), W.partitionBy("host")
+        tree = _level(tree, F.coalesce(F.get(parts, F.lit(level)), F.lit("")), params, stages, f"level-{level}")
+    last = params.depth + 1
+    tree = _level(tree, F.array_join(F.slice(parts, F.lit(last + 1), F.greatest(F.size(parts) - F.lit(last), F.lit(0))), "/"), params, stages, f"level-{last}")
+    stages.retain(f"level-{last}-tree")
     whole = tree.agg(F.coalesce(F.sum("bad") / F.nullif(F.sum("lab"), F.lit(0)), F.lit(0.0)).alias("overall"))  # one row
-    tree = tree.crossJoin(F.broadcast(whole))
-    w = params.prior_weight
-    at_host = (F.sum("bad").over(host) + w * F.col("overall")) / (F.sum("lab").over(host) + w)
-    tree = tree.withColumn("at_host", at_host)
-    share = (F.sum("bad").over(leaf) + w * F.col("at_host")) / (F.sum("lab").over(leaf) + w)
-    return tree.select("host", "raw", F.col("prefix").alias("template"), share.alias("share"))
+    w = F.lit(params.prior_weight)
+    host = tree.groupBy("host").agg(F.sum("lab").alias("lab"), F.sum("bad").alias("bad")).crossJoin(F.broadcast(whole)).select("host", ((F.col("bad") + w * F.col("overall")) / (F.col("lab") + w)).alias("at_host"))
+    leaf = tree.groupBy("host", "prefix").agg(F.sum("lab").alias("lab"), F.sum("bad").alias("bad")).join(host, "host")
+    leaf = leaf.select("host", "prefix", ((F.col("bad") + w * F.col("at_host")) / (F.col("lab") + w)).alias("share"))
+    return tree.select("host", "raw", "prefix").join(leaf, ["host", "prefix"]).select("host", "raw", F.col("prefix").alias("template"), "share")
 
 
 def judge(pages: DataFrame, labelled: DataFrame | None = None, rules: tuple = RULES, params: TreeParams = TreeParams()) -> DataFrame:

@@ -290,10 +290,28 @@ def test_bad_templates_are_rejected(spark):
     labelled = spark.createDataFrame([(i, bool(i % 2)) for i in range(0, 400, 3)] + [(None, True)], "page_id long, bad boolean")
     got = {r["page_id"]: r for r in urls.judge(pages, labelled).collect()}
     assert all(got[i]["verdict"] == ("block" if i % 2 else "allow") for i in range(400))
-    assert {got[i]["template"] for i in range(400)} == {"/spam/*.html/", "/news/*.html/"}
+    assert {got[i]["template"] for i in range(400)} == {"/spam/*.html//", "/news/*.html//"}
     assert len({got[1000 + i]["template"] for i in range(60)}) == 1
 
 
+def test_similar_siblings_merge_and_deep_paths_count(spark):
+    bad_in = {"s1": 0.95, "s2": 0.9, "n1": 0.05, "n2": 0.1, "n3": 0.0}
+    rng = np.random.default_rng(4)
+    rows, labelled = [], []
+    for k, (seg, share) in enumerate(bad_in.items()):
+        for i in range(60):
+            rows += [(1000 * k + i, f"http://h.net/{seg.replace('1', 'a').replace('2', 'b').replace('3', 'c')}/{i}"), (50_000 + 1000 * k + i, f"http://deep.net/a/b/c/{seg.replace('1', 'x').replace('2', 'y').replace('3', 'z')}/{i}")]
+            labelled += [(n, bool(rng.random() < share)) for n in (1000 * k + i, 50_000 + 1000 * k + i)]
+    rows += [(90_000 + i, f"http://hex.net/x/{rng.integers(1 << 60):015x}1.html") for i in range(10)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r["page_id"]: r for r in urls.judge(pages, spark.createDataFrame(labelled, "page_id long, bad boolean")).collect()}
+    for at, low, high in ((0, "/*/*//", "/*!/*//"), (50_000, "/a/b/c/*", "/a/b/c/*!")):
+        for k, seg in enumerate(bad_in):
+            r = got[at + 1000 * k + 7]
+            assert (r["template"], r["verdict"]) == ((high, "block") if seg[0] == "s" else (low, "allow"))
+    assert {got[90_000 + i]["template"] for i in range(10)} == {"/x/*.html//"}
+
+
 # --- token files ------------------------------------------------------------------------------------------------------------
 
 
