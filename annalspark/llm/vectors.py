@@ -2,7 +2,8 @@
 
 1. Equal vectors are one class (its smallest id and its number of rows), so a vector that fills a third of the table
    is one point of the graph.
-2. Centroids from a bounded hash sample cut the points into shards; every point is built into its `overlap` nearest
+2. Centroids from a bounded hash sample cut the points into shards, and shards that are still large are cut again by
+   centroids of their own, so the number of shards grows with the points; every point is built into its `overlap` nearest
    shards.  In each shard candidates of a point are pruned robustly (an edge is dropped when a kept neighbour is
    `alpha` times nearer to its end), a few nearest neighbours and all reverse edges are added, and the adjacency lists
    of a point from its shards are united.
@@ -10,16 +11,18 @@
    expanded over the graph from every hit until no further point within it is found.  Cosines that decide are computed
    in double precision, so no link is below the threshold.  A point is counted only in its home shard, so no pair is
    counted twice and pairs need not be written: a shard gives link counts and a spanning forest.
-4. Recall is audited: a bounded number of queries is compared with all vectors by brute force; below `recall` the beam
-   and the probes are doubled and the search repeated.  `last_audit` holds the figures of the last call.
+4. Recall is audited: a bounded number of queries is compared with all points by brute force.  Only links between
+   different points count, one each: no query finds itself, and copies of a vector are one point.  Queries are drawn
+   until enough of them have such links, or the bound is reached.  Below `recall` the beam and the probes are doubled
+   and the search repeated; if the last round is below `least_recall`, the call fails.  `last_audit` holds the figures.
 
-Shards beyond `shard_rows` points are cut into pieces by hash that all probing queries visit, so a task's memory is
-bounded whatever the clustering.
+What even two levels of centroids cannot cut (very many vectors close to each other) is cut into pieces by hash that all
+its queries visit, so a task's memory is bounded whatever the clustering.
 
 Cases: null vectors, zero ones and those with null, NaN or infinite components link with nothing and are kept; vectors
-of other lengths than the most frequent one likewise; repeated ids are separate rows with equal results; rows without
-an id are nobody's partner and report the links of their vector; empty tables give no rows; extra columns and labels are
-ignored.
+of different lengths have no cosine, so every length is a table of its own; repeated ids are separate rows with equal
+results; rows without an id are nobody's partner and report the links of their vector; empty tables give no rows; ties
+have no effect (links are a threshold, components take the smallest id); extra columns and labels are ignored.
 """
 
 from __future__ import annotations
@@ -51,8 +54,13 @@ class GraphParams:
     nearest: int = 6
     alpha: float = 1.2
     beam: int = 32
+    #: Queries of an audit, at least and at most, and the links that are enough.
     audit: int = 200
+    audit_most: int = 3200
+    audit_links: int = 400
     recall: float = 0.97
+    least_recall: float = 0.9
+    rounds: int = 3
 
 
 last_audit: dict[str, float] = {}
@@ -176,46 +184,54 @@ def _matrix(col: pd.Series, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(col), np.float64).reshape(-1, dim)
 
 
-def _points(vectors: DataFrame) -> tuple[DataFrame, int]:
-    """point (smallest id of equal vectors), copies and data of usable vectors; their length."""
+def _usable(vectors: DataFrame) -> DataFrame:
+    """vec_id, dim and data of the vectors that can link."""
     e = F.col("embedding").cast("array<double>")
     fine = e.isNotNull() & (F.size(e) > 0) & ~F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(e, lambda x: x != 0)
-    usable = vectors.filter(F.coalesce(fine, F.lit(False)) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(e, lambda x: x + F.lit(0.0)).alias("data"))
-    most = usable.groupBy(F.size("data").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    dim = int(most[0]["dim"]) if most else 0
-    return usable.filter(F.size("data") == dim), dim
+    return vectors.filter(F.coalesce(fine, F.lit(False)) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.size(e).alias("dim"), F.transform(e, lambda x: x + F.lit(0.0)).alias("data"))
 
 
 def link(vectors: DataFrame, params: GraphParams = GraphParams()) -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector."""
     spark = vectors.sparkSession
     stages = Stages(spark, "vectors")
-    usable, dim = _points(vectors)
+    usable = _usable(vectors)
+    found, tables = None, []
+    for dim in sorted(r[0] for r in usable.select("dim").distinct().collect()):  # a row per length
+        one = stages.write(_of_length(usable.filter(F.col("dim") == dim), dim, params, stages), f"final-{dim}")
+        tables.append(f"final-{dim}")
+        found = one if found is None else found.unionAll(one)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(F.col("embedding").cast("array<double>"), lambda x: x + F.lit(0.0)).alias("data"))
-    alone = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if not dim:
-        return alone
-    points = stages.write(usable.groupBy("data").agg(F.min("vec_id").alias("point"), F.count(F.lit(1)).alias("copies")).withColumn("hash", F.xxhash64("data")), "points")
+    if found is None:
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    stages.retain(*tables)
+    # null vectors, however many, are no key: each gets one of its own, by its id
+    out = rows.withColumn("key", F.coalesce(F.xxhash64("data"), F.lit(0)) + F.when(F.col("data").isNull(), F.coalesce("vec_id", F.lit(0))).otherwise(F.lit(0)))
+    out = out.join(found.withColumn("key", F.xxhash64("data")), ["key", "data"], "left")
+    return out.select("vec_id", F.coalesce(F.col("links") - 1, F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"), (F.col("vec_id") == F.coalesce("component", "vec_id")).alias("kept"))
+
+
+def _of_length(usable: DataFrame, dim: int, params: GraphParams, stages: Stages) -> DataFrame:
+    """data, links (copies within range, own ones included) and component of every different vector of one length."""
+    points = stages.write(usable.groupBy("data").agg(F.min("vec_id").alias("point"), F.count(F.lit(1)).alias("copies")).withColumn("hash", F.xxhash64("data")), f"points-{dim}")
     n = points.count()
     some = points if n <= params.sample else points.filter(F.pmod("hash", F.lit(1_000_000)) < int(1_000_000 * params.sample / n))
     sample = np.array([r[0] for r in some.orderBy("hash", "point").limit(params.sample + params.sample // 10).select("data").collect()])
     sample = unit(sample if len(sample) else np.array([points.select("data").first()[0]]))
-    k = max(1, min(-(-n // params.shard_points), len(sample) // params.per_centroid))
-    found = None
+    c = centroids(sample, max(1, min(-(-n // params.shard_points), len(sample) // params.per_centroid)))
     p = params
-    for _ in range(3):
-        found = _search_all(points, centroids(sample, k), dim, n, p, stages)
-        share = _audit(points, found[0], n, p)
+    for k in range(params.rounds):
+        links, edges = _search_all(points, c, dim, n, p, stages)
+        share = _audit(points, links, dim, n, p)
         if share >= p.recall:
             break
-        p = replace(p, beam=2 * p.beam, probes=2 * p.probes, overlap=2 * p.overlap)
-    links, edges = found
-    labels = components(edges, stages, "components")
+        if k + 1 < params.rounds:
+            p = replace(p, beam=2 * p.beam, probes=2 * p.probes, overlap=2 * p.overlap)
+    if share < params.least_recall:
+        raise RuntimeError(f"the audited recall of vectors of length {dim} stays at {share:.3f}, below {params.least_recall}: {last_audit}")
+    labels = components(edges, stages, f"components-{dim}")
     named = points.join(links, "point", "left").join(labels.withColumnRenamed("node", "point"), "point", "left")
-    named = named.select("data", F.coalesce("links", "copies").alias("links"), F.coalesce("component", "point").alias("component"))
-    final = stages.write(named, "final")
-    out = rows.join(final, "data", "left")
-    return out.select("vec_id", F.coalesce(F.col("links") - 1, F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"), (F.col("vec_id") == F.coalesce("component", "vec_id")).alias("kept"))
+    return named.select("data", F.coalesce("links", "copies").alias("links"), F.coalesce("component", "point").alias("component"))
 
 
 def _route(points: DataFrame, c: np.ndarray, dim: int, near: int, stages: Stages, name: str, p: GraphParams) -> DataFrame:
@@ -236,14 +252,49 @@ def _route(points: DataFrame, c: np.ndarray, dim: int, near: int, stages: Stages
     return stages.write(points.select("point", "copies", "data", "hash").mapInArrow(run, "shard long, rank long, point long, copies long, data binary, hash long"), name)
 
 
+def _cut_again(routed: DataFrame, dim: int, p: GraphParams, stages: Stages, tag: str) -> DataFrame:
+    """shard, point, copies, data, hash and what the point does there: build, ask, home.  Large shards are cut by centroids of their own."""
+    flags = lambda sub: (((F.col("rank") < p.overlap) & (sub < p.overlap)).alias("build"), ((F.col("rank") < p.probes) & (sub < p.probes)).alias("ask"), ((F.col("rank") == 0) & (sub == 0)).alias("home"))
+    size = routed.filter(F.col("rank") < p.overlap).groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
+    large = stages.write(size.filter(F.col("n") > 2 * p.shard_rows).select("shard", "n", F.least(F.ceil(2 * F.col("n") / p.shard_rows), F.lit(1000)).cast("long").alias("subs"), F.ceil(F.col("n") / p.shard_rows).cast("long").alias("salts")), f"large-{tag}")
+    whole = ["shard", "point", "copies", "data", "hash"]
+    if large.isEmpty():
+        return routed.select(*whole, *flags(F.lit(0)))
+    small = routed.join(large.select("shard"), "shard", "left_anti").select(*whole, *flags(F.lit(0)))
+    rows = routed.join(large, "shard")
+    # a sample of about `per_centroid` points for each new centroid
+    some = rows.filter((F.col("rank") < p.overlap) & (F.pmod(F.xxhash64("hash"), F.greatest(F.lit(1), F.floor(F.col("n") / (p.per_centroid * F.col("subs"))))) == 0))
+
+    def means(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = _matrix(pdf.sort_values("point", kind="stable")["data"], dim)
+        c = centroids(v, min(int(pdf["subs"].iloc[0]), max(1, len(v) // 4)))
+        return pd.DataFrame({"shard": pdf["shard"].iloc[:1], "means": [c.tobytes()]})
+
+    subs = some.select("shard", "subs", "point", "data").groupBy("shard").applyInPandas(means, "shard long, means binary")
+    subs = subs.join(large.select("shard", "salts"), "shard").select(F.col("shard").alias("of"), "means", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+
+    def nearest(own: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        if not len(own) or not len(table):
+            return pd.DataFrame({k: [] for k in (*whole, "rank", "sub")})
+        score = _matrix(own["data"], dim) @ _matrix(table["means"].iloc[:1], dim).T
+        take = min(max(p.probes, p.overlap), score.shape[1])
+        top = np.argsort(-score, axis=1, kind="stable")[:, :take]
+        out = own.loc[own.index.repeat(take), [*whole, "rank"]].assign(sub=np.tile(np.arange(take), len(own)))
+        return out.assign(shard=out["shard"] * 1000 + 1_000_000 + top.ravel())
+
+    cut = rows.withColumn("salt", F.pmod(F.xxhash64("hash", F.lit(1)), "salts")).select(*whole, "rank", F.col("shard").alias("of"), "salt")
+    cut = cut.groupBy("of", "salt").cogroup(subs.groupBy("of", "salt")).applyInPandas(nearest, "shard long, point long, copies long, data binary, hash long, rank long, sub long")
+    return stages.write(small.unionAll(cut.select(*whole, *flags(F.col("sub")))), f"cut-{tag}")
+
+
 def _search_all(points: DataFrame, c: np.ndarray, dim: int, n: int, p: GraphParams, stages: Stages) -> tuple[DataFrame, DataFrame]:
-    """links (copies within range, own ones included) of every point, and spanning edges."""
-    tag = f"{p.beam}"
-    routed = _route(points, c, dim, max(p.probes, p.overlap), stages, f"routed-{tag}", p)
-    build = routed.filter(F.col("rank") < p.overlap)
-    pieces = build.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / F.lit(p.shard_rows)).cast("long").alias("pieces"))  # a row per shard
+    """links (copies within range, own ones included) and others (different points) of every point, and spanning edges."""
+    tag = f"{dim}-{p.beam}"
+    routed = _cut_again(_route(points, c, dim, max(p.probes, p.overlap), stages, f"routed-{tag}", p), dim, p, stages, tag)
+    build = routed.filter("build")
+    pieces = build.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / F.lit(2 * p.shard_rows)).cast("long").alias("pieces"))  # a row per shard
     pieces = stages.write(pieces, f"pieces-{tag}")
-    build = build.join(F.broadcast(pieces) if len(c) < 100_000 else pieces, "shard").withColumn("piece", F.pmod("hash", "pieces"))
+    build = build.join(pieces, "shard").withColumn("piece", F.pmod("hash", "pieces"))
 
     def graph(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("point", kind="stable")
@@ -253,8 +304,8 @@ def _search_all(points: DataFrame, c: np.ndarray, dim: int, n: int, p: GraphPara
 
     lists = build.select("shard", "piece", "point", "data").groupBy("shard", "piece").applyInPandas(graph, "point long, near array<long>")
     union = lists.groupBy("point").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    members = stages.write(build.join(union, "point").select("shard", "piece", "point", "copies", "rank", "data", "near"), f"members-{tag}")
-    queries = routed.filter(F.col("rank") < p.probes).join(F.broadcast(pieces) if len(c) < 100_000 else pieces, "shard").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
+    members = stages.write(build.join(union, "point").select("shard", "piece", "point", "copies", "home", "data", "near"), f"members-{tag}")
+    queries = routed.filter("ask").join(pieces, "shard").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
     # a piece's queries come in slices of bounded size, each with the piece's graph
     per = queries.groupBy("shard", "piece").agg(F.ceil(F.count(F.lit(1)) / F.lit(2 * p.shard_rows)).cast("long").alias("slices"))
     per = stages.write(per, f"slices-{tag}")
@@ -263,7 +314,7 @@ def _search_all(points: DataFrame, c: np.ndarray, dim: int, n: int, p: GraphPara
     right = queries.select("shard", "piece", "point", "data", "hash").join(per, ["shard", "piece"]).withColumn("slice", F.pmod("hash", "slices"))
 
     def visit(_key: tuple, own: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"kind": [], "a": [], "b": []}).astype("int64")
+        empty = pd.DataFrame({"kind": [], "a": [], "b": [], "c": []}).astype("int64")
         if not len(own) or not len(ask):
             return empty
         own = own.sort_values("point", kind="stable").reset_index(drop=True)
@@ -280,43 +331,54 @@ def _search_all(points: DataFrame, c: np.ndarray, dim: int, n: int, p: GraphPara
         medoid = int((v @ mean).argmax())
         entries = np.unique(np.concatenate([[medoid], np.linspace(0, len(ids) - 1, min(p.beam, len(ids))).astype(np.int64)]))
         entries = np.concatenate([[medoid], entries[entries != medoid]])[: min(p.beam, len(ids))]
-        home, copies = (own["rank"] == 0).to_numpy(), own["copies"].to_numpy(np.int64)
-        links, us, vs = np.zeros(len(ask), np.int64), [], []
+        home, copies = own["home"].to_numpy(bool), own["copies"].to_numpy(np.int64)
+        links, others, us, vs = np.zeros(len(ask), np.int64), np.zeros(len(ask), np.int64), [], []
         asked = ask["point"].to_numpy(np.int64)
         for lo in range(0, len(ask), 512):
             a, b = search(v, padded, _matrix(ask["data"].iloc[lo : lo + 512], dim), p, entries)
             links[lo : lo + 512] += np.bincount(a, np.where(home[b], copies[b], 0), min(512, len(ask) - lo)).astype(np.int64)
+            others[lo : lo + 512] += np.bincount(a, home[b] & (ids[b] != asked[lo + a]), min(512, len(ask) - lo)).astype(np.int64)
             u, w = forest(asked[lo + a], ids[b])
             us.append(u)
             vs.append(w)
         u, w = forest(np.concatenate(us), np.concatenate(vs))
         some = links > 0
-        return pd.DataFrame({"kind": np.concatenate([np.zeros(some.sum(), np.int64), np.ones(len(u), np.int64)]), "a": np.concatenate([asked[some], u]), "b": np.concatenate([links[some], w])})
+        return pd.DataFrame({"kind": np.concatenate([np.zeros(some.sum(), np.int64), np.ones(len(u), np.int64)]), "a": np.concatenate([asked[some], u]), "b": np.concatenate([links[some], w]), "c": np.concatenate([others[some], np.zeros(len(u), np.int64)])})
 
-    both = stages.write(left.select(*key, "point", "copies", "rank", "data", "near").groupBy(*key).cogroup(right.select(*key, "point", "data").groupBy(*key)).applyInPandas(visit, "kind long, a long, b long"), f"found-{tag}")
-    return both.filter("kind = 0").groupBy(F.col("a").alias("point")).agg(F.sum("b").alias("links")), both.filter("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    both = stages.write(left.select(*key, "point", "copies", "home", "data", "near").groupBy(*key).cogroup(right.select(*key, "point", "data").groupBy(*key)).applyInPandas(visit, "kind long, a long, b long, c long"), f"found-{tag}")
+    return both.filter("kind = 0").groupBy(F.col("a").alias("point")).agg(F.sum("b").alias("links"), F.sum("c").alias("others")), both.filter("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def _audit(points: DataFrame, links: DataFrame, n: int, p: GraphParams) -> float:
-    """Share of the true links of some queries that were found; those queries against all points, by brute force."""
-    step = max(1, n // p.audit)
-    asked = points.filter(F.pmod(F.xxhash64("point"), F.lit(step)) == 0).orderBy("point").limit(4 * p.audit).join(links, "point", "left").select("point", "data", F.coalesce("links", F.lit(0)).alias("links")).collect()
-    if not asked:
-        return 1.0
-    q = unit(np.array([r["data"] for r in asked]))
-    shared = points.sparkSession.sparkContext.broadcast(q)
+def _audit(points: DataFrame, links: DataFrame, dim: int, n: int, p: GraphParams) -> float:
+    """Share of the true links of some queries that were found; those queries against all points, by brute force.
 
-    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(shared.value), np.int64)
-        for batch in stream:
-            if batch.num_rows:
-                x = unit(batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
-                total += (shared.value @ x.T >= p.threshold) @ batch.column(1).to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["q", "n"])
-
-    truth = np.zeros(len(q), np.int64)
-    for r in points.select("data", "copies").mapInArrow(run, "q long, n long").groupBy("q").agg(F.sum("n").alias("n")).collect():
-        truth[r["q"]] = r["n"]
-    got = np.minimum(np.array([r["links"] for r in asked]), truth)
-    last_audit.update(queries=len(q), links=int(truth.sum()), recall=float(got.sum() / max(1, truth.sum())), beam=p.beam, probes=p.probes)
-    return last_audit["recall"]
+    A link is a different point within range, whatever its copies; the query itself is none.
+    """
+    most, share = p.audit, None
+    while True:
+        asked = points.filter(F.pmod(F.xxhash64("point"), F.lit(max(1, n // most))) == 0).orderBy(F.xxhash64("point"), "point").limit(most)
+        asked = asked.join(links, "point", "left").select("point", "data", F.coalesce("others", F.lit(0)).alias("others")).collect()
+        q, ids = unit(np.array([r["data"] for r in asked])), np.array([r["point"] for r in asked])
+        shared = points.sparkSession.sparkContext.broadcast((q, ids))
+
+        def run(stream: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            q, ids = shared.value
+            total = np.zeros(len(q), np.int64)
+            for batch in stream:
+                if batch.num_rows:
+                    x = unit(batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
+                    other = ids[:, None] != batch.column(1).to_numpy()[None]
+                    for k in range(0, len(q), 256):
+                        total[k : k + 256] += ((q[k : k + 256] @ x.T >= p.threshold) & other[k : k + 256]).sum(1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["q", "n"])
+
+        truth = np.zeros(len(q), np.int64)
+        for r in points.select("data", "point").mapInArrow(run, "q long, n long").groupBy("q").agg(F.sum("n").alias("n")).collect():
+            truth[r["q"]] = r["n"]
+        if truth.sum() >= p.audit_links or most >= min(n, p.audit_most):
+            break
+        most = min(4 * most, p.audit_most)
+    got = np.minimum(np.array([r["others"] for r in asked]), truth)
+    share = float(got.sum() / truth.sum()) if truth.sum() else 1.0
+    last_audit.update(dim=dim, queries=len(q), with_links=int((truth > 0).sum()), links=int(truth.sum()), recall=share, beam=p.beam, probes=p.probes)
+    return share

@@ -134,21 +134,52 @@ def test_vectors(spark):
     rows = [b.tolist() for b in rng.normal(size=(300, 16))]
     for b in base:
         rows += [(b + rng.normal(size=16) * s).tolist() for s in rng.uniform(0, 0.35, 12)]
-    rows += [rows[0]] * 40 + [[2 * x for x in rows[1]], [0.0] * 16, None, [float("nan")] * 16, [float("inf")] + [1.0] * 15, [1.0, 2.0], [], [None] * 16, [1e300] * 16, [1e-300] * 16]
-    df = spark.createDataFrame([(i, r, 1) for i, r in enumerate(rows)], "vec_id long, embedding array<double>, label int")
-    got = {r["vec_id"]: r for r in vectors.link(df, vectors.GraphParams(shard_points=120, shard_rows=90)).collect()}
-    fine = [i for i, r in enumerate(rows) if r and len(r) == 16 and None not in r and np.isfinite(r).all() and any(r)]
-    v = vectors.unit(np.array([rows[i] for i in fine]))
-    near = v @ v.T >= 0.9
-    truth = dict(zip(fine, (near.sum(1) - 1).tolist(), strict=True))
-    assert all(got[i]["n_links"] <= truth.get(i, 0) for i in got)
-    assert sum(got[i]["n_links"] for i in fine) >= 0.97 * sum(truth.values()) > 500
-    want = roots(range(len(rows)), [(fine[a], fine[b]) for a, b in np.argwhere(np.triu(near, 1))])
+    rows += [rows[0]] * 40 + [[2 * x for x in rows[1]], [0.0] * 16, None, [float("nan")] * 16, [float("inf")] + [1.0] * 15, [1.0, 2.0], [2.0, 4.1], [], [None] * 16, [1e300] * 16, [1e-300] * 16]
+    df = spark.createDataFrame([(i, r, 1) for i, r in enumerate(rows)] + [(None, rows[0], 1), (None, None, 1)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r for r in vectors.link(df, vectors.GraphParams(shard_points=120, shard_rows=30)).collect()}
+    got.pop(None)
+    links = []
+    for dim in (2, 16):
+        fine = [i for i, r in enumerate(rows) if r and len(r) == dim and None not in r and np.isfinite(r).all() and any(r)]
+        v = vectors.unit(np.array([rows[i] for i in fine]))
+        links += [(fine[a], fine[b]) for a, b in np.argwhere(np.triu(v @ v.T >= 0.9, 1))]
+    truth = np.bincount(np.array(links).ravel(), minlength=len(rows))
+    assert all(got[i]["n_links"] <= truth[i] for i in got)
+    assert sum(got[i]["n_links"] for i in got) >= 0.97 * truth.sum() > 500
+    want = roots(range(len(rows)), links)
     assert np.mean([got[i]["component_id"] == want[i] for i in got]) > 0.97
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got.values())
     assert vectors.link(df.limit(0)).count() == 0
 
 
+def test_vectors_recall_of_planted_links(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for b in rng.normal(size=(500, 32)):  # families of different points, with thousands of links between them
+        rows += [(b + rng.normal(size=32) * s).tolist() for s in rng.uniform(0, 0.3, int(rng.integers(2, 14)))]
+    rows += rng.normal(size=(2000, 32)).tolist()
+    df = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")
+    v = vectors.unit(np.array(rows))
+    truth = (v @ v.T >= 0.9).sum(1) - 1
+    for params in (vectors.GraphParams(shard_points=400), vectors.GraphParams(shard_points=3000, shard_rows=200, per_centroid=2000)):
+        got = np.zeros(len(rows), int)
+        for r in vectors.link(df, params).collect():
+            got[r["vec_id"]] = r["n_links"]
+        assert (got <= truth).all() and truth.sum() > 5000
+        assert got.sum() >= 0.95 * truth.sum()
+        audit = vectors.last_audit
+        assert audit["links"] > 100 and audit["recall"] >= 0.95 and audit["with_links"] < audit["queries"]
+
+
+def test_a_search_that_misses_fails(spark):
+    rng = np.random.default_rng(7)
+    rows = [(b + rng.normal(size=24) * 0.2).tolist() for b in rng.normal(size=(150, 24)) for _ in range(6)]
+    df = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")
+    blind = vectors.GraphParams(shard_points=10, probes=1, overlap=1, beam=1, rounds=1, nearest=1, degree=1, per_centroid=1)
+    with pytest.raises(RuntimeError, match="recall"):
+        vectors.link(df, blind)
+
+
 def test_passages(spark):
     rng = np.random.default_rng(8)
     clean = [" ".join(words(rng, 200)) for _ in range(40)]
