@@ -136,7 +136,7 @@ def _ask(batch: int, keys: np.ndarray, arrays: list[np.ndarray], parts: int) ->
 def _add(rows: list[dict], names: list[str]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """Distinct keys of a range, each one's number per row, and the sums of the named counts."""
     each = [unsqueeze_sorted(r["keys"]) for r in rows]
-    keys = np.unique(np.concatenate(each)) if each else np.zeros(0, U64)
+    keys = tv.distinct(np.concatenate(each)) if each else np.zeros(0, U64)
     place = [np.searchsorted(keys, k) for k in each]
     sums = []
     for name in names:

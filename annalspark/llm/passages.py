@@ -232,7 +232,7 @@ def _shingles(docs: DataFrame, wanted: DataFrame, p: PassageParams) -> DataFrame
             some = np.flatnonzero((flags.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
             some = some[np.unique(c[some], return_index=True)[1]]
             g = tv.chain(words.h, p.shingle)
-            yield pa.RecordBatch.from_arrays([pa.array(c[some]), pa.array([np.unique(g[first[i] : first[i] + many[i] - p.shingle + 1]).tobytes() for i in some], pa.binary())], names=["content", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[some]), pa.array([tv.distinct(g[first[i] : first[i] + many[i] - p.shingle + 1]).tobytes() for i in some], pa.binary())], names=["content", "shingles"])
 
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, "content long, shingles binary")
     return found.groupBy("content").agg(F.first("shingles").alias("shingles")).join(wanted, "content", "left_semi")

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +58,16 @@ class QualityModel:
     good: np.ndarray
     params: QualityParams = field(default_factory=QualityParams)
 
+    @cached_property
+    def ratio(self) -> np.ndarray:
+        """Truncated log ratio of every bucket, for documents that are (1) and are not (0) part of the target model."""
+        p = self.params
+        prior = np.full(len(self.raw), p.prior, np.float32)
+        prior[1 << p.bits :] = p.pair_prior
+        below = np.maximum(self.raw - 1, 0) * np.float32(self.n_target / max(1, self.n_raw)) + prior
+        ratio = np.stack([np.log((np.maximum(self.target - own, 0) + prior) / below) for own in (0, 1)])
+        return np.where(ratio < -p.dead_zone, ratio, 0)
+
 
 def features(words: tv.Words, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (text number, bucket) pairs of a slice; buckets from 2**bits on are those of word pairs."""
@@ -71,7 +82,7 @@ def features(words: tv.Words, bits: int) -> tuple[np.ndarray, np.ndarray]:
     pair = tv.chain(words.h, 2)
     same = doc[: len(pair)] == doc[1:]
     bucket = np.concatenate([words.h, *tail]) >> U64(64 - bits)
-    key = np.unique(np.concatenate([np.tile(doc.astype(U64), 3) << U64(bits + 1) | bucket, doc[: len(pair)][same].astype(U64) << U64(bits + 1) | U64(1 << bits) | pair[same] >> U64(64 - bits)]))
+    key = tv.distinct(np.concatenate([np.tile(doc.astype(U64), 3) << U64(bits + 1) | bucket, doc[: len(pair)][same].astype(U64) << U64(bits + 1) | U64(1 << bits) | pair[same] >> U64(64 - bits)]))
     return (key >> U64(bits + 1)).astype(np.int64), (key & U64((2 << bits) - 1)).astype(np.int64)
 
 
@@ -157,13 +168,8 @@ def fit(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParam
 
 def log_weights(words: tv.Words, is_target: np.ndarray, model: QualityModel) -> np.ndarray:
     """Truncated log importance weight of each text of a slice, its own counts left out."""
-    p = model.params
-    doc, bucket = features(words, p.bits)
-    own = is_target[doc]
-    share = model.n_target / max(1, model.n_raw)
-    prior = np.where(bucket >> p.bits, p.pair_prior, p.prior)
-    ratio = np.log((np.maximum(model.target[bucket] - own, 0) + prior) / (np.maximum(model.raw[bucket] - 1.0, 0) * share + prior))
-    return np.bincount(doc, np.where(ratio < -p.dead_zone, ratio, 0.0), minlength=len(is_target))
+    doc, bucket = features(words, model.params.bits)
+    return np.bincount(doc, np.where(is_target[doc], model.ratio[1][bucket], model.ratio[0][bucket]) if is_target.any() else model.ratio[0][bucket], minlength=len(is_target))
 
 
 def _gumbel(noise: np.ndarray) -> np.ndarray:

@@ -50,6 +50,17 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(29))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; by a plain sort, which is several times faster here than the hashing of np.unique."""
+    x = np.sort(x)
+    if len(x) < 2:
+        return x
+    new = np.empty(len(x), bool)
+    new[0] = True
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
+
+
 def buffers(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (int64, one more than rows) of a string column; nulls are empty."""
     if isinstance(col, pa.ChunkedArray):
@@ -169,7 +180,7 @@ class Members:
     """Fast membership of 64-bit values in a fixed set: a bitmap first, an exact search for what passes it."""
 
     def __init__(self, values: np.ndarray) -> None:
-        self.values = np.unique(values.astype(U64))
+        self.values = distinct(values.astype(U64))
         bits = max(16, int(np.ceil(np.log2(max(1, len(self.values))))) + 5)
         self.shift = U64(64 - bits)
         self.map = np.zeros(1 << bits, bool)
