@@ -10,7 +10,7 @@ Classes of equal sets are single points of it.
    sets with the same content in one block.  Sets near the border of a size class join the class below too.  A set
    skips blocks with fewer than two shingles unless more than e are such; with more than e empty blocks it adds its
    rarest-hash prefix.  No pair is left out.
-2. *Clusters.*  256 counts of each set bound its distance to any other from below.  Members of a region that this bound
+2. *Clusters.*  256 counts of each set (more for long texts) bound its distance to any other from below.  Members of a region that this bound
    does not keep apart belong to one cluster (components of that relation, made from spanning edges).  A linked pair is
    always in one cluster, whose members are near copies of each other: distances there are spread, and pivots work.
 3. *Voronoi recursion.*  Every cluster is joined by pivots, real sets of it, and exact distances.  What lies within r of
@@ -67,7 +67,7 @@ class JaccardParams:
     chunk: int = 1024
     #: A cluster beyond these sets or bytes is dealt to cells over several tasks.
     cell_sets: int = 2048
-    cell_bytes: int = 8 << 20
+    cell_bytes: int = 16 << 20
     #: Pivots of a cell of a large cluster (about), and of a cell in a task.
     pivots: int = 16
     near_pivots: int = 6
@@ -94,7 +94,7 @@ def _classes(p: JaccardParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def sets_of(words: tv.Words, p: JaccardParams) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingles of each text of a slice, one after another, and their offsets."""
     g, off = words.grams(p.words, whole=True)
-    each = [np.unique(g[a:b]) for a, b in zip(off[:-1], off[1:], strict=True)]
+    each = [tv.distinct(g[a:b]) for a, b in zip(off[:-1], off[1:], strict=True)]
     return (np.concatenate(each) if each else g), np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
 
 
@@ -154,11 +154,23 @@ def keys(g: np.ndarray, off: np.ndarray, p: JaccardParams) -> tuple[np.ndarray,
     return np.concatenate(out_k), np.concatenate(out_s)
 
 
-def sketch(g: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Shingles of each set in 256 blocks of the universe: the distances to 256 fixed pivots, up to a constant."""
-    n = len(off) - 1
-    at = np.repeat(np.arange(n), np.diff(off)) * SKETCH + (tv.mix(g ^ U64(0x8CB92BA72F3D8DD7)) >> U64(56)).astype(np.int64)
-    return np.bincount(at, minlength=n * SKETCH).reshape(n, SKETCH).astype(np.int32)
+def sketch(g: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
+    """Shingles of each set in 256 blocks of the universe, or a finer power of two that keeps a block at about four:
+    the distances to as many fixed pivots, up to a constant.  Saturated counts only shrink differences, so bounds hold."""
+    size = np.diff(off)
+    fine = np.ceil(np.log2(np.maximum(size, 1024) / 1024)).astype(np.int64)
+    width = SKETCH << fine
+    base = np.concatenate([[0], np.cumsum(width)])
+    at = np.repeat(base[:-1], size) + (tv.mix(g ^ U64(0x8CB92BA72F3D8DD7)) >> np.repeat((56 - fine).astype(U64), size)).astype(np.int64)
+    return np.split(np.minimum(np.bincount(at, minlength=base[-1]), 255).astype(np.uint8), base[1:-1])
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of one matrix, by sums of neighbouring blocks down to the coarsest width."""
+    width = min(map(len, sketches))
+    if all(len(x) == width for x in sketches):
+        return np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, width).astype(np.int16)
+    return np.stack([np.frombuffer(x, np.uint8).reshape(width, -1).sum(1, dtype=np.int16) for x in sketches])
 
 
 def _each(stream: Iterator[pa.RecordBatch], column: int, p: JaccardParams) -> Iterator[tuple[pa.RecordBatch, int, int, np.ndarray, np.ndarray]]:
@@ -280,10 +292,10 @@ def _place(ids: np.ndarray, bits: int) -> np.ndarray:
     return (tv.mix(ids.view(U64)) >> U64(64 - bits)).astype(np.int64)
 
 
-def _contents(docs: DataFrame, wanted: DataFrame, p: JaccardParams) -> DataFrame:
-    """set, shingles, sketch of the wanted sets (column `set`), read again from the documents."""
+def _again(docs: DataFrame, wanted: DataFrame, p: JaccardParams, column: str) -> DataFrame:
+    """set, n (its size) and its sketch or shingles, for the wanted sets (column `set`), read again from the documents."""
     bits = min(p.filter_bits, max(16, 4 + wanted.count().bit_length()))
-    flags = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted, bits))
+    flags = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted.select("set"), bits))
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for *_, g, off in _each(stream, 0, p):
@@ -291,31 +303,36 @@ def _contents(docs: DataFrame, wanted: DataFrame, p: JaccardParams) -> DataFrame
             at = _place(ids, bits)
             ids = np.where((flags.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1, ids, 0)
             ids, g, off = _first_of(ids, g, off)
-            flat = sketch(g, off)  # saturated counts: differences only shrink, so the bound holds
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.array([g[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary()), pa.array([x.tobytes() for x in np.minimum(flat, 255).astype(np.uint8)], pa.binary())],
-                names=["set", "shingles", "sketch"],
-            )
+            if column == "sketch":
+                data = [x.tobytes() for x in sketch(g, off)] if len(ids) else []
+            else:
+                data = [g[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.diff(off)), pa.array(data, pa.binary())], names=["set", "n", column])
 
-    found = docs.select("text").mapInArrow(run, "set long, shingles binary, sketch binary")
-    return found.groupBy("set").agg(F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch")).join(wanted, "set", "left_semi")
+    found = docs.select("text").mapInArrow(run, f"set long, n long, {column} binary")
+    return found.groupBy("set").agg(F.first("n").alias("n"), F.first(column).alias(column)).join(wanted, "set")
 
 
-def _plausible(pairs: DataFrame, contents: DataFrame, p: JaccardParams) -> DataFrame:
+def _plausible(pairs: DataFrame, sketches: DataFrame, p: JaccardParams) -> DataFrame:
     """The pairs (a, b) that the distances to the fixed pivots do not exclude; their sets are not moved for that."""
     bound = (100 - p.percent) / (100 + p.percent)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16) for k in (2, 3))
+            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             size = batch.column(4).to_numpy() + batch.column(5).to_numpy()
-            keep = np.abs(x - y).sum(1, dtype=np.int64) <= bound * size + 1e-9
+            keep = np.zeros(len(x), bool)
+            width = np.array([min(len(a), len(b)) for a, b in zip(x, y, strict=True)])
+            for w in np.unique(width):
+                some = np.flatnonzero(width == w)
+                rows = folded([bytes(w), *(x[i] for i in some), *(y[i] for i in some)])[1:]
+                keep[some] = np.abs(rows[: len(some)] - rows[len(some) :]).sum(1, dtype=np.int64) <= bound * size[some] + 1e-9
             yield batch.select([0, 1]).filter(pa.array(keep))
 
-    side = contents.select("set", "sketch", (F.length("shingles") / 8).cast("long").alias("n"))
-    right = side.select(F.col("set").alias("b"), F.col("sketch").alias("y"), F.col("n").alias("m"))
-    left = side.select(F.col("set").alias("a"), F.col("sketch").alias("x"), "n")
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y", "n", "m").mapInArrow(run, "a long, b long")
+    right = sketches.select(F.col("set").alias("b"), F.col("sketch").alias("y"), F.col("n").alias("m"))
+    left = sketches.select(F.col("set").alias("a"), F.col("sketch").alias("x"), "n")
+    fits = F.abs(F.col("n") - F.col("m")) <= bound * (F.col("n") + F.col("m")) + 1e-9
+    return pairs.join(right, "b").join(left, "a").filter(fits).select("a", "b", "x", "y", "n", "m").mapInArrow(run, "a long, b long")
 
 
 def merge(label: np.ndarray, members: np.ndarray) -> None:
@@ -350,11 +367,16 @@ def bridge(sizes: np.ndarray, sketches: np.ndarray, label: np.ndarray, one: np.n
 
 
 class Cell:
-    """Sets of one cluster with their shingles renumbered, for exact distances."""
+    """Sets of one cluster with their shingles renumbered, for exact distances.
+
+    size: given where the sets are stored as differences from one common set D (A ^ D for A); then |A ^ B| is that of
+    the differences, and near copies cost little.
+    """
 
-    def __init__(self, sets: list[np.ndarray]) -> None:
-        self.size = np.array([len(x) for x in sets], np.int64)
-        self.off = np.concatenate([[0], np.cumsum(self.size)])
+    def __init__(self, sets: list[np.ndarray], size: np.ndarray | None = None) -> None:
+        self.kept = np.array([len(x) for x in sets], np.int64)
+        self.size = self.kept if size is None else size
+        self.off = np.concatenate([[0], np.cumsum(self.kept)])
         _, at = np.unique(np.concatenate(sets), return_inverse=True)
         self.at = at.astype(np.int32)
         self.mark = np.zeros(int(at.max()) + 1 if len(at) else 0, bool)
@@ -363,15 +385,15 @@ class Cell:
         """Sizes of the intersections of set x with the members."""
         own = self.at[self.off[x] : self.off[x + 1]]
         self.mark[own] = True
-        size = self.size[members]
-        if len(members) == len(self.size):
+        kept = self.kept[members]
+        if len(members) == len(self.kept):
             hit = self.mark[self.at]
         else:
-            new = np.cumsum(size) - size
-            hit = self.mark[self.at[np.repeat(self.off[members] - new, size) + np.arange(size.sum())]]
-        out = np.concatenate([[0], np.cumsum(hit, dtype=np.int64)])[np.concatenate([[0], np.cumsum(size)])]
+            new = np.cumsum(kept) - kept
+            hit = self.mark[self.at[np.repeat(self.off[members] - new, kept) + np.arange(kept.sum())]]
+        out = np.concatenate([[0], np.cumsum(hit, dtype=np.int64)])[np.concatenate([[0], np.cumsum(kept)])]
         self.mark[own] = False
-        return np.diff(out)
+        return (self.size[x] + self.size[members] - self.kept[x] - kept + 2 * np.diff(out)) // 2
 
     def distance(self, x: int, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distances of set x to the members, and shared shingles."""
@@ -441,11 +463,11 @@ def _members(regions: DataFrame, p: JaccardParams) -> DataFrame:
     return member.filter(F.length("members") > 16).mapInArrow(explode, "small boolean, first long, region long, set long, chunk long, chunks long")
 
 
-def _bridges(flat: DataFrame, labels: DataFrame, contents: DataFrame, p: JaccardParams) -> DataFrame:
+def _bridges(flat: DataFrame, labels: DataFrame, sketches: DataFrame, p: JaccardParams) -> DataFrame:
     """Spanning edges (u, v) between components of sets that share a region and may be similar."""
     named = flat.join(labels.select(F.col("node").alias("set"), "component"), "set", "left").withColumn("label", F.coalesce("component", "set")).drop("component")
     mixed = named.groupBy("region").agg((F.min("label") != F.max("label")).alias("open")).filter("open").select("region")
-    rows = named.join(mixed, "region").join(contents.select("set", F.length("shingles").alias("bytes"), "sketch"), "set")
+    rows = named.join(mixed, "region").join(sketches, "set")
     # a region of several chunks becomes all pairs of chunks, each a group of bounded size; small regions share groups
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).withColumn("lo", F.least("chunk", "with")).withColumn("hi", F.greatest("chunk", "with"))
     shared = max(1, flat.count() // 10_000)
@@ -456,8 +478,8 @@ def _bridges(flat: DataFrame, labels: DataFrame, contents: DataFrame, p: Jaccard
         region = pdf["region"].to_numpy(np.int64)
         names, label = np.unique(pdf["label"].to_numpy(np.int64), return_inverse=True)
         known = np.arange(len(names))  # components that the regions of this group have joined so far
-        sizes = pdf["bytes"].to_numpy(np.int64) // 8
-        sketches = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(-1, SKETCH).astype(np.int16)
+        sizes = pdf["n"].to_numpy(np.int64)
+        sketches = pdf["sketch"].tolist()
         high = (pdf["chunk"] == pdf["hi"]).to_numpy()
         across = pdf["lo"].iloc[0] != pdf["hi"].iloc[0]
         cut = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1], [True]]))
@@ -467,13 +489,13 @@ def _bridges(flat: DataFrame, labels: DataFrame, contents: DataFrame, p: Jaccard
             if (now == now[0]).all():
                 continue
             every = np.arange(j - i)
-            bridge(sizes[i:j], sketches[i:j], now, every[~high[i:j]] if across else every, every[high[i:j]] if across else every, p)
+            bridge(sizes[i:j], folded(sketches[i:j]), now, every[~high[i:j]] if across else every, every[high[i:j]] if across else every, p)
             for new in np.unique(now[now != before]):
                 merge(known, np.unique(np.append(before[now == new], new)))
         apart = known != np.arange(len(names))
         return pd.DataFrame({"u": names[apart], "v": names[known[apart]]})
 
-    return rows.select("group", "region", "set", "chunk", "lo", "hi", "label", "bytes", "sketch").groupBy("group", "lo", "hi").applyInPandas(run, "u long, v long").distinct()
+    return rows.select("group", "region", "set", "chunk", "lo", "hi", "label", "n", "sketch").groupBy("group", "lo", "hi").applyInPandas(run, "u long, v long").distinct()
 
 
 def _sets(col: pa.ChunkedArray) -> list[np.ndarray]:
@@ -481,87 +503,88 @@ def _sets(col: pa.ChunkedArray) -> list[np.ndarray]:
 
 
 def _joined(cells: DataFrame, group, p: JaccardParams) -> DataFrame:
-    """Spanning edges of the links of every cell; cells (key, home, set, shingles) share tasks by `group`."""
+    """Spanning edges of the links of every cell; cells (key, home, set, n, shingles) share tasks by `group`."""
 
     def run(table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("key").to_numpy(), kind="stable")
-        key, ids, home = (table.column(c).to_numpy()[order] for c in ("key", "set", "home"))
+        key, ids, home, size = (table.column(c).to_numpy()[order] for c in ("key", "set", "home", "n"))
         sets = _sets(table.column("shingles"))
         us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else [0]
         for i, j in zip(cut[:-1], cut[1:], strict=True):
             if j - i > 1:
-                label = voronoi(Cell([sets[k] for k in order[i:j]]), home[i:j].astype(bool), p)
+                label = voronoi(Cell([sets[k] for k in order[i:j]], size[i:j]), home[i:j].astype(bool), p)
                 child = np.flatnonzero(label != np.arange(j - i))
                 us.append(ids[i:j][child])
                 vs.append(ids[i:j][label[child]])
         return pa.table({"u": pa.array(np.concatenate(us), pa.int64()), "v": pa.array(np.concatenate(vs), pa.int64())})
 
-    return cells.select(group.alias("group"), "key", "home", "set", "shingles").groupBy("group").applyInArrow(run, EDGES).filter("u <> v")
+    return cells.select(group.alias("group"), "key", "home", "set", "n", "shingles").groupBy("group").applyInArrow(run, EDGES).filter("u <> v")
 
 
 def _split(cells: DataFrame, big: DataFrame, depth: int, p: JaccardParams) -> DataFrame:
-    """One round over large cells: edges to pivots (u, v) and places (key, new, set, home) in the pivots' cells."""
+    """One round over large cells: edges to pivots (u, v), places (key, new, set, home) in the pivots' cells, and members
+    (key, set, n, rest), whose shingles are stored as the difference from the cell's first pivot."""
     r = 1 - p.percent / 100 + 1e-9
-    rows = cells.join(big.select("key", "n", "salts"), "key")
-    pivots = rows.filter(F.col("home") & (F.pmod(F.xxhash64("set", F.lit(depth)), F.greatest(F.lit(1), F.floor(F.col("n") / p.pivots))) == 0))
+    rows = cells.join(big.select("key", F.col("n").alias("members"), "salts"), "key")
+    pivots = rows.filter(F.col("home") & (F.pmod(F.xxhash64("set", F.lit(depth)), F.greatest(F.lit(1), F.floor(F.col("members") / p.pivots))) == 0))
     pivots = pivots.select("key", "set", "shingles", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")).toDF("cell", "pivot", "own", "task")
-    rows = rows.select("key", "home", "set", "shingles", F.pmod(F.xxhash64("set", F.lit("salt")), "salts").alias("salt"))
+    rows = rows.select("key", "home", "set", "n", "shingles", F.pmod(F.xxhash64("set", F.lit("salt")), "salts").alias("salt"))
+    types = {"u": pa.int64(), "v": pa.int64(), "key": pa.int64(), "new": pa.int64(), "set": pa.int64(), "home": pa.int64(), "n": pa.int64(), "rest": pa.binary()}
+
+    def table(parts: dict) -> pa.Table:
+        rows = len(next(iter(parts.values())))
+        return pa.table({k: pa.array(parts[k], t) if k in parts else pa.nulls(rows, t) for k, t in types.items()})
 
     def visit(left: pa.Table, right: pa.Table) -> pa.Table:
         n, m = left.num_rows, right.num_rows
-        empty = np.zeros(0, np.int64)
-        out = {k: [empty] for k in ("u", "v", "key", "new", "set", "home")}
-        if n:
-            ids, home, key = (left.column(c).to_numpy() for c in ("set", "home", "key"))
-            if m:
-                right = right.sort_by("pivot")
-                at = right.column("pivot").to_numpy()
-                cell = Cell(_sets(left.column("shingles")) + _sets(right.column("own")))
-                far, members = np.zeros((n, m)), np.arange(n)
-                for k in range(m):
-                    far[:, k], both = cell.distance(n + k, members)
-                    hit = members[cell.linked(n + k, members, both, p)]
-                    out["u"].append(ids[hit])
-                    out["v"].append(np.full(len(hit), at[k]))
-                row, k = np.nonzero(far <= far.min(1, keepdims=True) + 2 * r)
-                mine = far.argmin(1)
-                new = tv.mix(key[row].view(U64) + tv.mix(at[k].view(U64))).view(np.int64)
-                parts = {"key": key[row], "new": new, "set": ids[row], "home": (home[row] & (mine[row] == k)).astype(np.int64)}
-            else:
-                parts = {"key": key, "new": key, "set": ids, "home": home.astype(np.int64)}
-            for name, part in parts.items():
-                out[name].append(part)
-        flat = {k: np.concatenate(x) for k, x in out.items()}
-        edges, places = len(flat["u"]), len(flat["set"])
-        return pa.table({k: pa.concat_arrays([pa.array(flat[k], pa.int64()), pa.nulls(places, pa.int64())]) if k in "uv" else pa.concat_arrays([pa.nulls(edges, pa.int64()), pa.array(flat[k], pa.int64())]) for k in out})
-
-    return rows.groupBy("key", "salt").cogroup(pivots.groupBy("cell", "task")).applyInArrow(visit, "u long, v long, key long, new long, set long, home long")
-
-
-def _compared(cells: DataFrame, labels: DataFrame, p: JaccardParams) -> DataFrame:
+        if not n:
+            return table({"u": []})
+        ids, home, key, size = (left.column(c).to_numpy() for c in ("set", "home", "key", "n"))
+        sets = _sets(left.column("shingles"))
+        if not m:  # no pivot was drawn: the cell stays as it is
+            return pa.concat_tables([table({"key": key, "new": key, "set": ids, "home": home.astype(np.int64)}), table({"key": key, "set": ids, "n": size, "rest": [x.tobytes() for x in sets]})])
+        right = right.sort_by("pivot")
+        at, own = right.column("pivot").to_numpy(), _sets(right.column("own"))
+        cell, members = Cell(sets + own), np.arange(n)
+        far, us, vs = np.zeros((n, m)), [], []
+        for k in range(m):
+            far[:, k], both = cell.distance(n + k, members)
+            hit = members[cell.linked(n + k, members, both, p)]
+            us.append(ids[hit])
+            vs.append(np.full(len(hit), at[k]))
+        row, k = np.nonzero(far <= far.min(1, keepdims=True) + 2 * r)
+        new = tv.mix(key[row].view(U64) + tv.mix(at[k].view(U64))).view(np.int64)
+        places = {"key": key[row], "new": new, "set": ids[row], "home": (home[row] & (far.argmin(1)[row] == k)).astype(np.int64)}
+        rest = {"key": key, "set": ids, "n": size, "rest": [np.setxor1d(x, own[0], assume_unique=True).tobytes() for x in sets]}
+        return pa.concat_tables([table({"u": np.concatenate(us), "v": np.concatenate(vs)}), table(places), table(rest)])
+
+    return rows.groupBy("key", "salt").cogroup(pivots.groupBy("cell", "task")).applyInArrow(visit, "u long, v long, key long, new long, set long, home long, n long, rest binary")
+
+
+def _compared(members: DataFrame, labels: DataFrame, p: JaccardParams) -> DataFrame:
     """Spanning edges of large cells whose windows hold nearly everything: what is not in a cell's largest component against all, in chunks."""
-    named = cells.join(labels.select(F.col("node").alias("set"), "component"), "set", "left").withColumn("label", F.coalesce("component", "set"))
+    named = members.join(labels.select(F.col("node").alias("set"), "component"), "set", "left").select("key", "set", "n", F.col("rest").alias("shingles"), F.coalesce("component", "set").alias("label"))
     per = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("shingles")).alias("bytes"))
-    per = per.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max("n").alias("most"), (F.sum("bytes") - F.max_by("bytes", F.struct("n", "label"))).alias("rest"))
-    chunks = lambda n, size: F.greatest(F.ceil(n / F.lit(p.chunk)), F.ceil(size / F.lit(p.cell_bytes)), F.lit(1)).cast("long")
-    per = per.filter("most < n").select("key", "top", chunks(F.col("n") - F.col("most"), F.col("rest")).alias("probes"), chunks(F.col("n"), F.col("bytes")).alias("parts"))
+    per = per.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max("n").alias("most"), (F.sum("bytes") - F.max_by("bytes", F.struct("n", "label"))).alias("other"))
+    chunks = lambda n, size: F.greatest(F.ceil(n / F.lit(2 * p.chunk)), F.ceil(size / F.lit(p.cell_bytes)), F.lit(1)).cast("long")
+    per = per.filter("most < n").select("key", "top", chunks(F.col("n") - F.col("most"), F.col("other")).alias("probes"), chunks(F.col("n"), F.col("bytes")).alias("parts"))
     rows = named.join(per, "key")
-    probe = rows.filter("label <> top").select("key", F.pmod(F.xxhash64("set"), "probes").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("j"), F.lit(True).alias("home"), "set", "shingles")
-    every = rows.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("probes") - 1)).alias("i"), F.pmod(F.xxhash64("set"), "parts").alias("j"), F.lit(False).alias("home"), "set", "shingles")
+    probe = rows.filter("label <> top").select("key", F.pmod(F.xxhash64("set"), "probes").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("j"), F.lit(True).alias("home"), "set", "n", "shingles")
+    every = rows.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("probes") - 1)).alias("i"), F.pmod(F.xxhash64("set"), "parts").alias("j"), F.lit(False).alias("home"), "set", "n", "shingles")
     both = probe.unionAll(every).withColumn("key", F.xxhash64("key", "i", "j"))
     return _joined(both, F.col("key"), p)
 
 
 def _clusters(cells: DataFrame, p: JaccardParams, stages: Stages) -> DataFrame:
-    """Spanning edges (u, v) of the links inside the cells (key, home, set, shingles)."""
+    """Spanning edges (u, v) of the links inside the cells (key, home, set, n, shingles)."""
     edges = None
     for depth in range(p.rounds + 1):
-        size = stages.write(cells.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("shingles")).alias("bytes")), f"size-{depth}")
+        size = stages.write(cells.groupBy("key").agg(F.count(F.lit(1)).alias("n"), (8 * F.sum("n")).alias("bytes")), f"size-{depth}")
         large = (F.col("n") > p.cell_sets) | ((F.col("bytes") > p.cell_bytes) & (F.col("n") > 2))
         total, many = size.filter(~large).agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count(F.lit(1))).first()
         if many:
-            groups = max(1, -(-total // p.cell_bytes))
+            groups = max(1, -(-2 * total // p.cell_bytes))
             small = cells.join(size.filter(~large & (F.col("n") > 1)).select("key"), "key")
             some = stages.write(_joined(small, F.pmod(F.xxhash64("key"), F.lit(groups)), p), f"links-{depth}")
             edges = some if edges is None else edges.unionAll(some)
@@ -569,25 +592,23 @@ def _clusters(cells: DataFrame, p: JaccardParams, stages: Stages) -> DataFrame:
         if big.isEmpty():
             break
         cells = cells.join(big.select("key"), "key")
-        if depth == p.rounds:
-            labels = components(edges, stages, f"labels-{depth}")
-            edges = edges.unionAll(stages.write(_compared(cells, labels, p), f"compared-{depth}"))
-            break
         round_ = stages.write(_split(cells, big, depth, p), f"split-{depth}")
         some = round_.filter("u is not null and u <> v").select("u", "v")
         edges = some if edges is None else edges.unionAll(some)
         labels = components(edges, stages, f"labels-{depth}")
-        place = round_.filter("set is not null")
-        spread = place.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).join(big, "key").select("key", (F.col("copies") > 3 * F.col("n")).alias("flat"))
+        place = round_.filter("new is not null")
+        spread = place.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).join(big, "key").select("key", ((F.col("copies") > 3 * F.col("n")) | F.lit(depth == p.rounds)).alias("flat"))
         spread = stages.write(spread, f"spread-{depth}")
-        flat = cells.join(spread.filter("flat").select("key"), "key")
+        flat = round_.filter("rest is not null").join(spread.filter("flat").select("key"), "key")
         edges = edges.unionAll(stages.write(_compared(flat, labels, p), f"compared-{depth}"))
         # cells that hold one component only are done
         named = place.join(spread.filter(~F.col("flat")).select("key"), "key").join(labels.select(F.col("node").alias("set"), "component"), "set", "left").withColumn("label", F.coalesce("component", "set"))
         still = named.groupBy("new").agg((F.min("label") != F.max("label")).alias("open")).filter("open").select("new")
-        shingles = cells.select("set", "shingles").dropDuplicates(["set"])
-        cells = named.join(still, "new").select(F.col("new").alias("key"), (F.col("home") == 1).alias("home"), "set").join(shingles, "set").select("key", "home", "set", "shingles")
-        cells = stages.write(cells, f"cells-{depth}")
+        named = stages.write(named.join(still, "new").select(F.col("new").alias("key"), (F.col("home") == 1).alias("home"), "set"), f"open-{depth}")
+        if named.isEmpty():
+            break
+        shingles = cells.select("set", "n", "shingles").dropDuplicates(["set"])
+        cells = stages.write(named.join(shingles, "set").select("key", "home", "set", "n", "shingles"), f"cells-{depth}")
     return edges if edges is not None else cells.sparkSession.createDataFrame([], EDGES)
 
 
@@ -601,14 +622,15 @@ def link(docs: DataFrame, params: JaccardParams = JaccardParams()) -> DataFrame:
     regions = stages.write(_regions(docs, parts, p), "regions")
     pairs = stages.write(regions.mapInArrow(_star, "a long, b long").distinct(), "pairs")
     wanted = stages.write(pairs.select(F.col("a").alias("set")).unionAll(pairs.select("b")).distinct(), "wanted")
-    contents = stages.write(_contents(docs, wanted, p), "contents")
-    near = stages.write(_plausible(pairs, contents, p).toDF("u", "v"), "near")
+    sketches = stages.write(_again(docs, wanted, p, "sketch"), "sketches")
+    near = stages.write(_plausible(pairs, sketches, p).toDF("u", "v"), "near")
     first = components(near, stages, "first")
-    bridges = stages.write(_bridges(stages.write(_members(regions, p), "members"), first, contents, p), "bridges")
+    bridges = stages.write(_bridges(stages.write(_members(regions, p), "members"), first, sketches, p), "bridges")
     clusters = components(first.toDF("u", "v").unionAll(bridges), stages, "clusters")
     member = clusters.select(F.col("component").alias("key"), F.col("node").alias("set")).unionAll(clusters.select(F.col("component").alias("key"), F.col("component").alias("set")).distinct())
-    cells = contents.select("set", "shingles").join(member, "set").select("key", F.lit(True).alias("home"), "set", "shingles")
-    cells = stages.write(cells, "cells")
+    member = stages.write(member, "member")
+    stages.retain("sets", "member")
+    cells = stages.write(_again(docs, member, p, "shingles").select("key", F.lit(True).alias("home"), "set", "n", "shingles"), "cells")
     stages.retain("sets", "cells")
     labels = components(_clusters(cells, p, stages), stages, "joined")
     # a component's number is its smallest document
