@@ -3,11 +3,12 @@
 1. *Paragraphs.*  Planted or quoted passages rarely coincide with lines, so a text is covered by paragraphs of
    `width` words that begin at content-defined anchors: words whose shingle hash is the least among its neighbours
    within `radius`.  Equal passages have equal anchors wherever they stand; on average an anchor comes every
-   radius + 1 words, and a text shorter than the width is one paragraph.  A paragraph at most half of whose shingles
-   are different (one word over and over) is noise that repeats itself, not a passage, and is passed over.
+   2 * radius + 1 words, and further paragraphs follow end to end up to the next one.  A text shorter than the width is
+   one paragraph; with fewer words than a shingle its whole sequence is one shingle.  Nothing is passed over: one word
+   over and over is a paragraph like any other.
 2. *Banding.*  `bands` bands of `rows` MinHash values over the five-word shingles of each paragraph.  A pair of
-   similarity s meets in one paragraph with probability 1 - (1 - s**rows)**bands (0.8: `band_recall`); a passage of 50
-   words has four paragraphs and more, so near copies are met with a probability close to 1, and equal ones always.
+   similarity s meets in one paragraph with probability 1 - (1 - s**rows)**bands (0.98 at 0.8: `band_recall`); a passage
+   of 50 words has three paragraphs and more, so near copies are met with a probability close to 1, equal ones always.
 3. *Collisions.*  Band keys go to hash ranges in packed rows; each batch sends an entry per distinct (key, content)
    with one document and whether it knows a second one, so a passage in a third of all documents costs an entry a
    batch.  Equal content in two documents is a repeat; different contents of one key are compared exactly, by the
@@ -15,7 +16,8 @@
 4. *Components.*  Contents that are linked, or repeat, form components; the first paragraph (by document, then
    position) of each component is kept and the others are removals.  Adjoining removals of a document form a passage.
 
-Cases: null and wordless texts have no paragraphs; null ids take part as one document; repeated rows are repeats of
+Cases: null and wordless texts have no paragraphs; very long texts are cut like others, so a task holds a slice of them
+and their paragraphs; ties of the least hash make an anchor each; null ids take part as one document; repeated rows are repeats of
 each other only if their ids differ; empty tables give no rows; extra columns are ignored; whole texts are read.
 """
 
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import textvec as tv
-from .common import Stages, text_size
+from .common import Stages, dealt, fresh, place_of, text_size
 from .components import components, forest
 from .jaccard import _bitmap, _place
 from .lm import squeeze, squeeze_sorted, unsqueeze, unsqueeze_sorted
@@ -46,8 +48,8 @@ class PassageParams:
     width: int = 16
     shingle: int = 5
     radius: int = 6
-    bands: int = 3
-    rows: int = 3
+    bands: int = 4
+    rows: int = 2
     percent: int = 80
     batch_bytes: int = 8 << 20
     part_bytes: int = 24 << 20
@@ -71,7 +73,7 @@ def _least(x: np.ndarray, n: int) -> np.ndarray:
 def paragraphs(words: tv.Words, p: PassageParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First word (number in the slice), number of words and text number of every paragraph."""
     size = np.diff(words.off)
-    short = np.flatnonzero((size >= p.shingle) & (size < p.width))
+    short = np.flatnonzero((size > 0) & (size < p.width))
     g = tv.chain(words.h, p.shingle)
     n = len(g)
     start = np.zeros(0, np.int64)
@@ -94,12 +96,6 @@ def paragraphs(words: tv.Words, p: PassageParams) -> tuple[np.ndarray, np.ndarra
     many = np.concatenate([np.full(len(start), p.width), size[short]])
     order = np.argsort(first, kind="stable")
     first, many = first[order].astype(np.int64), many[order].astype(np.int64)
-    if len(first):
-        # one shingle per column, the last one again where a short text has fewer
-        at = first[:, None] + np.minimum(np.arange(p.width - p.shingle + 1), (many - p.shingle)[:, None])
-        kinds = 1 + (np.diff(np.sort(g[at], axis=1), axis=1) != 0).sum(1)
-        varied = 2 * kinds > many - p.shingle
-        first, many = first[varied], many[varied]
     return first, many, doc[first] if len(first) else first
 
 
@@ -119,14 +115,17 @@ def band_keys(words: tv.Words, first: np.ndarray, many: np.ndarray, p: PassagePa
     keys = np.zeros((len(first), p.bands), U64)
     g = tv.chain(words.h, p.shingle)
     full, span = many == p.width, p.width - p.shingle + 1
+    few, tiny = np.flatnonzero(~full & (many >= p.shingle)), np.flatnonzero(many < p.shingle)
+    whole = contents(words, first[tiny], many[tiny]).view(U64)
     for b in range(p.bands):
         for r in range(p.rows):
             x = tv.mix(g ^ tv.mix(np.array([b * p.rows + r + 1], U64))[0])
             low = _least(x, span) if len(x) >= span else x[:0]
             one = np.zeros(len(first), U64)
             one[full] = low[first[full]]
-            for i in np.flatnonzero(~full):
+            for i in few:
                 one[i] = x[first[i] : first[i] + many[i] - p.shingle + 1].min()
+            one[tiny] = tv.mix(whole ^ tv.mix(np.array([b * p.rows + r + 1], U64))[0])
             keys[:, b] = tv.mix(keys[:, b] * U64(3) + one)
         keys[:, b] = tv.mix(keys[:, b] + U64(b))
     return keys
@@ -206,7 +205,7 @@ def _collisions(docs: DataFrame, parts: int, p: PassageParams) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([None] * len(some), pa.binary()), pa.array(some, pa.binary())], names=["repeats", "members"])
 
     asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(ask, "part int, keys binary, who binary, content binary, doc binary, two binary")
-    return asked.groupBy("part").applyInArrow(meet, "repeats binary, members binary")
+    return dealt(asked, parts, "part").groupBy("part").applyInArrow(meet, "repeats binary, members binary")
 
 
 def _unpack(column: str):
@@ -232,7 +231,8 @@ def _shingles(docs: DataFrame, wanted: DataFrame, p: PassageParams) -> DataFrame
             some = np.flatnonzero((flags.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
             some = some[np.unique(c[some], return_index=True)[1]]
             g = tv.chain(words.h, p.shingle)
-            yield pa.RecordBatch.from_arrays([pa.array(c[some]), pa.array([tv.distinct(g[first[i] : first[i] + many[i] - p.shingle + 1]).tobytes() for i in some], pa.binary())], names=["content", "shingles"])
+            sets = [tv.distinct(g[first[i] : first[i] + many[i] - p.shingle + 1]) if many[i] >= p.shingle else c[i : i + 1] for i in some]
+            yield pa.RecordBatch.from_arrays([pa.array(c[some]), pa.array([x.tobytes() for x in sets], pa.binary())], names=["content", "shingles"])
 
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, "content long, shingles binary")
     return found.groupBy("content").agg(F.first("shingles").alias("shingles")).join(wanted, "content", "left_semi")
@@ -369,8 +369,8 @@ def remove(docs: DataFrame, params: PassageParams = PassageParams()) -> DataFram
     """The documents without their removed passages; other columns are as they are, but for n_chars."""
     gone = repeated(docs, params).filter("removed").groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
     names, schema = docs.columns, docs.schema
-    at, size = names.index("text"), names.index("n_chars") if "n_chars" in names else None
-    spans = next(f"spans{i}" for i in range(len(names) + 1) if f"spans{i}" not in names)
+    at, size = place_of(docs, "text"), next((k for k, f in enumerate(schema) if f.name.lower() == "n_chars" and f.dataType.typeName() in ("long", "integer")), None)
+    spans = fresh(docs, "spans")
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
