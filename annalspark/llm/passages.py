@@ -338,7 +338,8 @@ def repeated(docs: DataFrame, params: PassageParams = PassageParams()) -> DataFr
     places = stages.write(_places(docs, named, p), "places")
     stages.retain("places")
     first = places.groupBy("component").agg(F.min(F.struct("doc_id", "start_word")).alias("first"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    first = first.filter("low <> high")
+    # a written table: a passage that fills a large part of `places` is then a skewed key of a plain join, which can be split
+    first = stages.write(first.filter("low <> high"), "first")
     rows = places.join(first, "component").select("doc_id", "start_word", "end_word", F.col("low").alias("component_id"), ((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start_word") != F.col("first.start_word"))).alias("removed"))
     run = W.partitionBy("doc_id", "removed").orderBy("start_word", "end_word", "component_id")
     reach = F.max("end_word").over(run.rowsBetween(W.unboundedPreceding, -1))
