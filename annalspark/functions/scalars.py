@@ -42,13 +42,15 @@ def machine_bytes(value: Column) -> Column:
 
 def human_text(text: Column, shown_class: str = INVISIBLE_CLASS) -> Column:
     """Backslashes doubled and invisible characters as \\u{XXXX}, so that no text can imitate an escape."""
-    signs = F.split(F.replace(text, F.lit("\\"), F.lit("\\\\")), "")
+    doubled = F.replace(text, F.lit("\\"), F.lit("\\\\"))
 
     def one(c: Column) -> Column:
         code = F.lower(F.hex(F.encode(c, "UTF-16BE")))  # every such sign lies in the basic plane: four digits
         return F.when(c.rlike(f"[{shown_class}]"), F.concat(F.lit("\\u{"), code, F.lit("}"))).otherwise(c)
 
-    return F.when(text == "", text).otherwise(F.array_join(F.transform(signs, one), ""))
+    # most texts have no such sign; the others are cut before and after each run of them, not into single characters
+    runs = F.regexp_extract_all(doubled, F.lit(f"([{shown_class}]|[^{shown_class}]+)"), F.lit(1))
+    return F.when(~doubled.rlike(f"[{shown_class}]"), doubled).otherwise(F.array_join(F.transform(runs, one), ""))
 
 
 def strict_seconds(raw: Column) -> Column:

@@ -1,58 +1,100 @@
 """Order and reachability in the revision graph.
 
-Forests (one parent per node) use recursive common table expressions.  Graphs with merges use a frontier loop whose
-rounds are written below spark.checkpoint.dir, so that lineage stays short and a lost executor costs one round.
+Forests (one parent per node at most) are walked by pointer jumping: every round doubles the distance, so a chain of a
+million revisions takes twenty rounds.  Graphs with merges use a frontier loop.  Rounds are written below
+spark.checkpoint.dir, so that lineage stays short and a lost executor costs one round.
 """
 
 from __future__ import annotations
 
 import heapq
-import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import Rounds
 
-def _round(df: DataFrame, name: str) -> DataFrame:
-    from ..storage import shared_dir
-
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Doublings; a path that is longer is a cycle.
+_DOUBLINGS = 48
 
 
 def reach(edges: DataFrame, starts: DataFrame, limit: int = 1_000_000) -> DataFrame:
     """node: the starts and every node that edges (src, dst) lead to from them."""
+    rounds = Rounds(edges.sparkSession, "reach")
     edges = edges.select("src", "dst").distinct()
-    visited = frontier = _round(starts.select("node").distinct(), "0")
+    visited = frontier = rounds.write(starts.select("node").distinct())
     for k in range(1, limit):
         step = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        frontier = _round(step.join(visited, "node", "left_anti"), str(k))
+        frontier = rounds.write(step.join(visited, "node", "left_anti"))
         if frontier.isEmpty():
             return visited
         visited = visited.unionAll(frontier)
         if k % 16 == 0:
-            visited = _round(visited, f"{k}-all")
+            visited = rounds.write(visited)
+            frontier = rounds.write(frontier)
+            rounds.keep_last(2)
     raise ValueError("the graph is deeper than the limit")
 
 
+def is_forest(parents: DataFrame) -> bool:
+    """Whether no node has two parents."""
+    return parents.select("node", "parent").distinct().groupBy("node").count().filter("count > 1").isEmpty()
+
+
+def _inherit(parents: DataFrame, values: DataFrame) -> DataFrame:
+    """node, value: the largest value at the node or at any ancestor.  values: node, value; one parent per node at most."""
+    rounds = Rounds(parents.sparkSession, "inherit")
+    nodes = values.select("node").unionAll(parents.select("node")).distinct()
+    state = rounds.write(nodes.join(values.groupBy("node").agg(F.max("value").alias("value")), "node", "left").join(parents.select("node", F.col("parent").alias("up")).distinct(), "node", "left"))
+    for _ in range(_DOUBLINGS):
+        if state.filter("up is not null").isEmpty():
+            return state.select("node", "value")
+        above = state.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("value").alias("more"))
+        state = rounds.write(state.join(above, "up", "left").select("node", F.greatest("value", "more").alias("value"), F.col("next").alias("up")))
+        rounds.keep_last(1)
+    raise ValueError("the revision graph has a cycle")
+
+
+def _walks(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """start, node: every node that each start leads to, itself included, where a node has one way on at most."""
+    rounds = Rounds(edges.sparkSession, "walks")
+    jump = rounds.write(edges.select("src", "dst").distinct())
+    seen = rounds.write(starts.select("start", "node"))
+    for _ in range(_DOUBLINGS):
+        more = seen.join(jump, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"))
+        seen = seen.unionAll(more)
+        jump = jump.alias("a").join(jump.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
+        jump, seen = rounds.write(jump), rounds.write(seen.distinct())
+        rounds.keep_last(2)
+        if jump.isEmpty():
+            return seen
+    raise ValueError("the revision graph has a cycle")
+
+
 def ancestors_or_self(parents: DataFrame, starts: DataFrame) -> DataFrame:
     """parents: node, parent."""
-    return reach(parents.select(F.col("node").alias("src"), F.col("parent").alias("dst")), starts)
+    edges = parents.select(F.col("node").alias("src"), F.col("parent").alias("dst"))
+    if not is_forest(parents):
+        return reach(edges, starts)
+    return _walks(edges, starts.select(F.lit(0).alias("start"), "node").distinct()).select("node")
 
 
 def descendants_or_self(parents: DataFrame, starts: DataFrame) -> DataFrame:
-    return reach(parents.select(F.col("parent").alias("src"), F.col("node").alias("dst")), starts)
+    if not is_forest(parents):
+        return reach(parents.select(F.col("parent").alias("src"), F.col("node").alias("dst")), starts)
+    return _inherit(parents, starts.select("node", F.lit(1).alias("value")).distinct()).filter("value = 1").select("node")
 
 
 def inherited_phase(parents: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """node, phase: the largest phase declared at the node or at any ancestor (0 if none).
 
-    roots: node, phase.  Phases are few, so there is one reachability question per declared phase.
+    roots: node, phase.  In a graph with merges there is one reachability question per declared phase, which are few.
     """
     out = nodes.select("node", F.lit(0).alias("phase"))
+    if is_forest(parents):
+        values = _inherit(parents, roots.select("node", F.col("phase").alias("value")))
+        return out.join(values, "node", "left").select("node", F.greatest("phase", F.coalesce("value", F.lit(0))).alias("phase"))
     for (phase,) in roots.select("phase").distinct().orderBy("phase").collect():  # a handful of phases
         hit = descendants_or_self(parents, roots.filter(F.col("phase") == phase)).withColumn("hit", F.lit(phase))
         out = out.join(hit, "node", "left").select("node", F.greatest("phase", F.coalesce("hit", F.lit(0))).alias("phase"))
@@ -71,17 +113,6 @@ def exclusive_count(parents: DataFrame, dropped_tips: DataFrame, carried_tips: D
     return ancestors_or_self(parents, dropped_tips).join(ancestors_or_self(parents, carried_tips), "node", "left_anti").count()
 
 
-def chain_phase(spark, view: str, roots: str) -> DataFrame:
-    """The same as inherited_phase where each node has one parent: a recursive expression over view(node, parent)."""
-    return spark.sql(f"""
-        WITH RECURSIVE down(node, phase) MAX RECURSION LEVEL 100000 AS (
-          SELECT v.node, coalesce(r.phase, 0) FROM {view} v LEFT JOIN {roots} r ON v.node = r.node WHERE v.parent IS NULL
-          UNION ALL
-          SELECT v.node, greatest(d.phase, coalesce(r.phase, 0)) FROM {view} v JOIN down d ON v.parent = d.node LEFT JOIN {roots} r ON v.node = r.node
-        ) SELECT node, phase FROM down
-    """)
-
-
 def topological_order(nodes: DataFrame, groups: str | None = None) -> DataFrame:
     """node, position: the smallest order by (source, node) that has parents first.
 
@@ -122,21 +153,26 @@ def topological_order(nodes: DataFrame, groups: str | None = None) -> DataFrame:
 def remapped_parents(parents: DataFrame, removed: DataFrame) -> DataFrame:
     """node, parents: parents in order, removed ones replaced by their own (transitively), each kept once.
 
-    parents: node, pos, parent.  Rounds substitute removed parents until none is left; paths keep the order.
+    parents: node, pos, parent.  Rounds substitute removed parents until none is left.  Of several ways to one parent
+    the first in order counts, and only that one is followed, so merges cost no more than their edges; a cycle of
+    removed nodes raises an error.
     """
-    now = parents.select("node", F.array(F.col("pos").cast("int")).alias("way"), "parent")
-    own = parents.join(removed.select("node"), "node", "left_semi").select(F.col("node").alias("parent"), F.col("pos").cast("int").alias("step"), F.col("parent").alias("next"))
-    gone = removed.select(F.col("node").alias("parent"), F.lit(True).alias("gone"))
-    k = 0
-    while True:
-        marked = now.join(gone, "parent", "left")
-        if marked.filter("gone").isEmpty():
+    rounds = Rounds(parents.sparkSession, "parents")
+    first = lambda df: df.groupBy("node", "parent").agg(F.min("way").alias("way"))
+    gone = removed.select(F.col("node").alias("parent"), F.lit(True).alias("gone")).distinct()
+    own = parents.join(removed.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("parent"), F.col("pos").cast("int").alias("step"), F.col("parent").alias("next"))
+    now = rounds.write(first(parents.select("node", F.array(F.col("pos").cast("int")).alias("way"), "parent")).join(gone, "parent", "left"))
+    limit = removed.count()
+    for _ in range(limit + 1):
+        if now.filter("gone").isEmpty():
             break
-        moved = marked.filter("gone").join(own, "parent", "left").filter("next is not null").select("node", F.concat("way", F.array("step")).alias("way"), F.col("next").alias("parent"))
-        now = _round(marked.filter("gone is null").select("node", "way", "parent").unionAll(moved), f"parents-{k}")
-        k += 1
-    kept = now.groupBy("node", "parent").agg(F.min("way").alias("way"))
-    return kept.join(removed.select("node"), "node", "left_anti").groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("way", "parent"))), lambda x: x["parent"]).alias("parents"))
+        moved = now.filter("gone").join(own, "parent").filter("next is not null").select("node", F.concat("way", F.array("step")).alias("way"), F.col("next").alias("parent"))
+        now = rounds.write(first(now.filter("gone is null").select("node", "way", "parent").unionAll(moved)).join(gone, "parent", "left"))
+        rounds.keep_last(1)
+    else:
+        raise ValueError("the removed revisions have a cycle")
+    kept = now.select("node", "way", "parent").join(removed.select("node"), "node", "left_anti")
+    return kept.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("way", "parent"))), lambda x: x["parent"]).alias("parents"))
 
 
 def branch_waves(wants: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -145,12 +181,13 @@ def branch_waves(wants: DataFrame) -> tuple[DataFrame, DataFrame]:
     wants: name, parent ('' is the main line, null no line that can be a parent).  A branch is imported with the main
     line or an imported branch as its parent, wave after wave; the rest is blocked.
     """
-    wants.createOrReplaceTempView("_wants")
-    imported = wants.sparkSession.sql("""
-        WITH RECURSIVE up(name, parent, wave) MAX RECURSION LEVEL 100000 AS (
-          SELECT name, parent, 1 FROM _wants WHERE parent = ''
-          UNION ALL
-          SELECT w.name, w.parent, u.wave + 1 FROM _wants w JOIN up u ON w.parent = u.name WHERE w.name <> w.parent
-        ) SELECT name, parent, wave FROM up
-    """)
+    rounds = Rounds(wants.sparkSession, "waves")
+    wants = rounds.write(wants.select("name", "parent"))
+    wave, imported = 1, rounds.write(wants.filter("parent = ''").withColumn("wave", F.lit(1)))
+    last = imported
+    while not last.isEmpty():
+        wave += 1
+        above = last.select(F.col("name").alias("parent"))
+        last = rounds.write(wants.filter("name <> parent").join(above, "parent", "left_semi").select("name", "parent", F.lit(wave).alias("wave")))
+        imported = imported.unionAll(last)
     return imported, wants.select("name").join(imported, "name", "left_anti")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .asof import replay_violations
+from .graph import _walks
 
 CHECKS = ("integrity", "structure", "replay", "derivations", "source-invariants", "provenance", "loss-boundary")
 # Parameters that a derivation of each kind must carry.
@@ -68,13 +69,11 @@ def first_parent_lines(h) -> DataFrame:
     first = h.parents.filter("pos = 0").select("atom_id", "parent_id")
     heads = h.atoms.select("atom_id").join(first.select(F.col("parent_id").alias("atom_id")).distinct(), "atom_id", "left_anti")
     at = h.atoms.select("atom_id", "atom_idx")
+    # a parent that is not earlier is a fault of its own (`structure`) and no step of a line
+    up = at.select(F.col("atom_id").alias("parent_id"), F.col("atom_idx").alias("parent_idx"))
+    first = first.join(at, "atom_id").join(up, "parent_id").filter("parent_idx < atom_idx")
     edges = first.select(F.col("atom_id").alias("src"), F.col("parent_id").alias("dst"))
-    edges.createOrReplaceTempView("_first_parents")
-    heads.createOrReplaceTempView("_heads")
-    lines = h.atoms.sparkSession.sql("""
-        WITH RECURSIVE walk(atom_id, line) MAX RECURSION LEVEL 1000000 AS (
-          SELECT atom_id, atom_id FROM _heads UNION ALL SELECT f.dst, w.line FROM walk w JOIN _first_parents f ON f.src = w.atom_id
-        ) SELECT atom_id, line FROM walk""")
+    lines = _walks(edges, heads.select(F.col("atom_id").alias("start"), F.col("atom_id").alias("node"))).select(F.col("node").alias("atom_id"), F.col("start").alias("line"))
     return lines.join(at, "atom_id").select("atom_id", "line", F.col("atom_idx").alias("pos"))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 
 from ..functions import scalars as S
 from ..operators import asof, cluster, diff, graph, refs, report
+from ..storage import Rounds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -302,30 +303,24 @@ _DOWN = f"""down AS (SELECT node, parent, CAST({_PHASE} AS BIGINT) AS phase FROM
 UNION ALL SELECT c.node, c.parent, greatest(d.phase, {_PHASE}) FROM chain c JOIN down d ON c.parent = d.node)"""
 
 
-def _phases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # written once: every level of the recursion joins it
-    rows = graph._round(chain(spark, sf_dir).select("node", "parent", "o_totalprice"), "chain")
-    rows.select("node", "parent").createOrReplaceTempView("_chain_nodes")
-    rows.select("node", F.expr(_PHASE).alias("phase")).filter("phase > 0").createOrReplaceTempView("_chain_roots")
-    return graph.chain_phase(spark, "_chain_nodes", "_chain_roots").select("node", F.col("phase").cast("bigint").alias("phase"))
+def _phases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The orders' chain (written once), its edges, and every node's phase."""
+    rows = Rounds(spark, "chain").write(chain(spark, sf_dir).select("node", "parent", "o_totalprice", "o_orderstatus"))
+    edges = rows.filter("parent is not null").select("node", "parent")
+    return rows, edges, graph.inherited_phase(edges, rows, rows.select("node", F.expr(_PHASE).alias("phase")).filter("phase > 0"))
 
 
 @query(f"WITH RECURSIVE {_CHAIN}, {_DOWN} SELECT node, phase FROM down")
 def phase_inherit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _phases(spark, sf_dir)
+    return _phases(spark, sf_dir)[2].select("node", F.col("phase").cast("bigint").alias("phase"))
 
 
 @query(f"""WITH RECURSIVE {_CHAIN}, {_DOWN}, up AS (SELECT node, parent FROM chain WHERE o_orderstatus <> 'F' UNION SELECT c.node, c.parent FROM chain c JOIN up ON up.parent = c.node)
 SELECT node, CAST(phase < 2 AS BIGINT) AS served FROM (SELECT DISTINCT node FROM up) JOIN down USING (node)""")
 def visible_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graph._round(chain(spark, sf_dir).select("node", "parent", "o_orderstatus"), "chain").createOrReplaceTempView("_chain_state")
-    visible = spark.sql("""
-        WITH RECURSIVE up(node, parent) MAX RECURSION LEVEL 100000 AS (
-          SELECT node, parent FROM _chain_state WHERE o_orderstatus <> 'F'
-          UNION ALL
-          SELECT c.node, c.parent FROM _chain_state c JOIN up ON up.parent = c.node WHERE c.o_orderstatus = 'F'
-        ) SELECT DISTINCT node FROM up""")  # an ancestor that is live itself starts its own walk
-    return visible.join(_phases(spark, sf_dir), "node").select("node", (F.col("phase") < 2).cast("bigint").alias("served"))
+    rows, edges, phases = _phases(spark, sf_dir)
+    visible, served = graph.published(edges, rows.select("node"), rows.filter("o_orderstatus = 'F'").select("node"), rows.select("node").limit(0), phases)
+    return visible.join(served.withColumn("served", F.lit(1)), "node", "left").select("node", F.coalesce("served", F.lit(0)).cast("bigint").alias("served"))
 
 
 _WANTS = "CASE WHEN n_nationkey % 7 = 0 THEN '' WHEN n_nationkey % 11 = 5 THEN NULL ELSE 'NATION_' || CAST((n_nationkey * 3 + 1) % 25 AS VARCHAR) END"

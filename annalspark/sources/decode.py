@@ -16,6 +16,7 @@ from ..functions import scalars as S
 from ..history import SCHEMAS, STATUS, History
 from ..operators import cluster, diff, graph
 from ..operators import refs as names
+from ..storage import written
 from . import gitstore, rcs, revlog, svndump
 
 
@@ -63,7 +64,7 @@ def assemble(spark: SparkSession, kind: str, repo_id: bytes, atoms: DataFrame, p
     ops = _cast(ops, "ops", {"atom_id": "node"})
     none = spark.createDataFrame([], SCHEMAS["copies"].replace("atom_id binary", "node binary").replace("from_atom binary", "from_node binary"))
     copies = _cast(copies, "copies", {"atom_id": "node", "from_atom": "from_node"}) if copies is not None else none
-    ids = graph._round(canon.atom_ids(full, parents, ops, copies), "atom-ids")
+    ids = written(canon.atom_ids(full, parents, ops, copies), "atom-ids")
     to = lambda c, name: ids.select(F.col("node").alias(c), F.col("atom_id").alias(name))
     made = {
         "atoms": full.join(ids, "node").select("atom_id", F.col("position").alias("atom_idx"), "source", *claims, "status"),
@@ -84,18 +85,18 @@ def assemble(spark: SparkSession, kind: str, repo_id: bytes, atoms: DataFrame, p
 
 def from_git(spark: SparkSession, git_dir: str, infer_renames: bool = False) -> History:
     """Commits reachable from branches and tags; other references are counted as losses."""
-    t = {k: graph._round(v, f"git-{k}") for k, v in gitstore.read(spark, git_dir).items()}
+    t = {k: written(v, f"git-{k}") for k, v in gitstore.read(spark, git_dir).items()}
     tips = gitstore.peeled(t["refs"], t["tags"]).withColumn("kind", gitstore.ref_kind(F.col("name")))
     carried = tips.filter("kind is not null").join(t["commits"].select(F.col("oid").alias("target")), "target", "left_semi")
     edges = t["commits"].select(F.col("oid").alias("node"), F.posexplode("parents").alias("pos", "parent"))
     reach = graph.ancestors_or_self(edges.select("node", "parent"), carried.select(F.col("target").alias("node")))
-    commits = graph._round(t["commits"].withColumnRenamed("oid", "node").join(reach, "node", "left_semi"), "git-reached")
+    commits = written(t["commits"].withColumnRenamed("oid", "node").join(reach, "node", "left_semi"), "git-reached")
     parents = edges.join(reach, "node", "left_semi")
-    files = graph._round(gitstore.snapshot(t["tree_entries"], commits.select(F.col("tree").alias("root")).distinct()), "git-files")
+    files = written(gitstore.snapshot(t["tree_entries"], commits.select(F.col("tree").alias("root")).distinct()), "git-files")
     first = commits.select("node", "tree", F.get("parents", F.lit(0)).alias("parent"))
     state = lambda c, key: c.join(files, F.col("root") == F.col(key)).select(F.col("node").alias("atom"), "path", F.col("oid").alias("blob"), "mode")
     base = first.filter("parent is not null").join(commits.select(F.col("node").alias("parent"), F.col("tree").alias("base_tree")), "parent")
-    ops = graph._round(diff.snapshot_diff(state(base, "base_tree"), state(first, "tree"), ("blob", "mode")), "git-ops")
+    ops = written(diff.snapshot_diff(state(base, "base_tree"), state(first, "tree"), ("blob", "mode")), "git-ops")
     contents = t["objects"].filter("kind = 'blob'").select("oid", "content", F.unhex(F.sha2("content", 256)).alias("blob_id"))
     rows = ops.join(contents.select(F.col("oid").alias("new_blob"), "blob_id"), "new_blob", "left")
     rows = rows.select(F.col("atom").alias("node"), "path", "op", F.when(F.col("op") != "Delete", F.col("blob_id")).alias("blob_id"), F.col("new_mode").alias("mode"), stated().alias("status"))
@@ -117,13 +118,13 @@ def from_git(spark: SparkSession, git_dir: str, infer_renames: bool = False) ->
 
 def from_cvs(spark: SparkSession, root: str, window: int = 180, floor: int = 50) -> History:
     """Main-line changesets of a CVS repository, reconstructed; tags become derived references, branches are counted."""
-    t = {k: graph._round(v, f"cvs-{k}") for k, v in rcs.read(spark, root).items()}
+    t = {k: written(v, f"cvs-{k}") for k, v in rcs.read(spark, root).items()}
     vendor = t["files"].select("path", S.parse_dotted(F.col("vendor_branch")).alias("vendor"))
     every = t["revisions"].join(vendor, "path")
     revs = every.filter(S.is_main_line(F.col("rev"), F.col("vendor"))).drop("vendor")
-    made = graph._round(cluster.check_floor(cluster.changesets(revs, window), floor), "cvs-changesets")
+    made = written(cluster.check_floor(cluster.changesets(revs, window), floor), "cvs-changesets")
     place = W.orderBy("changeset")  # one repository's changesets have one order
-    made = graph._round(made.withColumn("n", F.row_number().over(place)).withColumn("node", F.encode(F.array_join(F.array_sort(F.transform("members", lambda m: F.concat(m["path"], F.lit("@"), S.dotted(m["rev"])))), "\n"), "UTF-8")), "cvs-nodes")
+    made = written(made.withColumn("n", F.row_number().over(place)).withColumn("node", F.encode(F.array_join(F.array_sort(F.transform("members", lambda m: F.concat(m["path"], F.lit("@"), S.dotted(m["rev"])))), "\n"), "UTF-8")), "cvs-nodes")
     parents = made.select("node", F.lit(0).alias("pos"), F.lag("node").over(W.orderBy("n")).alias("parent")).filter("parent is not null")
     member = made.select("node", "n", F.explode("members").alias("m")).select("node", "n", "m.path", "m.rev").join(revs, ["path", "rev"])
     ops = diff.running_ops(member.select(F.lit("main").alias("line"), "path", F.struct("n", "rev").alias("pos"), (F.col("state") != "dead").alias("live"), "node", "blob_id")).filter("op is not null")
@@ -202,10 +203,10 @@ def from_svn(spark: SparkSession, path: str, trunk: str = "trunk", branches: str
                 yield pd.DataFrame(list(_svn_ops(bytes(data))), columns=cols)
 
     raw = svndump.read(spark, path)
-    changes = graph._round(spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "revision bigint, path string, op string, text binary, executable boolean, special boolean, `from` string, from_revision bigint"), "svn-ops")
+    changes = written(spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "revision bigint, path string, op string, text binary, executable boolean, special boolean, `from` string, from_revision bigint"), "svn-ops")
     key = lambda c: F.encode(F.lpad(c.cast("string"), 12, "0"), "UTF-8")
     prop = lambda k: F.get(F.transform(F.filter("props", lambda x: x["k"] == k), lambda x: x["v"]), F.lit(0))
-    revs = graph._round(raw["revisions"].filter("number > 0").select("number", key(F.col("number")).alias("node"), prop("svn:author").alias("who"), prop("svn:date").alias("date"), prop("svn:log").alias("log")), "svn-revisions")
+    revs = written(raw["revisions"].filter("number > 0").select("number", key(F.col("number")).alias("node"), prop("svn:author").alias("who"), prop("svn:date").alias("date"), prop("svn:log").alias("log")), "svn-revisions")
     parents = revs.select("node", F.lit(0).alias("pos"), F.lag("node").over(W.orderBy("number")).alias("parent")).filter("parent is not null")
     atoms = revs.select("node", F.col("node").alias("order"), _person(F.col("who"), None).alias("author"), _time(S.dump_date_seconds(F.col("date").cast("string"))).alias("author_time"), _text(F.col("log")).alias("message"), stated().alias("status"))
     content = F.when(F.col("special"), F.encode(F.coalesce(S.symlink_target(F.col("text").cast("string")), F.col("text").cast("string")), "UTF-8")).otherwise(F.col("text"))
@@ -223,7 +224,7 @@ def from_svn(spark: SparkSession, path: str, trunk: str = "trunk", branches: str
 
 def from_hg(spark: SparkSession, store: str) -> History:
     """Served changesets of a Mercurial store: manifests are compared with the first parent's."""
-    t = {k: graph._round(v, f"hg-{k}") for k, v in revlog.read(spark, store).items()}
+    t = {k: written(v, f"hg-{k}") for k, v in revlog.read(spark, store).items()}
     log = t["changelog"]
     edges = log.select("node", F.posexplode(F.array("p1", "p2")).alias("pos", "prev")).filter("prev >= 0").join(log.select(F.col("rev").alias("prev"), F.col("node").alias("parent")), "prev").select("node", "pos", "parent")
 
@@ -234,7 +235,7 @@ def from_hg(spark: SparkSession, store: str) -> History:
                     yield pd.DataFrame(parse(bytes(data)), columns=[c.split(" ")[0] for c in schema.split(", ")])
 
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(store).filter(F.col("path").endswith(f"/{name}")).select("content")
-        return graph._round(files.mapInPandas(run, schema), f"hg-{name}")
+        return written(files.mapInPandas(run, schema), f"hg-{name}")
 
     roots = marks("phaseroots", revlog.phase_roots, "phase int, node binary")
     gone = marks("obsstore", lambda d: [(n,) for n in revlog.obsolete(d)], "node binary").distinct()
@@ -242,7 +243,7 @@ def from_hg(spark: SparkSession, store: str) -> History:
     phases = graph.inherited_phase(edges.select("node", "parent"), log.select("node"), roots)
     public = phases.filter("phase = 0").select("node")
     _, served = graph.published(edges.select("node", "parent"), log.select("node"), gone.join(public, "node", "left_anti"), books.select("node").unionAll(public), phases)
-    log = graph._round(log.join(served, "node", "left_semi"), "hg-served")
+    log = written(log.join(served, "node", "left_semi"), "hg-served")
     edges = edges.join(log.select("node"), "node", "left_semi")
     state = lambda rows, key: rows.join(t["manifest_entries"], F.col("m") == F.col("manifest")).select(F.col(key).alias("atom"), "path", "filenode", "mode")
     up = edges.filter("pos = 0").join(log.select(F.col("node").alias("parent"), F.col("manifest").alias("m")), "parent")
@@ -256,8 +257,8 @@ def from_hg(spark: SparkSession, store: str) -> History:
                 rows.append((bytes(node), meta.get("copy"), body))
             yield pd.DataFrame(rows, columns=["filenode", "copied", "content"])
 
-    texts = graph._round(t["file_revisions"].select("node", "text").mapInPandas(split, "filenode binary, copied string, content binary").dropDuplicates(["filenode"]).withColumn("blob_id", F.unhex(F.sha2("content", 256))), "hg-texts")
-    full = graph._round(ops.join(texts.select(F.col("filenode").alias("new_filenode"), "blob_id", "copied"), "new_filenode", "left"), "hg-ops")
+    texts = written(t["file_revisions"].select("node", "text").mapInPandas(split, "filenode binary, copied string, content binary").dropDuplicates(["filenode"]).withColumn("blob_id", F.unhex(F.sha2("content", 256))), "hg-texts")
+    full = written(ops.join(texts.select(F.col("filenode").alias("new_filenode"), "blob_id", "copied"), "new_filenode", "left"), "hg-ops")
     rows = full.select(F.col("atom").alias("node"), "path", "op", F.when(F.col("op") != "Delete", F.col("blob_id")).alias("blob_id"), F.col("new_mode").alias("mode"), stated().alias("status"))
     copies = full.filter("copied is not null and op <> 'Delete'").join(edges.filter("pos = 0").select(F.col("node").alias("atom"), F.col("parent").alias("from_node")), "atom").select(F.col("atom").alias("node"), F.col("copied").alias("from"), "from_node", F.col("path").alias("to"), stated().alias("status"))
     user = F.col("user").cast("string")

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import Rounds
+
 MAX_OBJECT = 1 << 30
 KINDS = {1: "commit", 2: "tree", 3: "blob", 4: "tag"}
 
@@ -242,14 +244,16 @@ def ref_kind(name: Column) -> Column:
 
 def peeled(refs: DataFrame, tags: DataFrame, hops: int = 32) -> DataFrame:
     """refs with the object at the end of their tag chains and the number of tags passed; too long a chain is refused."""
-    refs.createOrReplaceTempView("_refs")
-    tags.createOrReplaceTempView("_tags")
-    chains = refs.sparkSession.sql(f"""
-        WITH RECURSIVE p(name, oid, hops) MAX RECURSION LEVEL {hops + 2} AS (
-          SELECT name, oid, 0 FROM _refs WHERE oid IS NOT NULL
-          UNION ALL SELECT p.name, t.target, p.hops + 1 FROM p JOIN _tags t ON p.oid = t.oid WHERE p.hops < {hops}
-        ) SELECT name, max_by(oid, hops) AS target, max(hops) AS hops FROM p GROUP BY name""")
-    return chains
+    rounds = Rounds(refs.sparkSession, "peeled")
+    now = rounds.write(refs.filter("oid is not null").select("name", F.col("oid").alias("target"), F.lit(0).alias("hops")))
+    above = tags.select(F.col("oid").alias("_tag"), F.col("target").alias("_next"))
+    for k in range(hops):
+        met = now.join(above, F.col("target") == F.col("_tag"), "left")
+        if met.filter("_tag is not null").isEmpty():
+            break
+        now = rounds.write(met.select("name", F.coalesce("_next", "target").alias("target"), F.when(F.col("_tag").isNull(), F.col("hops")).otherwise(k + 1).alias("hops")))
+        rounds.keep_last(1)
+    return now
 
 
 def snapshot(tree_entries: DataFrame, roots: DataFrame, depth: int = 256) -> DataFrame:
@@ -257,11 +261,14 @@ def snapshot(tree_entries: DataFrame, roots: DataFrame, depth: int = 256) -> Dat
     names = tree_entries.withColumn("name", F.decode("name", "UTF-8"))
     if not names.filter(F.col("mode") == 0o160000).limit(1).isEmpty():
         raise Malformed("submodule links are not read")
-    names.createOrReplaceTempView("_tree_entries")
-    roots.createOrReplaceTempView("_root_trees")
-    walked = roots.sparkSession.sql(f"""
-        WITH RECURSIVE w(root, path, oid, mode) MAX RECURSION LEVEL {depth} AS (
-          SELECT r.root, e.name, e.oid, e.mode FROM _root_trees r JOIN _tree_entries e ON e.tree = r.root
-          UNION ALL SELECT w.root, concat(w.path, '/', e.name), e.oid, e.mode FROM w JOIN _tree_entries e ON e.tree = w.oid WHERE w.mode = 16384
-        ) SELECT * FROM w WHERE mode <> 16384""")
-    return walked
+    rounds = Rounds(roots.sparkSession, "trees")
+    entries = names.select("tree", "name", "oid", "mode")
+    now = rounds.write(roots.select("root").distinct().join(entries, F.col("root") == F.col("tree")).select("root", F.col("name").alias("path"), "oid", "mode"))
+    files = now.filter("mode <> 16384")
+    for _ in range(depth):  # a round per level of folders
+        below = entries.select(F.col("tree").alias("oid"), "name", F.col("oid").alias("next"), F.col("mode").alias("kind"))
+        now = rounds.write(now.filter("mode = 16384").join(below, "oid").select("root", F.concat_ws("/", "path", "name").alias("path"), F.col("next").alias("oid"), F.col("kind").alias("mode")))
+        if now.isEmpty():
+            return files
+        files = files.unionAll(now.filter("mode <> 16384"))
+    raise Malformed("folders are nested too deep")

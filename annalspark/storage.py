@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -19,3 +20,28 @@ def shared_dir(spark: SparkSession) -> str:
     own = Path(tempfile.gettempdir()) / f"annalspark-{os.getuid()}"
     own.mkdir(parents=True, exist_ok=True)
     return f"file://{own}"
+
+
+class Rounds:
+    """Tables of a loop, each written once below the shared folder, so that lineage stays short; old ones can be dropped."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.at, self.made = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+
+    def write(self, df: DataFrame) -> DataFrame:
+        self.made += 1
+        path = f"{self.at}/{self.made}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def keep_last(self, n: int) -> None:
+        """Drops all tables but the last n."""
+        jvm = self.spark.sparkContext._jvm
+        for k in range(1, self.made - n + 1):
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.at}/{k}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The table, written once below the shared folder and read from there."""
+    return Rounds(df.sparkSession, name).write(df)
