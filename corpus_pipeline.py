@@ -51,7 +51,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("best-fit packing", packing_stage),
 ]
 
-#: Model-based stages have no SQL form; tests compare every stage with a brute-force version.
+#: Model-based stages have no SQL form; `tests/llm/test_pipeline.py` checks what each stage keeps on planted documents.
 ORACLE_SQL = None
 
 
