@@ -6,6 +6,7 @@ import os
 import pytest
 
 from annalspark.plans import history_queries as h
+from annalspark.plans import model_queries  # noqa: F401  registers more
 
 DATA = "/root/testdata/sf0.001"
 duckdb = pytest.importorskip("duckdb")
