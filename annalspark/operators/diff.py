@@ -39,6 +39,22 @@ def exact_renames(ops: DataFrame) -> DataFrame:
     return pair.filter("gone = 1 and come = 1").drop("gone", "come")
 
 
+def moves(copies: DataFrame, ops: DataFrame, parents: DataFrame) -> DataFrame:
+    """The copies (atom_id, from, from_atom, ...) that are moves: from the first parent, and the atom itself deletes the source."""
+    first = parents.filter("pos = 0").select("atom_id", F.col("parent_id").alias("from_atom"))
+    gone = ops.filter("op = 'Delete'").select("atom_id", F.col("path").alias("from"))
+    return copies.join(first, ["atom_id", "from_atom"], "left_semi").join(gone, ["atom_id", "from"], "left_semi")
+
+
+def snapshot_uses(commits: DataFrame) -> DataFrame:
+    """tree, uses: how often each snapshot is compared: as a commit's own, and as the base of each first child.
+
+    commits: node, tree, parent (the first one, null for a root).
+    """
+    base = commits.filter("parent is not null").select(F.col("parent").alias("node")).join(commits.select("node", "tree"), "node").select("tree")
+    return commits.select("tree").unionAll(base).groupBy("tree").agg(F.count(F.lit(1)).alias("uses"))
+
+
 def running_ops(states: DataFrame) -> DataFrame:
     """Ops of revisions on a running tree: rows (line, path, pos, live) become Add, Modify, Delete; null for no change."""
     was = F.coalesce(F.lag("live").over(W.partitionBy("line", "path").orderBy("pos")), F.lit(False))

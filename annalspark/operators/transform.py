@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -24,6 +24,26 @@ def remap(rows: DataFrame, lines: DataFrame, parts: dict[str, tuple[str, str]])
     return met.select(*[F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in parts else F.col(c) for c in rows.columns])
 
 
+def identity_side(side: Column) -> Column:
+    """(name, email) of `Name <email>`: cut at the last `<` and the last `>` behind it; null where there is no such pair or no name."""
+    found = F.regexp_extract(side, r"^(.*)<([^<]*)>[^<>]*$", 2), F.trim(F.regexp_extract(side, r"^(.*)<([^<]*)>[^<>]*$", 1))
+    return F.when(side.rlike(r"^.*<[^<]*>[^<>]*$"), F.struct(found[1].alias("name"), F.trim(found[0]).alias("email")))
+
+
+def author_map(lines: DataFrame) -> DataFrame:
+    """line_no, old_name, old_email, new_name, new_email of the lines (line_no, line) of a map file, `old = new` a line.
+
+    Blank lines and those that start with # are passed over; any other line that is no pair of identities is refused.
+    """
+    rows = lines.withColumn("line", F.trim("line")).filter((F.col("line") != "") & ~F.startswith("line", F.lit("#")))
+    cut = F.instr("line", "=")
+    sides = rows.select("line_no", "line", identity_side(F.trim(F.expr("substring(line, 1, instr(line, '=') - 1)"))).alias("old"), identity_side(F.trim(F.expr("substring(line, instr(line, '=') + 1)"))).alias("new"), (cut > 0).alias("pair"))
+    wrong = sides.filter(~F.col("pair") | F.col("old").isNull() | F.col("new").isNull()).orderBy("line_no").limit(1).collect()
+    if wrong:
+        raise ValueError(f"line {wrong[0]['line_no']} maps no identity to another")
+    return sides.select("line_no", F.col("old.name").alias("old_name"), F.col("old.email").alias("old_email"), F.col("new.name").alias("new_name"), F.col("new.email").alias("new_email"))
+
+
 def changed_part_violations(before: DataFrame, after: DataFrame, parts: list[str], dropped: DataFrame) -> DataFrame:
     """node, violation, detail of a dishonest edit.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import canon
+from ..storage import written
 from .asof import replay_violations
 from .graph import _walks
 
@@ -176,6 +178,36 @@ def against_source(mine: DataFrame, again: DataFrame) -> DataFrame:
     return mine.exceptAll(again).withColumn("side", F.lit("stored")).unionByName(again.exceptAll(mine).withColumn("side", F.lit("source")))
 
 
+def restamped(h, tool_version: str, decoder_version: str):
+    """The same history as another version would have written it: versions in provenance and derivations, ids rebuilt."""
+    def stamped(df: DataFrame) -> DataFrame:
+        derivation = F.col("status.derivation").withField("decoder_version", F.lit(decoder_version))
+        return df.withColumn("status", F.when(F.col("status.derivation").isNotNull(), F.col("status").withField("derivation", derivation)).otherwise(F.col("status")))
+
+    atoms = stamped(h.atoms).withColumnsRenamed({"atom_id": "node", "atom_idx": "position"})
+    ops, copies = stamped(h.ops).withColumnRenamed("atom_id", "node"), stamped(h.copies).withColumnsRenamed({"atom_id": "node", "from_atom": "from_node"})
+    parents = h.parents.withColumnsRenamed({"atom_id": "node", "parent_id": "parent"})
+    ids = written(canon.atom_ids(atoms, parents, ops, copies), "restamped")
+
+    def swapped(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+        for old, new in columns.items():
+            df = df.join(ids.select(F.col("node").alias(old), F.col("atom_id").alias(new)), old, "left").drop(old)
+        return df
+
+    tables = {"atoms": swapped(atoms, {"node": "atom_id"}).withColumnRenamed("position", "atom_idx"), "parents": swapped(parents, {"node": "atom_id", "parent": "parent_id"}), "ops": swapped(ops, {"node": "atom_id"}), "copies": swapped(copies, {"node": "atom_id", "from_node": "from_atom"})}
+    refs = stamped(h.refs).withColumnRenamed("target", "old")
+    tables["refs"] = swapped(refs, {"old": "target"})
+    made = h.provenance.withColumn("tool_version", F.lit(tool_version)).withColumn("decoder_version", F.lit(decoder_version))
+    return h.replace(provenance=made, **{k: df.select(getattr(h, k).columns) for k, df in tables.items()})
+
+
+def rederived(stored, again) -> DataFrame:
+    """Atoms that only one of two histories has once both are stamped with the stored one's versions: side, atom_id."""
+    v = stored.provenance.select("tool_version", "decoder_version").first()
+    aligned = restamped(again, v["tool_version"], v["decoder_version"])
+    return against_source(stored.atoms.select("atom_id"), aligned.atoms.select("atom_id"))
+
+
 def trunk_after_vendor(files: DataFrame, revisions: DataFrame) -> DataFrame:
     """Files with a default vendor branch that also have a trunk revision above 1.1: ambiguous, to be refused."""
     later = revisions.filter((F.size("rev") == 2) & ~((F.get("rev", F.lit(0)) == 1) & (F.get("rev", F.lit(1)) == 1))).select("path").distinct()

@@ -249,17 +249,17 @@ def layout_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- names --------------------------------------------------------------------------------------------------------------
 
 
-_RUNS = "runs AS (SELECT l_suppkey % 20 AS branch, l_partkey % 40 AS file, min(l_orderkey % 1000) AS i, min(l_orderkey % 1000) + 1 + count(*) % 300 AS o FROM lineitem GROUP BY 1, 2)"
+_LINE = 1 << 40
+_RUNS = "runs AS (SELECT l_suppkey AS branch, l_partkey AS file, min(l_orderkey) AS i, max(l_orderkey) + 1 AS o FROM lineitem GROUP BY 1, 2)"
 
 
 @query(f"""WITH {_RUNS}, e AS (SELECT branch, max(i) AS mi, min(o) AS mo, count(*) AS files FROM runs GROUP BY 1),
-st AS (SELECT branch, pos, sum(d) AS d FROM (SELECT branch, i AS pos, 1 AS d FROM runs UNION ALL SELECT branch, least(o, 1000), -1 FROM runs) GROUP BY 1, 2),
-dp AS (SELECT branch, pos, sum(d) OVER (PARTITION BY branch ORDER BY pos) AS covered FROM st), bs AS (SELECT *, row_number() OVER (PARTITION BY branch ORDER BY covered DESC, pos) AS k FROM dp WHERE pos < 1000)
+st AS (SELECT branch, pos, sum(d) AS d FROM (SELECT branch, i AS pos, 1 AS d FROM runs UNION ALL SELECT branch, least(o, {_LINE}), -1 FROM runs) GROUP BY 1, 2),
+dp AS (SELECT branch, pos, sum(d) OVER (PARTITION BY branch ORDER BY pos) AS covered FROM st), bs AS (SELECT *, row_number() OVER (PARTITION BY branch ORDER BY covered DESC, pos) AS k FROM dp WHERE pos < {_LINE})
 SELECT e.branch, CASE WHEN mi < mo THEN mi ELSE bs.pos END AS position, CAST(mi < mo AS BIGINT) AS exact, CAST(CASE WHEN mi < mo THEN files ELSE bs.covered END AS BIGINT) AS covered FROM e JOIN bs ON e.branch = bs.branch AND bs.k = 1""")
 def branch_cut_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = F.min(F.col("l_orderkey") % 1000)
-    runs = table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 20).alias("branch"), (F.col("l_partkey") % 40).alias("file")).agg(first.alias("in"), (first + 1 + F.count(F.lit(1)) % 300).alias("out"))
-    return refs.cut_points(runs, 1000).select("branch", F.col("position").cast("bigint").alias("position"), F.col("exact").cast("bigint").alias("exact"), F.col("covered").cast("bigint").alias("covered"))
+    runs = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("branch"), F.col("l_partkey").alias("file")).agg(F.min("l_orderkey").alias("in"), (F.max("l_orderkey") + 1).alias("out"))
+    return refs.cut_points(runs, _LINE).select("branch", F.col("position").cast("bigint").alias("position"), F.col("exact").cast("bigint").alias("exact"), F.col("covered").cast("bigint").alias("covered"))
 
 
 @query("""WITH p AS (SELECT n_name AS branch, CASE WHEN c_mktsegment = 'BUILDING' THEN '' ELSE c_mktsegment END AS line FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),

@@ -114,9 +114,9 @@ def empty_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refs.empty_folders(added, live.select("path")).select("path")
 
 
-@query("SELECT l_orderkey AS copy, arg_min(l_partkey, l_linenumber) AS atom FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1")
+@query("SELECT l_orderkey AS copy, arg_min(l_partkey, l_linenumber * 100000000 + l_partkey) AS atom FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1")
 def copy_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("copy"), F.col("l_linenumber").alias("priority"), F.when(F.col("l_returnflag") == "A", F.col("l_partkey")).alias("atom"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("copy"), (F.col("l_linenumber") * F.lit(100_000_000).cast("bigint") + F.col("l_partkey")).alias("priority"), F.when(F.col("l_returnflag") == "A", F.col("l_partkey")).alias("atom"))
     return refs.copy_source(rows).select("copy", "atom")
 
 
@@ -205,6 +205,46 @@ def exclusive_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(n,)], "n bigint")
 
 
+@query(f"""WITH {_CHAIN} SELECT node, row_number() OVER (ORDER BY epoch_us(o_orderdate), node) - 1 AS position FROM chain""")
+def topo_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where sources are in order of time, as parents are, the smallest order that has parents first is the order of sources."""
+    rows = chain(spark, sf_dir).select("node", F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("source"), F.array_compact(F.array("parent")).alias("parents"))
+    return graph.topological_order(rows).select("node", "position")
+
+
+@query(f"""WITH RECURSIVE {_CHAIN}, p AS (SELECT node, parent FROM chain WHERE parent IS NOT NULL UNION ALL SELECT a.node, b.node FROM chain a JOIN chain b ON b.node = a.node - 3 WHERE a.node % 50 = 0 AND a.parent IS NOT NULL AND a.parent > a.node),
+up AS (SELECT node FROM chain WHERE node % 400 = 1 UNION SELECT p.parent FROM p JOIN up USING (node)) SELECT node FROM up""")
+def merged_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reachability in a graph with merges: some revisions have a second parent."""
+    rows = chain(spark, sf_dir)
+    second = rows.filter("node % 50 = 0 and parent > node").select("node", (F.col("node") - 3).alias("parent")).join(rows.select(F.col("node").alias("parent")), "parent", "left_semi").select("node", "parent")
+    return graph.ancestors_or_self(rows.filter("parent is not null").select("node", "parent").unionAll(second), rows.filter("node % 400 = 1").select("node"))
+
+
+@query(f"""WITH {_CHAIN}, c AS (SELECT node, parent, node % 3 AS kind FROM chain WHERE parent IS NOT NULL) SELECT node, 'a' || parent AS "from" FROM c WHERE kind = 0 AND node % 4 <> 1""")
+def moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chain(spark, sf_dir).filter("parent is not null").select("node", "parent")
+    k = F.col("node") % 3  # a move; a copy from elsewhere; a copy whose source stays
+    copies = rows.select(F.col("node").alias("atom_id"), F.concat(F.lit("a"), F.col("parent").cast("string")).alias("from"), F.when(k == 1, F.col("parent") - 1).otherwise(F.col("parent")).alias("from_atom"))
+    ops = rows.filter("node % 3 < 2").select(F.col("node").alias("atom_id"), F.concat(F.lit("a"), F.col("parent").cast("string")).alias("path"), F.when(F.col("node") % 4 == 1, "Modify").otherwise("Delete").alias("op"))
+    parents = rows.select(F.col("node").alias("atom_id"), F.lit(0).alias("pos"), F.col("parent").alias("parent_id"))
+    return diff.moves(copies, ops, parents).select(F.col("atom_id").alias("node"), "from")
+
+
+@query(f"""WITH {_CHAIN}, u AS (SELECT o_custkey % 50 AS tree FROM chain UNION ALL SELECT p.o_custkey % 50 FROM chain c JOIN chain p ON c.parent = p.node) SELECT tree, count(*) AS uses FROM u GROUP BY 1""")
+def snapshot_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diff.snapshot_uses(chain(spark, sf_dir).select("node", "parent", (F.col("o_custkey") % 50).alias("tree")))
+
+
+@query("""SELECT c_custkey AS line_no, CASE WHEN c_custkey % 7 = 0 THEN c_name || ' <x>' ELSE c_name END AS old_name, c_custkey || '@old.org' AS old_email, 'N' || c_custkey AS new_name, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE 'n@new.org' END AS new_email FROM customer WHERE c_custkey % 3 <> 0""")
+def author_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, text = F.col("c_custkey"), F.col("c_custkey").cast("string")
+    old = F.concat("c_name", F.when(k % 7 == 0, " <x>").otherwise(""), F.lit(" <"), text, F.lit("@old.org>"))
+    new = F.concat(F.lit("N"), text, F.when(k % 5 == 0, " <>").otherwise(" <n@new.org>"))
+    line = F.when(k % 6 == 0, "  ").when(k % 3 == 0, F.concat(F.lit("# "), "c_name")).otherwise(F.concat(F.lit(" "), old, F.lit(" = "), new, F.lit(" ")))
+    return transform.author_map(table(spark, sf_dir, "customer").select(k.alias("line_no"), line.alias("line")))
+
+
 # --- reports ----------------------------------------------------------------------------------------------------------------
 
 

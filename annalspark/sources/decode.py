@@ -14,7 +14,8 @@ from .. import __version__
 from ..functions import canon
 from ..functions import scalars as S
 from ..history import SCHEMAS, STATUS, History
-from ..operators import cluster, diff, graph
+from ..operators import branches as branching
+from ..operators import cluster, diff, graph, verify
 from ..operators import refs as names
 from ..storage import written
 from . import gitstore, rcs, revlog, svndump
@@ -112,6 +113,9 @@ def from_git(spark: SparkSession, git_dir: str, infer_renames: bool = False) ->
     )
     lost = t["refs"].filter(gitstore.ref_kind(F.col("name")).isNull() & F.col("oid").isNotNull()).count()
     drops = [("namespace", "references outside branches and tags", f"{lost} references are not carried", None)] if lost else []
+    heads = lambda which: tips.filter(which).join(t["commits"].select(F.col("oid").alias("target")), "target", "left_semi").select(F.col("target").alias("node"))
+    if lost and (only := graph.exclusive_count(edges.select("node", "parent"), heads("kind is null"), heads("kind is not null"))):
+        drops.append(("commits", "commits that only dropped references reach", f"{only} commits are not carried", None))
     repo = commits.filter("size(parents) = 0").agg(F.min("node")).first()[0]
     return assemble(spark, "git", bytes(repo or b""), atoms, parents, rows, copies, carried.select("name", "kind", "target", stated().alias("status")), contents, drops, params={"infer_renames": str(infer_renames).lower()})
 
@@ -120,6 +124,9 @@ def from_cvs(spark: SparkSession, root: str, window: int = 180, floor: int = 50)
     """Main-line changesets of a CVS repository, reconstructed; tags become derived references, branches are counted."""
     t = {k: written(v, f"cvs-{k}") for k, v in rcs.read(spark, root).items()}
     vendor = t["files"].select("path", S.parse_dotted(F.col("vendor_branch")).alias("vendor"))
+    unclear = verify.trunk_after_vendor(t["files"].withColumn("vendor_branch", F.nullif("vendor_branch", F.lit(""))), t["revisions"].select("path", "rev")).select("path").limit(5).collect()
+    if unclear:
+        raise rcs.Malformed(f"a default branch and later trunk revisions: {[r[0] for r in unclear]}")
     every = t["revisions"].join(vendor, "path")
     revs = every.filter(S.is_main_line(F.col("rev"), F.col("vendor"))).drop("vendor")
     made = written(cluster.check_floor(cluster.changesets(revs, window), floor), "cvs-changesets")
@@ -203,6 +210,9 @@ def from_svn(spark: SparkSession, path: str, trunk: str = "trunk", branches: str
                 yield pd.DataFrame(list(_svn_ops(bytes(data))), columns=cols)
 
     raw = svndump.read(spark, path)
+    outer = branching.externals(raw["nodes"]).limit(5).collect()
+    if outer:
+        raise svndump.Malformed(f"externals are not read: {[(r['revision'], r['path']) for r in outer]}")
     changes = written(spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "revision bigint, path string, op string, text binary, executable boolean, special boolean, `from` string, from_revision bigint"), "svn-ops")
     key = lambda c: F.encode(F.lpad(c.cast("string"), 12, "0"), "UTF-8")
     prop = lambda k: F.get(F.transform(F.filter("props", lambda x: x["k"] == k), lambda x: x["v"]), F.lit(0))
@@ -219,6 +229,8 @@ def from_svn(spark: SparkSession, path: str, trunk: str = "trunk", branches: str
     ref_rows = tips.select(F.col("root").alias("name"), F.when(F.startswith("root", F.lit(f"{tags}/")), "tag").otherwise("branch").alias("kind"), F.col("atom").alias("target"), derived("reconstructed-branch", {"layout": f"{trunk},{branches},{tags}"}).alias("status"))
     outside = touched.filter("root is null").select("path").distinct().count()
     drops = [("layout", "paths outside the layout", f"{outside} paths belong to no root", None)] if outside else []
+    lost = branching.property_losses(raw["nodes"]).agg(*[F.coalesce(F.sum(F.col(c).cast("int")), F.lit(0)).alias(c) for c in ("mergeinfo", "workflow", "custom")]).first()
+    drops += [("properties", f"{c} properties", f"{lost[c]} revisions set some", None) for c in ("mergeinfo", "workflow", "custom") if lost[c]]
     return assemble(spark, "svn", b"", atoms, parents, ops, copies, ref_rows, changes.filter("content is not null").select(F.unhex(F.sha2("content", 256)).alias("blob_id"), "content"), drops, params={"layout": f"{trunk},{branches},{tags}"})
 
 
@@ -254,13 +266,21 @@ def from_hg(spark: SparkSession, store: str) -> History:
             rows = []
             for node, text in zip(pdf["node"], pdf["text"], strict=True):
                 meta, body = revlog.file_text(bytes(text))
-                rows.append((bytes(node), meta.get("copy"), body))
-            yield pd.DataFrame(rows, columns=["filenode", "copied", "content"])
+                rows.append((bytes(node), meta.get("copy"), bytes.fromhex(meta.get("copyrev", "")), body))
+            yield pd.DataFrame(rows, columns=["filenode", "copied", "copyrev", "content"])
 
-    texts = written(t["file_revisions"].select("node", "text").mapInPandas(split, "filenode binary, copied string, content binary").dropDuplicates(["filenode"]).withColumn("blob_id", F.unhex(F.sha2("content", 256))), "hg-texts")
-    full = written(ops.join(texts.select(F.col("filenode").alias("new_filenode"), "blob_id", "copied"), "new_filenode", "left"), "hg-ops")
+    texts = written(t["file_revisions"].select("node", "text").mapInPandas(split, "filenode binary, copied string, copyrev binary, content binary").dropDuplicates(["filenode"]).withColumn("blob_id", F.unhex(F.sha2("content", 256))), "hg-texts")
+    full = written(ops.join(texts.select(F.col("filenode").alias("new_filenode"), "blob_id", "copied", "copyrev"), "new_filenode", "left"), "hg-ops")
     rows = full.select(F.col("atom").alias("node"), "path", "op", F.when(F.col("op") != "Delete", F.col("blob_id")).alias("blob_id"), F.col("new_mode").alias("mode"), stated().alias("status"))
-    copies = full.filter("copied is not null and op <> 'Delete'").join(edges.filter("pos = 0").select(F.col("node").alias("atom"), F.col("parent").alias("from_node")), "atom").select(F.col("atom").alias("node"), F.col("copied").alias("from"), "from_node", F.col("path").alias("to"), stated().alias("status"))
+    # the source of a copy: the first parent if it holds the copied file revision, else the second, else the changeset
+    # that brought it, else the first parent
+    made = full.filter("copied is not null and op <> 'Delete'").select(F.struct("atom", "path").alias("copy"), F.col("atom").alias("node"), F.col("copied").alias("from"), "copyrev", F.col("path").alias("to"))
+    ups = made.join(edges, "node").select("copy", "from", "copyrev", "pos", "parent")
+    manifests = log.select(F.col("node").alias("parent"), "manifest").join(t["manifest_entries"].select("manifest", F.col("path").alias("from"), F.col("filenode").alias("copyrev")), "manifest").select("parent", "from", "copyrev")
+    brought = t["file_revisions"].select(F.col("node").alias("copyrev"), F.col("link").alias("rev")).join(log.select("rev", "node"), "rev").groupBy("copyrev").agg(F.min_by("node", "rev").alias("parent"))
+    tries = ups.join(manifests, ["parent", "from", "copyrev"], "left_semi").select("copy", F.col("pos").cast("int").alias("priority"), F.col("parent").alias("atom"))
+    tries = tries.unionAll(made.join(brought, "copyrev").filter("parent <> node").select("copy", F.lit(2).alias("priority"), F.col("parent").alias("atom"))).unionAll(ups.filter("pos = 0").select("copy", F.lit(3).alias("priority"), F.col("parent").alias("atom")))
+    copies = made.join(names.copy_source(tries), "copy").select("node", "from", F.col("atom").alias("from_node"), "to", stated().alias("status"))
     user = F.col("user").cast("string")
     atoms = log.select("node", F.col("node").alias("order"), _person(S.user_name(user), S.user_email(user)).alias("author"), _time(F.col("time"), S.west_seconds_to_minutes(F.col("tz"))).alias("author_time"), _text(F.col("description"), F.lit("UTF-8")).alias("message"), stated().alias("status"))
     closed = F.exists("extras", lambda x: x["k"] == "close")

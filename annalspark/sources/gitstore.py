@@ -197,6 +197,8 @@ def read(spark: SparkSession, git_dir: str) -> dict[str, DataFrame]:
                 yield pd.DataFrame(rows, columns=["oid", "kind", "content"])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(git_dir).select("path", "content")
+    marks = files.filter(F.col("path").rlike("/(config|shallow|info/grafts|objects/info/alternates)$")).select(F.regexp_extract("path", "/(config|shallow|info/grafts|objects/info/alternates)$", 1).alias("name"), F.decode("content", "UTF-8").alias("text")).collect()  # four files
+    check_layout({r["name"] for r in marks if r["text"].strip()}, "\n".join(r["text"] for r in marks if r["name"] == "config"))
     stored = files.filter(F.col("path").rlike(r"/objects/([0-9a-f]{2}/[0-9a-f]{38}|pack/pack-[0-9a-f]+\.pack)$"))
     objects = stored.mapInPandas(run, "oid binary, kind string, content binary").dropDuplicates(["oid"])
 

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 MAX_REVISION = 1 << 30
 NULL = b"\0" * 20
@@ -238,6 +239,8 @@ def read(spark: SparkSession, store: str) -> dict[str, DataFrame]:
             yield pd.DataFrame(rows, columns=["name", "rev", "node", "link", "p1", "p2", "text"])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(store).selectExpr("regexp_extract(path, '([^:]*)$', 1) as path", "content")
+    for (needs,) in files.filter("path like '%/requires'").select(F.decode("content", "UTF-8")).collect():  # one small file, or none
+        check_requirements(needs)
     index = files.filter("path like '%.i'").selectExpr("left(path, length(path) - 2) as name", "content as index")
     data = files.filter("path like '%.d'").selectExpr("left(path, length(path) - 2) as name", "content as data")
     raw = index.join(data, "name", "left").mapInPandas(run, "name string, rev int, node binary, link int, p1 int, p2 int, text binary")

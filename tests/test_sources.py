@@ -351,6 +351,16 @@ def test_decode_svn(spark, tmp_path):
     assert {(r["name"], r["kind"]) for r in h.refs.collect()} == {("trunk", "branch"), ("tags/v", "tag")}
     assert {(r["from"], r["to"]) for r in h.copies.collect()} == {("trunk/a", "tags/v/a"), ("trunk/d/b", "tags/v/d/b")} and h.drops.count() == 1
 
+    def tail(key):
+        p = props((key, b"x"))
+        return rev(4, b"four") + b"Node-path: trunk/p\nNode-kind: file\nNode-action: add\nProp-content-length: %d\nText-content-length: 1\nContent-length: %d\n\n" % (len(p), len(p) + 1) + p + b"5\n\n"
+
+    (tmp_path / "e.dump").write_bytes(stream + tail(b"svn:ignore"))
+    assert {(r["class"], r["what"]) for r in decode(spark, "svn", str(tmp_path / "e.dump")).drops.collect()} == {("layout", "paths outside the layout"), ("properties", "workflow properties")}
+    (tmp_path / "f.dump").write_bytes(stream + tail(b"svn:externals"))
+    with pytest.raises(svndump.Malformed, match="externals"):
+        decode(spark, "svn", str(tmp_path / "f.dump"))
+
 
 def test_decode_git(spark, tmp_path):
     from annalspark.sources.decode import decode
@@ -378,7 +388,20 @@ def test_decode_git(spark, tmp_path):
     assert [bytes(atoms[0]["message"]["bytes"]), bytes(atoms[3]["message"]["bytes"])] == [b"root", b"merge"] and h.parents.count() == 4
     assert ops == {("a", "Add"), ("a", "Delete"), ("b", "Add"), ("c", "Add")}
     assert [(r["from"], r["to"], r["status"]["derivation"]["kind"]) for r in h.copies.collect()] == [("a", "b", "inferred-rename")]
-    assert {(r["name"], r["kind"]) for r in h.refs.collect()} == {("refs/heads/main", "branch"), ("refs/tags/v1", "tag")} and h.drops.count() == 1 and h.blobs.count() == 2
+    assert {(r["name"], r["kind"]) for r in h.refs.collect()} == {("refs/heads/main", "branch"), ("refs/tags/v1", "tag")} and h.blobs.count() == 2
+    assert {(r["class"], r["reason"]) for r in h.drops.collect()} == {("namespace", "1 references are not carried"), ("commits", "1 commits are not carried")}
+    # a move: from the first parent, and the commit deletes the source
+    from annalspark.operators import diff, verify
+
+    assert [(r["from"], r["to"]) for r in diff.moves(h.copies, h.ops, h.parents).collect()] == [("a", "b")]
+    # another version stamps other ids on what it derives and on what descends from that; stamped alike, they are the same
+    later = verify.restamped(h, "9.9", "9.9")
+    ids = lambda x: {bytes(r[0]) for r in x.atoms.select("atom_id").collect()}
+    assert verify.verdict(later)[0] == "pass" and len(ids(later) - ids(h)) == 2
+    assert verify.rederived(h, later).count() == 0 and verify.rederived(h, later.replace(atoms=later.atoms, ops=later.ops.filter("path <> 'c'"))).count() > 0
+    (tmp_path / "shallow").write_text(c1.hex() + "\n")
+    with pytest.raises(gitstore.Malformed, match="shallow"):
+        decode(spark, "git", str(tmp_path))
 
 
 def test_decode_hg(spark, tmp_path):
@@ -398,3 +421,25 @@ def test_decode_hg(spark, tmp_path):
     atoms, ops = checked(h)
     assert len(atoms) == 2 and ops == {("a.txt", "Add"), ("a.txt", "Modify")} and h.drops.count() == 1
     assert {(r["name"], r["kind"]) for r in h.refs.collect()} == {("default", "named-branch"), ("mark", "bookmark")}
+    (tmp_path / "requires").write_text("revlogv1\nlargefiles\n")
+    with pytest.raises(revlog.Malformed, match="largefiles"):
+        decode(spark, "hg", str(tmp_path))
+
+
+def test_decode_hg_copies(spark, tmp_path):
+    from annalspark.sources.decode import decode
+
+    a = make_revlog([b"hello"])
+    b = make_revlog([b"\1\ncopy: a\ncopyrev: " + a[2][0].hex().encode() + b"\n\1\nhello"])
+    trees = make_revlog([b"a\0" + a[2][0].hex().encode() + b"\n", b"", b"b\0" + b[2][0].hex().encode() + b"\n"])
+    # the first parent no longer holds the source: the changeset that brought it is the copy's source
+    logs = make_revlog([trees[2][i].hex().encode() + b"\nAl <al@x>\n100%d 0\na\n\nc%d" % (i, i) for i in range(3)])
+    (tmp_path / "data").mkdir()
+    for name, r in (("00changelog", logs), ("00manifest", trees), ("data/a", a), ("data/b", b)):
+        (tmp_path / f"{name}.i").write_bytes(r[0])
+    for name in ("phaseroots", "bookmarks"):
+        (tmp_path / name).write_bytes(b"")
+    (tmp_path / "obsstore").write_bytes(b"\1")
+    h = decode(spark, "hg", str(tmp_path))
+    place = {bytes(r["atom_id"]): r["atom_idx"] for r in h.atoms.collect()}
+    assert [(r["from"], place[bytes(r["from_atom"])], r["to"], place[bytes(r["atom_id"])]) for r in h.copies.collect()] == [("a", 0, "b", 2)]
