@@ -18,7 +18,7 @@ from ..operators import branches as branching
 from ..operators import cluster, diff, graph, verify
 from ..operators import refs as names
 from ..storage import written
-from . import gitstore, rcs, revlog, svndump
+from . import cvsbranches, gitstore, rcs, revlog, svndump
 
 
 def stated() -> Column:
@@ -121,7 +121,7 @@ def from_git(spark: SparkSession, git_dir: str, infer_renames: bool = False) ->
 
 
 def from_cvs(spark: SparkSession, root: str, window: int = 180, floor: int = 50) -> History:
-    """Main-line changesets of a CVS repository, reconstructed; tags become derived references, branches are counted."""
+    """Changesets of a CVS repository, reconstructed line by line; tags and branches become derived references."""
     t = {k: written(v, f"cvs-{k}") for k, v in rcs.read(spark, root).items()}
     vendor = t["files"].select("path", S.parse_dotted(F.col("vendor_branch")).alias("vendor"))
     unclear = verify.trunk_after_vendor(t["files"].withColumn("vendor_branch", F.nullif("vendor_branch", F.lit(""))), t["revisions"].select("path", "rev")).select("path").limit(5).collect()
@@ -142,12 +142,22 @@ def from_cvs(spark: SparkSession, root: str, window: int = 180, floor: int = 50)
     tags = t["symbols"].groupBy("name").agg(F.bool_or(S.names_branch(F.col("rev"))).alias("branch"))
     targets, _ = names.symbol_targets(t["symbols"].join(tags.filter("not branch"), "name", "left_semi"), placed)
     ref_rows = targets.select("name", F.lit("tag").alias("kind"), F.col("atom").alias("target"), derived("reconstructed-branch", {"source": "symbols"}).alias("status"))
-    left = every.count() - revs.count()
-    drops = [("branch-revisions", "revisions outside the main line", f"{left} revisions are not reconstructed", None)] if left else []
+    main = member.select(F.lit("").alias("line"), F.col("n").cast("long").alias("n"), "node", "path", "rev", (F.col("state") != "dead").alias("live"), "blob_id", "date")
+    grown = cvsbranches.build(t["revisions"], t["symbols"], vendor, main, window)
+    left = every.count() - revs.count() - grown["lines"].count()
+    drops = [("branch-revisions", "revisions on lines that are not built", f"{left} revisions are not reconstructed", None)] if left else []
+    if "atoms" in grown:
+        new = grown["atoms"]
+        made_by = F.when(F.col("kind") == "reconstructed-branch", derived("reconstructed-branch", {"source": "symbols"}, F.col("confidence"))).otherwise(status(F.col("confidence")))
+        order = F.encode(F.concat(F.lit("branch "), F.lpad(F.col("wave").cast("string"), 6, "0"), "line", F.lit(" "), F.lpad(F.col("n").cast("string"), 12, "0")), "UTF-8")
+        atoms = atoms.unionByName(new.select("node", order.alias("order"), _person(F.col("author"), None).alias("author"), _time(F.col("date")).alias("author_time"), _text(F.col("log")).alias("message"), made_by.alias("status")))
+        parents = parents.unionByName(grown["parents"].select("node", F.lit(0).alias("pos"), "parent"))
+        rows = rows.unionByName(grown["ops"].select("node", "path", "op", F.when(F.col("op") != "Delete", F.col("blob_id")).alias("blob_id"), F.when(F.col("op") != "Delete", 0o100644).alias("mode"), stated().alias("status")))
+        ref_rows = ref_rows.unionByName(grown["refs"].select("name", F.lit("branch").alias("kind"), "target", derived("reconstructed-branch", {"source": "symbols"}).alias("status")))
     low = t["revisions"].filter("size(rev) = 2").groupBy("path").agg(F.min(F.struct("rev", "date", "author")).alias("f"))
     line = F.concat_ws("\t", "path", S.dotted(F.col("f.rev")), F.col("f.date").cast("string"))
     repo = low.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256)).first()[0]  # a line per file
-    return assemble(spark, "cvs", bytes.fromhex(repo), atoms, parents, rows, None, ref_rows, revs.select("blob_id", "content").filter("content is not null"), drops, params={"window_secs": str(window), "confidence_floor": str(floor)})
+    return assemble(spark, "cvs", bytes.fromhex(repo), atoms, parents, rows, None, ref_rows, t["revisions"].select("blob_id", "content").filter("content is not null"), drops, params={"window_secs": str(window), "confidence_floor": str(floor)})
 
 
 def _svn_ops(data: bytes) -> Iterator[tuple]:

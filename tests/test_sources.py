@@ -329,8 +329,45 @@ def test_decode_cvs(spark, tmp_path):
     h = decode(spark, "cvs", str(tmp_path))
     atoms, ops = checked(h)
     assert [bytes(atoms[i]["message"]["bytes"]) for i in (0, 1)] == [b"first\n", b"second @ time\n"]
-    assert ops == {("mod/a.c", "Add"), ("mod/b.c", "Add"), ("mod/a.c", "Modify"), ("mod/b.c", "Modify")}
-    assert [r["name"] for r in h.refs.collect()] == ["REL"] and h.blobs.count() == 2 and h.drops.count() == 1
+    assert ops == {("mod/a.c", "Add"), ("mod/b.c", "Add"), ("mod/a.c", "Modify"), ("mod/b.c", "Modify"), ("mod/a.c", "Delete"), ("mod/b.c", "Delete")}
+    # the branch leaves the main line at the first changeset, and its only changeset deletes both files
+    place = {bytes(r["atom_id"]): r["atom_idx"] for r in h.atoms.collect()}
+    assert {(r["name"], r["kind"], place[bytes(r["target"])]) for r in h.refs.collect()} == {("REL", "tag", 0), ("BR", "branch", 2)}
+    assert {(place[bytes(r["atom_id"])], place[bytes(r["parent_id"])]) for r in h.parents.collect()} == {(1, 0), (2, 0)}
+    assert bytes(atoms[2]["message"]["bytes"]) == b"branch\n" and h.blobs.count() == 2 and h.drops.count() == 0
+
+
+def test_decode_cvs_branches(spark, tmp_path):
+    from annalspark.sources.decode import decode
+
+    def rcs_file(revs, symbols):
+        """revs: (number, day, log, text); the trunk's texts are stored backwards, a branch's forwards, whole lines each."""
+        trunk = [r for r in revs if r[0].count(".") == 1][::-1]
+        side = [r for r in revs if r[0].count(".") > 1]
+        child = {r[0]: [s[0] for s in side if s[0].rsplit(".", 2)[0] == r[0] and s[0].endswith(".1")] for r in revs}
+        head = f"head\t{trunk[0][0]};\naccess;\nsymbols{''.join(f' {n}:{v}' for n, v in symbols)};\nlocks; strict;\n\n"
+        nxt = {a[0]: b[0] for a, b in zip(trunk, trunk[1:], strict=False)} | {a[0]: b[0] for a, b in zip(side, side[1:], strict=False) if a[0].rsplit(".", 1)[0] == b[0].rsplit(".", 1)[0]}
+        body = "".join(f"{v}\ndate\t2024.01.{d:02}.00.00.00;\tauthor al;\tstate Exp;\nbranches {' '.join(child[v])};\nnext\t{nxt.get(v, '')};\n\n" for v, d, *_ in trunk + side)
+        texts = "".join(f"\n{v}\nlog\n@{log}@\ntext\n@{text if v == trunk[0][0] else 'd1 1' + chr(10) + 'a1 1' + chr(10) + text}@\n" for v, _, log, text in trunk + side)
+        return (head + "\n" + body + "\ndesc\n@@\n" + texts).encode()
+
+    # b leaves a's trunk at 1.2 and c's at 1.1; x leaves b where both files have a revision on it; c's 1.2 comes before a's 1.2
+    a = rcs_file([("1.1", 1, "one", "a1\n"), ("1.2", 3, "three", "a2\n"), ("1.2.2.1", 5, "on b", "a3\n"), ("1.2.2.1.2.1", 7, "on x", "a4\n")], [("b", "1.2.0.2"), ("x", "1.2.2.1.0.2")])
+    c = rcs_file([("1.1", 1, "one", "c1\n"), ("1.2", 2, "two", "c2\n"), ("1.1.2.1", 5, "on b", "c3\n")], [("b", "1.1.0.2"), ("x", "1.1.2.1.0.2")])
+    (tmp_path / "a,v").write_bytes(a)
+    (tmp_path / "c,v").write_bytes(c)
+    h = decode(spark, "cvs", str(tmp_path))
+    atoms, _ = checked(h)
+    name = {bytes(r["atom_id"]): bytes(r["message"]["bytes"]).decode() if r["message"] else "point" for r in h.atoms.collect()}
+    up = {name[bytes(r["atom_id"])]: name[bytes(r["parent_id"])] for r in h.parents.collect()}
+    assert up == {"two": "one", "three": "two", "point": up["point"], "on b": "point", "on x": "on b"}
+    changes = {(name[bytes(r["atom_id"])], r["path"], r["op"]) for r in h.ops.collect()}
+    # one file is at its point from the first changeset until the second, the other from the third on: the cut covers one
+    want = {"one": {("point", "a", "Modify")}, "three": {("point", "c", "Modify")}}[up["point"]]
+    assert {c for c in changes if c[0] in ("point", "on b", "on x")} == want | {("on b", "a", "Modify"), ("on b", "c", "Modify"), ("on x", "a", "Modify")}
+    point = h.atoms.filter("message is null").first()["status"]["derivation"]
+    assert (point["kind"], point["confidence"]) == ("reconstructed-branch", 50)
+    assert {(r["name"], name[bytes(r["target"])]) for r in h.refs.collect()} == {("b", "on b"), ("x", "on x")} and h.drops.count() == 0
 
 
 def test_decode_svn(spark, tmp_path):
