@@ -12,6 +12,8 @@ MB) and the documents are read once a block.  Documents are never shuffled.
 
 Cases: null texts and items are empty and match nothing; items shorter than n words seed with their whole sequence;
 null ids are passed on; repeated documents are each reported; empty tables give no rows; extra columns are ignored.
+A very long stretch of seeds is aligned in overlapping pieces of bounded length, so memory is bounded too.  Ties: of
+equally good alignments of an item the first one counts; equal items are each reported.
 """
 
 from __future__ import annotations

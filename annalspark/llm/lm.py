@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import Stages
+from .common import Stages, dealt
 
 U64 = np.uint64
 START, END = U64(0x5354415254535441), U64(0x454E44454E44454E)
@@ -172,7 +172,7 @@ def _unigrams(stage: DataFrame, parts: int) -> DataFrame:
             )
 
     asked = stage.select("batch", "vocab", "fit", "em").mapInArrow(ask, "part int, batch long, keys binary, fit binary, em binary")
-    return asked.groupBy("part").applyInArrow(add, ANSWER)
+    return dealt(asked, parts, "part").groupBy("part").applyInArrow(add, ANSWER)
 
 
 def _counts(own: dict, answers: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -255,7 +255,7 @@ def _ask_bigrams(stage: DataFrame, words: DataFrame, parts: int, p: LmParams) ->
     return stage.groupBy("batch").cogroup(words.groupBy("batch")).applyInArrow(run, "part int, batch long, keys binary, fit binary, em binary, context binary, word binary")
 
 
-def _answer_bigrams(asked: DataFrame) -> DataFrame:
+def _answer_bigrams(asked: DataFrame, parts: int) -> DataFrame:
     """Counts for each batch (kind 2), and histogram rows (kind 3): cell number and held-out count."""
     schema = pa.schema([("batch", pa.int64()), ("kind", pa.int32()), ("part", pa.int32()), ("counts", pa.binary()), ("tokens", pa.int64()), ("types", pa.int64())])
 
@@ -278,7 +278,7 @@ def _answer_bigrams(asked: DataFrame) -> DataFrame:
         for k in range(0, len(out), 256):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[k : k + 256], strict=True), schema, strict=True)], schema=schema)
 
-    return asked.groupBy("part").applyInArrow(run, ANSWER)
+    return dealt(asked, parts, "part").groupBy("part").applyInArrow(run, ANSWER)
 
 
 def learn(cells: list[tuple[int, int]], n_fit: float, types: int, p: LmParams) -> np.ndarray:
@@ -314,7 +314,8 @@ def score(docs: DataFrame, params: LmParams = LmParams()) -> DataFrame:
     size = stage.agg(F.coalesce(F.sum(F.length("vocab")), F.lit(0)).alias("v"), F.coalesce(F.sum(F.length("tok")), F.lit(0)).alias("t"), F.count(F.lit(1)).alias("n")).first()
     words = stages.write(_unigrams(stage, max(1, -(-int(size["v"]) // p.part_bytes))), "words")
     tokens, types = (int(x) for x in words.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first())
-    pairs = stages.write(_answer_bigrams(_ask_bigrams(stage, words, max(1, -(-6 * int(size["t"]) // p.part_bytes)), p)), "pairs")
+    parts = max(1, -(-6 * int(size["t"]) // p.part_bytes))
+    pairs = stages.write(_answer_bigrams(_ask_bigrams(stage, words, parts, p), parts), "pairs")
     cells = pairs.filter("kind = 3").groupBy("tokens").agg(F.sum("types")).collect()  # at most 256**3 cells by construction, some thousands in practice
     weights = learn([(int(a), int(b)) for a, b in sorted(cells)], tokens * (1 - 1 / p.em_share), types, p)
     return _score(stage, words.unionAll(pairs.filter("kind = 2")), tokens, types, weights, p)

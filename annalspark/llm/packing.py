@@ -8,7 +8,8 @@ raising the sum of squared fills, until no further sequence can be emptied or th
 most a fraction of a few sequences, so groups cost a share that falls as one over `group_rows`.
 
 Cases: a null text is an empty one (one piece: the separator); null ids and repeated rows are packed like any other
-row; empty tables give no rows; extra columns are ignored; very long texts give many pieces.
+row; empty tables give no rows; extra columns are ignored; very long texts give many pieces.  Ties between equally long
+pieces go by their order in the group, and which group a piece is in may change with the table's files.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import Stages
+from .common import Stages, dealt
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -169,14 +170,16 @@ def pack_group(group: int, rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
 def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = tokens.SEQUENCE, group_rows: int = 50_000, cached: int = tokens.CACHED) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
     stages = Stages(docs.sparkSession, "packing")
-    cut = stages.write(pieces(docs, vocabulary or tokens.default_vocabulary(), capacity, cached=cached), "pieces")
+    cut = pieces(docs, vocabulary or tokens.default_vocabulary(), capacity, cached=cached)
+    # numbered before they are dealt: rows that are equal in all columns, however many, spread over the groups too
+    cut = stages.write(cut.withColumn("row", F.monotonically_increasing_id()), "pieces")
     groups = max(1, -(-cut.count() // group_rows))
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pack_group(int(key[0]), rows.drop(columns="group"), capacity)
+        return pack_group(int(key[0]), rows.drop(columns=["group", "row"]), capacity)
 
-    dealt = cut.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32"), F.lit(groups)))
-    return dealt.groupBy("group").applyInPandas(run, PIECES + ", sequence_id long, offset long")
+    numbered = cut.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "row"), F.lit(groups)))
+    return dealt(numbered, groups, "group").groupBy("group").applyInPandas(run, PIECES + ", sequence_id long, offset long")
 
 
 def waste(lengths: np.ndarray, n_sequences: int, capacity: int) -> float:
