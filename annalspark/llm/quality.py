@@ -143,31 +143,34 @@ def fit(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParam
                 names=["block", "task", "n", "n_target", "at", "raw", "target"],
             )
 
-    def add(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(width, np.int64), np.zeros(width, np.int64)
-        n = n_target = block = task = 0
-        for batch in rows:
-            for r in batch.to_pylist():
-                at, block, task = np.frombuffer(r["at"], np.int32) & (width - 1), r["block"], r["task"]
-                kind = np.int64 if len(r["raw"]) > len(r["at"]) else np.int32
-                raw[at] += np.frombuffer(r["raw"], kind)
-                target[at] += np.frombuffer(r["target"], kind)
-                n, n_target = n + r["n"], n_target + r["n_target"]
-        at = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([block], pa.int32()), pa.array([task], pa.int32()), pa.array([n]), pa.array([n_target])] + [pa.array([x.tobytes()], pa.binary()) for x in (at.astype(np.int32), raw[at], target[at])],
-            names=["block", "task", "n", "n_target", "at", "raw", "target"],
-        )
+    def adder(out: type):
+        def add(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            raw, target = np.zeros(width, np.int64), np.zeros(width, np.int64)
+            n = n_target = block = task = 0
+            for batch in rows:
+                for r in batch.to_pylist():
+                    at, block, task = np.frombuffer(r["at"], np.int32) & (width - 1), r["block"], r["task"]
+                    kind = np.int64 if len(r["raw"]) > len(r["at"]) else np.int32
+                    raw[at] += np.frombuffer(r["raw"], kind)
+                    target[at] += np.frombuffer(r["target"], kind)
+                    n, n_target = n + r["n"], n_target + r["n_target"]
+            at = np.flatnonzero(raw)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block], pa.int32()), pa.array([task], pa.int32()), pa.array([n]), pa.array([n_target])] + [pa.array([x.tobytes()], pa.binary()) for x in (at.astype(np.int32), raw[at].astype(out), target[at].astype(out))],
+                names=["block", "task", "n", "n_target", "at", "raw", "target"],
+            )
+
+        return add
 
     row = "block int, task int, n long, n_target long, at binary, raw binary, target binary"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(count, row)
     for _ in range(3):  # 64 tasks' counts at a time, so that no step reads those of all tasks
-        rows = rows.withColumn("task", F.floor(F.col("task") / 64).cast("int")).groupBy("block", "task").applyInArrow(add, row)
-    rows = rows.withColumn("task", F.lit(0)).groupBy("block", "task").applyInArrow(add, row).collect()  # 64 rows, 2**(bits + 1) counts
+        rows = rows.withColumn("task", F.floor(F.col("task") / 64).cast("int")).groupBy("block", "task").applyInArrow(adder(np.int64), row)
+    rows = rows.withColumn("task", F.lit(0)).groupBy("block", "task").applyInArrow(adder(np.float32), row).collect()  # 64 rows, 2**(bits + 1) counts as the model holds them
     raw, target = np.zeros(cells, np.float32), np.zeros(cells, np.float32)
     for r in rows:
         at = r["block"] * width + np.frombuffer(r["at"], np.int32)
-        raw[at], target[at] = np.frombuffer(r["raw"], np.int64), np.frombuffer(r["target"], np.int64)
+        raw[at], target[at] = np.frombuffer(r["raw"], np.float32), np.frombuffer(r["target"], np.float32)
     model = QualityModel(raw, target, sum(r["n"] for r in rows), sum(r["n_target"] for r in rows), good, params)
     return model, bad
 
