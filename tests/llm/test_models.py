@@ -239,6 +239,31 @@ def test_contaminated(spark, corpus, block):
     assert decontaminate.contaminated(docs, bench.limit(0), p).count() == 0 and decontaminate.clean(docs.limit(0), bench, p).count() == 0
 
 
+def test_contaminated_equals_all_pairs(spark):
+    rng = np.random.default_rng(21)
+    p = decontaminate.SeedParams()
+    draw = lambda n: [f"v{int(x)}" for x in rng.integers(0, 60, n)]  # noqa: E731  few words, so that chance matches abound
+    items = [draw(int(n)) for n in (3, 8, 12, 20, 20, 35, 60)]
+    docs = [draw(int(n)) for n in rng.integers(1, 120, 40)]
+    for item in items:
+        for share in (0.0, 0.1, 0.2, 0.3, 0.45):
+            held = [w for x in item for w in ([x] if rng.random() > share else [[], ["new"], [x, "more"]][rng.integers(3)])]
+            docs.append(draw(20) + held + draw(20))
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.contaminated(spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string"), p).collect()}
+    want, unseeded = {}, 0
+    for k, item in enumerate(items):
+        grams = {tuple(item[i : i + p.n]) for i in range(len(item) - p.n + 1)}
+        hashed = decontaminate.tv.hash_words(" ".join(item))
+        for i, doc in enumerate(docs):
+            score, equal, _, _ = decontaminate.smith_waterman(decontaminate.tv.hash_words(" ".join(doc)), hashed, p)
+            if score >= p.threshold * p.match * len(item) and equal >= min(p.min_words, len(item)):
+                if sum(tuple(doc[j : j + p.n]) in grams for j in range(len(doc) - p.n + 1)) >= min(p.min_seeds, len(item) - p.n + 1):
+                    want[i, k] = round(score / (p.match * len(item)), 6)
+                else:
+                    unseeded += 1
+    assert got == pytest.approx(want) and len(want) >= 20 and unseeded <= 0.2 * len(want)
+
+
 def test_items_that_leaked_often_are_found(spark, corpus):
     rng = np.random.default_rng(8)
     items = [" ".join(f"q{int(x)}" for x in rng.integers(0, 2000, n)) for n in (30, 30)]

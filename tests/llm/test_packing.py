@@ -37,3 +37,32 @@ def test_pack(spark):
         assert seq["length"].sum() <= 2048
     assert sorted(out[out.doc_id == 3]["length"]) == [905, 905, 2048, 2048, 2048, 2048]
     assert packing.pack(docs.limit(0)).count() == 0
+
+
+def test_pieces_equal_a_plain_tokenizer(spark):
+    import zlib
+
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(str(path("word_bpe_49k.json")))
+    rng = np.random.default_rng(3)
+    signs = list("abcdeéß漢\U0001f600 ,.;:!?'\"()0123456789\n\t") + ["the ", "water ", "don't ", "ÉTÉ ", "  ", "http://x.y/z "]
+    texts = ["".join(rng.choice(signs, int(n))) for n in rng.integers(0, 400, 60)] + ["", None, " ", "\n\n", "word " * 3000, "x" * 9000, "é" * 3000]
+    rows = [*enumerate(texts), (None, "a null id"), (4, texts[4])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = []
+    for doc_id, text in rows:
+        ids = [*plain.encode(text or "", add_special_tokens=False).ids, 0]
+        for k in range(0, len(ids), 2048):
+            part = np.array(ids[k : k + 2048], "<u4")
+            want.append((-1 if doc_id is None else doc_id, k // 2048, k, len(part), zlib.crc32(part.tobytes())))
+    got = packing.pack(docs).select("doc_id", "piece", "start", "length", "ids_crc32").collect()
+    assert sorted((-1 if r[0] is None else r[0], *r[1:]) for r in got) == sorted(want)
+
+
+def test_equal_rows_spread_over_groups(spark):
+    docs = spark.createDataFrame([(None, None)] * 3000, "doc_id long, text string")
+    out = packing.pack(docs, group_rows=500).toPandas()
+    assert len(out) == 3000 and (out["sequence_id"] // 2**40).nunique() == 6
+    assert out.groupby("sequence_id")["length"].sum().max() <= 2048
