@@ -46,10 +46,12 @@ def reconstruct(revs: DataFrame, window: int) -> DataFrame:
         lambda s, x: F.when(x["before"] >= s["open"], F.struct(x["rn"].alias("open"), F.concat(s["cuts"], F.array(x["rn"])).alias("cuts"))).otherwise(s),
         lambda s: s["cuts"],
     )
-    cuts = repeats.select(*group, F.explode(fold).alias("rn"), F.lit(1).alias("cut"))
-    marked = rows.join(cuts, [*group, "rn"], "left")
-    opens = F.when(F.col("cut").isNotNull() | (F.col("run") != F.coalesce(F.lag("run").over(order), F.lit(0))), 1).otherwise(0)
-    return marked.withColumn("opens", opens).withColumn("cluster", F.sum("opens").over(order)).drop("run", "rn", "before", "cut", "opens")
+    # the cuts stand before their rows in the same line, so that no join is needed
+    cuts = repeats.select(*group, "run", F.explode(fold).alias("rn"), F.lit(1).alias("cut"))
+    line = W.partitionBy(*group).orderBy("rn", F.desc("cut"))
+    marked = rows.withColumn("cut", F.lit(0)).unionByName(cuts, allowMissingColumns=True)
+    opens = F.when((F.col("cut") == 1) | (F.col("run") != F.coalesce(F.lag("run").over(line), F.lit(0))), 1).otherwise(0)
+    return marked.withColumn("opens", opens).withColumn("cluster", F.sum("opens").over(line)).filter("cut = 0").drop("run", "rn", "before", "cut", "opens")
 
 
 def summarise(clusters: DataFrame) -> DataFrame:
