@@ -46,6 +46,27 @@ def test_pipeline(spark, tmp_path):
     assert max(fill.values()) <= 2048 and len(fill) <= -(-sum(fill.values()) // 1843)
 
 
+def test_stages_take_hard_tables(spark, tmp_path):
+    """Nulls in every column, repeated ids and rows, empty and long texts, clashing and differently written names, empty tables."""
+    import corpus_pipeline
+
+    long = " ".join(f"z{i}" for i in range(20_000))
+    rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (1, "one two three four five six", "en", None, 27), (1, "one two three four five six", "en", None, 27), (2, long, None, "s", None), (3, long + " end", "en", "s", 1), (None, "a b", "de", "s", 3), (4, " \n\t", "en", "s", 3)]
+    docs = spark.createDataFrame([(*r, "x", 7, 1.5, "g") for r in rows], "Doc_ID long, Text string, lang string, source string, n_chars long, `set` string, `group` int, noise double, component_id string")
+    spark.createDataFrame([(1, 1, 0), (None, None, None), (3, None, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None), (None, ""), (2, "q w e r t y u i o p a s d f")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for table in (docs, docs.limit(0)):
+        now = table
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            now = stage(spark, now, str(tmp_path))
+            n = now.count()
+            if k < 4:
+                assert now.columns == docs.columns and n <= table.count(), name
+                now.write.parquet(f"{tmp_path}/{table is docs}-{k}")
+                now = spark.read.parquet(f"{tmp_path}/{table is docs}-{k}")
+        assert (n > 0) == (table is docs)
+
+
 def test_run_is_registered():
     import __spark_entry__ as entry
 
