@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import ship
-from . import decontaminate, jaccard, lm, packing, passages, pii, quality, tokenfiles, urls, vectors
+from . import bytebpe, decontaminate, infilling, jaccard, lm, packing, passages, pii, quality, tokenfiles, urls, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,14 @@ def op10_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_table(spark, sf_dir, "documents"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytebpe.digests(_table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infilling.digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bestfit_packing": op1_bestfit_packing,
     "op2_pii_skip_chain_crf": op2_pii_skip_chain_crf,
@@ -66,6 +74,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_metric_join": op8_jaccard_metric_join,
     "op9_robust_pruned_graph": op9_robust_pruned_graph,
     "op10_deleted_interpolation": op10_deleted_interpolation,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 _LEVEL = """,
@@ -116,5 +126,15 @@ c AS (SELECT vec_id, vec_id AS root FROM v UNION SELECT l.y, c.root FROM c JOIN
 k AS (SELECT vec_id, min(root) AS component_id FROM c GROUP BY 1), d AS (SELECT x AS vec_id, count(*) AS n FROM l GROUP BY 1)
 SELECT k.vec_id, coalesce(d.n, 0) AS n_links, component_id, k.vec_id = component_id AS kept FROM k LEFT JOIN d USING (vec_id)"""
 
+_OP13 = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || doc_id) AS h FROM documents),
+k AS (SELECT *, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4,
+  regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units FROM d),
+c AS (SELECT *, len(units) AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS a, greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS b FROM k),
+p AS (SELECT doc_id, text, n, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle, array_to_string(units[b + 1:], '') AS suffix,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM p"""
+
 #: The others have no SQL form (models, tokenizers, alignments); README says what `tests/llm` compares them with.
-ORACLE_SQL: dict[str, str] = {"op5_url_template_tree": _OP5, "op8_jaccard_metric_join": _OP8, "op9_robust_pruned_graph": _OP9}
+ORACLE_SQL: dict[str, str] = {"op5_url_template_tree": _OP5, "op8_jaccard_metric_join": _OP8, "op9_robust_pruned_graph": _OP9, "op13_fill_in_middle": _OP13}
