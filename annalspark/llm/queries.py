@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import ship
-from . import bytebpe, decontaminate, infilling, jaccard, lm, packing, passages, pii, quality, tokenfiles, urls, vectors
+from . import bytebpe, crosstok, decontaminate, infilling, jaccard, lm, packing, passages, pii, quality, tokenfiles, urls, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.digests(_table(spark, sf_dir, "documents"))
 
 
+def op12_suffix_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosstok.counted(_table(spark, sf_dir, "documents"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infilling.digests(_table(spark, sf_dir, "documents"))
 
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_robust_pruned_graph": op9_robust_pruned_graph,
     "op10_deleted_interpolation": op10_deleted_interpolation,
     "op11_byte_bpe": op11_byte_bpe,
+    "op12_suffix_transducer": op12_suffix_transducer,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
