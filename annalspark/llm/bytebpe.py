@@ -5,8 +5,8 @@ a recursive query joins neighbouring rows with the merge table and contracts eac
 until no pair of a word is in the table.  A word that is in the vocabulary as a whole is one token, as the public
 library has it.  Words of more than `LONG` bytes contract, in a round, all pairs of the least rank that one-by-one
 contraction would reach before a pair of a lower rank comes up, so that the rounds do not grow with the length of a run.
-Decoding cuts ids before tokens that start with a space, and an ordered aggregation over token-position rows puts the
-bytes of each distinct run together.
+Decoding cuts ids before tokens that do not start with a letter, and an ordered aggregation over token-position rows
+puts the bytes of each distinct run together.
 
 Each worker holds one in-memory database with the vocabulary; rows of a query are bounded by `WORDS_BYTES` (or by the
 longest word), so memory grows with the longest text only.  Nothing is shuffled, and a lost task is simply run again.
@@ -28,14 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chunks import Chunks
+from .chunks import Remembered
 
 #: Words of more bytes are contracted many pairs a round.
 LONG = 64
 #: Bytes of words that one recursive query takes, and rounds of a query over long words.
 WORDS_BYTES, ROUNDS = 400_000, 32
-#: Runs of ids, and their bytes, that a worker remembers.
-CACHED_RUNS, CACHED_RUN_BYTES = 400_000, 24_000_000
 #: Texts that are encoded, and lists that are decoded, together; and ids that are decoded together.
 TOGETHER, IDS_TOGETHER = 512, 1_000_000
 
@@ -108,14 +106,10 @@ class Codec:
         self._table("merges", pair=np.array([p for p, _ in pairs], np.int64), rank=np.array([r for _, r in pairs], np.int32))
         self._table("vocabulary", id=np.array(list(self.ranks.values()), np.int32), hex=[b.hex() for b in self.ranks])
         top = max(self.ranks.values()) + 1
-        self.known, self.spaced = np.zeros(top, bool), np.zeros(top, bool)
+        self.known, self.opens = np.zeros(top, bool), np.zeros(top, bool)
         for token, rank in self.ranks.items():
-            self.known[rank], self.spaced[rank] = True, token.startswith(b" ")
-        self.words: dict[str, bytes] = {}
-        self.word_chars = 0
-        self.chunks = Chunks(self._chunks)
-        self.runs: dict[bytes, bytes] = {}
-        self.run_bytes = 0
+            self.known[rank], self.opens[rank] = True, token[0] < 128 and not token[:1].isalpha()
+        self.words, self.runs = Remembered(self._words), Remembered(self._runs)
 
     def _table(self, name: str, **columns: object) -> None:
         self.db.register("given", pa.table(columns))
@@ -145,66 +139,56 @@ class Codec:
         ends = 4 * np.cumsum(np.bincount(word, minlength=len(words)))
         return [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
-    def _words(self, new: list[str]) -> None:
+    def _words(self, new: list[str]) -> list[bytes]:
         data = [w.encode() for w in new]
+        out: list[bytes] = [b""] * len(new)
         short: list[int] = []
         size = 0
         for i, word in enumerate(data):
             rank = self.ranks.get(word)
             if rank is not None:
-                self.words[new[i]] = rank.to_bytes(4, "little")
+                out[i] = rank.to_bytes(4, "little")
             elif len(word) > LONG:
-                (self.words[new[i]],) = self._contract([word], _LONG.format(rounds=max(1, min(ROUNDS, 8_000_000 // len(word)))))
+                (out[i],) = self._contract([word], _LONG.format(rounds=max(1, min(ROUNDS, 8_000_000 // len(word)))))
             else:
                 short.append(i)
                 size += len(word)
             if short and (size >= WORDS_BYTES or i + 1 == len(data)):
-                self.words.update(zip([new[k] for k in short], self._contract([data[k] for k in short], _SHORT), strict=True))
+                for k, ids in zip(short, self._contract([data[k] for k in short], _SHORT), strict=True):
+                    out[k] = ids
                 short, size = [], 0
-
-    def _chunks(self, chunks: list[str]) -> list[bytes]:
-        cut = [self.find(c) for c in chunks]
-        new = set().union(*cut).difference(self.words)
-        if len(self.words) + len(new) > self.chunks.cached or self.word_chars > 24_000_000:
-            self.words.clear()
-            self.word_chars, new = 0, set().union(*cut)
-        self.word_chars += sum(map(len, new))
-        self._words(list(new))
-        get = self.words.__getitem__
-        return [b"".join(map(get, words)) for words in cut]
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        return [b"".join(found) for found in self.chunks.values([t or "" for t in texts])]
+        """The ids of each text, as bytes of 32-bit numbers."""
+        cut = [self.find(t or "") for t in texts]
+        get = self.words.of(cut).__getitem__
+        return [b"".join(map(get, words)) for words in cut]
 
-    def _learn_runs(self, new: list[bytes]) -> None:
-        lengths = np.array([len(r) // 4 for r in new])
-        ids = np.frombuffer(b"".join(new), "<i4")
-        rows = pa.table({"run": np.repeat(np.arange(len(new), dtype=np.int32), lengths), "pos": np.arange(len(ids), dtype=np.int32), "id": ids})
-        self.runs.update(zip(new, self._query(_BYTES, "tokens", rows)["bytes"].to_pylist(), strict=True))
-        self.run_bytes += 4 * len(ids)
+    def _runs(self, new: list[bytes]) -> list[bytes]:
+        out, lo, size = [], 0, 0
+        for i, run in enumerate(new):
+            size += len(run)
+            if size >= 4 * IDS_TOGETHER or i + 1 == len(new):
+                part = new[lo : i + 1]
+                ids = np.frombuffer(b"".join(part), "<i4")
+                owner = np.repeat(np.arange(len(part), dtype=np.int32), [len(r) // 4 for r in part])
+                out += self._query(_BYTES, "tokens", pa.table({"run": owner, "pos": np.arange(len(ids), dtype=np.int32), "id": ids}))["bytes"].to_pylist()
+                lo, size = i + 1, 0
+        return out
 
     def decode(self, lists: list[np.ndarray | None]) -> list[bytes | None]:
         """The bytes of each list of ids; None for a missing list or one with an id out of the vocabulary."""
-        if len(self.runs) > CACHED_RUNS or self.run_bytes > CACHED_RUN_BYTES:
-            self.runs.clear()
-            self.run_bytes = 0
         cut: list[list[bytes] | None] = []
         for ids in lists:
             if ids is None or (len(ids) and (ids.min() < 0 or ids.max() >= len(self.known) or not self.known[ids].all())):
                 cut.append(None)
                 continue
-            at = np.flatnonzero(self.spaced[ids]) * 4
+            at = np.flatnonzero(self.opens[ids]) * 4
             ends = [*at[at > 0].tolist(), 4 * len(ids)]
             data = ids.astype("<i4").tobytes()
             cut.append([data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if data else [])
-        new = list(set().union(*(c for c in cut if c)).difference(self.runs))
-        lo = size = 0
-        for i, run in enumerate(new):
-            size += len(run)
-            if size >= 4 * IDS_TOGETHER or i + 1 == len(new):
-                self._learn_runs(new[lo : i + 1])
-                lo, size = i + 1, 0
-        get = self.runs.__getitem__
+        get = self.runs.of(c for c in cut if c).__getitem__
         return [None if c is None else b"".join(map(get, c)) for c in cut]
 
 

@@ -1,4 +1,4 @@
-"""Texts cut at single spaces between words, where no token of a byte-level or piece vocabulary can reach across.
+"""What a worker learns about strings, remembered within bounds, and texts cut into chunks that are learned one by one.
 
 A space between two characters that are not white space starts a new chunk: the patterns that split text before the
 merges give such a space to the word after it, and no piece of the word-boundary vocabularies holds a space behind
@@ -8,35 +8,55 @@ once while they are remembered.  Other white space stays inside the chunk it tou
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from typing import Any
 
-#: Chunks, and characters of chunks, that a worker remembers.
-CACHED, CACHED_CHARS = 400_000, 24_000_000
+#: Keys, and characters or bytes of keys, that each of the two generations holds.
+CACHED, CACHED_SIZE = 250_000, 12_000_000
+
+
+class Remembered:
+    """What `learn` makes of keys.  A full generation becomes the old one, from which keys in use come back unlearned."""
+
+    def __init__(self, learn: Callable[[list], list[Any]], cached: int = CACHED) -> None:
+        self.learn, self.cached = learn, cached
+        self.now: dict[Any, Any] = {}
+        self.old: dict[Any, Any] = {}
+        self.size = 0
+
+    def of(self, keys: Iterable[Iterable]) -> dict[Any, Any]:
+        """A dict that has all keys of the given groups."""
+        wanted = set().union(*keys)
+        new = wanted.difference(self.now)
+        if new and self.now and (len(self.now) + len(new) > self.cached or self.size > CACHED_SIZE):
+            self.now, self.old, self.size, new = {}, self.now, 0, wanted
+        if new:
+            known, rest = [k for k in new if k in self.old], [k for k in new if k not in self.old]
+            self.now.update(zip(known, map(self.old.__getitem__, known), strict=True))
+            self.now.update(zip(rest, self.learn(rest), strict=True))
+            self.size += sum(map(len, new))
+        return self.now
 
 
 class Chunks:
-    """What `learn` makes of each chunk, remembered until the bounds are met.
+    """What `learn` makes of each chunk of texts that have a space before them.
 
-    learn takes chunks, of which all but a text's first start with a space.  With `spaced`, a space is put before each
-    text.  `inner` holds characters that count as white space for the cuts.
+    learn takes chunks, which start with that space.  `inner` holds characters that count as white space for the cuts.
     """
 
-    def __init__(self, learn: Callable[[list[str]], list[Any]], forget: Callable[[], None] | None = None, *, spaced: bool = False, inner: str = "", cached: int = CACHED) -> None:
-        self.learn, self.forget, self.spaced, self.inner, self.cached = learn, forget, spaced, inner, cached
-        self.heads: dict[str, Any] = {}
-        self.body: dict[str, Any] = self.heads if spaced else {}
-        self.open: set[str] = set()
-        self.chars = 0
+    def __init__(self, learn: Callable[[list[str]], list[Any]], *, inner: str = "", cached: int = CACHED) -> None:
+        self.inner = inner
+        self.chunks = Remembered(lambda new: learn([" " + p for p in new]), cached)
+        self.edges = Remembered(lambda new: [self._touches_space(p) for p in new], cached)
 
     def _touches_space(self, piece: str) -> bool:
         return not piece or piece[0].isspace() or piece[-1].isspace() or piece[0] in self.inner or piece[-1] in self.inner
 
-    def _joined(self, pieces: list[str]) -> list[str]:
+    def _joined(self, pieces: list[str], touches: dict[str, bool]) -> list[str]:
         """Pieces on both sides of a space that touches other white space, put together again."""
-        out, run, shut = [], [pieces[0]], pieces[0] in self.open
+        out, run, shut = [], [pieces[0]], touches[pieces[0]]
         for piece in pieces[1:]:
-            opens = piece in self.open
+            opens = touches[piece]
             if shut or opens:
                 run.append(piece)
             else:
@@ -46,24 +66,10 @@ class Chunks:
         out.append(" ".join(run))
         return out
 
-    def _learn(self, into: dict[str, Any], new: list[str], lead: str) -> None:
-        self.chars += sum(map(len, new))
-        into.update(zip(new, self.learn([lead + p for p in new]), strict=True))
-
     def values(self, texts: list[str]) -> list[list[Any]]:
-        """The values of each text's chunks, in order; an empty text has one chunk, which is empty or a space."""
-        if len(self.body) + len(self.heads) + len(self.open) > self.cached or self.chars > CACHED_CHARS:
-            self.heads.clear(), self.body.clear(), self.open.clear()
-            self.chars = 0
-            if self.forget:
-                self.forget()
+        """The values of each text's chunks, in order; an empty text has one chunk, a space."""
         split = [t.split(" ") for t in texts]
-        self.open.update(p for p in set().union(*split).difference(self.body, self.open) if self._touches_space(p))
-        split = [p if self.open.isdisjoint(p) else self._joined(p) for p in split]
-        if self.spaced:
-            self._learn(self.body, list(set().union(*split).difference(self.body)), " ")
-        else:
-            self._learn(self.heads, list({p[0] for p in split}.difference(self.heads)), "")
-            self._learn(self.body, list(set().union(*(p[1:] for p in split)).difference(self.body)), " ")
-        get = self.body.__getitem__
-        return [[self.heads[p[0]], *map(get, p[1:])] for p in split]
+        touches = self.edges.of(split)
+        split = [self._joined(p, touches) if any(map(touches.__getitem__, p)) else p for p in split]
+        get = self.chunks.of(split).__getitem__
+        return [list(map(get, p)) for p in split]

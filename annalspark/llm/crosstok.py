@@ -138,36 +138,32 @@ class Pair:
         of_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in ((i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()))]
         self.spelled, self.names = (of_a, of_b), tuple([str(i) for i in range(len(of))] for of in (of_a, of_b))
         self.transducer = Transducer(self.spelled)
-        self.found: list[tuple[int, int, int, str, bytes] | None] = []
-        self.chunks = Chunks(self._learn, self.found.clear, spaced=True, inner=SPACE)
+        self.chunks = Chunks(self._learn, inner=SPACE)
 
-    def _learn(self, new: list[str]) -> list[int]:
-        """Numbers of chunks; what they hold is kept by number: tokens, groups, their text, and linked pairs."""
-        first = len(self.found)
+    def _learn(self, new: list[str]) -> list[tuple[int, int, int, str, bytes] | None]:
+        """What chunks hold: tokens of both sides, groups, their text, and linked pairs; None if the tokens do not spell the chunk."""
+        out: list[tuple[int, int, int, str, bytes] | None] = []
         of_a, (names_a, names_b) = self.spelled[0], self.names
         for chunk, a, b in zip(new, self.a.encode_batch_fast(new, add_special_tokens=False), self.b.encode([c[1:] for c in new], num_threads=1), strict=True):
             ids = a.ids
             made = self.transducer.align(ids, b) if b"".join([of_a[i] for i in ids]) == chunk.encode() else None
             if made is None:
-                self.found.append(None)
+                out.append(None)
                 continue
             groups, links = made
             text, i, j = [], 0, 0
             for i1, j1 in groups:
-                text.append(f"{','.join([names_a[x] for x in ids[i:i1]])}|{','.join([names_b[x] for x in b[j:j1]])}")
+                left = names_a[ids[i]] if i1 - i == 1 else ",".join([names_a[x] for x in ids[i:i1]])
+                right = names_b[b[j]] if j1 - j == 1 else ",".join([names_b[x] for x in b[j:j1]])
+                text.append(f"{left}|{right}")
                 i, j = i1, j1
-            self.found.append((len(ids), len(b), len(groups), ";".join(text), array("q", links).tobytes()))
-        return list(range(first, len(self.found)))
+            out.append((len(ids), len(b), len(groups), ";".join(text), array("q", links).tobytes()))
+        return out
 
     def align(self, texts: list[str | None]) -> list[list[tuple[int, int, int, str, bytes]]]:
         """What the chunks of each text hold; nothing for texts without tokens."""
         values = self.chunks.values([t or "" for t in texts])
-        found = self.found
-        out = []
-        for text, numbers in zip(texts, values, strict=True):
-            held = [found[n] for n in numbers] if text else []
-            out.append([] if None in held else held)
-        return out
+        return [[] if not text or None in held else held for text, held in zip(texts, values, strict=True)]
 
 
 _pairs: dict[tuple[str, str], Pair] = {}

@@ -80,8 +80,8 @@ def test_a_word_in_the_vocabulary_is_one_token(codec, library):
 
 
 def test_forgetting_changes_nothing(codec, library, monkeypatch):
-    monkeypatch.setattr(codec.chunks, "cached", 20)
-    monkeypatch.setattr(bytebpe, "CACHED_RUNS", 10)
+    monkeypatch.setattr(codec.words, "cached", 20)
+    monkeypatch.setattr(codec.runs, "cached", 10)
     texts = [f"word{i} other{i % 7}, \n {i}" for i in range(100)]
     for lo in range(0, 100, 10):
         found = codec.encode(texts[lo : lo + 10])
@@ -99,9 +99,18 @@ def test_chunks_join_to_the_text():
     cut = chunks.Chunks(list)
     for text in [*ODD, "a b", " a b", "a b ", "a  b c", "a\n b", "a \nb c d"]:
         (found,) = cut.values([text])
-        assert "".join(found) == text
-    assert chunks.Chunks(list).values(["one two\nthree four"]) == [["one", " two\nthree", " four"]]
-    assert ["".join(v) for v in chunks.Chunks(list, spaced=True).values(["", "a b", " c"])] == [" ", " a b", "  c"]
+        assert "".join(found) == " " + text
+    assert chunks.Chunks(list).values(["one two\nthree four"]) == [[" one", " two\nthree", " four"]]
+
+
+def test_keys_in_use_come_back_from_the_old_generation():
+    learned = []
+    kept = chunks.Remembered(lambda new: learned.extend(new) or [k.upper() for k in new], 3)
+    assert kept.of([["a", "b"], ["c"]])["b"] == "B"
+    assert kept.of([["a"], ["d"]]) == {"a": "A", "d": "D"}
+    assert kept.of([["b"]])["b"] == "B" and learned.count("b") == 1
+    assert kept.of([["e"]]) == {"e": "E"}
+    assert kept.of([["b"], ["x", "y", "z"]])["b"] == "B" and len(learned) == 9
 
 
 def test_byte_bpe_rows(spark, library):
