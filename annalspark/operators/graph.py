@@ -1,116 +1,166 @@
 """Order and reachability in the revision graph.
 
-Forests (one parent per node at most) are walked by pointer jumping: every round doubles the distance, so a chain of a
-million revisions takes twenty rounds.  Graphs with merges use a frontier loop.  Rounds are written below
-spark.checkpoint.dir, so that lineage stays short and a lost executor costs one round.
+Reachability goes by lines.  Every node picks one of its parents, which makes a forest; every node of the forest hands
+its line on to the child with the most descendants, so that lines are runs of one edge after another.  What can be
+reached is then one number a line (all ranks up to it, or from it on), and a search only follows the edges that change
+lines: its rounds grow with the changes of line, not with the depth of the graph.  Lines are found by pointer jumping,
+where every round doubles the distance.  Rounds are written below spark.checkpoint.dir, so that lineage stays short and
+a lost executor costs one round.
 """
 
 from __future__ import annotations
 
 import heapq
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import Rounds
-
-#: Doublings; a path that is longer is a cycle.
-_DOUBLINGS = 48
-
-
-def reach(edges: DataFrame, starts: DataFrame, limit: int = 1_000_000) -> DataFrame:
-    """node: the starts and every node that edges (src, dst) lead to from them."""
-    rounds = Rounds(edges.sparkSession, "reach")
-    edges = edges.select("src", "dst").distinct()
-    visited = frontier = rounds.write(starts.select("node").distinct())
-    for k in range(1, limit):
-        step = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        frontier = rounds.write(step.join(visited, "node", "left_anti"))
-        if frontier.isEmpty():
-            return visited
-        visited = visited.unionAll(frontier)
-        if k % 16 == 0:
-            visited = rounds.write(visited)
-            frontier = rounds.write(frontier)
-            rounds.keep_last(2)
-    raise ValueError("the graph is deeper than the limit")
-
-
-def is_forest(parents: DataFrame) -> bool:
-    """Whether no node has two parents."""
-    return parents.select("node", "parent").distinct().groupBy("node").count().filter("count > 1").isEmpty()
-
-
-def _inherit(parents: DataFrame, values: DataFrame) -> DataFrame:
-    """node, value: the largest value at the node or at any ancestor.  values: node, value; one parent per node at most."""
-    rounds = Rounds(parents.sparkSession, "inherit")
-    nodes = values.select("node").unionAll(parents.select("node")).distinct()
-    state = rounds.write(nodes.join(values.groupBy("node").agg(F.max("value").alias("value")), "node", "left").join(parents.select("node", F.col("parent").alias("up")).distinct(), "node", "left"))
-    for _ in range(_DOUBLINGS):
-        if state.filter("up is not null").isEmpty():
-            return state.select("node", "value")
-        above = state.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("value").alias("more"))
-        state = rounds.write(state.join(above, "up", "left").select("node", F.greatest("value", "more").alias("value"), F.col("next").alias("up")))
-        rounds.keep_last(1)
-    raise ValueError("the revision graph has a cycle")
+from ..storage import Rounds, written
 
+#: Less than any rank, also where ranks are counted downwards.
+_NOWHERE = -(1 << 62)
+#: Steps of a loop between two writes; their exchanges are shared, so a step more costs less than a round more.
+_JUMPS, _CHANGES = 2, 3
 
-def _walks(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """start, node: every node that each start leads to, itself included, where a node has one way on at most."""
-    rounds = Rounds(edges.sparkSession, "walks")
-    jump = rounds.write(edges.select("src", "dst").distinct())
-    seen = rounds.write(starts.select("start", "node"))
-    for _ in range(_DOUBLINGS):
-        more = seen.join(jump, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"))
-        seen = seen.unionAll(more)
-        jump = jump.alias("a").join(jump.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
-        jump, seen = rounds.write(jump), rounds.write(seen.distinct())
-        rounds.keep_last(2)
-        if jump.isEmpty():
-            return seen
-    raise ValueError("the revision graph has a cycle")
 
+def _grown(nodes: DataFrame, links: DataFrame, sizes: bool, doublings: int) -> DataFrame:
+    """node, root, depth and (if asked for) size, the number of nodes that lead to the node, itself included.
 
-def ancestors_or_self(parents: DataFrame, starts: DataFrame) -> DataFrame:
-    """parents: node, parent."""
-    edges = parents.select(F.col("node").alias("src"), F.col("parent").alias("dst"))
-    if not is_forest(parents):
-        return reach(edges, starts)
-    return _walks(edges, starts.select(F.lit(0).alias("start"), "node").distinct()).select("node")
-
-
-def descendants_or_self(parents: DataFrame, starts: DataFrame) -> DataFrame:
-    if not is_forest(parents):
-        return reach(parents.select(F.col("parent").alias("src"), F.col("node").alias("dst")), starts)
-    return _inherit(parents, starts.select("node", F.lit(1).alias("value")).distinct()).filter("value = 1").select("node")
+    links: node, up, with one way up at most.  A node's jump goes twice as far each round, and its size takes in the
+    sizes of the nodes whose jump ends at it.
+    """
+    rounds = Rounds(nodes.sparkSession, "grown")
+
+    def jumped(state: DataFrame) -> DataFrame:
+        above = state.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("root").alias("top"), F.col("depth").alias("more"))
+        size, after = F.col("size"), state
+        if sizes:
+            gains = state.filter("up is not null").groupBy(F.col("up").alias("node")).agg(F.sum("size").alias("gain"))
+            after, size = state.join(gains, "node", "left"), F.col("size") + F.coalesce("gain", F.lit(0))
+        return after.join(above, "up", "left").select("node", F.col("next").alias("up"), F.coalesce("top", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), size.alias("size"))
+
+    own = F.col("up").isNull()
+    state = rounds.write(nodes.join(links, "node", "left").select("node", "up", F.when(own, F.col("node")).alias("root"), F.when(own, 0).otherwise(1).cast("long").alias("depth"), F.lit(1).cast("long").alias("size")))
+    for _ in range(0, doublings, _JUMPS):
+        if state.filter("up is not null").isEmpty():
+            return state.select("node", "root", "depth", "size") if sizes else state.select("node", "root", "depth")
+        for _ in range(_JUMPS):
+            state = jumped(state)
+        state = rounds.write(state)
+        rounds.keep_last(1)
+    raise ValueError("the revision graph has a cycle")
 
 
-def inherited_phase(parents: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """node, phase: the largest phase declared at the node or at any ancestor (0 if none).
+def heavy_lines(nodes: DataFrame, links: DataFrame, doublings: int | None = None) -> DataFrame:
+    """node, line, rank: a forest cut into lines of one link after another, earliest nodes at rank 0.
 
-    roots: node, phase.  In a graph with merges there is one reachability question per declared phase, which are few.
+    links: node, up.  A node's line goes on to the child with the most descendants, so that a way through the forest
+    changes lines at most as often as its size can be halved.
     """
-    out = nodes.select("node", F.lit(0).alias("phase"))
-    if is_forest(parents):
-        values = _inherit(parents, roots.select("node", F.col("phase").alias("value")))
-        return out.join(values, "node", "left").select("node", F.greatest("phase", F.coalesce("value", F.lit(0))).alias("phase"))
-    for (phase,) in roots.select("phase").distinct().orderBy("phase").collect():  # a handful of phases
-        hit = descendants_or_self(parents, roots.filter(F.col("phase") == phase)).withColumn("hit", F.lit(phase))
-        out = out.join(hit, "node", "left").select("node", F.greatest("phase", F.coalesce("hit", F.lit(0))).alias("phase"))
-    return out
-
-
-def published(parents: DataFrame, nodes: DataFrame, obsolete: DataFrame, pinned: DataFrame, phases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    doublings = doublings or nodes.count().bit_length() + 2
+    sizes = _grown(nodes, links, True, doublings).select("node", "size")
+    heirs = links.filter("up is not null").join(sizes, "node").groupBy("up").agg(F.max_by("node", F.struct("size", "node")).alias("node"))
+    return _grown(nodes, written(heirs.select("node", "up"), "heirs"), False, doublings).select("node", F.col("root").alias("line"), F.col("depth").alias("rank"))
+
+
+@dataclass(frozen=True)
+class Lines:
+    """places: node, line, rank (the line's earliest node has rank 0); crossings: line, rank, to_line, to_rank, the edges to parents on other lines."""
+
+    places: DataFrame
+    crossings: DataFrame
+
+    @classmethod
+    def of(cls, parents: DataFrame | Lines) -> Lines:
+        """Lines of a graph; parents: node, parent and, where it is known, pos.
+
+        A node's parent in the forest is the one with the longest way down by first parents (greatest parents where
+        there is no pos), which keeps a main line whole where the first parent of its merges is a branch.
+        """
+        if isinstance(parents, Lines):
+            return parents
+        first = F.min_by("parent", "pos") if "pos" in parents.columns else F.max("parent")
+        edges = written(parents.select("node", "parent", *(["pos"] if "pos" in parents.columns else [])).filter("node is not null and parent is not null").distinct(), "edges")
+        nodes = written(edges.select("node").unionAll(edges.select(F.col("parent").alias("node"))).distinct(), "nodes")
+        doublings = nodes.count().bit_length() + 2
+        links = written(edges.groupBy("node").agg(first.alias("up"), F.count_distinct("parent").alias("n")), "links")
+        merges = links.filter("n > 1").select("node")
+        links = links.drop("n")
+        if not merges.isEmpty():
+            depths = _grown(nodes, links, False, doublings)
+            ways = edges.join(merges, "node", "left_semi").join(depths.select(F.col("node").alias("parent"), "depth"), "parent").join(links, "node")
+            best = ways.groupBy("node").agg(F.max_by("parent", F.struct("depth", F.col("parent") == F.col("up"), "parent")).alias("best"))
+            links = written(links.join(best, "node", "left").select("node", F.coalesce("best", "up").alias("up")), "links")
+        places = heavy_lines(nodes, links, doublings)
+        to = places.select(F.col("node").alias("parent"), F.col("line").alias("to_line"), F.col("rank").alias("to_rank"))
+        crossings = edges.select("node", "parent").distinct().join(places, "node").join(to, "parent").filter("line <> to_line").select("line", "rank", "to_line", "to_rank")
+        return cls(places, written(crossings.distinct(), "crossings"))
+
+    def _turned(self) -> Lines:
+        """The lines of the graph with all edges turned round."""
+        turned = self.crossings.select(F.col("to_line").alias("line"), (-F.col("to_rank")).alias("rank"), F.col("line").alias("to_line"), (-F.col("rank")).alias("to_rank"))
+        return Lines(self.places.withColumn("rank", -F.col("rank")), turned)
+
+    def reached(self, starts: DataFrame, down: bool = False) -> DataFrame:
+        """key, node: for each key of starts (key, node) the nodes and all their ancestors, or descendants; edges within a line are rank after rank."""
+        own = self._turned() if down else self
+        rounds = Rounds(starts.sparkSession, "reached")
+
+        def changed(state: DataFrame) -> DataFrame:
+            news = state.filter("new").withColumnRenamed("line", "from_line")
+            passed = news.join(own.crossings, (F.col("from_line") == F.col("line")) & (F.col("rank") > F.col("before")) & (F.col("rank") <= F.col("at")))
+            found = passed.groupBy("key", F.col("to_line").alias("line")).agg(F.max("to_rank").alias("found"))
+            now, before = F.greatest("at", "found"), F.coalesce("at", F.lit(_NOWHERE))
+            return state.drop("new", "before").join(found, ["key", "line"], "full").select("key", "line", now.alias("at"), before.alias("before"), (now > before).alias("new"))
+
+        state = starts.join(own.places, "node").groupBy("key", "line").agg(F.max("rank").alias("at"))
+        state = rounds.write(state.withColumn("before", F.lit(_NOWHERE)).withColumn("new", F.lit(True)))
+        while not state.filter("new").isEmpty():
+            for _ in range(_CHANGES):
+                state = changed(state)
+            state = rounds.write(state)
+            rounds.keep_last(1)
+        inside = own.places.join(state.select("key", F.col("line").alias("on_line"), "at"), (F.col("line") == F.col("on_line")) & (F.col("rank") <= F.col("at"))).select("key", "node")
+        return inside.unionAll(starts.join(own.places, "node", "left_anti").select("key", "node").distinct())
+
+
+def _one(starts: DataFrame) -> DataFrame:
+    return starts.select(F.lit(0).alias("key"), "node")
+
+
+def ancestors_or_self(parents: DataFrame | Lines, starts: DataFrame) -> DataFrame:
+    """parents: node, parent (and pos), or the lines made of them."""
+    return Lines.of(parents).reached(_one(starts)).select("node")
+
+
+def descendants_or_self(parents: DataFrame | Lines, starts: DataFrame) -> DataFrame:
+    return Lines.of(parents).reached(_one(starts), down=True).select("node")
+
+
+def inherited_phase(parents: DataFrame | Lines, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """node, phase: the largest phase declared at the node or at any ancestor (0 if none).  roots: node, phase."""
+    hits = Lines.of(parents).reached(roots.filter("phase > 0").select(F.col("phase").alias("key"), "node"), down=True)
+    values = hits.groupBy("node").agg(F.max("key").alias("value"))
+    return nodes.select("node").join(values, "node", "left").select("node", F.coalesce("value", F.lit(0)).alias("phase"))
+
+
+def published(parents: DataFrame | Lines, nodes: DataFrame, obsolete: DataFrame, pinned: DataFrame, phases: DataFrame) -> tuple[DataFrame, DataFrame]:
     """visible: ancestors or selves of nodes that are pinned or not obsolete; served: visible ones that are public or draft."""
     live = nodes.join(obsolete, "node", "left_anti").unionAll(pinned.select("node")).distinct()
-    visible = ancestors_or_self(parents, live)
+    visible = written(ancestors_or_self(parents, live), "visible")
     return visible, visible.join(phases.filter("phase >= 2"), "node", "left_anti")
 
 
-def exclusive_count(parents: DataFrame, dropped_tips: DataFrame, carried_tips: DataFrame) -> int:
-    """Nodes reachable from dropped tips and from no carried one."""
-    return ancestors_or_self(parents, dropped_tips).join(ancestors_or_self(parents, carried_tips), "node", "left_anti").count()
+def exclusive(parents: DataFrame | Lines, dropped_tips: DataFrame, carried_tips: DataFrame) -> DataFrame:
+    """node: reachable from a dropped tip and from no carried one."""
+    tips = dropped_tips.select(F.lit(0).alias("key"), "node").unionAll(carried_tips.select(F.lit(1).alias("key"), "node"))
+    return Lines.of(parents).reached(tips).groupBy("node").agg(F.max("key").alias("key")).filter("key = 0").select("node")
+
+
+def exclusive_count(parents: DataFrame | Lines, dropped_tips: DataFrame, carried_tips: DataFrame) -> int:
+    return exclusive(parents, dropped_tips, carried_tips).count()
 
 
 def topological_order(nodes: DataFrame, groups: str | None = None) -> DataFrame:

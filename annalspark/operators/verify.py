@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import canon
-from ..storage import written
-from .asof import replay_violations
-from .graph import _walks
+from ..storage import Rounds, written
+from .asof import asof_last
+from .graph import heavy_lines
 
 CHECKS = ("integrity", "structure", "replay", "derivations", "source-invariants", "provenance", "loss-boundary")
 # Parameters that a derivation of each kind must carry.
@@ -63,26 +64,46 @@ def integrity(h) -> DataFrame:
     return out.unionAll(_row(h.blobs.select("blob_id").join(used, "blob_id", "left_anti"), "integrity", F.concat(F.lit("unused blob: "), _hex("blob_id"))))
 
 
-def first_parent_lines(h) -> DataFrame:
-    """atom_id, line, pos: first-parent chains from every head, so that each atom lies on the lines of its descendants.
+def misfits(ops: DataFrame, nodes: DataFrame, first_parents: DataFrame) -> DataFrame:
+    """node, path, op: ops that do not fit the tree their first parents left: Add needs absence, the others presence.
 
-    A linear history has one line and costs one row per atom.
+    ops: node, path, op; nodes: node; first_parents: node, up.  Nodes are cut into lines, one row a node.  Inside a
+    line the state of a path is that of the last Add or Delete before; where a line has none, its paths take the state
+    at the place the line forked from, a lookup per line and path that is passed on to the next line below only where
+    that one has no state either.
     """
-    first = h.parents.filter("pos = 0").select("atom_id", "parent_id")
-    heads = h.atoms.select("atom_id").join(first.select(F.col("parent_id").alias("atom_id")).distinct(), "atom_id", "left_anti")
-    at = h.atoms.select("atom_id", "atom_idx")
-    # a parent that is not earlier is a fault of its own (`structure`) and no step of a line
-    up = at.select(F.col("atom_id").alias("parent_id"), F.col("atom_idx").alias("parent_idx"))
-    first = first.join(at, "atom_id").join(up, "parent_id").filter("parent_idx < atom_idx")
-    edges = first.select(F.col("atom_id").alias("src"), F.col("parent_id").alias("dst"))
-    lines = _walks(edges, heads.select(F.col("atom_id").alias("start"), F.col("atom_id").alias("node"))).select(F.col("node").alias("atom_id"), F.col("start").alias("line"))
-    return lines.join(at, "atom_id").select("atom_id", "line", F.col("atom_idx").alias("pos"))
+    rounds = Rounds(ops.sparkSession, "entering")
+    links = first_parents.select("node", "up")
+    places = heavy_lines(nodes, links)
+    below = places.select(F.col("node").alias("up"), F.col("line").alias("to_line"), F.col("rank").alias("to_rank"))
+    forks = written(places.filter("rank = 0").join(links, "node").join(below, "up").select("line", "to_line", "to_rank"), "forks")
+    before = W.partitionBy("line", "path").orderBy("rank").rowsBetween(W.unboundedPreceding, -1)
+    placed = ops.select("node", "path", "op").join(places, "node")
+    placed = written(placed.withColumn("state", F.last(F.when(F.col("op").isin("Add", "Delete"), F.col("op")), ignorenulls=True).over(before)), "placed")
+    states = placed.filter("op in ('Add', 'Delete')").select("line", "path", "rank", F.col("op").alias("left"))
+    asked = rounds.write(placed.filter("state is null").select(F.col("line").alias("own"), "path").distinct().join(forks.withColumnRenamed("line", "own"), "own").select("own", "path", F.col("to_line").alias("line"), F.col("to_rank").alias("rank")))
+    entering = None
+    while not asked.isEmpty():
+        known = states.join(asked.select("line", "path").distinct(), ["line", "path"], "left_semi")
+        answered = rounds.write(asof_last(asked, known, ["line", "path"], "rank", ["left"]))
+        found = answered.filter("left is not null").select("own", "path", "left")
+        entering = found if entering is None else entering.unionAll(found)
+        asked = rounds.write(answered.filter("left is null").drop("left", "rank").join(forks, "line").select("own", "path", F.col("to_line").alias("line"), F.col("to_rank").alias("rank")))
+    if entering is not None:
+        placed = placed.join(entering.select(F.col("own").alias("line"), "path", F.col("left").alias("entered")), ["line", "path"], "left").withColumn("state", F.coalesce("state", "entered"))
+    present = F.coalesce(F.col("state") == "Add", F.lit(False))
+    return placed.filter((F.col("op") == "Add") == present).select("node", "path", "op")
 
 
 def replay(h) -> DataFrame:
     """Ops that do not fit the tree their first parents left."""
-    ops = h.ops.join(first_parent_lines(h), "atom_id").select("line", "pos", "path", "op", "atom_id")
-    return _row(replay_violations(ops).select("atom_id", "path", "op").distinct(), "replay", F.concat("op", F.lit(" "), "path", F.lit(" in "), _hex("atom_id")))
+    at = h.atoms.select(F.col("atom_id").alias("node"), "atom_idx")
+    # a parent that is not earlier is a fault of its own (`structure`) and no step of a line
+    first = h.parents.filter("pos = 0").select(F.col("atom_id").alias("node"), F.col("parent_id").alias("up"))
+    earlier = at.select(F.col("node").alias("up"), F.col("atom_idx").alias("up_idx"))
+    first = written(first.join(at, "node").join(earlier, "up").filter("up_idx < atom_idx").groupBy("node").agg(F.min("up").alias("up")), "first")
+    found = misfits(h.ops.withColumnRenamed("atom_id", "node"), written(at.select("node").distinct(), "atoms"), first)
+    return _row(found.distinct(), "replay", F.concat("op", F.lit(" "), "path", F.lit(" in "), _hex("node")))
 
 
 def _statuses(h) -> DataFrame:

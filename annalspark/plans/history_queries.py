@@ -303,11 +303,11 @@ _DOWN = f"""down AS (SELECT node, parent, CAST({_PHASE} AS BIGINT) AS phase FROM
 UNION ALL SELECT c.node, c.parent, greatest(d.phase, {_PHASE}) FROM chain c JOIN down d ON c.parent = d.node)"""
 
 
-def _phases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The orders' chain (written once), its edges, and every node's phase."""
+def _phases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, graph.Lines, DataFrame]:
+    """The orders' chain (written once), its lines, and every node's phase."""
     rows = Rounds(spark, "chain").write(chain(spark, sf_dir).select("node", "parent", "o_totalprice", "o_orderstatus"))
-    edges = rows.filter("parent is not null").select("node", "parent")
-    return rows, edges, graph.inherited_phase(edges, rows, rows.select("node", F.expr(_PHASE).alias("phase")).filter("phase > 0"))
+    lines = graph.Lines.of(rows.filter("parent is not null").select("node", "parent"))
+    return rows, lines, graph.inherited_phase(lines, rows, rows.select("node", F.expr(_PHASE).alias("phase")).filter("phase > 0"))
 
 
 @query(f"WITH RECURSIVE {_CHAIN}, {_DOWN} SELECT node, phase FROM down")
@@ -318,8 +318,8 @@ def phase_inherit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {_CHAIN}, {_DOWN}, up AS (SELECT node, parent FROM chain WHERE o_orderstatus <> 'F' UNION SELECT c.node, c.parent FROM chain c JOIN up ON up.parent = c.node)
 SELECT node, CAST(phase < 2 AS BIGINT) AS served FROM (SELECT DISTINCT node FROM up) JOIN down USING (node)""")
 def visible_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, edges, phases = _phases(spark, sf_dir)
-    visible, served = graph.published(edges, rows.select("node"), rows.filter("o_orderstatus = 'F'").select("node"), rows.select("node").limit(0), phases)
+    rows, lines, phases = _phases(spark, sf_dir)
+    visible, served = graph.published(lines, rows.select("node"), rows.filter("o_orderstatus = 'F'").select("node"), rows.select("node").limit(0), phases)
     return visible.join(served.withColumn("served", F.lit(1)), "node", "left").select("node", F.coalesce("served", F.lit(0)).cast("bigint").alias("served"))
 
 

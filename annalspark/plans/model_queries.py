@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from ..functions import scalars as S
 from ..history import SCHEMAS, History
 from ..operators import asof, branches, diff, graph, refs, report, transform, verify
+from ..storage import written
 from .history_queries import _CHAIN, _PAGES, chain, page_paths, query, seconds, table
 
 _FAR = 1 << 40
@@ -221,6 +222,65 @@ def merged_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.ancestors_or_self(rows.filter("parent is not null").select("node", "parent").unionAll(second), rows.filter("node % 400 = 1").select("node"))
 
 
+# A history with many branches and merges: the n-th order (by date) comes after one of the 64 before it, and every fifth
+# also merges one of the 1,000 before it.
+_DAG = """n AS (SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS i, o_orderkey AS node, o_totalprice FROM orders),
+e AS (SELECT i, i - 1 - (i * 7) % 64 AS j, 0 AS pos FROM n UNION ALL SELECT i, i - 1 - (i * 13) % 1000, 1 FROM n WHERE i % 5 = 0),
+p AS (SELECT a.node, b.node AS parent, pos FROM e JOIN n a USING (i) JOIN n b ON b.i = e.j)"""
+
+
+def dag(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """nodes (node, i, o_totalprice) and parents (node, pos, parent) of a history with branches and merges."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node"), "o_orderdate", "o_totalprice")
+    ordered = rows.repartitionByRange("o_orderdate", "node").sortWithinPartitions("o_orderdate", "node")
+    # numbers in order: places within a range and the sizes of the ranges before
+    part = written(ordered.withColumn("part", F.spark_partition_id()).withColumn("at", F.row_number().over(W.partitionBy("part").orderBy("o_orderdate", "node"))), "dag-parts")
+    sizes = part.groupBy("part").count()
+    offsets = sizes.withColumn("offset", F.coalesce(F.sum("count").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("part", "offset")
+    nodes = written(part.join(offsets, "part").select("node", (F.col("offset") + F.col("at") - 1).alias("i"), "o_totalprice"), "dag-nodes")
+    i = F.col("i")
+    ways = nodes.select("node", F.explode(F.array_compact(F.array(
+        F.struct(F.lit(0).alias("pos"), (i - 1 - i * 7 % 64).alias("j")),
+        F.when(i % 5 == 0, F.struct(F.lit(1).alias("pos"), (i - 1 - i * 13 % 1000).alias("j"))),
+    ))).alias("way"))
+    to = nodes.select(F.col("i").alias("j"), F.col("node").alias("parent"))
+    return nodes, written(ways.select("node", "way.*").join(to, "j").select("node", "pos", "parent"), "dag-parents")
+
+
+@query(f"""WITH RECURSIVE {_DAG}, r AS (SELECT node, CASE WHEN o_totalprice > 500000 THEN 2 ELSE 1 END AS phase FROM n WHERE o_totalprice > 480000),
+down AS (SELECT node, phase FROM r UNION SELECT p.node, down.phase FROM p JOIN down ON p.parent = down.node)
+SELECT n.node, CAST(coalesce(max(phase), 0) AS BIGINT) AS phase FROM n LEFT JOIN down USING (node) GROUP BY n.node""")
+def merged_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phases inherited over a deep history with merges."""
+    nodes, parents = dag(spark, sf_dir)
+    roots = nodes.filter("o_totalprice > 480000").select("node", F.when(F.col("o_totalprice") > 500000, 2).otherwise(1).alias("phase"))
+    return graph.inherited_phase(parents, nodes, roots).select("node", F.col("phase").cast("bigint").alias("phase"))
+
+
+@query(f"""WITH RECURSIVE {_DAG}, t AS (SELECT node, i % 3 = 0 AS dropped FROM n WHERE i % 500 = 7),
+up AS (SELECT node, dropped FROM t UNION SELECT p.parent, up.dropped FROM p JOIN up USING (node))
+SELECT node FROM up GROUP BY node HAVING bool_and(dropped)""")
+def merged_exclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revisions that only dropped tips reach, over a deep history with merges."""
+    nodes, parents = dag(spark, sf_dir)
+    tips = nodes.filter("i % 500 = 7")
+    return graph.exclusive(parents, tips.filter("i % 3 = 0").select("node"), tips.filter("i % 3 <> 0").select("node"))
+
+
+@query(f"""WITH RECURSIVE {_DAG}, o AS (SELECT DISTINCT l_orderkey AS node, l_partkey % 60 AS path, CASE WHEN (l_orderkey + l_partkey) % 5 < 2 THEN 'Add' WHEN (l_orderkey + l_partkey) % 5 < 4 THEN 'Modify' ELSE 'Delete' END AS op FROM lineitem),
+u AS (SELECT node, path, min(op) AS op FROM o GROUP BY node, path), f AS (SELECT node, parent FROM p WHERE pos = 0),
+w AS (SELECT u.node, u.path, u.op, f.parent AS here, CAST(NULL AS VARCHAR) AS state FROM u LEFT JOIN f USING (node)
+  UNION ALL SELECT w.node, w.path, w.op, f.parent, CASE WHEN a.op IN ('Add', 'Delete') THEN a.op END FROM w LEFT JOIN f ON f.node = w.here LEFT JOIN u a ON a.node = w.here AND a.path = w.path WHERE w.here IS NOT NULL AND w.state IS NULL)
+SELECT node, path, op FROM w WHERE (here IS NULL OR state IS NOT NULL) AND (op = 'Add') = (coalesce(state, '') = 'Add')""")
+def replay_branching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ops that do not fit the tree of their first parents, in a history of many branches."""
+    nodes, parents = dag(spark, sf_dir)
+    k = (F.col("l_orderkey") + F.col("l_partkey")) % 5
+    ops = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("node"), (F.col("l_partkey") % 60).alias("path"), F.when(k < 2, "Add").when(k < 4, "Modify").otherwise("Delete").alias("op"))
+    ops = ops.groupBy("node", "path").agg(F.min("op").alias("op"))
+    return verify.misfits(ops, nodes.select("node"), parents.filter("pos = 0").select("node", F.col("parent").alias("up")))
+
+
 @query(f"""WITH {_CHAIN}, c AS (SELECT node, parent, node % 3 AS kind FROM chain WHERE parent IS NOT NULL) SELECT node, 'a' || parent AS "from" FROM c WHERE kind = 0 AND node % 4 <> 1""")
 def moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chain(spark, sf_dir).filter("parent is not null").select("node", "parent")

@@ -90,7 +90,8 @@ def from_git(spark: SparkSession, git_dir: str, infer_renames: bool = False) ->
     tips = gitstore.peeled(t["refs"], t["tags"]).withColumn("kind", gitstore.ref_kind(F.col("name")))
     carried = tips.filter("kind is not null").join(t["commits"].select(F.col("oid").alias("target")), "target", "left_semi")
     edges = t["commits"].select(F.col("oid").alias("node"), F.posexplode("parents").alias("pos", "parent"))
-    reach = graph.ancestors_or_self(edges.select("node", "parent"), carried.select(F.col("target").alias("node")))
+    lines = graph.Lines.of(edges)
+    reach = graph.ancestors_or_self(lines, carried.select(F.col("target").alias("node")))
     commits = written(t["commits"].withColumnRenamed("oid", "node").join(reach, "node", "left_semi"), "git-reached")
     parents = edges.join(reach, "node", "left_semi")
     files = written(gitstore.snapshot(t["tree_entries"], commits.select(F.col("tree").alias("root")).distinct()), "git-files")
@@ -114,7 +115,7 @@ def from_git(spark: SparkSession, git_dir: str, infer_renames: bool = False) ->
     lost = t["refs"].filter(gitstore.ref_kind(F.col("name")).isNull() & F.col("oid").isNotNull()).count()
     drops = [("namespace", "references outside branches and tags", f"{lost} references are not carried", None)] if lost else []
     heads = lambda which: tips.filter(which).join(t["commits"].select(F.col("oid").alias("target")), "target", "left_semi").select(F.col("target").alias("node"))
-    if lost and (only := graph.exclusive_count(edges.select("node", "parent"), heads("kind is null"), heads("kind is not null"))):
+    if lost and (only := graph.exclusive_count(lines, heads("kind is null"), heads("kind is not null"))):
         drops.append(("commits", "commits that only dropped references reach", f"{only} commits are not carried", None))
     repo = commits.filter("size(parents) = 0").agg(F.min("node")).first()[0]
     return assemble(spark, "git", bytes(repo or b""), atoms, parents, rows, copies, carried.select("name", "kind", "target", stated().alias("status")), contents, drops, params={"infer_renames": str(infer_renames).lower()})
@@ -262,9 +263,10 @@ def from_hg(spark: SparkSession, store: str) -> History:
     roots = marks("phaseroots", revlog.phase_roots, "phase int, node binary")
     gone = marks("obsstore", lambda d: [(n,) for n in revlog.obsolete(d)], "node binary").distinct()
     books = marks("bookmarks", revlog.bookmarks, "name string, node binary")
-    phases = graph.inherited_phase(edges.select("node", "parent"), log.select("node"), roots)
+    lines = graph.Lines.of(edges)
+    phases = graph.inherited_phase(lines, log.select("node"), roots)
     public = phases.filter("phase = 0").select("node")
-    _, served = graph.published(edges.select("node", "parent"), log.select("node"), gone.join(public, "node", "left_anti"), books.select("node").unionAll(public), phases)
+    _, served = graph.published(lines, log.select("node"), gone.join(public, "node", "left_anti"), books.select("node").unionAll(public), phases)
     log = written(log.join(served, "node", "left_semi"), "hg-served")
     edges = edges.join(log.select("node"), "node", "left_semi")
     state = lambda rows, key: rows.join(t["manifest_entries"], F.col("m") == F.col("manifest")).select(F.col(key).alias("atom"), "path", "filenode", "mode")
