@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import scalars as S
 from ..history import SCHEMAS, History
-from ..operators import asof, branches, diff, graph, refs, report, transform, verify
-from ..storage import written
+from ..operators import asof, branches, diff, frames, graph, refs, report, transform, verify
+from ..sources import artifact
+from ..storage import shared_dir, written
 from .history_queries import _CHAIN, _PAGES, chain, page_paths, query, seconds, table
 
 _FAR = 1 << 40
@@ -519,3 +522,29 @@ def edit_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH o AS (SELECT l_orderkey AS k, l_partkey AS path FROM lineitem GROUP BY ALL) SELECT CAST(CASE WHEN path % 3 = 0 THEN 33261 ELSE 33188 END AS BIGINT) AS mode, count(*) AS n FROM o JOIN ({_AT}) USING (k) WHERE idx % 30 <> 0 AND path % 50 <> 1 GROUP BY 1""")
 def edit_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _edited(spark, sf_dir).ops.groupBy(F.col("mode").cast("bigint").alias("mode")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- frames and artifact files ---------------------------------------------------------------------------------------
+
+
+@query("""WITH RECURSIVE l AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n, row_number() OVER (ORDER BY doc_id) AS k FROM documents),
+f AS (SELECT k, doc_id, CAST(0 AS BIGINT) AS frame, n AS held FROM l WHERE k = 1
+UNION ALL SELECT l.k, l.doc_id, CASE WHEN held + n <= 16384 THEN frame ELSE frame + 1 END, CASE WHEN held + n <= 16384 THEN held + n ELSE n END FROM f JOIN l ON l.k = f.k + 1)
+SELECT doc_id, k - 1 AS rank, frame FROM f""")
+def frame_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy frames of 16 KiB over the documents in order; longer ones stand alone."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n"))
+    return frames.framed(docs, ["doc_id"], "n", 16384).select("doc_id", "rank", "frame")
+
+
+@query("""WITH c AS (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL)
+SELECT sha256(text) AS blob, octet_length(encode(text)) AS length, row_number() OVER (ORDER BY sha256(text)) - 1 AS rank FROM c""")
+def artifact_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct texts written to an artifact file and read back by frames; its digest must be that of what is in it."""
+    texts = table(spark, sf_dir, "documents").filter("text is not null").select(F.encode("text", "UTF-8").alias("content"))
+    contents = texts.withColumn("blob_id", F.unhex(F.sha2("content", 256))).dropDuplicates(["blob_id"])
+    path, magic = f"{shared_dir(spark)}/documents-{uuid.uuid4().hex}.art", b"history"
+    artifact.write(contents, path, magic)
+    artifact.checked(spark, path, magic)
+    back = artifact.read(spark, path, magic)
+    return back.select(F.lower(F.hex("blob_id")).alias("blob"), F.when(F.sha2("content", 256) == F.lower(F.hex("blob_id")), F.octet_length("content")).cast("long").alias("length"), "rank")
