@@ -33,9 +33,9 @@ from .chunks import Remembered
 #: Words of more bytes are contracted many pairs a round.
 LONG = 64
 #: Bytes of words that one recursive query takes, and rounds of a query over long words.
-WORDS_BYTES, ROUNDS = 400_000, 32
+WORDS_BYTES, ROUNDS = 1_000_000, 32
 #: Texts that are encoded, and lists that are decoded, together; and ids that are decoded together.
-TOGETHER, IDS_TOGETHER = 512, 1_000_000
+TOGETHER, IDS_TOGETHER = 1024, 1_000_000
 
 _SHORT = """
 WITH RECURSIVE t AS (
@@ -49,7 +49,7 @@ WITH RECURSIVE t AS (
   SELECT p.word, p.pos, CASE WHEN least.key & 4294967295 = p.pos THEN (least.key >> 32)::INT ELSE id END, least.key IS NULL
   FROM p LEFT JOIN least ON p.word = least.word
   WHERE least.key IS NULL OR prev IS NULL OR prev <> least.key & 4294967295))
-SELECT word, pos, id, done FROM t WHERE done ORDER BY pos"""
+SELECT word, pos, id, done FROM t WHERE done"""
 
 _LONG = """
 WITH RECURSIVE t AS (
@@ -74,7 +74,7 @@ WITH RECURSIVE t AS (
   SELECT p.word, p.pos, coalesce(made.rank, p.id), round + 1, least.word IS NULL
   FROM p LEFT JOIN made ON p.pos = made.pos LEFT JOIN made gone ON p.prev = gone.pos LEFT JOIN least ON least.word = p.word
   WHERE gone.pos IS NULL))
-SELECT word, pos, id, done FROM t WHERE done OR round = {rounds} ORDER BY pos"""
+SELECT word, pos, id, done FROM t WHERE done OR round = {rounds}"""
 
 _BYTES = """
 SELECT run, unhex(string_agg(hex, '' ORDER BY pos)) AS bytes
