@@ -45,18 +45,25 @@ class Chunks:
     """
 
     def __init__(self, learn: Callable[[list[str]], list[Any]], *, inner: str = "", cached: int = CACHED) -> None:
-        self.inner = inner
-        self.chunks = Remembered(lambda new: learn([" " + p for p in new]), cached)
-        self.edges = Remembered(lambda new: [self._touches_space(p) for p in new], cached)
+        self.inner, self.learn = inner, learn
+        self.chunks = Remembered(self._learn, cached)
+        #: Pieces that touch white space, of both generations.
+        self.open: set[str] = set()
+
+    def _learn(self, new: list[str]) -> list[Any]:
+        if len(self.open) > self.chunks.cached:
+            self.open = {p for p in self.open if p in self.chunks.now or p in self.chunks.old}
+        self.open.update(p for p in new if self._touches_space(p))
+        return self.learn([" " + p for p in new])
 
     def _touches_space(self, piece: str) -> bool:
         return not piece or piece[0].isspace() or piece[-1].isspace() or piece[0] in self.inner or piece[-1] in self.inner
 
-    def _joined(self, pieces: list[str], touches: dict[str, bool]) -> list[str]:
+    def _joined(self, pieces: list[str]) -> list[str]:
         """Pieces on both sides of a space that touches other white space, put together again."""
-        out, run, shut = [], [pieces[0]], touches[pieces[0]]
+        out, run, shut = [], [pieces[0]], pieces[0] in self.open
         for piece in pieces[1:]:
-            opens = touches[piece]
+            opens = piece in self.open
             if shut or opens:
                 run.append(piece)
             else:
@@ -69,7 +76,11 @@ class Chunks:
     def values(self, texts: list[str]) -> list[list[Any]]:
         """The values of each text's chunks, in order; an empty text has one chunk, a space."""
         split = [t.split(" ") for t in texts]
-        touches = self.edges.of(split)
-        split = [self._joined(p, touches) if any(map(touches.__getitem__, p)) else p for p in split]
-        get = self.chunks.of(split).__getitem__
-        return [list(map(get, p)) for p in split]
+        found = self.chunks.of(split)
+        cut = [i for i, p in enumerate(split) if not self.open.isdisjoint(p)]
+        values = [list(map(found.__getitem__, p)) for p in split]
+        joined = [self._joined(split[i]) for i in cut]
+        found = self.chunks.of(joined)
+        for i, p in zip(cut, joined, strict=True):
+            values[i] = list(map(found.__getitem__, p))
+        return values

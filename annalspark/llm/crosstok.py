@@ -41,6 +41,8 @@ BATCH_BYTES = 4_000_000
 TRANSITIONS = 1_000_000
 #: Stands for a space in the pieces of the second vocabulary.
 SPACE = "▁"
+#: Three counts share a number, which is added up at once: tokens of both sides and groups, 40 bits each.
+_FIELD = (1 << 40) - 1
 
 
 def default_vocabularies() -> tuple[str, str]:
@@ -140,9 +142,9 @@ class Pair:
         self.transducer = Transducer(self.spelled)
         self.chunks = Chunks(self._learn, inner=SPACE)
 
-    def _learn(self, new: list[str]) -> list[tuple[int, int, int, str, bytes] | None]:
-        """What chunks hold: tokens of both sides, groups, their text, and linked pairs; None if the tokens do not spell the chunk."""
-        out: list[tuple[int, int, int, str, bytes] | None] = []
+    def _learn(self, new: list[str]) -> list[tuple[int, str, bytes] | None]:
+        """What chunks hold: their counts, the text of their groups, and linked pairs; None if the tokens do not spell the chunk."""
+        out: list[tuple[int, str, bytes] | None] = []
         of_a, (names_a, names_b) = self.spelled[0], self.names
         for chunk, a, b in zip(new, self.a.encode_batch_fast(new, add_special_tokens=False), self.b.encode([c[1:] for c in new], num_threads=1), strict=True):
             ids = a.ids
@@ -157,10 +159,10 @@ class Pair:
                 right = names_b[b[j]] if j1 - j == 1 else ",".join([names_b[x] for x in b[j:j1]])
                 text.append(f"{left}|{right}")
                 i, j = i1, j1
-            out.append((len(ids), len(b), len(groups), ";".join(text), array("q", links).tobytes()))
+            out.append((len(ids) << 80 | len(b) << 40 | len(groups), ";".join(text), array("q", links).tobytes()))
         return out
 
-    def align(self, texts: list[str | None]) -> list[list[tuple[int, int, int, str, bytes]]]:
+    def align(self, texts: list[str | None]) -> list[list[tuple[int, str, bytes]]]:
         """What the chunks of each text hold; nothing for texts without tokens."""
         values = self.chunks.values([t or "" for t in texts])
         return [[] if not text or None in held else held for text, held in zip(texts, values, strict=True)]
@@ -178,9 +180,11 @@ def pair(path_a: str, path_b: str) -> Pair:
 
 def _columns(held: list[list[tuple]]) -> list[pa.Array]:
     """Counts and groups of each text, its distinct pairs by their place in the batch's dictionary, and the dictionary."""
-    counts = [pa.array([sum(c[k] for c in h) for h in held], pa.int64()) for k in range(3)]
-    groups = pa.array([";".join([c[3] for c in h]) for h in held], pa.string())
-    data = [b"".join([c[4] for c in h]) for h in held]
+    sides = [tuple(zip(*h, strict=True)) or ((), (), ()) for h in held]
+    sums = [sum(counts) for counts, _, _ in sides]
+    counts = [pa.array([n >> shift & _FIELD for n in sums], pa.int64()) for shift in (80, 40, 0)]
+    groups = pa.array([";".join(texts) for _, texts, _ in sides], pa.string())
+    data = [b"".join(links) for _, _, links in sides]
     sizes = np.array([len(d) // 8 for d in data], np.int64)
     words, which = np.unique(np.frombuffer(b"".join(data), "<i8"), return_inverse=True)
     width = max(len(words), 1)
