@@ -18,7 +18,7 @@ from ..operators import branches as branching
 from ..operators import cluster, diff, graph, verify
 from ..operators import refs as names
 from ..storage import written
-from . import cvsbranches, gitstore, rcs, revlog, svndump
+from . import cvsbranches, gitstore, rcs, revlog, svndump, svntree
 
 
 def stated() -> Column:
@@ -161,78 +161,25 @@ def from_cvs(spark: SparkSession, root: str, window: int = 180, floor: int = 50)
     return assemble(spark, "cvs", bytes.fromhex(repo), atoms, parents, rows, None, ref_rows, t["revisions"].select("blob_id", "content").filter("content is not null"), drops, params={"window_secs": str(window), "confidence_floor": str(floor)})
 
 
-def _svn_ops(data: bytes) -> Iterator[tuple]:
-    """(revision, path, op, text, executable, special, copied from, at revision) of one stream, folders unfolded."""
-    rows = list(svndump.rows_of(data))
-    wanted = {r[6] for r in rows if r[0] == "node" and r[6] is not None}
-    tree: dict[str, tuple] = {}
-    kept: dict[int, dict[str, tuple]] = {}
-    start, replaced, copied, number = {}, set(), {}, None
-
-    def flush() -> Iterator[tuple]:
-        for path in sorted(start.keys() | tree.keys()):
-            a, b = start.get(path), tree.get(path)
-            op = "Add" if a is None else "Delete" if b is None else "Replace" if path in replaced else "Modify" if a != b else None
-            if op:
-                yield (number, path, op, *(b or (None, None, None)), *(copied.get(path, (None, None)) if b else (None, None)))
-
-    for r in rows:
-        if r[0] == "rev":
-            if number is not None:
-                yield from flush()
-                if number in wanted:
-                    kept[number] = dict(tree)
-            number, start, replaced, copied = r[1], dict(tree), set(), {}
-            continue
-        path, kind, action, source_rev, source, props, text = r[3], r[4], r[5], r[6], r[7], r[8], r[9]
-        below = [p for p in tree if p == path or p.startswith(path + "/")]
-        if action in ("delete", "replace"):
-            for p in below:
-                del tree[p]
-            if action == "delete":
-                continue
-        if kind == "file":
-            old = tree.get(path) or start.get(path)
-            if action in ("add", "replace") and path in start:
-                replaced.add(path)
-            if source is not None:
-                copied[path] = (source, source_rev)
-                old = kept.get(source_rev, {}).get(source, old)
-            have = dict(props)
-            tree[path] = (text if text is not None else old[0] if old else b"", "svn:executable" in have if have or not old else old[1], "svn:special" in have if have or not old else old[2])
-        elif source is not None:
-            for p, entry in kept.get(source_rev, {}).items():
-                if p.startswith(source + "/"):
-                    to = path + p[len(source) :]
-                    tree[to] = entry
-                    copied[to] = (p, source_rev)
-                    if to in start:
-                        replaced.add(to)
-    if number is not None:
-        yield from flush()
-
-
 def from_svn(spark: SparkSession, path: str, trunk: str = "trunk", branches: str = "branches", tags: str = "tags") -> History:
     """Revisions of a dump stream as a line of atoms; roots of the conventional layout become derived references."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cols = ["revision", "path", "op", "text", "executable", "special", "from", "from_revision"]
-        for pdf in batches:
-            for data in pdf["content"]:
-                yield pd.DataFrame(list(_svn_ops(bytes(data))), columns=cols)
-
-    raw = svndump.read(spark, path)
+    raw = svndump.raw(spark, path)
     outer = branching.externals(raw["nodes"]).limit(5).collect()
     if outer:
         raise svndump.Malformed(f"externals are not read: {[(r['revision'], r['path']) for r in outer]}")
-    changes = written(spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "revision bigint, path string, op string, text binary, executable boolean, special boolean, `from` string, from_revision bigint"), "svn-ops")
+    lived = written(svntree.lives(raw["nodes"]), "svn-lives")
+    known = svntree.texts(raw["nodes"], lived)
+    content = F.when(F.col("special"), F.encode(F.coalesce(S.symlink_target(F.col("text").cast("string")), F.col("text").cast("string")), "UTF-8")).otherwise(F.col("text"))
+    known = known.withColumn("content", content).withColumn("state", F.struct(F.sha2("text", 256), "executable", "special"))
+    known = written(known.select("event", "content", "state", F.unhex(F.sha2("content", 256)).alias("blob_id"), S.mode_of(F.col("executable"), F.col("special")).alias("mode")), "svn-texts")
     key = lambda c: F.encode(F.lpad(c.cast("string"), 12, "0"), "UTF-8")
     prop = lambda k: F.get(F.transform(F.filter("props", lambda x: x["k"] == k), lambda x: x["v"]), F.lit(0))
     revs = written(raw["revisions"].filter("number > 0").select("number", key(F.col("number")).alias("node"), prop("svn:author").alias("who"), prop("svn:date").alias("date"), prop("svn:log").alias("log")), "svn-revisions")
     parents = revs.select("node", F.lit(0).alias("pos"), F.lag("node").over(W.orderBy("number")).alias("parent")).filter("parent is not null")
     atoms = revs.select("node", F.col("node").alias("order"), _person(F.col("who"), None).alias("author"), _time(S.dump_date_seconds(F.col("date").cast("string"))).alias("author_time"), _text(F.col("log")).alias("message"), stated().alias("status"))
-    content = F.when(F.col("special"), F.encode(F.coalesce(S.symlink_target(F.col("text").cast("string")), F.col("text").cast("string")), "UTF-8")).otherwise(F.col("text"))
-    changes = changes.withColumn("content", content).withColumn("node", key(F.col("revision")))
-    ops = changes.select("node", "path", "op", F.when(F.col("op") != "Delete", F.unhex(F.sha2("content", 256))).alias("blob_id"), F.when(F.col("op") != "Delete", S.mode_of(F.col("executable"), F.col("special"))).alias("mode"), stated().alias("status"))
+    changes = svntree.changes(lived, known).join(known.select("event", "blob_id", "mode"), "event", "left")
+    changes = written(changes.withColumn("node", key(F.col("revision"))), "svn-ops")
+    ops = changes.select("node", "path", "op", "blob_id", "mode", stated().alias("status"))
     copies = changes.filter("`from` is not null").select("node", "from", key(F.col("from_revision")).alias("from_node"), F.col("path").alias("to"), stated().alias("status"))
     touched = changes.select("node", "revision", S.layout_root(F.col("path"), trunk, branches, tags).alias("root"), "path", "op")
     live = touched.groupBy("path", "root").agg(F.max_by("op", "revision").alias("last")).filter("last <> 'Delete' and root is not null")
@@ -242,7 +189,7 @@ def from_svn(spark: SparkSession, path: str, trunk: str = "trunk", branches: str
     drops = [("layout", "paths outside the layout", f"{outside} paths belong to no root", None)] if outside else []
     lost = branching.property_losses(raw["nodes"]).agg(*[F.coalesce(F.sum(F.col(c).cast("int")), F.lit(0)).alias(c) for c in ("mergeinfo", "workflow", "custom")]).first()
     drops += [("properties", f"{c} properties", f"{lost[c]} revisions set some", None) for c in ("mergeinfo", "workflow", "custom") if lost[c]]
-    return assemble(spark, "svn", b"", atoms, parents, ops, copies, ref_rows, changes.filter("content is not null").select(F.unhex(F.sha2("content", 256)).alias("blob_id"), "content"), drops, params={"layout": f"{trunk},{branches},{tags}"})
+    return assemble(spark, "svn", b"", atoms, parents, ops, copies, ref_rows, known.join(changes.select("blob_id"), "blob_id", "left_semi").select("blob_id", "content"), drops, params={"layout": f"{trunk},{branches},{tags}"})
 
 
 def from_hg(spark: SparkSession, store: str) -> History:

@@ -1,16 +1,19 @@
-"""Subversion dump streams (versions 1 to 3): one stream is one task, as its records are length-prefixed.
+"""Subversion dump streams (versions 1 to 3): records of a stream are cut apart in one task, as they are length-prefixed.
 
 Tables: revisions (number, props) and nodes (revision, ord, path, kind, action, copyfrom_rev, copyfrom_path, props,
-text, md5, sha1).  Deltas (svndiff 0) are applied against the path's previous text, or the copy's source.
+text, md5, sha1, is_delta).  `raw` gives texts as the stream has them; `read` gives them in full, where deltas (svndiff
+0) are applied to what lived at the path, or at the copy's source (`svntree`).
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..storage import written
 
 MAX_TEXT = 1 << 30
 ROWS = "kind string, number bigint, ord bigint, path string, node_kind string, action string, copyfrom_rev bigint, copyfrom_path string, props array<struct<k:string,v:binary>>, text binary, md5 string, sha1 string, is_delta boolean"
@@ -146,16 +149,8 @@ def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
 
 
 def rows_of(data: bytes) -> Iterator[tuple]:
-    """Rows of one stream, texts in full."""
+    """Rows of one stream, texts as they are in it."""
     number, ord_ = -1, 0
-    last: dict[str, list[tuple[int, bytes]]] = {}
-
-    def text_at(path: str, rev: int) -> bytes:
-        for r, t in reversed(last.get(path, [])):
-            if r <= rev:
-                return t
-        raise Malformed(f"no text of {path} at {rev}")
-
     for head, prop_block, text in records(data):
         if "SVN-fs-dump-format-version" in head:
             if head["SVN-fs-dump-format-version"] not in ("1", "2", "3"):
@@ -164,24 +159,14 @@ def rows_of(data: bytes) -> Iterator[tuple]:
             number, ord_ = int(head["Revision-number"]), 0
             yield ("rev", number, 0, None, None, None, None, None, properties(prop_block)[0], None, None, None, False)
         elif "Node-path" in head:
-            path, source = head["Node-path"], head.get("Node-copyfrom-path")
             source_rev = int(head["Node-copyfrom-rev"]) if "Node-copyfrom-rev" in head else None
             body = text if "Text-content-length" in head else None
-            if body is not None and head.get("Text-delta") == "true":
-                base = text_at(source, source_rev) if source is not None else last[path][-1][1] if last.get(path) else b""
-                body = svndiff(body, base)
-            elif body is None and source is not None and head.get("Node-kind") == "file":
-                body = text_at(source, source_rev)
-            if body is not None:
-                for name, f in (("Text-content-md5", hashlib.md5), ("Text-content-sha1", hashlib.sha1)):
-                    if name in head and f(body).hexdigest() != head[name]:
-                        raise Malformed(f"{path}: the text does not have its {name}")
-                last.setdefault(path, []).append((number, body))
-            yield ("node", number, ord_, path, head.get("Node-kind"), head["Node-action"], source_rev, source, properties(prop_block)[0], body, head.get("Text-content-md5"), head.get("Text-content-sha1"), False)
+            is_delta = body is not None and head.get("Text-delta") == "true"
+            yield ("node", number, ord_, head["Node-path"], head.get("Node-kind"), head["Node-action"], source_rev, head.get("Node-copyfrom-path"), properties(prop_block)[0], body, head.get("Text-content-md5"), head.get("Text-content-sha1"), is_delta)
             ord_ += 1
 
 
-def read(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+def raw(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split(" ")[0] for c in ROWS.replace("array<struct<k:string,v:binary>>", "x").split(", ")]
         for pdf in batches:
@@ -194,8 +179,19 @@ def read(spark: SparkSession, path: str) -> dict[str, DataFrame]:
                         rows = []
                 yield pd.DataFrame(rows, columns=names)
 
-    raw = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, ROWS)
+    rows = written(spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, ROWS), "svn-stream")
     return {
-        "revisions": raw.filter("kind = 'rev'").select("number", "props"),
-        "nodes": raw.filter("kind = 'node'").selectExpr("number as revision", "ord", "path", "node_kind as kind", "action", "copyfrom_rev", "copyfrom_path", "props", "text", "md5", "sha1"),
+        "revisions": rows.filter("kind = 'rev'").select("number", "props"),
+        "nodes": rows.filter("kind = 'node'").selectExpr("number as revision", "ord", "path", "node_kind as kind", "action", "copyfrom_rev", "copyfrom_path", "props", "text", "md5", "sha1", "is_delta"),
     }
+
+
+def read(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    from . import svntree
+
+    tables = raw(spark, path)
+    full = svntree.texts(tables["nodes"], written(svntree.lives(tables["nodes"]), "svn-lives")).select("event", F.col("text").alias("full"))
+    event = F.shiftleft(F.col("revision"), 24) + F.col("ord")
+    nodes = tables["nodes"].withColumn("event", event).join(full, "event", "left")
+    stated = F.col("text").isNotNull() | F.col("copyfrom_path").isNotNull()
+    return tables | {"nodes": nodes.withColumn("text", F.when(stated, F.col("full"))).drop("full", "event", "is_delta")}
