@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, fields
 from dataclasses import replace as _replace
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .storage import swap
+
 # The data model's columns.
 _DERIVATION = "struct<kind:string,kind_label:string,`by`:string,decoder_version:string,params:map<string,string>,confidence:int>"
 STATUS = f"struct<base:string,derivation:{_DERIVATION},layers:array<struct<step:int,changed:array<string>>>>"
@@ -59,20 +62,28 @@ class History:
         return _replace(self, **tables)
 
     def write(self, path: str) -> None:
-        """Parquet, one folder a table; contents are ordered by path of first use, so that versions lie together."""
+        """Parquet, one folder a table, all or nothing; contents are ordered by path of first use, so that versions lie together.
+
+        The tables go to a folder of their own, and the manifest that readers follow is swapped when all are there; a
+        write that fails leaves the history before it readable.
+        """
         from .operators.asof import first_use_order
 
+        version = f"v-{uuid.uuid4().hex}"
         for f in fields(self):
             df = getattr(self, f.name)
             if f.name == "blobs":
                 uses = self.ops.filter("blob_id is not null").join(self.atoms.select("atom_id", "atom_idx"), "atom_id").selectExpr("blob_id as blob", "atom_idx", "path")
                 order = first_use_order(uses).selectExpr("blob as blob_id", "path as _p", "atom_idx as _i")
                 df = df.join(order, "blob_id", "left").repartitionByRange("_p", "_i").sortWithinPartitions("_p", "_i").drop("_p", "_i")
-            df.write.mode("overwrite").parquet(f"{path}/{f.name}")
+            df.write.parquet(f"{path}/{version}/{f.name}")
+        swap(self.atoms.sparkSession, f"{path}/manifest", version)
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> History:
-        return cls.of(spark, **{n: spark.read.parquet(f"{path}/{n}") for n in SCHEMAS})
+        """The history that the manifest names."""
+        version = spark.read.text(f"{path}/manifest").first()[0]
+        return cls.of(spark, **{n: spark.read.parquet(f"{path}/{version}/{n}") for n in SCHEMAS})
 
     def store(self) -> History:
         """Contents deduplicated by id, unused ones left out."""

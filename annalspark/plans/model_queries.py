@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from ..functions import scalars as S
 from ..history import SCHEMAS, History
 from ..operators import asof, branches, diff, frames, graph, refs, report, transform, verify
-from ..sources import artifact
+from ..sources import artifact, svntree
 from ..storage import shared_dir, written
 from .history_queries import _CHAIN, _PAGES, chain, page_paths, query, seconds, table
 
@@ -548,3 +548,18 @@ def artifact_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     artifact.checked(spark, path, magic)
     back = artifact.read(spark, path, magic)
     return back.select(F.lower(F.hex("blob_id")).alias("blob"), F.when(F.sha2("content", 256) == F.lower(F.hex("blob_id")), F.octet_length("content")).cast("long").alias("length"), "rank")
+
+
+@query("""WITH r AS (SELECT l_orderkey AS rev, 'd' || (l_suppkey % 20) || '/f' || (l_partkey % 50) AS path, bool_or(l_returnflag = 'R') AS gone FROM lineitem GROUP BY ALL),
+n AS (SELECT *, lead(rev) OVER (PARTITION BY path ORDER BY rev) AS until FROM r), l AS (SELECT path, rev, until FROM n WHERE NOT gone),
+t AS (SELECT o_orderkey AS rev, 'd' || (o_custkey % 20) AS src FROM orders WHERE o_orderstatus = 'P')
+SELECT path, rev, until FROM l UNION ALL
+SELECT 'tags/' || t.rev || substr(l.path, length(src) + 1), t.rev, NULL FROM t JOIN l ON starts_with(l.path, src || '/') AND l.rev < t.rev AND (l.until IS NULL OR l.until >= t.rev)""")
+def tagged_lives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lives of files in a stream of revisions that copies folders to tags."""
+    place = F.concat(F.lit("d"), (F.col("l_suppkey") % 20).cast("string"), F.lit("/f"), (F.col("l_partkey") % 50).cast("string"))
+    files = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("revision"), place.alias("path")).agg(F.bool_or(F.col("l_returnflag") == "R").alias("gone"))
+    files = files.select("revision", F.row_number().over(W.partitionBy("revision").orderBy("path")).cast("long").alias("ord"), "path", F.lit("file").alias("kind"), F.when(F.col("gone"), "delete").otherwise("change").alias("action"), F.lit(None).cast("long").alias("copyfrom_rev"), F.lit(None).cast("string").alias("copyfrom_path"))
+    tags = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("revision"), F.lit(0).cast("long").alias("ord"), F.concat(F.lit("tags/"), F.col("o_orderkey").cast("string")).alias("path"), F.lit("dir").alias("kind"), F.lit("add").alias("action"), (F.col("o_orderkey") - 1).alias("copyfrom_rev"), F.concat(F.lit("d"), (F.col("o_custkey") % 20).cast("string")).alias("copyfrom_path"))
+    lived = svntree.lives(files.unionAll(tags))
+    return lived.select("path", F.shiftright("at", 24).alias("rev"), F.shiftright("until", 24).alias("until"))

@@ -45,3 +45,17 @@ class Rounds:
 def written(df: DataFrame, name: str) -> DataFrame:
     """The table, written once below the shared folder and read from there."""
     return Rounds(df.sparkSession, name).write(df)
+
+
+def swap(spark: SparkSession, path: str, text: str) -> None:
+    """Gives a one-line file new text in one step: readers find the old line or the new one."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    to, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    out = new.getFileSystem(conf).create(new, True)
+    out.write(text.encode())
+    out.close()
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(to.toUri() if to.toUri().getScheme() else to.getFileSystem(conf).getUri(), conf)
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files.rename(files.makeQualified(new), files.makeQualified(to), options)
