@@ -366,8 +366,15 @@ def _places(docs: DataFrame, named: DataFrame, p: PassageParams) -> DataFrame:
 
 
 def remove(docs: DataFrame, params: PassageParams = PassageParams()) -> DataFrame:
-    """The documents without their removed passages; other columns are as they are, but for n_chars."""
-    gone = repeated(docs, params).filter("removed").groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
+    """The documents without their removed passages; other columns are as they are, but for n_chars.
+
+    Every row is a document of its own here, also where ids repeat or are null: rows are numbered in the order of their
+    ids (nulls last), so that the lowest id keeps a passage.
+    """
+    row = fresh(docs, "row")
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
+    own = Stages(docs.sparkSession, "passages-rows").write(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(row, F.monotonically_increasing_id()), "rows")
+    gone = repeated(own.select(F.col(row).alias("doc_id"), "text"), params).filter("removed").groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
     names, schema = docs.columns, docs.schema
     at, size = place_of(docs, "text"), next((k for k, f in enumerate(schema) if f.name.lower() == "n_chars" and f.dataType.typeName() in ("long", "integer")), None)
     spans = fresh(docs, "spans")
@@ -389,4 +396,4 @@ def remove(docs: DataFrame, params: PassageParams = PassageParams()) -> DataFram
                 cols[size] = pa.array([None if t is None else len(t) for t in texts], cols[size].type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.join(gone.withColumnRenamed("spans", spans), "doc_id", "left").select(*names, spans).mapInArrow(run, schema)
+    return own.join(gone.select(F.col("doc_id").alias(row), F.col("spans").alias(spans)), row, "left").select(*names, spans).mapInArrow(run, schema)
