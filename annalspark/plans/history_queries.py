@@ -165,9 +165,9 @@ def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_diffs(spark, sf_dir)
 
 
-@query(f"""WITH {_DIFF}, o AS (SELECT atom, path, op, coalesce(new_blob, old_blob) AS blob FROM d WHERE op IN ('Add', 'Delete')),
-g AS (SELECT *, count(*) OVER (PARTITION BY atom, blob, op) AS n FROM o)
-SELECT x.atom, x.blob, x.path AS from_path, y.path AS to_path FROM g x JOIN g y ON x.atom = y.atom AND x.blob = y.blob AND x.op = 'Delete' AND y.op = 'Add' AND x.n = 1 AND y.n = 1""")
+@query(f"""WITH {_DIFF}, o AS (SELECT atom, path, op, coalesce(new_blob, old_blob) AS blob FROM d WHERE op IN ('Add', 'Delete'))
+SELECT atom, blob, max(path) FILTER (op = 'Delete') AS from_path, max(path) FILTER (op = 'Add') AS to_path FROM o WHERE blob IS NOT NULL
+GROUP BY atom, blob HAVING count(*) FILTER (op = 'Delete') = 1 AND count(*) FILTER (op = 'Add') = 1""")
 def rename_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     ops = order_diffs(spark, sf_dir).select("atom", "path", "op", F.coalesce("new_blob", "old_blob").alias("blob"))
     return diff.exact_renames(ops)
