@@ -205,27 +205,54 @@ def obsolete(data: bytes) -> set[bytes]:
     return out
 
 
+# Lengths of the store's hashed names, reserved characters, device names.
+LONGEST, FOLDER, FOLDERS = 120, 8, 68
+_RESERVED, _DEVICES, _NUMBERED = frozenset('\\:*?"<>|'), frozenset(("con", "prn", "aux", "nul")), frozenset(("com", "lpt"))
+
+
+def _tilde(c: str) -> str:
+    return f"~{ord(c):02x}"
+
+
+def _safe(name: str) -> str:
+    """A component without device names and without dots and spaces at its ends."""
+    base = name.split(".", 1)[0]
+    if name[:1] in (".", " "):
+        name = _tilde(name[0]) + name[1:]
+    elif base in _DEVICES or (len(base) == 4 and base[:3] in _NUMBERED and base[3] in "123456789"):
+        name = name[:2] + _tilde(name[2]) + name[3:]
+    return name[:-1] + _tilde(name[-1]) if name[-1:] in (".", " ") else name
+
+
+def store_name(entry: str) -> str:
+    """The store's name of an entry such as data/a/b.c.i: reversible while it is short, else hashed."""
+    text = entry.encode().decode("latin1")
+    for end in (".hg/", ".i/", ".d/"):
+        text = text.replace(end, f"{end[:-1]}.hg/")
+    plain = lambda c: _tilde(c) if ord(c) < 32 or ord(c) > 125 or c in _RESERVED else c
+    full = "".join("_" + c.lower() if "A" <= c <= "Z" else "__" if c == "_" else plain(c) for c in text)
+    full = "/".join(map(_safe, full.split("/")))
+    if len(full) <= LONGEST:
+        return full
+    digest = hashlib.sha1(text.encode("latin1")).hexdigest()
+    _, *folders, last = map(_safe, "".join(c.lower() if "A" <= c <= "Z" else plain(c) for c in text).split("/"))
+    short, size = [], -1
+    for folder in folders:
+        cut = folder[:FOLDER]
+        cut = cut[:-1] + "_" if cut[-1:] in (".", " ") else cut
+        size += 1 + len(cut)
+        if short and size > FOLDERS:
+            break
+        short.append(cut)
+    head = "/".join(["dh", *short]) + "/"
+    dot = last.rfind(".")
+    tail = digest + (last[dot:] if last[:dot].strip(".") and dot > 0 else "")
+    return head + last[: max(0, LONGEST - len(head) - len(tail))] + tail
+
+
 def store_path(path: str) -> str:
-    """Reversible store name of a file's index, for paths that the store does not hash."""
-    names = path.split("/")
-    for i in range(len(names) - 1):
-        if names[i].endswith((".i", ".d", ".hg")):
-            names[i] += ".hg"
-    out = []
-    for name in names:
-        enc = "".join("_" + c.lower() if "A" <= c <= "Z" else "__" if c == "_" else f"~{ord(c):02x}" if ord(c) < 32 or ord(c) > 125 or c in '\\:*?"<>|' else c for c in name.encode().decode("latin1"))
-        base = enc.split(".", 1)[0]
-        if base in ("con", "prn", "aux", "nul") or (len(base) == 4 and base[:3] in ("com", "lpt") and base[3] in "123456789"):
-            enc = f"{enc[:2]}~{ord(enc[2]):02x}{enc[3:]}"
-        if enc[-1:] in (".", " "):
-            enc = f"{enc[:-1]}~{ord(enc[-1]):02x}"
-        if enc[:1] in (".", " "):
-            enc = f"~{ord(enc[0]):02x}{enc[1:]}"
-        out.append(enc)
-    full = "data/" + "/".join(out) + ".i"
-    if len(full) > 120:
-        raise Malformed("the store hashes this path")
-    return full
+    """The store's name of a file's index."""
+    return store_name(f"data/{path}.i")
 
 
 def read(spark: SparkSession, store: str) -> dict[str, DataFrame]:
@@ -241,6 +268,18 @@ def read(spark: SparkSession, store: str) -> dict[str, DataFrame]:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(store).selectExpr("regexp_extract(path, '([^:]*)$', 1) as path", "content")
     for (needs,) in files.filter("path like '%/requires'").select(F.decode("content", "UTF-8")).collect():  # one small file, or none
         check_requirements(needs)
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for content in pdf["content"]:
+                entries = bytes(content).decode().splitlines()
+                rows = [(n, e) for e in entries if (n := store_name(e)).startswith("dh/")]
+                yield pd.DataFrame(rows, columns=["stored", "entry"])
+
+    # a hashed index and its data have names that differ; the list of entries says what belongs together
+    entries = files.filter("path like '%/fncache'").select("content").mapInPandas(hashed, "stored string, entry string").distinct()
+    files = files.withColumn("stored", F.regexp_extract("path", "/(dh/.*)$", 1)).join(entries, "stored", "left")
+    files = files.withColumn("path", F.when(F.col("entry").isNotNull(), F.concat(F.regexp_extract("path", "^(.*/)dh/", 1), "entry")).otherwise(F.col("path")))
     index = files.filter("path like '%.i'").selectExpr("left(path, length(path) - 2) as name", "content as index")
     data = files.filter("path like '%.d'").selectExpr("left(path, length(path) - 2) as name", "content as data")
     raw = index.join(data, "name", "left").mapInPandas(run, "name string, rev int, node binary, link int, p1 int, p2 int, text binary")
