@@ -135,18 +135,23 @@ def op(o) -> bytes:
     return uvarint(OPS[o["op"]]) + record(fields)
 
 
-def copy(c) -> bytes:
-    return record([(1, c["from"].encode()), (2, bytes(c["from_atom"])), (3, c["to"].encode()), (4, status(c["status"]))])
+def _own_fields(ops: list, atom) -> dict[int, bytes | None]:
+    """Fields of a revision that no other revision's identity enters: ops, metadata, source and status."""
+    meta = [(1, identity(atom["author"])), (2, when(atom["author_time"])), (3, identity(atom["committer"])), (4, when(atom["commit_time"])), (5, text(atom["message"]))]
+    ordered = sorted(ops, key=lambda o: o["path"].encode())
+    return {3: some([op(o) for o in ordered]), 5: record(meta) if any(v is not None for _, v in meta) else None, 6: source(atom["source"]), 7: status(atom["status"])}
+
+
+def _linked(own: dict[int, bytes | None], parents: list[bytes], copies: list[tuple[str, bytes, str, bytes]]) -> list[tuple[int, bytes | None]]:
+    """Fields 2 to 7; copies: from, from_atom, to and the encoded status."""
+    rows = sorted(copies, key=lambda c: (c[2].encode(), c[0].encode(), c[1]))
+    made = some([record([(1, c[0].encode()), (2, c[1]), (3, c[2].encode()), (4, c[3])]) for c in rows])
+    return [(2, some([bytes(p) for p in parents])), (3, own[3]), (4, made), (5, own[5]), (6, own[6]), (7, own[7])]
 
 
 def atom_body(parents: list[bytes], ops: list, copies: list, atom) -> list[tuple[int, bytes | None]]:
     """Fields 2 to 7 of a revision: everything that its identity covers."""
-    meta = [(1, identity(atom["author"])), (2, when(atom["author_time"])), (3, identity(atom["committer"])), (4, when(atom["commit_time"])), (5, text(atom["message"]))]
-    ordered = sorted(ops, key=lambda o: o["path"].encode())
-    return [
-        (2, some([bytes(p) for p in parents])), (3, some([op(o) for o in ordered])), (4, some([copy(c) for c in sorted(copies, key=lambda c: (c["to"].encode(), c["from"].encode(), bytes(c["from_atom"])))])),
-        (5, record(meta) if any(v is not None for _, v in meta) else None), (6, source(atom["source"])), (7, status(atom["status"])),
-    ]
+    return _linked(_own_fields(ops, atom), parents, [(c["from"], bytes(c["from_atom"]), c["to"], status(c["status"])) for c in copies])
 
 
 def atom_id(parents: list[bytes], ops: list, copies: list, atom) -> bytes:
@@ -157,26 +162,44 @@ def atom_ids(atoms: DataFrame, parents: DataFrame, ops: DataFrame, copies: DataF
     """node, atom_id.  Parents' identities enter their children's, so identities are made in order of position.
 
     atoms: node, position and the claims; parents: node, pos, parent (a node); ops: node, ...; copies: node, from_node.
-    Everything but the parents is encoded in parallel; one task per group (repository) then hashes narrow rows in order.
+    All but the fields that hold identities is encoded in parallel.  One task per group (repository) then reads the
+    encoded revisions in order, a batch at a time: it remembers identities, but neither ops nor messages.
     """
     packed = atoms.join(ops.groupBy("node").agg(F.collect_list(F.struct("path", "op", "blob_id", "mode", "status")).alias("ops")), "node", "left")
     packed = packed.join(copies.groupBy("node").agg(F.collect_list(F.struct("from", "from_node", "to", "status")).alias("copies")), "node", "left")
     packed = packed.join(parents.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "parent"))), lambda x: x["parent"]).alias("parents")), "node", "left")
     kind = atoms.schema["node"].dataType.simpleString()
     plain = lambda v: bytes(v) if isinstance(v, bytearray | memoryview) else v
-
-    def order(pdf: pd.DataFrame) -> pd.DataFrame:
-        made: dict = {}
-        for r in pdf.sort_values("position").to_dict("records"):
-            for k in ("author", "author_time", "committer", "commit_time", "message"):
-                r[k] = r[k] if isinstance(r[k], dict) else None
-            copied = [dict(c) | {"from_atom": made[plain(c["from_node"])]} for c in (r["copies"] if r["copies"] is not None else [])]
-            up = [made[plain(p)] for p in (r["parents"] if r["parents"] is not None else [])]
-            made[plain(r["node"])] = atom_id(up, list(r["ops"] if r["ops"] is not None else []), copied, r)
-        return pd.DataFrame({"node": list(made), "atom_id": list(made.values())})
-
-    key = F.col(group) if group else F.lit(1)
-    return packed.withColumn("_group", key).groupBy("_group").applyInPandas(order, f"node {kind}, atom_id binary")
+    listed = lambda v: [] if v is None else list(v)
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.to_dict("records"):
+                for k in ("author", "author_time", "committer", "commit_time", "message"):
+                    r[k] = r[k] if isinstance(r[k], dict) else None
+                own = _own_fields(listed(r["ops"]), r)
+                copied = [{"from": c["from"], "from_node": plain(c["from_node"]), "to": c["to"], "status": status(c["status"])} for c in listed(r["copies"])]
+                out.append((plain(r["node"]), r["position"], r["_group"], [plain(p) for p in listed(r["parents"])], copied, own[3], own[5], own[6], own[7]))
+            yield pd.DataFrame(out, columns=["node", "position", "_group", "parents", "copies", "f3", "f5", "f6", "f7"])
+
+    def order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, made = None, {}
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                if r[2] != now:
+                    now, made = r[2], {}
+                own = {3: plain(r.f3), 5: plain(r.f5), 6: plain(r.f6), 7: plain(r.f7)}
+                copied = [(c["from"], made[plain(c["from_node"])], c["to"], plain(c["status"])) for c in listed(r.copies)]
+                made[plain(r.node)] = hashlib.sha256(record(_linked(own, [made[plain(p)] for p in listed(r.parents)], copied))).digest()
+                out.append((plain(r.node), made[plain(r.node)]))
+            yield pd.DataFrame(out, columns=["node", "atom_id"])
+
+    key = (F.col(group) if group else F.lit(1)).cast("string")
+    fields = f"node {kind}, position long, _group string, parents array<{kind}>, copies array<struct<`from`:string,from_node:{kind},`to`:string,status:binary>>, f3 binary, f5 binary, f6 binary, f7 binary"
+    ready = packed.withColumn("_group", F.coalesce(key, F.lit(""))).mapInPandas(encode, fields)
+    return ready.repartition("_group").sortWithinPartitions("_group", "position").mapInPandas(order, f"node {kind}, atom_id binary")
 
 
 def varint_column(value: Column) -> Column:
