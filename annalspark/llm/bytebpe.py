@@ -5,8 +5,8 @@ a recursive query joins neighbouring rows with the merge table and contracts eac
 until no pair of a word is in the table.  A word that is in the vocabulary as a whole is one token, as the public
 library has it.  Words of more than `LONG` bytes contract, in a round, all pairs of the least rank that one-by-one
 contraction would reach before a pair of a lower rank comes up, so that the rounds do not grow with the length of a run.
-Decoding cuts ids before tokens that do not start with a letter, and an ordered aggregation over token-position rows
-puts the bytes of each distinct run together.
+Decoding joins token-position rows with the vocabulary, and an aggregation in the order of positions puts the bytes of each
+list together.
 
 Each worker holds one in-memory database with the vocabulary; rows of a query are bounded by `WORDS_BYTES` (or by the
 longest word), so memory grows with the longest text only.  Nothing is shuffled, and a lost task is simply run again.
@@ -77,8 +77,8 @@ WITH RECURSIVE t AS (
 SELECT word, pos, id, done FROM t WHERE done OR round = {rounds}"""
 
 _BYTES = """
-SELECT run, unhex(string_agg(hex, '' ORDER BY pos)) AS bytes
-FROM tokens JOIN vocabulary USING (id) GROUP BY run ORDER BY run"""
+SELECT row, unhex(array_to_string(list(hex ORDER BY pos), '')) AS bytes
+FROM tokens JOIN vocabulary USING (id) GROUP BY row ORDER BY row"""
 
 
 def default_vocabulary() -> str:
@@ -106,10 +106,9 @@ class Codec:
         self._table("merges", pair=np.array([p for p, _ in pairs], np.int64), rank=np.array([r for _, r in pairs], np.int32))
         self._table("vocabulary", id=np.array(list(self.ranks.values()), np.int32), hex=[b.hex() for b in self.ranks])
         top = max(self.ranks.values()) + 1
-        self.known, self.opens = np.zeros(top, bool), np.zeros(top, bool)
-        for token, rank in self.ranks.items():
-            self.known[rank], self.opens[rank] = True, token[0] < 128 and not token[:1].isalpha()
-        self.words, self.runs = Remembered(self._words), Remembered(self._runs)
+        self.known = np.zeros(top, bool)
+        self.known[list(self.ranks.values())] = True
+        self.words = Remembered(self._words)
 
     def _table(self, name: str, **columns: object) -> None:
         self.db.register("given", pa.table(columns))
@@ -165,31 +164,24 @@ class Codec:
         get = self.words.of(cut).__getitem__
         return [b"".join(map(get, words)) for words in cut]
 
-    def _runs(self, new: list[bytes]) -> list[bytes]:
-        out, lo, size = [], 0, 0
-        for i, run in enumerate(new):
-            size += len(run)
-            if size >= 4 * IDS_TOGETHER or i + 1 == len(new):
-                part = new[lo : i + 1]
-                ids = np.frombuffer(b"".join(part), "<i4")
-                owner = np.repeat(np.arange(len(part), dtype=np.int32), [len(r) // 4 for r in part])
-                out += self._query(_BYTES, "tokens", pa.table({"run": owner, "pos": np.arange(len(ids), dtype=np.int32), "id": ids}))["bytes"].to_pylist()
-                lo, size = i + 1, 0
-        return out
-
     def decode(self, lists: list[np.ndarray | None]) -> list[bytes | None]:
         """The bytes of each list of ids; None for a missing list or one with an id out of the vocabulary."""
-        cut: list[list[bytes] | None] = []
-        for ids in lists:
-            if ids is None or (len(ids) and (ids.min() < 0 or ids.max() >= len(self.known) or not self.known[ids].all())):
-                cut.append(None)
-                continue
-            at = np.flatnonzero(self.opens[ids]) * 4
-            ends = [*at[at > 0].tolist(), 4 * len(ids)]
-            data = ids.astype("<i4").tobytes()
-            cut.append([data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if data else [])
-        get = self.runs.of(c for c in cut if c).__getitem__
-        return [None if c is None else b"".join(map(get, c)) for c in cut]
+        out: list[bytes | None] = [None] * len(lists)
+        rows: list[int] = []
+        size = 0
+        for i, ids in enumerate(lists):
+            if ids is not None and (not len(ids) or (ids.min() >= 0 and ids.max() < len(self.known) and self.known[ids].all())):
+                out[i] = b""
+                rows.append(i)
+                size += len(ids)
+            if rows and (size >= IDS_TOGETHER or i + 1 == len(lists)):
+                flat = np.concatenate([lists[k] for k in rows]).astype(np.int32)
+                owner = np.repeat(np.array(rows, np.int32), [len(lists[k]) for k in rows])
+                found = self._query(_BYTES, "tokens", pa.table({"row": owner, "pos": np.arange(len(flat), dtype=np.int32), "id": flat}))
+                for k, data in zip(found["row"].to_pylist(), found["bytes"].to_pylist(), strict=True):
+                    out[k] = data
+                rows, size = [], 0
+        return out
 
 
 _codecs: dict[tuple[str, str], Codec] = {}

@@ -81,7 +81,7 @@ def test_a_word_in_the_vocabulary_is_one_token(codec, library):
 
 def test_forgetting_changes_nothing(codec, library, monkeypatch):
     monkeypatch.setattr(codec.words, "cached", 20)
-    monkeypatch.setattr(codec.runs, "cached", 10)
+    monkeypatch.setattr(bytebpe, "IDS_TOGETHER", 10)
     texts = [f"word{i} other{i % 7}, \n {i}" for i in range(100)]
     for lo in range(0, 100, 10):
         found = codec.encode(texts[lo : lo + 10])
