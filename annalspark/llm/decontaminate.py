@@ -1,23 +1,29 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
-
-Word n-grams of the benchmark items are looked up in every document and seed an alignment of the item with the stretch
-of the document around the seeds.  Every n-gram of an item is a seed, however many documents hold it: an item that has
-leaked often is found like any other.  A seed is passed over only if too few words around it are the item's to reach
-the score.  The local alignment score counts `match` per equal word, `mismatch` per substituted and `gap` per inserted
-or lost word, so edited and partly paraphrased copies still score; a document is contaminated by an item if the score
-reaches `threshold` of the item's own and the equal words reach `min_words` (or the whole item, if shorter).
-
-Items are taken in blocks whose n-gram tables are at most `block_grams` long; each block is broadcast (a bound of a few
-MB) and the documents are read once a block.  Documents are never shuffled.
-
-Cases: null texts and items are empty and match nothing; items shorter than n words seed with their whole sequence;
-null ids are passed on; repeated documents are each reported; empty tables give no rows; extra columns are ignored.
-A very long stretch of seeds is aligned in overlapping pieces of bounded length, so memory is bounded too.  Ties: of
-equally good alignments of an item the first one counts; equal items are each reported.
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+
+The local alignment score counts `match` per equal word, `mismatch` per substituted and `gap` per inserted or lost word,
+so edited and partly paraphrased copies still score; a document is contaminated by an item if the score reaches
+`threshold` of the item's own and the equal words reach `min_words` (or the whole item, if shorter).
+
+Seeds lose nothing.  An alignment that passes pays for few edits, so some of its equal words, at least `least` of them,
+are followed by the next equal word with one edit or none between the two.  A seed is therefore a word with the next or
+the next but one.  Of an item's starts of seeds all but `least` - 1 are needed to meet every such alignment, and those
+that are rarest in the documents are taken, after a count over all documents.  Where `least` is 0, as for items of two
+words, single words are seeds, by the same argument on the equal words.  Around a seed, as many starts of seeds
+of the item as a passing alignment has must stand before the two are aligned.
+
+Items are taken in blocks whose seed tables are at most `block_grams` long, or one item; each block is broadcast (a
+bound of a few MB) and the documents are read twice a block, for the counts and for the search.  Documents are never
+shuffled; a row a seed and task is, for the counts.
+
+Cases: null texts and items are empty and match nothing; null ids are passed on; repeated documents are each reported;
+empty tables give no rows; extra columns are ignored.  A very long stretch of seeds is aligned in overlapping pieces of
+bounded length, so memory is bounded too.  Ties: of equally good alignments of an item the first one counts; equal items
+are each reported; of equally rare seeds the first ones are taken.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,16 +35,12 @@ from pyspark.sql import functions as F
 from . import textvec as tv
 from .common import place_of
 
-U64 = np.uint64
 #: Words of a long stretch that are aligned at once, about; pieces overlap by what an alignment can cover.
 PIECE = 4096
 
 
 @dataclass(frozen=True)
 class SeedParams:
-    n: int = 3
-    #: Seeds of one item that a document must hit: fewer cannot reach the threshold except for short items.
-    min_seeds: int = 2
     match: int = 2
     mismatch: int = -1
     gap: int = -1
@@ -48,41 +50,91 @@ class SeedParams:
     #: Items that the driver holds at a time, about.
     block_items: int = 20_000
 
+    def equal(self, m: int) -> int:
+        """Equal words of an item of m words that an alignment needs to pass."""
+        return max(math.ceil(self.threshold * m - 1e-9), min(self.min_words, m))
+
+    def edits(self, m: int, equal: int) -> int:
+        """Edits that an alignment with so many equal words may have."""
+        return int((self.match * equal - self.threshold * self.match * m) / min(-self.mismatch, -self.gap) + 1e-9)
+
+    def close(self, m: int) -> int:
+        """Equal words that the next one follows with one edit or none between, at least, where an alignment passes."""
+        return max(0, min(e - 1 - self.edits(m, e) // 2 for e in range(self.equal(m), m + 1)))
+
+    def reach(self, m: int) -> int:
+        """Words of a document that an alignment covers, at most."""
+        return m + self.edits(m, m) + 2
+
+
+def grams(h: np.ndarray, step: int) -> np.ndarray:
+    """Hashes of every word alone (step 0), or with the word `step` places on."""
+    return tv.mix(tv.mix(h[:-step]) + h[step:]) if step else tv.mix(h)
+
+
+@dataclass
+class Item:
+    """Words of an item; its seeds and the starts of each; how many starts an alignment that passes has."""
+
+    id: object
+    words: np.ndarray
+    steps: tuple[int, ...]
+    least: int
+    gram: np.ndarray
+    start: np.ndarray
+
+
+def _item(item_id: object, h: np.ndarray, p: SeedParams) -> Item:
+    least, steps = p.close(len(h)), (1, 2)
+    if not least:
+        least, steps = p.equal(len(h)), (0,)
+    made = [grams(h, s) for s in steps]
+    return Item(item_id, h, steps, least, np.concatenate(made), np.concatenate([np.arange(len(g)) for g in made]))
+
 
 @dataclass
 class Block:
-    """Words of some benchmark items and the table from n-gram to item."""
+    """Some benchmark items and the table from seed to item."""
 
-    ids: list
-    words: list[np.ndarray]
+    items: list[Item]
     gram: np.ndarray
     item: np.ndarray
     members: tv.Members
+    steps: tuple[int, ...]
 
 
 def blocks(items: list[tuple[object, str | None]], p: SeedParams) -> Iterator[Block]:
-    ids, words, grams, owner, size = [], [], [], [], 0
+    """Items in blocks, with all their seeds."""
+    held, size = [], 0
     for item_id, text in items:
         h = tv.hash_words(text or "")
         if not len(h):
             continue
-        g = np.unique(tv.chain(h, min(p.n, len(h))))
-        if size and size + len(g) > p.block_grams:
-            yield _block(ids, words, grams, owner)
-            ids, words, grams, owner, size = [], [], [], [], 0
-        owner.append(np.full(len(g), len(ids)))
-        ids.append(item_id)
-        words.append(h)
-        grams.append(g)
-        size += len(g)
-    if size:
-        yield _block(ids, words, grams, owner)
-
-
-def _block(ids: list, words: list, grams: list, owner: list) -> Block:
-    gram, item = np.concatenate(grams), np.concatenate(owner)
+        item = _item(item_id, h, p)
+        if held and size + len(item.gram) > p.block_grams:
+            yield _block(held, [x.gram for x in held])
+            held, size = [], 0
+        held.append(item)
+        size += len(item.gram)
+    if held:
+        yield _block(held, [x.gram for x in held])
+
+
+def _block(items: list[Item], seeds: list[np.ndarray]) -> Block:
+    seeds = [tv.distinct(g) for g in seeds]
+    gram, item = np.concatenate(seeds), np.repeat(np.arange(len(items)), [len(g) for g in seeds])
     order = np.lexsort([item, gram])
-    return Block(ids, words, gram[order], item[order], tv.Members(gram))
+    return Block(items, gram[order], item[order], tv.Members(gram), tuple(sorted({s for x in items for s in x.steps})))
+
+
+def rarest(block: Block, seen: np.ndarray) -> Block:
+    """The block with the rarest seeds that meet every alignment that passes; seen: occurrences of each of its seeds."""
+    seeds = []
+    for x in block.items:
+        cost = np.bincount(x.start, seen[np.searchsorted(block.members.values, x.gram)])
+        kept = np.argsort(cost, kind="stable")[: len(cost) - x.least + 1]
+        seeds.append(x.gram[np.isin(x.start, kept)])
+    return _block(block.items, seeds)
 
 
 def smith_waterman(doc: np.ndarray, item: np.ndarray, p: SeedParams) -> tuple[int, int, int, int]:
@@ -113,52 +165,86 @@ def align(doc: np.ndarray, places: dict[int, np.ndarray], block: Block, p: SeedP
     """(item, score share, equal words, first word, end word) of the items whose alignment passes."""
     found = []
     for k, at in places.items():
-        item = block.words[k]
-        m = len(item)
-        if len(at) < min(p.min_seeds, m - p.n + 1):
-            continue
-        # an alignment that passes has `need` equal words and covers at most `reach` words of the document
-        need = max(int(np.ceil(p.threshold * m - 1e-9)), min(p.min_words, m))
-        reach = m + int(p.match * m * (1 - p.threshold) / min(-p.mismatch, -p.gap)) + p.n
-        own = np.concatenate([[0], np.cumsum(np.isin(doc, item))])
-        at = at[own[np.minimum(at + reach, len(doc))] - own[np.maximum(at - reach, 0)] >= need]
-        if not len(at):
-            continue
-        best = None
-        cut = np.flatnonzero(np.diff(at) > reach) + 1  # seeds closer than that share one alignment
-        for lo, hi in zip(at[[0, *cut]].tolist(), at[[*(cut - 1), -1]].tolist(), strict=True):
-            x, y = max(0, lo - reach), min(len(doc), hi + reach)
-            size = max(PIECE, 4 * reach)
-            for x in range(x, max(x + 1, y - reach), size - reach):
-                score, equal, s, e = smith_waterman(doc[x : min(x + size, y)], item, p)
-                share = score / (p.match * m)
-                if share >= p.threshold and equal >= min(p.min_words, m) and (best is None or share > best[1]):
-                    best = (k, share, equal, x + s, x + e)
+        item, best = block.items[k], None
+        m, reach = len(item.words), p.reach(len(item.words))
+        for x, near in _stretches(doc, at, item, reach):
+            score, equal, s, e = smith_waterman(near, item.words, p)
+            share = score / (p.match * m)
+            if share >= p.threshold and equal >= min(p.min_words, m) and (best is None or share > best[1]):
+                best = (k, share, equal, x + s, x + e)
         if best:
             found.append(best)
     return found
 
 
-def _hits(words: tv.Words, block: Block, p: SeedParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, word position in it and distinct-gram number of every benchmark n-gram in a slice."""
+def _stretches(doc: np.ndarray, at: np.ndarray, item: Item, reach: int) -> Iterator[tuple[int, np.ndarray]]:
+    """First word and words of the stretches around seeds that have as many starts of seeds as an alignment needs."""
+    for lo, hi in _runs(at, 2 * reach):
+        x, y = max(0, at[lo] - reach), min(len(doc), at[hi] + reach)
+        marked = np.zeros(y - x + 1, np.int64)
+        for s in item.steps:
+            g = grams(doc[x:y], s)
+            marked[1 : len(g) + 1] |= np.isin(g, item.gram)
+        before = np.cumsum(marked)
+        near = at[lo : hi + 1]
+        near = near[before[np.minimum(near - x + reach, y - x)] - before[np.maximum(near - x - reach, 0)] >= item.least]
+        size = max(PIECE, 4 * reach)
+        for a, b in _runs(near, reach):
+            u, v = max(0, int(near[a]) - reach), min(len(doc), int(near[b]) + reach)
+            for w in range(u, max(u + 1, v - reach), size - reach):
+                yield w, doc[w : min(w + size, v)]
+
+
+def _runs(at: np.ndarray, far: int) -> Iterator[tuple[int, int]]:
+    """First and last index of runs of ascending places no further apart than `far`."""
+    cut = np.flatnonzero(np.diff(at) > far)
+    return zip([0, *(cut + 1).tolist()], [*cut.tolist(), len(at) - 1], strict=True) if len(at) else iter(())
+
+
+def _hits(words: tv.Words, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, word position in it and distinct-seed number of every seed in a slice."""
     docs, pos, which = [], [], []
-    sizes = sorted({min(p.n, len(w)) for w in block.words})
     doc = words.doc()
-    for n in sizes:
-        g = tv.chain(words.h, n)
-        at, k = block.members.find(g)
-        ok = doc[at] == doc[at + n - 1]
+    for step in block.steps:
+        at, k = block.members.find(grams(words.h, step))
+        ok = doc[at] == doc[at + step]
         docs.append(doc[at[ok]])
         pos.append(at[ok] - words.off[doc[at[ok]]])
         which.append(k[ok])
     return np.concatenate(docs), np.concatenate(pos), np.concatenate(which)
 
 
+def _occurrences(docs: DataFrame, block: Block) -> np.ndarray:
+    """How often each seed of a block stands in the documents; the result is as long as the block's table."""
+    shared = docs.sparkSession.sparkContext.broadcast(block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b = shared.value
+        seen = np.zeros(len(b.members.values), np.int64)
+        for batch in batches:
+            for _, _, words in tv.each(batch.column(0)):
+                seen += np.bincount(_hits(words, b)[2], minlength=len(seen))
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen[at], pa.int64())], names=["seed", "n"])
+
+    rows = docs.select(F.col("text")).mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toArrow()
+    shared.unpersist()
+    seen = np.zeros(len(block.members.values), np.int64)
+    seen[rows.column("seed").to_numpy()] = rows.column("n").to_numpy()
+    return seen
+
+
+def _seeded(docs: DataFrame, benchmark: DataFrame, p: SeedParams) -> Iterator[Block]:
+    """Blocks of the benchmark with the seeds that are rarest in the documents."""
+    for block in blocks(_items(benchmark, p), p):
+        yield rarest(block, _occurrences(docs, block))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, params: SeedParams = SeedParams()) -> DataFrame:
     """doc_id, item_id, score, matched_words, start_word, end_word of every contaminated document and item."""
     spark = docs.sparkSession
     out = None
-    for block in blocks(_items(benchmark, params), params):
+    for block in _seeded(docs, benchmark, params):
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -167,7 +253,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, params: SeedParams = See
                 rows = [(i, *x) for i, x in _found(batch.column(1), b, params)]
                 at = pa.array([x[0] for x in rows], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(at), pa.array([b.ids[x[1]] for x in rows], pa.int64()), pa.array([round(x[2], 6) for x in rows], pa.float64())] + [pa.array([x[c] for x in rows], pa.int64()) for c in (3, 4, 5)],
+                    [batch.column(0).take(at), pa.array([b.items[x[1]].id for x in rows], pa.int64()), pa.array([round(x[2], 6) for x in rows], pa.float64())] + [pa.array([x[c] for x in rows], pa.int64()) for c in (3, 4, 5)],
                     names=["doc_id", "item_id", "score", "matched_words", "start_word", "end_word"],
                 )
 
@@ -180,7 +266,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, params: SeedParams = SeedParams
     """The documents that no item contaminates, all their columns as they are."""
     spark = docs.sparkSession
     at, schema = place_of(docs, "text"), docs.schema
-    for block in blocks(_items(benchmark, params), params):
+    for block in _seeded(docs, benchmark, params):
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -198,7 +284,7 @@ def _found(col: pa.Array, block: Block, p: SeedParams) -> Iterator[tuple[int, tu
     first = np.searchsorted(block.gram, block.members.values)
     many = np.searchsorted(block.gram, block.members.values, side="right") - first
     for a, _, words in tv.each(col):
-        doc, pos, which = _hits(words, block, p)
+        doc, pos, which = _hits(words, block)
         if not len(doc):
             continue
         n = many[which]

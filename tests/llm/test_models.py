@@ -246,22 +246,40 @@ def test_contaminated_equals_all_pairs(spark):
     items = [draw(int(n)) for n in (3, 8, 12, 20, 20, 35, 60)]
     docs = [draw(int(n)) for n in rng.integers(1, 120, 40)]
     for item in items:
+        docs += [draw(20) + [w if i % 3 else "other" for i, w in enumerate(item, 1)] + draw(20), [w for x in item for w in (x, "put")][:-1]]
         for share in (0.0, 0.1, 0.2, 0.3, 0.45):
             held = [w for x in item for w in ([x] if rng.random() > share else [[], ["new"], [x, "more"]][rng.integers(3)])]
             docs.append(draw(20) + held + draw(20))
     got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.contaminated(spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string"), p).collect()}
-    want, unseeded = {}, 0
+    want = {}
     for k, item in enumerate(items):
-        grams = {tuple(item[i : i + p.n]) for i in range(len(item) - p.n + 1)}
         hashed = decontaminate.tv.hash_words(" ".join(item))
         for i, doc in enumerate(docs):
             score, equal, _, _ = decontaminate.smith_waterman(decontaminate.tv.hash_words(" ".join(doc)), hashed, p)
             if score >= p.threshold * p.match * len(item) and equal >= min(p.min_words, len(item)):
-                if sum(tuple(doc[j : j + p.n]) in grams for j in range(len(doc) - p.n + 1)) >= min(p.min_seeds, len(item) - p.n + 1):
-                    want[i, k] = round(score / (p.match * len(item)), 6)
-                else:
-                    unseeded += 1
-    assert got == pytest.approx(want) and len(want) >= 20 and unseeded <= 0.2 * len(want)
+                want[i, k] = round(score / (p.match * len(item)), 6)
+    assert got == pytest.approx(want) and len(want) >= 40
+
+
+def test_rarest_seeds_meet_every_alignment_that_passes():
+    rng, p = np.random.default_rng(12), decontaminate.SeedParams()
+    passed = 0
+    for trial in range(600):
+        item = [f"v{int(x)}" for x in rng.integers(0, 40, rng.integers(1, 30))]
+        block = next(decontaminate.blocks([(0, " ".join(item))], p))
+        rare = decontaminate.rarest(block, rng.integers(0, 50, len(block.members.values)))
+        assert len(rare.gram) <= len(block.gram) and (len(item) < 12 or len(set(rare.gram)) < 0.8 * len(block.gram))
+        share = rng.random() * 0.6
+        held = [w for x in item for w in ([x] if rng.random() > share else [[], ["new"], [x, "more"]][rng.integers(3)])]
+        doc = decontaminate.tv.hash_words(" ".join(["pre"] * int(rng.integers(0, 5)) + held + ["post"]))
+        hits = [decontaminate.grams(doc, s) for s in rare.steps]
+        at = np.unique(np.concatenate([rare.members.find(h)[0] for h in hits]))
+        score, equal, _, _ = decontaminate.smith_waterman(doc, block.items[0].words, p)
+        passes = score >= p.threshold * p.match * len(item) and equal >= min(p.min_words, len(item))
+        passed += passes
+        found = decontaminate.align(doc, {0: at}, rare, p)
+        assert bool(found) == passes and (not passes or found[0][1:3] == (score / (p.match * len(item)), equal))
+    assert passed >= 200
 
 
 def test_items_that_leaked_often_are_found(spark, corpus):
@@ -285,7 +303,7 @@ def test_long_stretches_are_aligned_in_pieces():
         text = (common + ["x"] * 9) * 1000
         text[at : at + 40] = words
         doc = decontaminate.tv.hash_words(" ".join(text))
-        seeds, _ = block.members.find(decontaminate.tv.chain(doc, p.n))
+        seeds, _ = block.members.find(decontaminate.grams(doc, 1))
         assert decontaminate.align(doc, {0: seeds}, block, p) == [(0, 1, 40, at, at + 40)]
 
 
