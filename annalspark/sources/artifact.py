@@ -35,7 +35,8 @@ PART_BYTES = 64 << 20
 _ROWS, _BYTES = 256, 8 << 20
 
 
-def _place(path: str) -> tuple[pafs.FileSystem, str]:
+def place(path: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path of a file that tasks open themselves."""
     if "://" not in path and not path.startswith("file:"):
         return pafs.LocalFileSystem(), path
     return pafs.FileSystem.from_uri(path if "://" in path else "file://" + path[5:])
@@ -45,7 +46,7 @@ class _Bytes:
     """Reads of a file from a place on, without holding more than is asked for."""
 
     def __init__(self, path: str, at: int = 0) -> None:
-        where, name = _place(path)
+        where, name = place(path)
         self.raw = where.open_input_file(name)
         self.end = self.raw.size()
         self.at, self.window, self.base = at, b"", 0
@@ -264,7 +265,7 @@ class Writer(DataSourceArrowWriter):
         self.path = options["path"]
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
-        where, base = _place(self.path)
+        where, base = place(self.path)
         where.create_dir(base, recursive=True)
         made: list[tuple[int, int, int, int, str]] = []
         key, held, table = None, [], []
@@ -314,7 +315,7 @@ class Writer(DataSourceArrowWriter):
                 if first != at:
                     raise NonCanonical("frames are missing or twice")
                 at += n
-        where, base = _place(self.path)
+        where, base = place(self.path)
         where.create_dir(base, recursive=True)
         with where.open_output_stream(f"{base}/manifest.tmp") as out:
             out.write(json.dumps(parts).encode())
@@ -356,7 +357,7 @@ def checked(spark: SparkSession, path: str, magic: bytes) -> None:
 
 def _joined(folder: str, path: str, magic: bytes, version: tuple[int, int, int]) -> bytes:
     """Copies the parts of a manifest into one file, a frame at a time, and gives it its name in the end."""
-    where, base = _place(folder)
+    where, base = place(folder)
     with where.open_input_file(f"{base}/manifest.json") as f:
         parts = json.loads(f.read())
     sections = [[p for p in parts if p[0] == s] for s in (0, 1)]
@@ -384,7 +385,7 @@ def _joined(folder: str, path: str, magic: bytes, version: tuple[int, int, int])
         made.update(piece)
     for codec, raw, stored in each(1):
         made.update(inflated(codec, raw, stored))
-    to, name = _place(path)
+    to, name = place(path)
     mine = f"{name}.{uuid.uuid4().hex}"
     with to.open_output_stream(mine) as out:
         out.write(magic + bytes([FORMAT]) + v + made.digest())
@@ -419,6 +420,6 @@ def write(contents: DataFrame, path: str, magic: bytes, version: tuple[int, int,
                 yield pa.RecordBatch.from_arrays([pa.array([_joined(folder, path, magic, version)], pa.binary())], names=["digest"])
 
     digest = bytes(spark.range(1).coalesce(1).mapInArrow(join, "digest binary").first()[0])
-    where, base = _place(folder)
+    where, base = place(folder)
     where.delete_dir(base)
     return digest

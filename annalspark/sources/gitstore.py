@@ -1,7 +1,8 @@
 """Git object stores: loose objects and packs, references, commits, trees and tags.
 
 Tables: objects (oid, kind, content), commits, tree_entries (tree, name, oid, mode), tags and refs (name, oid, symbolic).
-A loose object is a row, a pack with its delta chains is one row and task.  Every object is hashed again.
+A loose object is a row.  Packs with an index are read in ranges by many tasks (`packs`); a pack without one is one row and
+task, of 2 GB at most.  Every object is hashed again.
 """
 
 from __future__ import annotations
@@ -15,14 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import Rounds
-
-MAX_OBJECT = 1 << 30
-KINDS = {1: "commit", 2: "tree", 3: "blob", 4: "tag"}
-
-
-class Malformed(ValueError):
-    """A store that is not what its format says, or one that is not read."""
-
+from . import packs
+from .gitobjects import KINDS, Malformed, apply_delta, entry_head, loose, object_id
 
 def check_layout(names: set[str], config: str) -> None:
     """Refuses stores whose history is not all there or not what it seems."""
@@ -35,59 +30,6 @@ def check_layout(names: set[str], config: str) -> None:
         raise Malformed("a partial clone is not read")
 
 
-def loose(data: bytes) -> tuple[str, bytes]:
-    raw = zlib.decompress(data)
-    head, _, body = raw.partition(b"\0")
-    kind, _, size = head.partition(b" ")
-    if kind.decode() not in KINDS.values() or int(size) != len(body):
-        raise Malformed("not a loose object")
-    return kind.decode(), body
-
-
-def object_id(kind: str, body: bytes) -> bytes:
-    return hashlib.sha1(f"{kind} {len(body)}\0".encode() + body).digest()
-
-
-def _varint(data: bytes, at: int) -> tuple[int, int]:
-    n = shift = 0
-    while True:
-        b, at = data[at], at + 1
-        n |= (b & 127) << shift
-        shift += 7
-        if b < 128:
-            return n, at
-
-
-def apply_delta(base: bytes, delta: bytes) -> bytes:
-    want, at = _varint(delta, 0)
-    size, at = _varint(delta, at)
-    if want != len(base) or size > MAX_OBJECT:
-        raise Malformed("a delta for another base")
-    out = bytearray()
-    while at < len(delta):
-        op, at = delta[at], at + 1
-        if op & 128:
-            start = length = 0
-            for i in range(4):
-                if op >> i & 1:
-                    start, at = start | delta[at] << 8 * i, at + 1
-            for i in range(3):
-                if op >> 4 + i & 1:
-                    length, at = length | delta[at] << 8 * i, at + 1
-            length = length or 0x10000
-            if start + length > len(base):
-                raise Malformed("a copy outside the base")
-            out += base[start : start + length]
-        elif op:
-            out += delta[at : at + op]
-            at += op
-        else:
-            raise Malformed("an unknown instruction")
-    if len(out) != size:
-        raise Malformed("a delta makes another size than it says")
-    return bytes(out)
-
-
 def pack(data: bytes) -> Iterator[tuple[str, bytes]]:
     """(kind, content) of every object of a pack whose deltas have their bases in it."""
     if data[:4] != b"PACK" or int.from_bytes(data[4:8]) not in (2, 3) or hashlib.sha1(data[:-20]).digest() != data[-20:]:
@@ -98,23 +40,8 @@ def pack(data: bytes) -> Iterator[tuple[str, bytes]]:
     waiting: list[tuple[int, object, bytes]] = []
     body = memoryview(data)[:-20]
     for _ in range(count):
-        start, b = at, data[at]
-        at += 1
-        kind, size, shift = b >> 4 & 7, b & 15, 4
-        while b & 128:
-            b, at = data[at], at + 1
-            size |= (b & 127) << shift
-            shift += 7
-        base: object = None
-        if kind == 6:
-            b, at = data[at], at + 1
-            back = b & 127
-            while b & 128:
-                b, at = data[at], at + 1
-                back = (back + 1) << 7 | b & 127
-            base = start - back
-        elif kind == 7:
-            base, at = bytes(data[at : at + 20]), at + 20
+        start = at
+        kind, size, base, at = entry_head(data, start, start)
         d = zlib.decompressobj()
         content = d.decompress(body[at:], size + 1)
         if len(content) != size:
@@ -125,10 +52,8 @@ def pack(data: bytes) -> Iterator[tuple[str, bytes]]:
         if kind in KINDS:
             done[start] = (KINDS[kind], content)
             by_id[object_id(KINDS[kind], content)] = start
-        elif kind in (6, 7):
-            waiting.append((start, base, content))
         else:
-            raise Malformed("an unknown object kind")
+            waiting.append((start, base, content))
     while waiting:
         left = []
         for start, base, delta in waiting:
@@ -196,11 +121,28 @@ def read(spark: SparkSession, git_dir: str) -> dict[str, DataFrame]:
                     rows = [(oid, kind, content)]
                 yield pd.DataFrame(rows, columns=["oid", "kind", "content"])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(git_dir).select("path", "content")
-    marks = files.filter(F.col("path").rlike("/(config|shallow|info/grafts|objects/info/alternates)$")).select(F.regexp_extract("path", "/(config|shallow|info/grafts|objects/info/alternates)$", 1).alias("name"), F.decode("content", "UTF-8").alias("text")).collect()  # four files
+    def of(glob: str) -> DataFrame:
+        return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(git_dir).select("path", "length", "content")
+
+    marks = of("{config,shallow,grafts,alternates}").filter(F.col("path").rlike("/(config|shallow|info/grafts|objects/info/alternates)$")).select(F.regexp_extract("path", "/(config|shallow|info/grafts|objects/info/alternates)$", 1).alias("name"), F.decode("content", "UTF-8").alias("text")).collect()  # four files
     check_layout({r["name"] for r in marks if r["text"].strip()}, "\n".join(r["text"] for r in marks if r["name"] == "config"))
-    stored = files.filter(F.col("path").rlike(r"/objects/([0-9a-f]{2}/[0-9a-f]{38}|pack/pack-[0-9a-f]+\.pack)$"))
-    objects = stored.mapInPandas(run, "oid binary, kind string, content binary").dropDuplicates(["oid"])
+    singles = of("[0-9a-f]" * 38).filter(F.col("path").rlike("/objects/[0-9a-f]{2}/[0-9a-f]{38}$"))
+    indexes = of("*.idx").filter(F.col("path").rlike(r"/objects/pack/pack-[0-9a-f]+\.idx$"))
+    whole = of("*.pack").filter(F.col("path").rlike(r"/objects/pack/pack-[0-9a-f]+\.pack$"))
+    stems = {r[0].removesuffix(".idx") for r in indexes.select("path").collect()}  # names of files, as Spark lists them anyway
+    sizes = {r["path"]: r["length"] for r in whole.select("path", "length").collect()}
+    bare = [p for p in sizes if p.removesuffix(".pack") not in stems]
+    if any(sizes[p] >= 1 << 31 for p in bare):
+        raise Malformed("a pack of 2 GB or more needs its index")
+    if stems - {p.removesuffix(".pack") for p in sizes}:
+        raise Malformed("an index without its pack")
+    objects = singles.select("path", "content").mapInPandas(run, "oid binary, kind string, content binary")
+    if stems:
+        names = singles.select(F.unhex(F.regexp_replace(F.regexp_extract("path", "([0-9a-f]{2}/[0-9a-f]{38})$", 1), "/", "")).alias("oid"), "path")
+        objects = objects.unionAll(packs.objects(spark, indexes, [p for p in sizes if p not in bare], names))
+    if bare:
+        one_by_one = spark.read.format("binaryFile").load(bare).select("path", "content")
+        objects = objects.unionAll(one_by_one.mapInPandas(run, "oid binary, kind string, content binary")).dropDuplicates(["oid"])
 
     def commit_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -226,8 +168,9 @@ def read(spark: SparkSession, git_dir: str) -> dict[str, DataFrame]:
             yield pd.DataFrame(rows, columns=["oid", "target", "target_kind", "name", "message"])
 
     text = F.decode("content", "UTF-8")
+    files = of("*").filter("length < 4096")  # the limit reaches the scan, so that no large file is opened
     single = files.filter(F.col("path").rlike(r"/(refs/.*|HEAD)$") & ~F.col("path").contains("/logs/")).select(F.regexp_extract("path", r"/(refs/.*|HEAD)$", 1).alias("name"), F.trim(F.regexp_replace(text, r"\s+$", "")).alias("value"), F.lit(1).alias("rank"))
-    packed = files.filter(F.col("path").endswith("/packed-refs")).select(F.explode(F.split(text, "\n")).alias("line")).filter(F.col("line").rlike("^[0-9a-f]{40} ")).select(F.substring("line", 42, 4096).alias("name"), F.substring("line", 1, 40).alias("value"), F.lit(2).alias("rank"))
+    packed = of("packed-refs").select(F.explode(F.split(text, "\n")).alias("line")).filter(F.col("line").rlike("^[0-9a-f]{40} ")).select(F.substring("line", 42, 4096).alias("name"), F.substring("line", 1, 40).alias("value"), F.lit(2).alias("rank"))
     refs = single.unionAll(packed).groupBy("name").agg(F.min_by("value", "rank").alias("value"))
     refs = refs.select("name", F.when(F.col("value").rlike("^[0-9a-f]{40}$"), F.unhex("value")).alias("oid"), F.when(F.startswith("value", F.lit("ref: ")), F.substring("value", 6, 4096)).alias("symbolic"))
     return {
