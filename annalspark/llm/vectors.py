@@ -14,7 +14,8 @@
 4. Recall is audited: a bounded number of queries is compared with all points by brute force.  Only links between
    different points count, one each: no query finds itself, and copies of a vector are one point.  Queries are drawn
    until enough of them have such links, or the bound is reached.  Below `recall` the beam and the probes are doubled
-   and the search repeated; if the last round is below `least_recall`, the call fails.  `last_audit` holds the figures.
+   and the search repeated; if the last round is below `least_recall`, the call fails.  `last_audit` holds the figures;
+   its recall is None, unmeasured, where no query that was drawn has a link.
 
 What even two levels of centroids cannot cut (very many vectors close to each other) is cut into pieces by hash that all
 its queries visit, so a task's memory is bounded whatever the clustering.
@@ -63,7 +64,7 @@ class GraphParams:
     rounds: int = 3
 
 
-last_audit: dict[str, float] = {}
+last_audit: dict[str, float | None] = {}
 
 
 def unit(raw: np.ndarray) -> np.ndarray:
@@ -223,11 +224,11 @@ def _of_length(usable: DataFrame, dim: int, params: GraphParams, stages: Stages)
     for k in range(params.rounds):
         links, edges = _search_all(points, c, dim, n, p, stages)
         share = _audit(points, links, dim, n, p)
-        if share >= p.recall:
+        if share is None or share >= p.recall:
             break
         if k + 1 < params.rounds:
             p = replace(p, beam=2 * p.beam, probes=2 * p.probes, overlap=2 * p.overlap)
-    if share < params.least_recall:
+    if share is not None and share < params.least_recall:
         raise RuntimeError(f"the audited recall of vectors of length {dim} stays at {share:.3f}, below {params.least_recall}: {last_audit}")
     labels = components(edges, stages, f"components-{dim}")
     named = points.join(links, "point", "left").join(labels.withColumnRenamed("node", "point"), "point", "left")
@@ -349,8 +350,8 @@ def _search_all(points: DataFrame, c: np.ndarray, dim: int, n: int, p: GraphPara
     return both.filter("kind = 0").groupBy(F.col("a").alias("point")).agg(F.sum("b").alias("links"), F.sum("c").alias("others")), both.filter("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def _audit(points: DataFrame, links: DataFrame, dim: int, n: int, p: GraphParams) -> float:
-    """Share of the true links of some queries that were found; those queries against all points, by brute force.
+def _audit(points: DataFrame, links: DataFrame, dim: int, n: int, p: GraphParams) -> float | None:
+    """Share of the true links of some queries that were found, None where they have none; by brute force over all points.
 
     A link is a different point within range, whatever its copies; the query itself is none.
     """
@@ -379,6 +380,6 @@ def _audit(points: DataFrame, links: DataFrame, dim: int, n: int, p: GraphParams
             break
         most = min(4 * most, p.audit_most)
     got = np.minimum(np.array([r["others"] for r in asked]), truth)
-    share = float(got.sum() / truth.sum()) if truth.sum() else 1.0
+    share = float(got.sum() / truth.sum()) if truth.sum() else None
     last_audit.update(dim=dim, queries=len(q), with_links=int((truth > 0).sum()), links=int(truth.sum()), recall=share, beam=p.beam, probes=p.probes)
     return share

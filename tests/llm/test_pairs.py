@@ -171,6 +171,13 @@ def test_vectors_recall_of_planted_links(spark):
         assert audit["links"] > 100 and audit["recall"] >= 0.95 and audit["with_links"] < audit["queries"]
 
 
+def test_recall_without_links_is_unmeasured(spark):
+    rows = [(i, [float(i == k) for k in range(12)]) for i in range(12)]
+    got = vectors.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), vectors.GraphParams())
+    assert all(r["n_links"] == 0 and r["component_id"] == r["vec_id"] for r in got.collect())
+    assert vectors.last_audit["recall"] is None and vectors.last_audit["links"] == 0 and vectors.last_audit["queries"] == 12
+
+
 def test_a_search_that_misses_fails(spark):
     rng = np.random.default_rng(7)
     rows = [(b + rng.normal(size=24) * 0.2).tolist() for b in rng.normal(size=(150, 24)) for _ in range(6)]
