@@ -36,41 +36,102 @@ def _opening(rev: Column) -> Column:
     return F.shiftleft(rev.cast("long"), _BITS)
 
 
+def _next(asks: DataFrame, marks: DataFrame, key: str) -> DataFrame:
+    """asks (key, at, ...) with next: the first mark (key, at) behind the place, if any; both are one sorted line a key."""
+    line = W.partitionBy(key).orderBy("_at", "_ask").rowsBetween(W.unboundedPreceding, W.currentRow)
+    held = F.struct(*asks.columns)
+    near = marks.select(key, (-F.col("at")).alias("_at"), F.lit(0).alias("_ask"), F.lit(None).cast(asks.select(held.alias("h")).schema["h"].dataType).alias("_held"))
+    both = near.unionAll(asks.select(key, (-F.col("at") - 1).alias("_at"), F.lit(1).alias("_ask"), held))
+    return both.withColumn("next", -F.max(F.when(F.col("_ask") == 0, F.col("_at"))).over(line)).filter("_ask = 1").select("_held.*", "next")
+
+
 def _ended(sets: DataFrame, marks: DataFrame, kills: DataFrame) -> DataFrame:
     """sets (path, at, ...) with until: the next mark (path, at) of the path, or removal (path, at) of a folder above, if any."""
-    line = W.partitionBy("path").orderBy("_at", "_ask").rowsBetween(W.unboundedPreceding, W.currentRow)
-    near = marks.join(sets.select("path").distinct(), "path", "left_semi").select("path", (-F.col("at")).alias("_at"), F.lit(0).alias("_ask"), F.lit(None).cast("long").alias("at"))
-    both = near.unionAll(sets.select("path", (-F.col("at") - 1).alias("_at"), F.lit(1).alias("_ask"), "at").distinct())
-    own = both.withColumn("next", -F.max(F.when(F.col("_ask") == 0, F.col("_at"))).over(line)).filter("_ask = 1").select("path", "at", "next")
-    above = kills.groupBy(F.col("path").alias("_folder")).agg(F.collect_set("at").alias("_kills"))
-    folders = sets.select("path", "at").distinct().withColumn("_folder", F.explode(ancestors("path"))).filter("_folder <> path")
-    lost = folders.join(above, "_folder").select("path", "at", F.array_min(F.filter("_kills", lambda k: k > F.col("at"))).alias("lost")).groupBy("path", "at").agg(F.min("lost").alias("lost"))
-    return sets.join(own, ["path", "at"]).join(lost, ["path", "at"], "left").withColumn("until", F.least("next", "lost")).drop("next", "lost")
+    own = _next(sets, marks, "path")
+    folders = sets.select("path", "at", F.explode(ancestors("path")).alias("_folder")).filter("_folder <> path")
+    above = written(kills.withColumnRenamed("path", "_folder").join(folders.select("_folder").distinct(), "_folder", "left_semi"), "removed-folders")
+    if above.isEmpty():
+        return own.withColumnRenamed("next", "until")
+    asks = folders.join(above.select("_folder").distinct(), "_folder", "left_semi").distinct()
+    lost = _next(asks, above, "_folder").groupBy("path", "at").agg(F.min("next").alias("lost"))
+    return own.join(lost, ["path", "at"], "left").withColumn("until", F.least("next", "lost")).drop("next", "lost")
+
+
+#: Bits of a revision number that the smallest stretch of revisions spans, and that each greater one spans more.
+_STRETCH, _STEP = 9, 4
+
+
+def _copied(lived: DataFrame, copies: DataFrame, last: int) -> DataFrame:
+    """Each copy (to, copied_at, _folder, rev) with each life below its source at the end of its revision, as lives of files.
+
+    A life is cut into stretches of revisions, the longest that fit: whole ones hold all copies that fall into them, and
+    only the two at its ends are looked through.  A life meets a copy in one stretch, so that no pair is made in vain but
+    at the ends, however long lives are and however many copies a folder has.  last: the greatest revision of the copies.
+    """
+    depth = max(1, -(-(last.bit_length() - _STRETCH) // _STEP))
+    whole = F.array().cast("array<bigint>")
+    run = lambda lo, hi: F.when(lo < hi, F.sequence(lo, hi - 1)).otherwise(whole)
+    of = lambda level, blocks, end: F.transform(blocks, lambda b: F.struct(F.lit(level).alias("level"), b.alias("block"), F.lit(end).alias("end")))
+    below = lived.select("path", "event", _rev(F.col("at")).alias("since"), F.least(_rev(F.col("until")), F.lit(last + 1)).alias("till"), F.explode(ancestors("path")).alias("_folder"))
+    below = below.filter("_folder <> path and since < till").join(copies.select("_folder").distinct(), "_folder", "left_semi")
+    first, final = F.shiftright("since", _STRETCH), F.shiftright(F.col("till") - 1, _STRETCH)
+    parts = [of(0, F.array_distinct(F.array(first, final)), True)]
+    lo = lambda k: F.shiftright(first + (1 << _STEP * k), _STEP * k)  # noqa: E731  of the whole stretches behind the first one
+    hi = lambda k: F.shiftright(final, _STEP * k)
+    for k in range(depth):
+        more = lo(k + 1) < hi(k + 1) if k + 1 < depth else F.lit(False)
+        up, down = F.shiftleft(lo(k + 1), _STEP), F.shiftleft(hi(k + 1), _STEP)
+        parts.append(of(k, F.when(more, F.concat(run(lo(k), up), run(down, hi(k)))).otherwise(run(lo(k), hi(k))), False))
+    cut = below.withColumn("_s", F.explode(F.concat(*parts))).select("_folder", "_s.*", "path", "event", "since", "till")
+    levels = F.explode(F.array(*(F.struct(F.lit(k).alias("level"), F.shiftright("rev", _STRETCH + _STEP * k).alias("block")) for k in range(depth)))).alias("_s")
+    met = cut.join(copies.select("_folder", "to", "copied_at", "rev", levels).select("_folder", "_s.*", "to", "copied_at", "rev"), ["_folder", "level", "block"]).filter("not end or (since <= rev and rev < till)")
+    to = F.concat("to", F.expr("substring(path, length(_folder) + 1)"))
+    return met.select(to.alias("path"), F.col("copied_at").alias("at"), "event", F.lit(True).alias("fresh"), F.col("path").alias("source"), F.col("rev").alias("source_rev"))
+
+
+def _open(copies: DataFrame, marks: DataFrame, kills: DataFrame) -> DataFrame:
+    """copied_at, to of the copies whose files may end or be copied again: a mark at or below `to` or a removal above it
+    comes later, or another copy has its source there, above or below."""
+    held = copies.select("to", "copied_at", F.explode(ancestors("to")).alias("_folder"))
+    later = F.col("last") > F.col("copied_at")
+    last = lambda df, c: df.groupBy(c.alias("_folder")).agg(F.max("at").alias("last"))
+    below = last(marks.select(F.explode(ancestors("path")).alias("path"), "at"), F.col("path"))
+    marked = held.filter("_folder = to").join(below, "_folder").filter(later)
+    lost = held.filter("_folder <> to").join(last(kills, F.col("path")), "_folder").filter(later)
+    sources = copies.select(F.col("_folder").alias("path")).distinct()
+    inside = held.join(sources.select(F.col("path").alias("_folder")), "_folder", "left_semi")
+    around = held.filter("_folder = to").join(sources.select(F.explode(ancestors("path")).alias("_folder")).distinct(), "_folder", "left_semi")
+    parts = [df.select("to", "copied_at") for df in (marked, lost, inside, around)]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3]).distinct()
 
 
 def lives(nodes: DataFrame) -> DataFrame:
     """path, at, until (null while it lives), event (the record with its text), fresh (added, replaced or copied), source, source_rev.
 
-    nodes: revision, ord, path, kind, action, copyfrom_rev, copyfrom_path.
+    nodes: revision, ord, path, kind, action, copyfrom_rev, copyfrom_path.  Files of copies that nothing touches later,
+    tags above all, go straight into the result; the others are ended and looked through for copies of copies.
     """
     rounds = Rounds(nodes.sparkSession, "lives")
     at = (_opening(F.col("revision")) + F.col("ord")).alias("at")
     rows = written(nodes.select("path", at, "kind", "action", F.col("copyfrom_rev").cast("long").alias("source_rev"), F.col("copyfrom_path").alias("source")), "records")
-    kills = written(rows.filter("action in ('delete', 'replace')").select("path", "at"), "removals")
+    kills = rows.filter("action in ('delete', 'replace')").select("path", "at")
     sets = rows.filter("kind = 'file' and action <> 'delete'").select("path", "at", F.col("at").alias("event"), F.col("action").isin("add", "replace").alias("fresh"), "source", "source_rev")
-    marks = written(sets.select("path", "at").unionAll(kills).distinct(), "marks")
+    marks = rows.filter("action in ('delete', 'replace') or kind = 'file'").select("path", "at")
     copies = rows.filter("coalesce(kind, 'dir') <> 'file' and action <> 'delete' and source is not null").select(F.col("path").alias("to"), F.col("at").alias("copied_at"), F.col("source").alias("_folder"), F.col("source_rev").alias("rev"))
-    copies = written(copies.withColumn("end", _opening(F.col("rev") + 1)), "folder-copies")
+    copies = written(copies, "folder-copies")
     wave = rounds.write(_ended(sets, marks, kills))
-    found = wave
+    found, last = wave, copies.agg(F.max("rev")).first()[0]
+    if last is None:
+        return found
+    open_ = written(_open(copies, marks, kills), "open-copies")
+    shut = written(copies.join(open_, ["to", "copied_at"], "left_anti"), "shut-copies")
+    copies = written(copies.join(open_, ["to", "copied_at"], "left_semi"), "open-copies")
     while True:
-        below = wave.select("path", "at", "until", "event", F.explode(ancestors("path")).alias("_folder")).filter("_folder <> path")
-        met = below.join(copies, "_folder").filter("at < end and (until is null or until >= end)")
-        to = F.concat("to", F.expr("substring(path, length(_folder) + 1)"))
-        new = rounds.write(met.select(to.alias("path"), F.col("copied_at").alias("at"), "event", F.lit(True).alias("fresh"), F.col("path").alias("source"), F.col("rev").alias("source_rev")))
+        found = found.unionByName(_copied(wave, shut, last).withColumn("until", F.lit(None).cast("long")))
+        new = rounds.write(_copied(wave, copies, last))
         if new.isEmpty():
             return found
-        wave = rounds.write(_ended(new, marks, kills))
+        wave = rounds.write(_ended(new, marks.join(new.select("path").distinct(), "path", "left_semi"), kills))
         found = found.unionByName(wave)
 
 

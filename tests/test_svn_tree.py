@@ -186,3 +186,30 @@ def test_the_stream_that_was_refused_decodes(spark, tmp_path):
     h = decode(spark, "svn", str(tmp_path / "s.dump"))
     assert {(r["path"], r["op"]) for r in h.ops.collect()} == {("trunk/f", "Add"), ("branches/b/f", "Add"), ("trunk/g", "Add")}
     assert {(r["from"], r["to"]) for r in h.copies.collect()} == {("trunk/f", "branches/b/f"), ("branches/b/f", "trunk/g")}
+
+
+def test_copied_lives_equal_all_pairs_and_are_not_paired_in_vain(spark):
+    """Lives of any length, from one revision to all of them, against copies of their folders."""
+    from annalspark.sources.svntree import _copied
+
+    draw = random.Random(7)
+    lived, copies = [], []
+    for k in range(400):
+        since = draw.randrange(200_000)
+        till = draw.choice([None, since, since + 1, since + draw.randrange(1, 2000), since + draw.randrange(1, 300_000)])
+        lived.append((f"t{k % 3}/s/f{k}", (since << 24) + k % 5, None if till is None else (till << 24) + 7, k))
+    for k in range(150):
+        copies.append((f"tags/{k}", (300_000 + k) << 24, draw.choice(["t0", "t1", "t1/s", "t", "t2/s/f2"]), draw.choice([0, 511, 512, 65_535, draw.randrange(250_000)])))
+    found = _copied(spark.createDataFrame(lived, "path string, at long, until long, event long"), spark.createDataFrame(copies, "to string, copied_at long, _folder string, rev long"), max(c[3] for c in copies))
+    want = [(to + path[len(folder):], at, event) for to, at, folder, rev in copies for path, since, until, event in lived if path.startswith(folder + "/") and since < (rev + 1) << 24 and (until is None or until >= (rev + 1) << 24)]
+    assert sorted(map(tuple, found.select("path", "at", "event").collect())) == sorted(want) and want
+
+
+def test_only_copies_that_are_touched_again_are_followed(spark):
+    """A tag that nothing touches is not written and ended again; one that is changed, lost or copied on is."""
+    from annalspark.sources.svntree import _open
+
+    copies = spark.createDataFrame([("tags/a", 5 << 24, "trunk", 4), ("tags/b", 6 << 24, "trunk", 4), ("x/c", 7 << 24, "trunk", 4), ("y/d", 8 << 24, "tags/e", 4), ("tags/e", 9 << 24, "trunk", 4)], "to string, copied_at long, _folder string, rev long")
+    marks = spark.createDataFrame([("tags/b/f", 10 << 24), ("tags/a/f", 4 << 24), ("x", 11 << 24)], "path string, at long")
+    kills = marks.filter("path = 'x'")
+    assert sorted(r["to"] for r in _open(copies, marks, kills).collect()) == ["tags/b", "tags/e", "x/c"]
