@@ -203,26 +203,31 @@ def topological_order(nodes: DataFrame, groups: str | None = None) -> DataFrame:
 def remapped_parents(parents: DataFrame, removed: DataFrame) -> DataFrame:
     """node, parents: parents in order, removed ones replaced by their own (transitively), each kept once.
 
-    parents: node, pos, parent.  Rounds substitute removed parents until none is left.  Of several ways to one parent
-    the first in order counts, and only that one is followed, so merges cost no more than their edges; a cycle of
-    removed nodes raises an error.
+    parents: node, pos, parent.  Rounds substitute removed parents until none is left, and hold only the edges that led
+    to one; all others are read once, with the result.  Of several ways to one parent the first in order counts, and
+    only that one is followed, so merges cost no more than their edges; a cycle of removed nodes raises an error.
     """
     rounds = Rounds(parents.sparkSession, "parents")
     first = lambda df: df.groupBy("node", "parent").agg(F.min("way").alias("way"))
-    gone = removed.select(F.col("node").alias("parent"), F.lit(True).alias("gone")).distinct()
-    own = parents.join(removed.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("parent"), F.col("pos").cast("int").alias("step"), F.col("parent").alias("next"))
-    now = rounds.write(first(parents.select("node", F.array(F.col("pos").cast("int")).alias("way"), "parent")).join(gone, "parent", "left"))
-    limit = removed.count()
-    for _ in range(limit + 1):
+    removed = written(removed.select("node").distinct(), "removed")
+    gone = removed.select(F.col("node").alias("parent"))
+    own = parents.join(removed, "node", "left_semi").select(F.col("node").alias("parent"), F.col("pos").cast("int").alias("step"), F.col("parent").alias("next")).filter("next is not null")
+    way = F.array(F.col("pos").cast("int")).alias("way")
+    now = rounds.write(first(parents.join(gone, "parent", "left_semi").select("node", way, "parent")).withColumn("gone", F.lit(True)))
+    settled = parents.join(gone, "parent", "left_anti").select("node", way, "parent")
+    if not now.isEmpty():
+        own = written(own, "removed-parents")
+    for _ in range(removed.count() + 1):
         if now.filter("gone").isEmpty():
             break
-        moved = now.filter("gone").join(own, "parent").filter("next is not null").select("node", F.concat("way", F.array("step")).alias("way"), F.col("next").alias("parent"))
-        now = rounds.write(first(now.filter("gone is null").select("node", "way", "parent").unionAll(moved)).join(gone, "parent", "left"))
-        rounds.keep_last(1)
+        moved = now.filter("gone").join(own, "parent").select("node", F.concat("way", F.array("step")).alias("way"), F.col("next").alias("parent"))
+        now = rounds.write(first(moved).join(gone.withColumn("gone", F.lit(True)), "parent", "left").select("node", "parent", "way", "gone"))
+        settled = settled.unionAll(now.filter("gone is null").select("node", "way", "parent"))
     else:
         raise ValueError("the removed revisions have a cycle")
-    kept = now.select("node", "way", "parent").join(removed.select("node"), "node", "left_anti")
-    return kept.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("way", "parent"))), lambda x: x["parent"]).alias("parents"))
+    ways = settled.join(removed, "node", "left_anti").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("way", "parent"))).alias("ways"))
+    names = F.transform("ways", lambda x: x["parent"])
+    return ways.select("node", F.array_distinct(names).alias("parents"))
 
 
 def branch_waves(wants: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..storage import written
+
 
 def remap(rows: DataFrame, lines: DataFrame, parts: dict[str, tuple[str, str]]) -> DataFrame:
     """rows with their parts replaced where all old parts match exactly (null equals null); the first line wins.
@@ -76,6 +78,7 @@ class Edit:
         if not spark.range(1).select(is_transform_name(F.lit(name)).alias("ok")).first()[0]:
             raise ValueError(f"not a transform name: {name}")
         self.input, self.out, self.name, self.version, self.params = history, history, name, version, dict(params or {})
+        self.drops = []  # the records of this edit, one table a call
         self.step = int(history.transforms.agg(F.coalesce(F.max("step"), F.lit(0))).first()[0]) + 1
         if self.step > 64:
             raise ValueError("a history carries at most 64 transforms")
@@ -109,19 +112,20 @@ class Edit:
         self.out = self.out.replace(ops=self.out.ops.withColumn(part, F.when(where, value).otherwise(F.col(part))))
         return self
 
-    def _dropped(self, what: DataFrame, reason: str) -> None:
-        rows = what.select(F.lit("transform").alias("class"), "what", F.lit(reason).alias("reason"), F.lit(self.step).alias("step"))
+    def _dropped(self, kind: str, name: Column, of: DataFrame, reason: str) -> None:
+        rows = of.select(F.lit("transform").alias("class"), F.concat(F.lit(f"{kind} "), name).alias("what"), F.lit(reason).alias("reason"), F.lit(self.step).alias("step"))
+        self.drops.append((kind, rows))
         self.out = self.out.replace(drops=self.out.drops.unionByName(rows))
 
     def remove_ops(self, where, reason: str) -> Edit:
         gone = self.out.ops.filter(where)
-        self._dropped(gone.select(F.concat(F.lit("op "), F.lower(F.hex("atom_id")), F.lit(" "), F.col("path")).alias("what")), reason)
+        self._dropped("op", F.concat(F.lower(F.hex("atom_id")), F.lit(" "), F.col("path")), gone, reason)
         self.out = self.out.replace(ops=self.out.ops.filter(~F.coalesce(where, F.lit(False))))
         return self
 
     def remove_copies(self, where, reason: str) -> Edit:
         gone = self.out.copies.filter(where)
-        self._dropped(gone.select(F.concat(F.lit("copy "), F.lower(F.hex("atom_id")), F.lit(" "), F.col("to")).alias("what")), reason)
+        self._dropped("copy", F.concat(F.lower(F.hex("atom_id")), F.lit(" "), F.col("to")), gone, reason)
         self.out = self.out.replace(copies=self.out.copies.filter(~F.coalesce(where, F.lit(False))))
         return self
 
@@ -130,7 +134,8 @@ class Edit:
         from .graph import remapped_parents
 
         gone = self.out.atoms.filter(where).select("atom_id")
-        self._dropped(gone.select(F.concat(F.lit("atom "), F.lower(F.hex("atom_id"))).alias("what")), reason)
+        gone = written(gone, "removed-atoms")
+        self._dropped("atom", F.lower(F.hex("atom_id")), gone, reason)
         edges = self.out.parents.select(F.col("atom_id").alias("node"), "pos", F.col("parent_id").alias("parent"))
         kept = remapped_parents(edges, gone.select(F.col("atom_id").alias("node")))
         parents = kept.select(F.col("node").alias("atom_id"), F.posexplode("parents").alias("pos", "parent_id"))
@@ -150,7 +155,7 @@ class Edit:
 
     def remove_ref(self, kind: str, name: str, reason: str) -> Edit:
         hit = (F.col("kind") == kind) & (F.col("name") == name)
-        self._dropped(self.out.refs.filter(hit).select(F.concat(F.lit("ref "), "kind", F.lit(" "), "name").alias("what")), reason)
+        self._dropped("ref", F.concat("kind", F.lit(" "), "name"), self.out.refs.filter(hit), reason)
         self.out = self.out.replace(refs=self.out.refs.filter(~hit))
         return self
 
@@ -163,7 +168,11 @@ class Edit:
         after = self.out.atoms
         if "changed" not in after.columns:
             after = after.withColumn("changed", F.array().cast("array<string>"))
-        gone = self.out.drops.filter((F.col("step") == self.step) & F.startswith("what", F.lit("atom "))).select(F.unhex(F.substring("what", 6, 64)).alias("node"))
+        # only records of atoms are read: those of ops and copies name no revision that is gone, and cost a pass over all ops
+        gone = before.select("node").limit(0)
+        for kind, rows in self.drops:
+            if kind == "atom":
+                gone = gone.unionAll(rows.select(F.unhex(F.substring("what", 6, 64)).alias("node")))
         wrong = changed_part_violations(before, after.select(F.col("atom_id").alias("node"), "changed", *parts), parts, gone)
         found = wrong.limit(5).collect()
         if found:

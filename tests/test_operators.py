@@ -203,3 +203,22 @@ def test_edits_are_recorded(spark, small):
         silent.finish()
     assert transform.register("transform", "id", lambda h: h) and not transform.register("transform", "id", lambda h: h)
     assert transform.run("transform", "id", small) is small and transform.listed("transform") == ["id"]
+
+
+def test_rounds_of_removed_parents_hold_only_their_edges(spark, monkeypatch):
+    """Edges that lead to no removed revision are not written round after round."""
+    from annalspark import storage
+
+    written_rows, write = [], storage.Rounds.write
+
+    def counted(self, df):
+        out = write(self, df)
+        written_rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(storage.Rounds, "write", counted)
+    parents = spark.createDataFrame([(n, 0, n - 1) for n in range(1, 500)] + [(7, 1, 300), (9, 1, None)], "node long, pos int, parent long")
+    kept = graph.remapped_parents(parents, spark.createDataFrame([(5,), (6,), (300,)], "node long"))
+    found = {r["node"]: r["parents"] for r in kept.collect()}
+    assert found[7] == [4, 299] and found[301] == [299] and found[9] == [8, None] and found[8] == [7]
+    assert len(found) == 496 and max(written_rows) < 10
