@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.scalars import machine_value
+from .frames import running
 
 
 def fidelity(atoms: DataFrame, ops: DataFrame, copies: DataFrame, refs: DataFrame, drops: DataFrame, flags: DataFrame, blobs: DataFrame) -> DataFrame:
@@ -57,7 +58,7 @@ def tree_sizes(ops: DataFrame, idx: str = "atom_idx") -> DataFrame:
     was = F.coalesce(F.lag("live").over(W.partitionBy("path").orderBy(idx)), F.lit(False))
     steps = ops.withColumn("live", F.col("op") != "Delete").withColumn("d", F.when(F.col("live") & ~was, 1).when(~F.col("live") & was, -1).otherwise(0))
     per = steps.groupBy(idx).agg(F.sum("d").alias("d"))
-    return per.select(idx, F.sum("d").over(W.orderBy(idx)).alias("size"))
+    return running(per, [idx], _before=F.col("d")).select(idx, (F.col("_before") + F.col("d")).alias("size"))
 
 
 def machine_lines(report: DataFrame) -> DataFrame:
