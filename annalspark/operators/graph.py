@@ -11,8 +11,10 @@ a lost executor costs one round.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -163,41 +165,82 @@ def exclusive_count(parents: DataFrame | Lines, dropped_tips: DataFrame, carried
     return exclusive(parents, dropped_tips, carried_tips).count()
 
 
-def topological_order(nodes: DataFrame, groups: str | None = None) -> DataFrame:
-    """node, position: the smallest order by (source, node) that has parents first.
+_PLACES = "key long, rank long, position long"
+
 
-    nodes: node, source, parents (array).  Parents outside count as met.  The order is sequential by definition, so a
-    group (repository) is one task over narrow rows; a cycle raises an error.
+def _heap_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Places of ranks in the smallest order that has parents first, a group (key) after another.
+
+    Rows key, parent, child come sorted; a group's first one has parent -1 and its number of nodes as child.  A group is
+    held as flat arrays of numbers: what each node waits for, and its children.
     """
-    key = groups or "one"
-    kind = nodes.schema["node"].dataType.simpleString()
-
-    def order(pdf: pd.DataFrame) -> pd.DataFrame:
-        inside = {n: i for i, n in enumerate(pdf["node"])}
-        source, name = list(pdf["source"]), list(pdf["node"])
-        waits, children = [0] * len(name), [[] for _ in name]
-        for i, ps in enumerate(pdf["parents"]):
-            for p in [] if ps is None else ps:
-                if p in inside:
-                    waits[i] += 1
-                    children[inside[p]].append(i)
-        ready = [(source[i], name[i], i) for i in range(len(name)) if not waits[i]]
-        heapq.heapify(ready)
-        out = []
-        while ready:
-            i = heapq.heappop(ready)[2]
+    key, n, parents, children = None, 0, [], []
+
+    def placed() -> Iterator[pd.DataFrame]:
+        above, below = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (parents, children))
+        starts = memoryview(np.concatenate([[0], np.cumsum(np.bincount(above, minlength=n))]))
+        waits = np.bincount(below, minlength=n).astype(np.int32)
+        roots = memoryview(np.flatnonzero(waits == 0))
+        waits, below = memoryview(waits), memoryview(below)
+        ready, at, out, total = [], 0, [], 0
+        while ready or at < len(roots):
+            if ready and (at == len(roots) or ready[0] < roots[at]):
+                i = heapq.heappop(ready)
+            else:
+                i, at = roots[at], at + 1
             out.append(i)
-            for c in children[i]:
+            for j in range(starts[i], starts[i + 1]):
+                c = below[j]
                 waits[c] -= 1
                 if not waits[c]:
-                    heapq.heappush(ready, (source[c], name[c], c))
-        if len(out) < len(name):
+                    heapq.heappush(ready, c)
+            if len(out) == 1 << 17:
+                yield pd.DataFrame({"key": key, "rank": out, "position": range(total, total + len(out))})
+                total, out = total + len(out), []
+        if total + len(out) < n:
             raise ValueError("the revision graph has a cycle")
-        return pd.DataFrame({"key": pdf["key"].iloc[0], "node": [name[i] for i in out], "position": range(len(out))})
+        yield pd.DataFrame({"key": key, "rank": np.array(out, np.int64), "position": np.arange(total, total + len(out))})
+
+    for pdf in batches:
+        keys, up, child = (pdf[c].to_numpy() for c in ("key", "parent", "child"))
+        cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1), len(keys)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if lo < hi and up[lo] < 0:
+                if key is not None:
+                    yield from placed()
+                key, n, parents, children, lo = int(keys[lo]), int(child[lo]), [], [], lo + 1
+            parents.append(up[lo:hi].astype(np.int32))
+            children.append(child[lo:hi].astype(np.int32))
+    if key is not None:
+        yield from placed()
+
 
-    keyed = nodes.withColumn("key", F.col(groups).cast("string") if groups else F.lit("one")).select("key", "node", "source", "parents")
-    out = keyed.groupBy("key").applyInPandas(order, f"key string, node {kind}, position long")
-    return out.select(F.col("key").alias(key), "node", "position") if groups else out.select("node", "position")
+def topological_order(nodes: DataFrame, groups: str | None = None) -> DataFrame:
+    """node, position: the smallest order by (source, node) that has parents first.
+
+    nodes: node, source, parents (array).  Parents outside count as met.  Nodes are numbered by (source, node) first;
+    where all parents have a lower number than their children, that is the order.  Otherwise it is sequential by
+    definition, so a group (repository) is one task, over numbers only; a cycle raises an error.
+    """
+    from .frames import running
+
+    # a null group is one too
+    at = F.coalesce(F.concat(F.lit("="), F.col(groups).cast("string")), F.lit("")) if groups else F.lit("one")
+    own = nodes.select(at.alias("group"), "node", "source", "parents")
+    ranked = written(running(own, ["group", "source", "node"], rank=F.lit(1)), "ranked")
+    keys = ranked.groupBy("group").agg(F.min("rank").alias("key"), F.count(F.lit(1)).alias("n"))
+    named = ranked.select("group", F.col("node").alias("parent"), F.col("rank").alias("above"))
+    edges = ranked.select("group", "rank", F.explode("parents").alias("parent")).join(named, ["group", "parent"])
+    edges = written(edges.select("group", "above", "rank"), "order-edges")
+    if edges.filter("above >= rank").isEmpty():
+        out = ranked.join(keys.select("group", "key"), "group").withColumn("position", F.col("rank") - F.col("key"))
+    else:
+        rows = edges.join(keys, "group").select("key", (F.col("above") - F.col("key")).alias("parent"), (F.col("rank") - F.col("key")).alias("child"))
+        rows = rows.unionAll(keys.select("key", F.lit(-1).cast("long"), "n"))
+        rows = (rows.repartition("key") if groups else rows.coalesce(1)).sortWithinPartitions("key", "parent", "child")
+        placed = rows.mapInPandas(_heap_order, _PLACES).select((F.col("key") + F.col("rank")).alias("rank"), "position")
+        out = ranked.join(placed, "rank")
+    return out.select(F.when(F.col("group") != "", F.expr("substring(group, 2)")).alias(groups), "node", "position") if groups else out.select("node", "position")
 
 
 def remapped_parents(parents: DataFrame, removed: DataFrame) -> DataFrame:

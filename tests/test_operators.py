@@ -222,3 +222,49 @@ def test_rounds_of_removed_parents_hold_only_their_edges(spark, monkeypatch):
     found = {r["node"]: r["parents"] for r in kept.collect()}
     assert found[7] == [4, 299] and found[301] == [299] and found[9] == [8, None] and found[8] == [7]
     assert len(found) == 496 and max(written_rows) < 10
+
+
+def test_topological_order_is_by_numbers_and_needs_no_task_where_parents_come_first(spark, monkeypatch):
+    """Random graphs in groups equal a plain heap; an ascending graph is numbered without the sequential task."""
+    import heapq
+    import random
+
+    draw, rows, want = random.Random(3), [], []
+    for group in ("a", "b", None):
+        n = 300
+        names = draw.sample(range(1000), n)
+        ups = [[names[j] for j in draw.sample(range(i), min(i, draw.randrange(3)))] + [5000] for i in range(n)]
+        source = {name: draw.randrange(40) for name in names}
+        waits = {name: len(u) - 1 for name, u in zip(names, ups, strict=True)}
+        ready, at = [(source[x], x) for x in names if not waits[x]], 0
+        heapq.heapify(ready)
+        while ready:
+            x = heapq.heappop(ready)[1]
+            want.append((str(group), x, at))
+            at += 1
+            for name, u in zip(names, ups, strict=True):
+                if x in u:
+                    waits[name] -= 1
+                    if not waits[name]:
+                        heapq.heappush(ready, (source[name], name))
+        rows += [(group, name, source[name], u) for name, u in zip(names, ups, strict=True)]
+    df = spark.createDataFrame(rows, "repo string, node int, source int, parents array<int>")
+    got = graph.topological_order(df, "repo").collect()
+    assert sorted((str(r["repo"]), r["node"], r["position"]) for r in got) == sorted(want)
+    monkeypatch.setattr(graph, "_heap_order", None)
+    line = spark.createDataFrame([(k, 7, [k - 1]) for k in range(50)], "node int, source int, parents array<int>")
+    assert sorted(map(tuple, graph.topological_order(line).collect())) == [(k, k) for k in range(50)]
+
+
+def test_tree_sizes_have_no_window_over_all_atoms(spark):
+    from annalspark.operators import report
+
+    ops = spark.createDataFrame([(k, k % 7, "Delete" if k % 5 == 0 else "Add") for k in range(1, 200)], "atom_idx long, path long, op string")
+    sizes = report.tree_sizes(ops)
+    live, want = set(), {}
+    for k in range(1, 200):
+        (live.discard if k % 5 == 0 else live.add)(k % 7)
+        want[k] = len(live)
+    assert {r["atom_idx"]: r["size"] for r in sizes.collect()} == want
+    plan = sizes._jdf.queryExecution().optimizedPlan().toString()
+    assert "_range" in plan and "[atom_idx" not in "".join(x for x in plan.splitlines() if "Window" in x and "_range" not in x)
