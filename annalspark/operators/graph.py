@@ -41,7 +41,9 @@ def _grown(nodes: DataFrame, links: DataFrame, sizes: bool, doublings: int) -> D
         if sizes:
             gains = state.filter("up is not null").groupBy(F.col("up").alias("node")).agg(F.sum("size").alias("gain"))
             after, size = state.join(gains, "node", "left"), F.col("size") + F.coalesce("gain", F.lit(0))
-        return after.join(above, "up", "left").select("node", F.col("next").alias("up"), F.coalesce("top", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), size.alias("size"))
+        # nodes that have reached their root have no key to look up, and would all be one task's
+        moved = after.filter("up is not null").join(above, "up", "left").select("node", F.col("next").alias("up"), F.coalesce("top", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), size.alias("size"))
+        return moved.unionAll(after.filter("up is null").select("node", "up", "root", "depth", size.alias("size")))
 
     own = F.col("up").isNull()
     state = rounds.write(nodes.join(links, "node", "left").select("node", "up", F.when(own, F.col("node")).alias("root"), F.when(own, 0).otherwise(1).cast("long").alias("depth"), F.lit(1).cast("long").alias("size")))

@@ -149,3 +149,18 @@ def test_replay_on_branches_equals_walks(spark):
     )
     rows = [tuple(r) for r in found.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == want
+
+
+def test_nodes_at_their_root_are_not_joined_by_a_null_key(spark, monkeypatch):
+    """Rows whose way has ended have no key to look up; in a join they would all fall to one task."""
+    from annalspark.operators import graph as g
+    from annalspark.storage import Rounds
+
+    plans, write = [], Rounds.write
+    monkeypatch.setattr(Rounds, "write", lambda self, df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(self, df))
+    nodes = spark.range(6).withColumnRenamed("id", "node")
+    links = spark.createDataFrame([(1, 0), (2, 1), (3, 2), (4, 3)], "node long, up long")
+    found = {tuple(r) for r in g._grown(nodes, links, True, 5).select("node", "root", "depth", "size").collect()}
+    assert found == {(0, 0, 0, 5), (1, 0, 1, 4), (2, 0, 2, 3), (3, 0, 3, 2), (4, 0, 4, 1), (5, 5, 0, 1)}
+    assert len(plans) > 1 and all("isnotnull(up" in p for p in plans[1:])
+    assert all(p.count("isnull(up") >= 2 and "Union" in p for p in plans[1:])
