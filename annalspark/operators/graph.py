@@ -3,8 +3,8 @@
 Reachability goes by lines.  Every node picks one of its parents, which makes a forest; every node of the forest hands
 its line on to the child with the most descendants, so that lines are runs of one edge after another.  What can be
 reached is then one number a line (all ranks up to it, or from it on), and a search only follows the edges that change
-lines: its rounds grow with the changes of line, not with the depth of the graph.  Lines are found by pointer jumping,
-where every round doubles the distance.  Rounds are written below spark.checkpoint.dir, so that lineage stays short and
+lines: its rounds grow with the changes of line, not with the depth of the graph.  Lines are found by following links
+inside stretches of nodes, and between stretches by pointer jumping, where every round doubles the distance.  Rounds are written below spark.checkpoint.dir, so that lineage stays short and
 a lost executor costs one round.
 """
 
@@ -16,6 +16,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,15 +27,74 @@ from ..storage import Rounds, written
 _NOWHERE = -(1 << 62)
 #: Steps of a loop between two writes; their exchanges are shared, so a step more costs less than a round more.
 _JUMPS, _CHANGES = 2, 3
+#: Nodes whose links one task follows at a time; up to 2**_FEW - 1 nodes are not cut into stretches.
+_STRETCH, _FEW = 1 << 18, 10
 
 
-def _grown(nodes: DataFrame, links: DataFrame, sizes: bool, doublings: int) -> DataFrame:
-    """node, root, depth and (if asked for) size, the number of nodes that lead to the node, itself included.
+def _inside(stretch: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the rows of a stretch (node, up): the row of `up` (-1: not here), the last row its links lead to, and the links up to there."""
+    to = pc.index_in(stretch["up"].combine_chunks(), value_set=stretch["node"].combine_chunks(), skip_nulls=True).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    last, steps = np.where(to < 0, np.arange(len(to)), to), (to >= 0).astype(np.int64)
+    for _ in range(len(to).bit_length() + 1):  # more only on a cycle, which `_doubled` finds
+        after = last[last]
+        if np.array_equal(after, last):
+            break
+        last, steps = after, steps + steps[last]
+    return to, last, steps
+
+
+def _sums(to: np.ndarray, steps: np.ndarray, own: np.ndarray) -> list[int]:
+    """What each row and the rows that lead to it hold."""
+    sums, above = own.tolist(), to.tolist()
+    for i in np.argsort(-steps, kind="stable").tolist():
+        if above[i] >= 0:
+            sums[above[i]] += sums[i]
+    return sums
+
+
+def _followed(linked: DataFrame, order: list[str]) -> DataFrame:
+    """stretch, node, up, exit, root, depth, size, crosses: links followed inside stretches of the order, which hold a bounded number of nodes.
 
-    links: node, up, with one way up at most.  A node's jump goes twice as far each round, and its size takes in the
-    sizes of the nodes whose jump ends at it.
+    linked: node, up and the order's columns.  exit is the first node outside the stretch (else root is known), depth the
+    links up to it, size the nodes of the stretch that lead to the node, itself included; crosses: its own link leaves.
     """
-    rounds = Rounds(nodes.sparkSession, "grown")
+    kind, most = linked.schema["node"].dataType.simpleString(), _STRETCH
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        first, held, n, made = TaskContext.get().partitionId() << 32, [], 0, 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held)
+            to, last, steps = _inside(rows)
+            exits = rows["up"].combine_chunks().take(pa.array(last))
+            leaves = exits.is_valid().to_numpy(zero_copy_only=False)
+            roots = pc.if_else(pa.array(~leaves), rows["node"].combine_chunks().take(pa.array(last)), pa.scalar(None, rows["node"].type))
+            crosses = leaves & ((to < 0) | (to[last] >= 0))  # the latter on a cycle
+            columns = [pa.array(np.full(len(to), first + made)), rows["node"], rows["up"], exits, roots, pa.array(steps + leaves), pa.array(_sums(to, steps, np.ones(len(to), np.int64)), pa.int64()), pa.array(crosses)]
+            yield from pa.table(columns, names=["stretch", "node", "up", "exit", "root", "depth", "size", "crosses"]).to_batches(max_chunksize=1 << 16)
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, most):
+                held.append(batch.slice(at, most))
+                n += held[-1].num_rows
+                if n >= most:
+                    yield from out()
+                    held, n, made = [], 0, made + 1
+        if n:
+            yield from out()
+
+    rows = linked.repartitionByRange(*order).sortWithinPartitions(*order).select("node", "up")
+    return written(rows.mapInArrow(follow, f"stretch long, node {kind}, up {kind}, exit {kind}, root {kind}, depth long, size long, crosses boolean"), "stretches")
+
+
+def _doubled(state: DataFrame, sizes: bool, doublings: int) -> DataFrame:
+    """state (node, up, root, depth, size) with all links followed; a node's jump goes twice as far each round.
+
+    A node's size takes in the sizes of the nodes whose jump ends at it (if asked for).
+    """
+    rounds = Rounds(state.sparkSession, "grown")
 
     def jumped(state: DataFrame) -> DataFrame:
         above = state.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("root").alias("top"), F.col("depth").alias("more"))
@@ -45,11 +106,10 @@ def _grown(nodes: DataFrame, links: DataFrame, sizes: bool, doublings: int) -> D
         moved = after.filter("up is not null").join(above, "up", "left").select("node", F.col("next").alias("up"), F.coalesce("top", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), size.alias("size"))
         return moved.unionAll(after.filter("up is null").select("node", "up", "root", "depth", size.alias("size")))
 
-    own = F.col("up").isNull()
-    state = rounds.write(nodes.join(links, "node", "left").select("node", "up", F.when(own, F.col("node")).alias("root"), F.when(own, 0).otherwise(1).cast("long").alias("depth"), F.lit(1).cast("long").alias("size")))
+    state = rounds.write(state)
     for _ in range(0, doublings, _JUMPS):
         if state.filter("up is not null").isEmpty():
-            return state.select("node", "root", "depth", "size") if sizes else state.select("node", "root", "depth")
+            return state
         for _ in range(_JUMPS):
             state = jumped(state)
         state = rounds.write(state)
@@ -57,16 +117,72 @@ def _grown(nodes: DataFrame, links: DataFrame, sizes: bool, doublings: int) -> D
     raise ValueError("the revision graph has a cycle")
 
 
+class _Forest:
+    """Links (node, up; one way up at most) followed to their ends.
+
+    They are followed inside stretches of nodes first (ordered by `near`, if nodes have it, and node); what is left is
+    a forest of the nodes that a link from another stretch leads to.  Where most links are short in that order, those are
+    few, and only they are followed by pointer jumping.  Any order gives the same result.  Graphs of few nodes are left
+    to the jumps at once.
+    """
+
+    def __init__(self, nodes: DataFrame, links: DataFrame, sizes: bool, doublings: int) -> None:
+        self.links, self.inside = links.select("node", "up"), None
+        order = [c for c in ("near", "node") if c in nodes.columns]
+        if doublings <= _FEW + 2:
+            own = F.col("up").isNull()
+            state = nodes.select("node").join(self.links, "node", "left").select("node", "up", F.when(own, F.col("node")).alias("root"), F.when(own, 0).otherwise(1).cast("long").alias("depth"), F.lit(1).cast("long").alias("size"))
+            self.entries = _doubled(state, sizes, doublings)
+            return
+        self.inside = _followed(nodes.select(*order).join(self.links, "node", "left"), order)
+        entered = self.inside.filter("crosses").groupBy(F.col("exit").alias("node")).agg(F.sum("size").alias("size"))
+        entries = self.inside.drop("size", "up").join(entered, "node").select("node", F.col("exit").alias("up"), "root", "depth", "size")
+        self.entries = _doubled(entries, sizes, doublings)
+
+    def roots(self) -> DataFrame:
+        """node, root, depth."""
+        if self.inside is None:
+            return self.entries.select("node", "root", "depth")
+        beyond = self.entries.select(F.col("node").alias("exit"), F.col("root").alias("top"), F.col("depth").alias("more"))
+        left = self.inside.filter("exit is not null").join(beyond, "exit", "left").select("node", F.col("top").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
+        return self.inside.filter("exit is null").select("node", "root", "depth").unionAll(left)
+
+    def sizes(self) -> DataFrame:
+        """node, up, size: the number of nodes that lead to the node, itself included."""
+        if self.inside is None:
+            return self.entries.select("node", "size").join(self.links, "node", "left").select("node", "up", "size")
+        if self.entries.isEmpty():
+            return self.inside.select("node", "up", "size")
+        kind = self.inside.schema["node"].dataType.simpleString()
+
+        def summed(rows: pa.Table) -> pa.Table:
+            to, _, steps = _inside(rows)
+            return pa.table([rows["node"], rows["up"], pa.array(_sums(to, steps, rows["own"].to_numpy()), pa.int64())], names=["node", "up", "size"])
+
+        own = self.inside.select("stretch", "node", "up").join(self.entries.select("node", "size"), "node", "left")
+        return own.select("stretch", "node", "up", (F.coalesce("size", F.lit(0)) + 1).alias("own")).groupBy("stretch").applyInArrow(summed, f"node {kind}, up {kind}, size long")
+
+
+def _grown(nodes: DataFrame, links: DataFrame, sizes: bool, doublings: int) -> DataFrame:
+    """node, root, depth and (if asked for) size, the number of nodes that lead to the node, itself included.
+
+    nodes: node and, where it is known, near, by which a node and the node above it lie close; links: node, up, with one
+    way up at most.
+    """
+    forest = _Forest(nodes, links, sizes, doublings)
+    return forest.roots().join(forest.sizes().select("node", "size"), "node") if sizes else forest.roots()
+
+
 def heavy_lines(nodes: DataFrame, links: DataFrame, doublings: int | None = None) -> DataFrame:
     """node, line, rank: a forest cut into lines of one link after another, earliest nodes at rank 0.
 
-    links: node, up.  A node's line goes on to the child with the most descendants, so that a way through the forest
-    changes lines at most as often as its size can be halved.
+    nodes: node and, where it is known, near; links: node, up.  A node's line goes on to the child with the most
+    descendants, so that a way through the forest changes lines at most as often as its size can be halved.
     """
     doublings = doublings or nodes.count().bit_length() + 2
-    sizes = _grown(nodes, links, True, doublings).select("node", "size")
-    heirs = links.filter("up is not null").join(sizes, "node").groupBy("up").agg(F.max_by("node", F.struct("size", "node")).alias("node"))
-    return _grown(nodes, written(heirs.select("node", "up"), "heirs"), False, doublings).select("node", F.col("root").alias("line"), F.col("depth").alias("rank"))
+    sizes = _Forest(nodes, links, True, doublings).sizes()
+    heirs = sizes.filter("up is not null").groupBy("up").agg(F.max_by("node", F.struct("size", "node")).alias("node"))
+    return written(_grown(nodes, heirs.select("node", "up"), False, doublings).select("node", F.col("root").alias("line"), F.col("depth").alias("rank")), "lines")
 
 
 @dataclass(frozen=True)
@@ -78,16 +194,22 @@ class Lines:
 
     @classmethod
     def of(cls, parents: DataFrame | Lines) -> Lines:
-        """Lines of a graph; parents: node, parent and, where it is known, pos.
+        """Lines of a graph; parents: node, parent and, where they are known, pos and near.
 
-        A node's parent in the forest is the one with the longest way down by first parents (greatest parents where
+        near is any value of the node (its number, date or group) by which nodes and their parents lie close; it
+        changes the work and not the result.  A node's parent in the forest is the one with the longest way down by first parents (greatest parents where
         there is no pos), which keeps a main line whole where the first parent of its merges is a branch.
         """
         if isinstance(parents, Lines):
             return parents
         first = F.min_by("parent", "pos") if "pos" in parents.columns else F.max("parent")
-        edges = written(parents.select("node", "parent", *(["pos"] if "pos" in parents.columns else [])).filter("node is not null and parent is not null").distinct(), "edges")
-        nodes = written(edges.select("node").unionAll(edges.select(F.col("parent").alias("node"))).distinct(), "nodes")
+        near = ["near"] if "near" in parents.columns else []
+        edges = written(parents.select("node", "parent", *(c for c in ("pos", *near) if c in parents.columns)).filter("node is not null and parent is not null").distinct(), "edges")
+        if near:  # of a node without parents: the least of its children's
+            ends = edges.select("node", "near", F.lit(0).alias("side")).unionAll(edges.select(F.col("parent").alias("node"), "near", F.lit(1).alias("side")))
+            nodes = written(ends.groupBy("node").agg(F.min(F.struct("side", "near"))["near"].alias("near")), "nodes")
+        else:
+            nodes = written(edges.select("node").unionAll(edges.select(F.col("parent").alias("node"))).distinct(), "nodes")
         doublings = nodes.count().bit_length() + 2
         links = written(edges.groupBy("node").agg(first.alias("up"), F.count_distinct("parent").alias("n")), "links")
         merges = links.filter("n > 1").select("node")

@@ -67,7 +67,7 @@ def integrity(h) -> DataFrame:
 def misfits(ops: DataFrame, nodes: DataFrame, first_parents: DataFrame) -> DataFrame:
     """node, path, op: ops that do not fit the tree their first parents left: Add needs absence, the others presence.
 
-    ops: node, path, op; nodes: node; first_parents: node, up.  Nodes are cut into lines, one row a node.  Inside a
+    ops: node, path, op; nodes: node (and near, see `graph.heavy_lines`); first_parents: node, up.  Nodes are cut into lines, one row a node.  Inside a
     line the state of a path is that of the last Add or Delete before; where a line has none, its paths take the state
     at the place the line forked from, a lookup per line and path that is passed on to the next line below only where
     that one has no state either.

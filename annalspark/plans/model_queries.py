@@ -220,9 +220,9 @@ def topo_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
 up AS (SELECT node FROM chain WHERE node % 400 = 1 UNION SELECT p.parent FROM p JOIN up USING (node)) SELECT node FROM up""")
 def merged_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reachability in a graph with merges: some revisions have a second parent."""
-    rows = chain(spark, sf_dir)
-    second = rows.filter("node % 50 = 0 and parent > node").select("node", (F.col("node") - 3).alias("parent")).join(rows.select(F.col("node").alias("parent")), "parent", "left_semi").select("node", "parent")
-    return graph.ancestors_or_self(rows.filter("parent is not null").select("node", "parent").unionAll(second), rows.filter("node % 400 = 1").select("node"))
+    rows = chain(spark, sf_dir).withColumn("near", F.col("o_custkey"))  # parents are the customer's
+    second = rows.filter("node % 50 = 0 and parent > node").select("node", (F.col("node") - 3).alias("parent"), "near").join(rows.select(F.col("node").alias("parent")), "parent", "left_semi").select("node", "parent", "near")
+    return graph.ancestors_or_self(rows.filter("parent is not null").select("node", "parent", "near").unionAll(second), rows.filter("node % 400 = 1").select("node"))
 
 
 # A history with many branches and merges: the n-th order (by date) comes after one of the 64 before it, and every fifth
@@ -233,7 +233,7 @@ p AS (SELECT a.node, b.node AS parent, pos FROM e JOIN n a USING (i) JOIN n b ON
 
 
 def dag(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """nodes (node, i, o_totalprice) and parents (node, pos, parent) of a history with branches and merges."""
+    """nodes (node, i, o_totalprice) and parents (node, pos, parent, near: its i) of a history with branches and merges."""
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node"), "o_orderdate", "o_totalprice")
     ordered = rows.repartitionByRange("o_orderdate", "node").sortWithinPartitions("o_orderdate", "node")
     # numbers in order: places within a range and the sizes of the ranges before
@@ -242,12 +242,12 @@ def dag(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     offsets = sizes.withColumn("offset", F.coalesce(F.sum("count").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("part", "offset")
     nodes = written(part.join(offsets, "part").select("node", (F.col("offset") + F.col("at") - 1).alias("i"), "o_totalprice"), "dag-nodes")
     i = F.col("i")
-    ways = nodes.select("node", F.explode(F.array_compact(F.array(
+    ways = nodes.select("node", "i", F.explode(F.array_compact(F.array(
         F.struct(F.lit(0).alias("pos"), (i - 1 - i * 7 % 64).alias("j")),
         F.when(i % 5 == 0, F.struct(F.lit(1).alias("pos"), (i - 1 - i * 13 % 1000).alias("j"))),
     ))).alias("way"))
     to = nodes.select(F.col("i").alias("j"), F.col("node").alias("parent"))
-    return nodes, written(ways.select("node", "way.*").join(to, "j").select("node", "pos", "parent"), "dag-parents")
+    return nodes, written(ways.select("node", "i", "way.*").join(to, "j").select("node", "pos", "parent", F.col("i").alias("near")), "dag-parents")
 
 
 @query(f"""WITH RECURSIVE {_DAG}, r AS (SELECT node, CASE WHEN o_totalprice > 500000 THEN 2 ELSE 1 END AS phase FROM n WHERE o_totalprice > 480000),
@@ -281,7 +281,7 @@ def replay_branching(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = (F.col("l_orderkey") + F.col("l_partkey")) % 5
     ops = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("node"), (F.col("l_partkey") % 60).alias("path"), F.when(k < 2, "Add").when(k < 4, "Modify").otherwise("Delete").alias("op"))
     ops = ops.groupBy("node", "path").agg(F.min("op").alias("op"))
-    return verify.misfits(ops, nodes.select("node"), parents.filter("pos = 0").select("node", F.col("parent").alias("up")))
+    return verify.misfits(ops, nodes.select("node", F.col("i").alias("near")), parents.filter("pos = 0").select("node", F.col("parent").alias("up")))
 
 
 @query(f"""WITH {_CHAIN}, c AS (SELECT node, parent, node % 3 AS kind FROM chain WHERE parent IS NOT NULL) SELECT node, 'a' || parent AS "from" FROM c WHERE kind = 0 AND node % 4 <> 1""")

@@ -164,3 +164,40 @@ def test_nodes_at_their_root_are_not_joined_by_a_null_key(spark, monkeypatch):
     assert found == {(0, 0, 0, 5), (1, 0, 1, 4), (2, 0, 2, 3), (3, 0, 3, 2), (4, 0, 4, 1), (5, 5, 0, 1)}
     assert len(plans) > 1 and all("isnotnull(up" in p for p in plans[1:])
     assert all(p.count("isnull(up") >= 2 and "Union" in p for p in plans[1:])
+
+
+@pytest.mark.parametrize("near", [True, False])
+def test_links_are_followed_inside_stretches(spark, monkeypatch, near):
+    """A deep graph whose parents are near leaves few nodes to the jumps, and its result depends on no stretch."""
+    states, doubled = [], graph._doubled
+    monkeypatch.setattr(graph, "_doubled", lambda state, *a: states.append(state.count()) or doubled(state, *a))
+    monkeypatch.setattr(graph, "_STRETCH", 300)
+    rng, n = random.Random(5), 3000
+    names = [10**17 + 7 * x for x in range(n)]  # more digits than a double holds
+    rng.shuffle(names)
+    up = {i: i - 1 - rng.randrange(min(i, 6)) for i in range(1, n) if i % 1500}
+    table = spark.createDataFrame([(names[i], i) for i in range(n)], "node long, near long")
+    links = spark.createDataFrame([(names[i], names[j]) for i, j in up.items()], "node long, up long")
+    root, depth, size = {}, {}, [1] * n
+    for i in range(n):
+        root[i], depth[i] = (root[up[i]], depth[up[i]] + 1) if i in up else (i, 0)
+    for i in reversed(range(n)):
+        if i in up:
+            size[up[i]] += size[i]
+    found = graph._grown(table if near else table.drop("near"), links, True, 14).select("node", "root", "depth", "size").collect()
+    assert {tuple(r) for r in found} == {(names[i], names[root[i]], depth[i], size[i]) for i in range(n)} and len(found) == n
+    if near:
+        assert max(states) <= 150
+        edges = [(i, j, 0) for i, j in up.items()] + [(i, i - 5, 1) for i in range(20, n, 5) if i % 1500 > 10]
+        parents = spark.createDataFrame([(names[i], names[j], pos, i) for i, j, pos in edges], "node long, parent long, pos int, near long")
+        starts = spark.createDataFrame([(names[1400],)], "node long")
+        assert _ids(graph.ancestors_or_self(parents, starts)) == {names[i] for i in _walk([e[:2] for e in edges], [1400])}
+        assert _ids(graph.descendants_or_self(parents, starts)) == {names[i] for i in _walk([(b, a) for a, b, _ in edges], [1400])}
+        assert max(states) <= 150
+
+
+def test_a_long_cycle_of_first_parents_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(graph, "_STRETCH", 200)
+    for ring in ([(i, i % 1500 + 1) for i in range(1, 1501)], [(i, i + 1) for i in range(1, 1500)] + [(1500, 1490)]):
+        with pytest.raises(ValueError, match="cycle"):
+            graph.Lines.of(spark.createDataFrame(ring, "node int, parent int"))
