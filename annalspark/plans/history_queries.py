@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 
 from ..functions import scalars as S
 from ..operators import asof, cluster, diff, graph, refs, report
-from ..storage import Rounds
+from ..storage import Rounds, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -258,7 +258,8 @@ st AS (SELECT branch, pos, sum(d) AS d FROM (SELECT branch, i AS pos, 1 AS d FRO
 dp AS (SELECT branch, pos, sum(d) OVER (PARTITION BY branch ORDER BY pos) AS covered FROM st), bs AS (SELECT *, row_number() OVER (PARTITION BY branch ORDER BY covered DESC, pos) AS k FROM dp WHERE pos < {_LINE})
 SELECT e.branch, CASE WHEN mi < mo THEN mi ELSE bs.pos END AS position, CAST(mi < mo AS BIGINT) AS exact, CAST(CASE WHEN mi < mo THEN files ELSE bs.covered END AS BIGINT) AS covered FROM e JOIN bs ON e.branch = bs.branch AND bs.k = 1""")
 def branch_cut_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("branch"), F.col("l_partkey").alias("file")).agg(F.min("l_orderkey").alias("in"), (F.max("l_orderkey") + 1).alias("out"))
+    rows = spread(table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_orderkey"), "l_suppkey")
+    runs = rows.groupBy(F.col("l_suppkey").alias("branch"), F.col("l_partkey").alias("file")).agg(F.min("l_orderkey").alias("in"), (F.max("l_orderkey") + 1).alias("out"))
     return refs.cut_points(runs, _LINE).select("branch", F.col("position").cast("bigint").alias("position"), F.col("exact").cast("bigint").alias("exact"), F.col("covered").cast("bigint").alias("covered"))
 
 

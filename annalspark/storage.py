@@ -47,6 +47,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return Rounds(df.sparkSession, name).write(df)
 
 
+def spread(df: DataFrame, *keys: str, rows: int = 1 << 17) -> DataFrame:
+    """The table dealt by keys to as many partitions as hold about `rows` rows each, so that a task's memory does not grow with the table.
+
+    A number given by hand is one that adaptive execution does not merge, as it does partitions that are small when
+    compressed.
+    """
+    return df.repartition(max(1, -(-df.count() // rows)), *keys)
+
+
 def swap(spark: SparkSession, path: str, text: str) -> None:
     """Gives a one-line file new text in one step: readers find the old line or the new one."""
     jvm = spark.sparkContext._jvm

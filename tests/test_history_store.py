@@ -31,3 +31,16 @@ def test_swap_replaces_a_line(spark, tmp_path):
         swap(spark, f"{tmp_path}/line", text)
         assert (tmp_path / "line").read_text() == text
         assert spark.read.text(f"{tmp_path}/line").first()[0] == text
+
+
+def test_spread_keeps_the_rows_of_a_task_when_the_table_grows(spark):
+    from pyspark.sql import functions as F
+
+    from annalspark.plans.history_queries import QUERIES
+    from annalspark.storage import spread
+
+    for n in (1000, 8000):
+        sizes = [r["n"] for r in spread(spark.range(n), "id", rows=100).groupBy("id").count().groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+        assert sum(sizes) == n and max(sizes) < 200
+    plan = QUERIES["branch_cut_sweep"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
