@@ -9,6 +9,9 @@ from pyspark.sql import Window as W
 from ..functions import scalars as S
 from .refs import cut_points
 
+#: Rows of a partition of `discover`.
+_ROWS = 1 << 17
+
 
 def named_branches(symbols: DataFrame) -> DataFrame:
     """path, name, branch, point of symbols (path, name, rev) that name a branch, by a magic or a plain branch number."""
@@ -19,13 +22,15 @@ def named_branches(symbols: DataFrame) -> DataFrame:
     return symbols.filter(S.names_branch(r)).select("path", "name", branch.alias("branch"), point.alias("point"))
 
 
-def line_of(revisions: DataFrame, branches: DataFrame, vendors: DataFrame | None = None) -> DataFrame:
+def line_of(revisions: DataFrame, branches: DataFrame, vendors: DataFrame | None = None, parts: int = 0) -> DataFrame:
     """Adds `line` to revisions (path, rev): '' for the main line, a branch's name, or null for an unnamed line.
 
     Where two names share a branch number the lower one is taken.  vendors: path, vendor (default branch number).
+    parts: in how many partitions both are joined, if given.
     """
-    names = branches.groupBy("path", "branch").agg(F.min("name").alias("line"))
-    rows = revisions.withColumn("branch", S.branch_of(F.col("rev"))).join(names, ["path", "branch"], "left").drop("branch")
+    dealt = lambda df: df.repartition(parts, "path", "branch") if parts else df
+    names = dealt(branches).groupBy("path", "branch").agg(F.min("name").alias("line"))
+    rows = dealt(revisions.withColumn("branch", S.branch_of(F.col("rev")))).join(names, ["path", "branch"], "left").drop("branch")
     if vendors is None:
         return rows.withColumn("line", F.when(F.size("rev") == 2, "").otherwise(F.col("line")))
     return rows.join(vendors, "path", "left").withColumn("line", F.when(S.is_main_line(F.col("rev"), F.col("vendor")), "").otherwise(F.col("line"))).drop("vendor")
@@ -37,8 +42,10 @@ def discover(symbols: DataFrame, revisions: DataFrame, vendors: DataFrame | None
     state is that of the branch point: live, dead, or missing where the file has no such revision.
     """
     found = named_branches(symbols)
-    points = line_of(revisions.select("path", "rev", "state"), found, vendors).select("path", F.col("rev").alias("point"), "state", "line")
-    joined = found.join(points, ["path", "point"], "left")
+    # numbers are short when compressed, so that partitions merged by size would hold too many of them
+    parts = -(-(revisions.count() + found.count()) // _ROWS) or 1
+    points = line_of(revisions.select("path", "rev", "state"), found, vendors, parts).select("path", F.col("rev").alias("point"), "state", "line")
+    joined = found.repartition(parts, "path", "point").join(points.repartition(parts, "path", "point"), ["path", "point"], "left")
     state = F.when(F.col("state").isNull(), "missing").when(F.col("state") == "dead", "dead").otherwise("live")
     return joined.select("name", "path", "branch", "point", state.alias("state"), "line")
 

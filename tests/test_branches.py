@@ -27,3 +27,18 @@ def test_import_stream(spark):
     assert data.count(b"\nmark :") == 4 and b"M 100644 :1 a b\n" in data and b"from :3\n" in data
     assert b"author Alice <alice@example.com> 1000 +0000\n" in data and data.endswith(b"reset refs/heads/main\nfrom :4\n\n")
     assert data.index(b"root") < data.index(b"tip")
+
+
+def test_discovery_takes_more_tasks_and_not_larger_ones(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from annalspark.operators import branches
+
+    monkeypatch.setattr(branches, "_ROWS", 100)
+    for n in (300, 1200):
+        paths = spark.range(n).withColumnRenamed("id", "path")
+        symbols = paths.select("path", F.lit("b").alias("name"), F.array(F.lit(1), F.lit(1), F.lit(0), F.lit(2)).cast("array<bigint>").alias("rev"))
+        revisions = paths.select("path", F.array(F.lit(1), F.lit(1)).cast("array<bigint>").alias("rev"), F.lit("live").alias("state"))
+        rows = branches.discover(symbols, revisions).groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n"), F.min("state").alias("a"), F.max("line").alias("l")).collect()
+        assert sum(r["n"] for r in rows) == n and max(r["n"] for r in rows) <= 100
+        assert {(r["a"], r["l"]) for r in rows} == {("live", "")}
