@@ -37,6 +37,42 @@ def test_frames_of_edge_tables(spark):
         assert rows[-1]["frame"] + 1 == len(list(canon.frame_lengths(lengths, 100)))
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_frames_pass_stretches_and_groups_of_them(spark, monkeypatch, seed):
+    """Frames that cross stretches, stretches within a frame, and runs of empty contents at their borders."""
+    monkeypatch.setattr(frames, "STRETCH", 4)
+    monkeypatch.setattr(frames, "FAN", 2)
+    rng = random.Random(seed)
+    lengths = [[rng.choice([0, 0, 1, 30, rng.randrange(60), rng.randrange(300)]) for _ in range(75)], [rng.randrange(3) for _ in range(75)], [0] * 30 + [101] + [0] * 30 + [100, 0, 1]][seed]
+    df = spark.createDataFrame(list(enumerate(lengths)), "k int, n int").repartition(3)
+    rows = frames.framed(df, ["k"], "n", 100).orderBy("k").collect()
+    sums: dict[int, int] = {}
+    for r in rows:
+        sums[r["frame"]] = sums.get(r["frame"], 0) + r["n"]
+    assert [r["frame"] for r in rows] == sorted(r["frame"] for r in rows)
+    assert [sums[k] for k in range(len(sums))] == list(canon.frame_lengths(lengths, 100))
+
+
+def test_frames_take_few_jobs(spark):
+    """The frames of a stretch are found where it lies: no rounds, each of which sends the results of its tasks to the driver."""
+    df = spark.range(5000).select("id", (F.col("id") % 90).alias("n"))
+    spark.sparkContext.setJobGroup("frames", "frames")
+    try:
+        frames.framed(df, ["id"], "n", 100).count()
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("frames")) < 25
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_contents_are_written_in_runs_of_frames(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(artifact, "PART_FRAMES", 2)
+    rng = random.Random(4)
+    blobs = sorted({_big(rng, n) for n in (700_000, 600_000, 1_500_000, 400_000, 900_000, 800_000, 20, 3)}, key=lambda b: hashlib.sha256(b).digest())
+    metadata = _big(rng, 5_500_000)
+    artifact.write(_contents(spark, blobs), str(tmp_path / "r.art"), MAGIC, metadata=metadata)
+    assert (tmp_path / "r.art").read_bytes() == canon.container(MAGIC, (0, 3, 0), metadata, [(hashlib.sha256(b).digest(), b) for b in blobs])
+
+
 def _contents(spark, blobs):
     rows = [(bytearray(hashlib.sha256(b).digest()), bytearray(b)) for b in blobs]
     return spark.createDataFrame(rows, "blob_id binary, content binary")
