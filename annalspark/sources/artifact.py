@@ -27,10 +27,13 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from ..functions.canon import NonCanonical, deflated, inflated, uvarint
 from ..operators import frames
+from ..storage import written
 
 FORMAT = 2
 #: Stored bytes that one task reads, at least one frame.
 PART_BYTES = 64 << 20
+#: Frames of a run that one task writes.
+PART_FRAMES = 32
 #: Rows and bytes of a batch that a reading task hands on.
 _ROWS, _BYTES = 256, 8 << 20
 
@@ -407,12 +410,16 @@ def write(contents: DataFrame, path: str, magic: bytes, version: tuple[int, int,
     spark = contents.sparkSession
     spark.dataSource.register(Artifact)
     order = [c for c in order or [] if c != "blob_id"] + ["blob_id"]
-    packed = frames.framed(contents.select(*order, "content", F.octet_length("content").cast("long").alias("_length")), order, "_length")
-    rows = packed.select(F.lit(1).alias("section"), "frame", "rank", "blob_id", "content")
+    own = written(contents.select(*order, "content", F.octet_length("content").cast("long").alias("_length")), "contents")
+    packed = frames.framed(own.drop("content"), order, "_length").select("blob_id", "frame", "rank")  # contents are not moved to find frames
+    rows = own.select("blob_id", "content").join(packed, "blob_id").select(F.lit(1).alias("section"), "frame", "rank", "blob_id", "content")
     pieces = [(0, k, k, None, metadata[lo : lo + frames.LIMIT]) for k, lo in enumerate(range(0, len(metadata), frames.LIMIT))]
     rows = rows.unionAll(spark.createDataFrame(pieces, "section int, frame long, rank long, blob_id binary, content binary"))
     folder = f"{path}.parts-{uuid.uuid4().hex}"
-    rows.repartitionByRange("section", "frame").sortWithinPartitions("section", "frame", "rank").write.format("artifact").option("path", folder).mode("append").save()
+    # a task writes a run of frames, and no content is read to find out where runs end; two frames in turn hold more than the limit
+    most = max(2 * (own.agg(F.sum("_length")).first()[0] or 0) // frames.LIMIT + 1, len(pieces))
+    dealt = rows.repartitionById(most // PART_FRAMES + 1, F.floor(F.col("frame") / PART_FRAMES).cast("int"))
+    dealt.sortWithinPartitions("section", "frame", "rank").write.format("artifact").option("path", folder).mode("append").save()
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
