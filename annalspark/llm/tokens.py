@@ -3,7 +3,8 @@
 The vocabulary's rules (canonical composition, lower case, white space dropped, a pattern that cuts words, digits and
 runs of other signs apart) never join characters across white space, so the ids of a text are the ids of its pieces one
 after another.  A piece is cut by the vocabulary's own pattern and each part is looked up in the vocabulary's merge
-model once while it is in the cache.  `tests/llm` compares the result with the library's own encoding of whole texts.
+model once while it is remembered, as a piece or a part of one.  A full generation of pieces becomes the old one, from
+which those in use come back.  `tests/llm` compares the result with the library's own encoding of whole texts.
 """
 
 from __future__ import annotations
@@ -12,13 +13,14 @@ import json
 import os
 import unicodedata
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 import regex
 
 SEQUENCE = 2048
-#: Pieces, and parts of pieces, that an encoder remembers.
-CACHED = 400_000
+#: Pieces and parts of pieces that each of the two generations of an encoder holds, and what is too long to be remembered.
+CACHED, LONG = 400_000, 200
 
 
 def default_vocabulary() -> str:
@@ -34,6 +36,24 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class _Pieces(dict):
+    """Ids of pieces, learned where they are missing."""
+
+    def __init__(self, learn: Callable[[str], bytes], cached: int) -> None:
+        self.learn, self.cached, self.old = learn, cached, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.old.get(piece)
+        if found is None:
+            found = self.learn(piece)
+        if len(self) >= self.cached:
+            self.old = dict(self)
+            self.clear()
+        if len(piece) <= LONG:
+            self[piece] = found
+        return found
+
+
 class Encoder:
     """Texts to little-endian uint32 ids as bytes."""
 
@@ -50,48 +70,35 @@ class Encoder:
         self.known = steps == ["NFC", "Replace", "Lowercase"] and [c.get("type") for c in cut] == ["Split", "ByteLevel"]
         self.pattern = regex.compile(cut[0]["pattern"]["Regex"]) if self.known else None
         self.model, self.letters = self.whole.model, _byte_letters()
-        self.parts: dict[str, bytes] = {}
-        self.cache: dict[str, bytes] = {}
-        self.cached = cached
+        self.pieces = _Pieces(self._piece, cached)
 
     def _part(self, part: str) -> bytes:
-        found = self.parts.get(part)
-        if found is None:
-            if len(self.parts) >= self.cached:
-                self.parts.clear()
-            word = part if part.isascii() and part.isprintable() else part.encode().decode("latin1").translate(self.letters)
-            found = self.parts[part] = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
-        return found
+        word = part if part.isascii() and part.isprintable() else part.encode().decode("latin1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
     def _piece(self, piece: str) -> bytes:
         if not self.known or len(piece) > 2000:
             return np.array(self.whole.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-        if not piece.isascii():
-            # lower case is taken character by character, as the vocabulary does; str.lower() treats a final sigma apart
-            piece = "".join(map(str.lower, unicodedata.normalize("NFC", piece)))
+        if piece.isascii():
+            low = piece.lower()
         else:
-            piece = piece.lower()
-            if piece.isalpha():
-                return self._part(piece)
-        return b"".join(map(self._part, self.pattern.findall(piece)))
+            low = piece if unicodedata.is_normalized("NFC", piece) else unicodedata.normalize("NFC", piece)
+            # lower case is taken character by character, as the vocabulary does; str.lower() treats a final sigma apart
+            low = low.lower() if "\u03a3" not in low else "".join(map(str.lower, low))
+        parts = [low] if low.isascii() and low.isalpha() else self.pattern.findall(low)
+        if parts == [piece]:
+            return self._part(piece)
+        # a part is cut and lowered no further, so that it is a piece of its own
+        return self.pieces[parts[0]] if len(parts) == 1 else b"".join(map(self.pieces.__getitem__, parts))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; a null text has none."""
-        out = []
-        cache, get = self.cache, self.cache.__getitem__
+        out, get = [], self.pieces.__getitem__
         for text in texts:
             text = text or ""
             # str.split() also cuts at U+001C to U+001F, which the vocabulary takes for ordinary characters
             odd = "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
-            pieces = text.split(" ") if odd else text.split()
-            new = set(pieces).difference(cache)
-            if new:
-                if len(cache) + len(new) > self.cached:
-                    cache.clear()
-                    new = set(pieces)
-                for p in new:
-                    cache[p] = self._piece(p)
-            out.append(b"".join(map(get, pieces)))
+            out.append(b"".join(map(get, text.split(" ") if odd else text.split())))
         return out
 
 

@@ -47,3 +47,25 @@ def test_ids_equal_the_library():
     encoder = tokens.encoder(tokens.default_vocabulary())
     for text, ids in zip(TEXTS, encoder.encode(TEXTS), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == encoder.whole.encode(text or "", add_special_tokens=False).ids
+
+
+def test_an_encoder_keeps_words_in_use_when_it_is_full():
+    """Rare words push out rare ones: a word that every text holds is looked up in the merge model once."""
+    encoder, looked_up = tokens.Encoder(tokens.default_vocabulary(), cached=100), []
+
+    class Model:
+        def __init__(self, model):
+            self.model = model
+
+        def tokenize(self, word):
+            looked_up.append(word)
+            return self.model.tokenize(word)
+
+    common = ["w" * (i + 2) for i in range(20)]
+    rare = lambda k: [chr(97 + k // 26) + chr(97 + k % 26) + "q" + chr(97 + i) * 2 for i in range(26)]
+    texts = [" ".join([*common, *rare(k), "Q" * 300, "ΑΣ", "J̌'S"]) for k in range(60)]
+    encoder.model = Model(encoder.model)
+    found = encoder.encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in found] == [encoder.whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert all(looked_up.count(w) == 1 for w in common)
+    assert max(map(len, encoder.pieces)) <= tokens.LONG and len(encoder.pieces) + len(encoder.pieces.old) <= 200
