@@ -239,21 +239,38 @@ def _shingles(docs: DataFrame, wanted: DataFrame, p: PassageParams) -> DataFrame
 
 
 def linked(ids: np.ndarray, sets: list[np.ndarray], across: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links of the contents whose shingle sets are similar; across: links must have one end in each part."""
+    """Spanning links of the contents whose shingle sets are similar; across: links must have one end in each part.
+
+    Similar sets share one of their first shingles, rarest first, as so many of each are in both; only sets that do are
+    compared, so that a shingle which all of them hold costs nothing where they have rarer ones.
+    """
     n = len(ids)
     size = np.array([len(s) for s in sets])
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(n), size)
+    owner = np.repeat(np.arange(n), size)
+    _, code, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    table, start = _padded(code, size, int(size.max()), len(held)), np.cumsum(size) - size
+    own = [code[k : k + m] for k, m in zip(start, size, strict=True)]
+    order = np.lexsort([code, held[code], owner])
+    code = code[order]
+    place = np.arange(len(code)) - np.repeat(start, size)
+    first = place <= (size + (-percent * size) // 100)[owner]
+    order = np.lexsort([owner[first], code[first]])
+    code, owner = code[first][order], owner[first][order]  # holders of each first shingle, in order
+    end = np.searchsorted(code, code, "right")
+    by, at = np.argsort(owner, kind="stable"), np.arange(1, len(code) + 1)
+    by = by[end[by] > at[by]]
     label = np.arange(n)
     us, vs = [], []
-    for i in range(n):
-        other = label != label[i]
-        other[: i + 1] = False
+    for one in np.split(by, np.flatnonzero(np.diff(owner[by])) + 1) if len(by) else []:
+        i = owner[one[0]]
+        other = np.unique(np.concatenate([owner[k + 1 : end[k]] for k in one]))
+        other = other[label[other] != label[i]]
         if across is not None:
-            other &= across != across[i]
-        if not other.any():
+            other = other[across[other] != across[i]]
+        if not len(other):
             continue
-        both = np.bincount(owner[np.isin(flat, sets[i])], minlength=n)
-        for j in np.flatnonzero(other & (100 * both >= percent * (size[i] + size - both))):
+        both = (table[other][:, :, None] == own[i]).sum((1, 2))
+        for j in other[100 * both >= percent * (size[i] + size[other] - both)]:
             if label[j] != label[i]:
                 us.append(ids[i])
                 vs.append(ids[j])
@@ -261,6 +278,14 @@ def linked(ids: np.ndarray, sets: list[np.ndarray], across: np.ndarray | None, p
     return np.array(us, np.int64), np.array(vs, np.int64)
 
 
+def _padded(flat: np.ndarray, size: np.ndarray, width: int, free: int = 0) -> np.ndarray:
+    """A row per set, filled up with numbers from `free` on that no other row has."""
+    table = np.arange(free, free + len(size) * width).astype(flat.dtype).reshape(-1, width)
+    row = np.repeat(np.arange(len(size)), size)
+    table[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)] = flat
+    return table
+
+
 def similar(a: np.ndarray, b: np.ndarray, table: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
     """Which pairs of rows of a table of padded shingle sets are similar enough; padding differs from row to row."""
     out = np.zeros(len(a), bool)
@@ -293,9 +318,7 @@ def _edges(regions: DataFrame, shingles: DataFrame, p: PassageParams, small: int
             u, v = linked(ids, sets, across, p.percent)
             return pd.DataFrame({"u": u, "v": v})
         many = np.array([len(s) for s in sets])
-        table = np.arange(len(sets) * width, dtype=U64).reshape(-1, width)  # padding: numbers that no other row has
-        flat = np.repeat(np.arange(len(sets)), many)
-        table[flat, np.arange(len(flat)) - np.repeat(np.cumsum(many) - many, many)] = np.concatenate(sets)
+        table = _padded(np.concatenate(sets), many, width)
         region = pdf["region"].to_numpy()
         cut = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1], [True]]))
         pairs = []
